@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, suffix_dedup
+from . import mixing, near_dup, quality_rules, suffix_dedup
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
@@ -27,6 +32,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_near_duplicates": op4_near_duplicates,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op10_source_mixing": op10_source_mixing,
