@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dup, quality_rules, suffix_dedup
+from . import bpe, mixing, near_dup, quality_rules, suffix_dedup
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
 
+def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return out.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
@@ -32,6 +38,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_bpe_codec": op3_bpe_codec,
     "op4_near_duplicates": op4_near_duplicates,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op8_quality_rules": op8_quality_rules,
