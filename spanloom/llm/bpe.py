@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from .common import arrow_map
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a Python worker remembers; beyond that it starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 _END = "</w>"
 #: The vocabulary's own pattern for words. A fixed value.
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
@@ -57,6 +58,14 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(free)) for b in range(256)]
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return False
+
+
 class Encoder:
     def __init__(self, path: str):
         import regex
@@ -80,17 +89,20 @@ class Encoder:
             self.by_pair.setdefault((x, y), r)
             if self.rank[made] < 0:
                 self.rank[made], self.left[made], self.right[made] = r, x, y
-        self.made = np.array([self.ids[a + b] for a, b in merges])
+        self.made = [self.ids[a + b] for a, b in merges]
         keys = pairs[:, 0] << 32 | pairs[:, 1]
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order
-        self.longest = max(len(t.removesuffix(_END)) for t in self.ids)
         # Tokens that exact merging does not give back for their own letters can't be proposed.
         self.inner = {t: i for t, i in self.ids.items() if not t.endswith(_END)}
         self.final = {t.removesuffix(_END): i for t, i in self.ids.items() if t.endswith(_END)}
         for t, d, last in [*((t, self.inner, False) for t in [*self.inner]), *((t, self.final, True) for t in [*self.final])]:
             if len(t) > 1 and self.merge(t, last) != [d[t]]:
                 del d[t]
+        # The longest token that begins with each two letters.
+        self.reach: dict[str, int] = {}
+        for t in (*self.inner, *self.final):
+            self.reach[t[:2]] = max(self.reach.get(t[:2], 1), len(t))
         self.cut = regex.compile(_WORDS)
         self.ascii_cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\v\fa-z0-9]+")
         self.rare = regex.compile(f"[{_NEWER}{''.join(map(chr, _NEWER_CAPITALS))}]")
@@ -100,7 +112,7 @@ class Encoder:
         self.spaces = regex.compile(r"\p{White_Space}+")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.letters = dict(enumerate(byte_letters()))
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str | int, tuple[int, ...]] = self.fresh()
         self.failed = self.seen = 0
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -132,12 +144,13 @@ class Encoder:
 
     def propose(self, word: str) -> list[int] | None:
         out, i, n = [], 0, len(word)
-        inner, final, longest = self.inner.get, self.final.get, self.longest
+        inner, final, reach = self.inner.get, self.final.get, self.reach.get
         while i < n:
-            if n - i <= longest and (t := final(word[i:])) is not None:
+            longest = i + reach(word[i : i + 2], 1)
+            if n <= longest and (t := final(word[i:])) is not None:
                 out.append(t)
                 return out
-            for j in range(min(n - 1, i + longest), i, -1):
+            for j in range(min(n - 1, longest), i, -1):
                 if (t := inner(word[i:j])) is not None:
                     break
             else:
@@ -150,6 +163,8 @@ class Encoder:
         """Exact merging: again and again the pair of lowest rank, the leftmost of equals. Heap and links, so long words do too."""
         import heapq
 
+        if len(word) <= 24:
+            return self._merge_short(word, last)
         ids = [self.ids[c] for c in word[:-1]] + [self.ids[word[-1] + _END * last]]
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -161,7 +176,7 @@ class Encoder:
             j = after[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue
-            ids[i], ids[j] = int(self.made[r]), -1
+            ids[i], ids[j] = self.made[r], -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
@@ -171,6 +186,19 @@ class Encoder:
                 heapq.heappush(heap, (q, h, ids[h], ids[i]))
         return [t for t in ids if t >= 0]
 
+    def _merge_short(self, word: str, last: bool) -> list[int]:
+        ids, get, never = [*map(self.ids.__getitem__, word[:-1]), self.ids[word[-1] + _END * last]], self.by_pair.get, len(self.made)
+        ranks = [get(p, never) for p in zip(ids, ids[1:])]
+        while ranks and (r := min(ranks)) < never:
+            i = ranks.index(r)
+            ids[i : i + 2] = [self.made[r]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), never)
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), never)
+        return ids
+
     def learn(self, words: list[str]) -> None:
         """Encodes new words: proposals, one check of all their neighbouring pairs, exact merging of what fails."""
         shown = ["".join(map(self.letters.__getitem__, w.encode())) if not w.isascii() or not w.isprintable() else w for w in words]
@@ -199,7 +227,7 @@ class Encoder:
                 # Letter by letter: str.lower() would treat a final sigma by its place.
                 clean = self.spaces.sub(" ", unicodedata.normalize("NFC", part))
                 lower = clean.lower() if "Σ" not in clean else "".join(c.lower() for c in clean)
-                if self.rare.search(lower):
+                if not _latin(lower) and self.rare.search(lower):
                     out.extend(self.rare_cut.findall(lower.translate(_NEWER_CAPITALS)))
                 else:
                     out.extend(self.cut.findall(lower))
@@ -208,19 +236,15 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         cut = [self.pieces(t) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        if new := list({w for ws in cut for w in ws if w.__class__ is str and w not in self.known}):
+            self.known = self.fresh()
+        if new := list(set(chain.from_iterable(cut)).difference(self.known)):
             self.learn(new)
-        known, out = self.known, []
-        for ws in cut:
-            ids: list[int] = []
-            for w in ws:
-                if w.__class__ is str:
-                    ids.extend(known[w])
-                else:
-                    ids.append(w)
-            out.append(ids)
-        return out
+        known = self.known.__getitem__
+        return [list(chain.from_iterable(map(known, ws))) for ws in cut]
+
+    def fresh(self) -> dict:
+        """What is known from the start: a special token is itself."""
+        return {i: (i,) for i in self.special.values()}
 
     def decode(self, ids: list[int]) -> str:
         """The tokens as they are spelled, joined by spaces; ids outside the vocabulary spell nothing."""
