@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, near_dup, quality_rules, suffix_dedup
+from . import bpe, media_jpeg, mixing, near_dup, quality_rules, suffix_dedup
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -33,11 +33,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = media_jpeg.stored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return media_jpeg.described(files)
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op9_media_jpeg": op9_media_jpeg,
     "op3_bpe_codec": op3_bpe_codec,
     "op4_near_duplicates": op4_near_duplicates,
     "op6_suffix_dedup": op6_suffix_dedup,
