@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media_jpeg, mixing, near_dup, quality_rules, suffix_dedup
+from . import bpe, html_extract, media_jpeg, mixing, near_dup, quality_rules, suffix_dedup
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", "n_chars")
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
     ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
@@ -43,6 +48,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op9_media_jpeg": op9_media_jpeg,
     "op3_bpe_codec": op3_bpe_codec,
     "op4_near_duplicates": op4_near_duplicates,
