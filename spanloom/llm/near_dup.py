@@ -1,11 +1,11 @@
 """Near-duplicates by MinHash bands, odd sketches and a check of the full shingle sets.
 
 A document's set is its distinct shingles of ``words`` words (A-Z lower-cased); with fewer words, all of them as one
-shingle; without words, nothing. Documents with one set are a class, whose set is looked at once. Classes that agree in
-a band of MinHash values are compared with the least class of the bucket: the exclusive or of their odd sketches (parity
-bitmaps of the MinHash samples) estimates the similarity; what is clearly below the threshold is left out, and the full
-sets decide on the rest. Buckets that still hold several components then compare members across components in the same
-way, in blocks. A link needs 100 * intersection >= percent * union.
+shingle; without words, nothing. Documents with one set are a class, whose set is looked at once. Among classes that agree in
+a band of MinHash values, the exclusive or of two odd sketches (parity bitmaps of the MinHash samples) estimates the
+similarity; pairs not clearly below the threshold make families, as a spanning forest of each bucket. A family's full
+sets then decide: in blocks, products of its bit matrix give all intersections, and a spanning forest of the links goes
+out, never all pairs. A link needs 100 * intersection >= percent * union.
 
 Null text has no words. Null doc_ids take part, but are never a component's id unless all are null; rows that repeat are
 one document, all kept if its id is the least. An empty table gives an empty result. Other columns are not looked at.
@@ -25,8 +25,8 @@ from .suffix_dedup import with_text_hash
 BANDS, ROWS, SAMPLES, SKETCH_BITS = 24, 4, 128, 1024
 #: Estimates below this are left out: over five standard deviations under a similarity of 0.8.
 FLOOR = 0.6
-#: Members of a bucket that are compared in one block.
-BLOCK = 1024
+#: Members of a bucket or family that are compared in one block.
+BLOCK = 512
 _U = np.uint64
 _RNG = np.random.default_rng(41)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -132,126 +132,159 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return arrow_map(with_text_hash(docs.select("doc_id", "text")).select("doc_id", "th1", "th2", "text"), _signature_kernel(words), schema)
 
 
-def _verify_kernel(words: int, percent: int):
-    def kernel(t: pa.Table):
-        text = {}
-        for side in "ab":
-            for k, v in zip(t.column(side).to_pylist(), t.column(f"text_{side}"), strict=True):
-                text.setdefault(k, v)
-        col = pa.array([v.as_py() for v in text.values()], pa.string())
-        sets = dict(zip(text, shingle_sets(*text_bytes(col), words), strict=True))
-        keep = []
-        for a, b in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), strict=True):
-            x, y = sets[a], sets[b]
-            both = np.concatenate([x, y])
-            both.sort(kind="stable")
-            common = int(np.count_nonzero(both[1:] == both[:-1]))
-            keep.append(100 * common >= percent * (len(x) + len(y) - common))
-        yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+class Forest:
+    """Union-find over the rows of a block, some of which are already together; ``joined`` has the pairs that it united."""
+
+    def __init__(self, labels: list):
+        first: dict = {}
+        self.root = [first.setdefault(x, i) if x is not None else i for i, x in enumerate(labels)]
+        self.joined: list[tuple[int, int]] = []
+
+    def find(self, i: int) -> int:
+        root = self.root
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def unite(self, i: int, j: int) -> None:
+        a, b = self.find(i), self.find(j)
+        if a != b:
+            self.root[max(a, b)] = min(a, b)
+            self.joined.append((i, j))
+
+
+def _plausible_kernel(percent: int, most: int):
+    """Rows (bucket, node, n, sketch) sorted by bucket -> edges that connect what sizes and odd sketches let be linked."""
+
+    def edges(group):
+        node, n, sketch = zip(*group, strict=True)
+        n, sketch, forest = np.array(n), np.array(sketch, np.int64).view(np.uint64), Forest([None] * len(group))
+        for i in range(len(group) - 1):
+            odd = np.bitwise_count(sketch[i + 1 :] ^ sketch[i]).sum(axis=1)
+            fits = 100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :])
+            for j in np.flatnonzero((odd <= most) & fits).tolist():
+                forest.unite(i, i + 1 + j)
+        return [(node[i], node[j]) for i, j in forest.joined]
+
+    return _by_group(("bucket",), ("node", "n", "sketch"), edges)
 
-    return kernel
 
+def _by_group(keys: tuple[str, ...], values: tuple[str, ...], edges):
+    """mapInArrow function over rows sorted by ``keys``: what ``edges`` makes of each group's values, as pairs a, b."""
 
-def _across_kernel(percent: int, most: int, best: bool):
-    """Rows (k1, k2, k3, node, label, n, sketch) sorted by key -> pairs of members with different labels that may link.
-
-    ``best``: only each member's nearest partner, which keeps the rows in proportion to the members.
-    """
-
-    def pairs(rows):
-        node, label, n, side = [r[1] for r in rows], np.array([r[2] for r in rows]), np.array([r[3] for r in rows]), np.array([r[5] for r in rows])
-        sketch = np.array([r[4] for r in rows], np.int64).view(np.uint64)
-        split = rows[0][0][1] != rows[0][0][2]
-        for i in range(len(rows)):
-            j = np.arange(len(rows)) if best else np.arange(i + 1, len(rows))
-            ok = (label[j] != label[i]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-            if split:
-                ok &= side[j] != side[i]
-            j = j[ok]
-            if len(j):
-                z = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1)
-                j = j[z <= most] if not best else j[[int(z.argmin())]][: int(z.min() <= most)]
-                for x in j.tolist():
-                    yield (node[i], node[x]) if node[i] > node[x] else (node[x], node[i])
+    def batch(pairs):
+        pairs = sorted({(max(p), min(p)) for p in pairs})
+        return pa.record_batch([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
     def run(batches):
-        rows, seen = [], []
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("k1", "k2", "k3", "node", "label", "n", "sketch", "side")]
-            for k1, k2, k3, node, label, n, sketch, side in zip(*cols, strict=True):
-                if rows and rows[-1][0] != (k1, k2, k3):
-                    seen.extend(pairs(rows))
-                    rows = []
-                rows.append(((k1, k2, k3), node, label, n, sketch, side))
-                if len(seen) >= 10_000:
-                    yield _pair_batch(set(seen))
-                    seen = []
-        if rows:
-            seen.extend(pairs(rows))
-        if seen:
-            yield _pair_batch(set(seen))
+        key, group, out = None, [], []
+        for rows in batches:
+            own = zip(*(rows.column(c).to_pylist() for c in keys), strict=True)
+            for k, row in zip(own, zip(*(rows.column(c).to_pylist() for c in values), strict=True), strict=True):
+                if k != key:
+                    if len(group) > 1:
+                        out += edges(group)
+                    key, group = k, []
+                    if len(out) > 10_000:
+                        yield batch(out)
+                        out = []
+                group.append(row)
+        if len(group) > 1:
+            out += edges(group)
+        if out:
+            yield batch(out)
 
     return run
 
 
-def _pair_batch(pairs) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["a", "b"])
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections: products of the sets' bit matrix, some thousands of shared shingles at a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[place] > 1
+    column = (np.cumsum(count > 1) - 1)[place[shared]]
+    owner, order = owner[shared], np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        lo, hi = np.searchsorted(column, (at, at + 4096))
+        bits = np.zeros((len(sets), 4096), np.float32)
+        bits[owner[lo:hi], column[lo:hi] - at] = 1
+        out += bits @ bits.T
+    return out.astype(np.int64)
+
+
+def _link_kernel(words: int, percent: int):
+    """Rows (k1, k2, k3, node, text, label) sorted by key -> links that connect what the full sets of a block link."""
+
+    def edges(group):
+        node, text, label = zip(*group, strict=True)
+        forest = Forest(list(label))
+        sets = shingle_sets(*text_bytes(pa.array(text, pa.large_string())), words)
+        common, size = common_counts(sets), np.array([len(x) for x in sets])
+        linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+        for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+            forest.unite(int(i), int(j))
+        return [(node[i], node[j]) for i, j in forest.joined]
+
+    return _by_group(("k1", "k2", "k3"), ("node", "text", "label"), edges)
+
+
+_PAIR = "a binary, b binary"
+
+
+def _linked(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    blocks = rows.repartition("k1", "k2", "k3").sortWithinPartitions("k1", "k2", "k3")
+    return blocks.mapInArrow(_link_kernel(words, percent), _PAIR).distinct()
 
 
 def classes_and_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(per row: doc_id, th1, th2, n_shingles, node; links between different sets that connect all that is connected)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "neardup")
+    scratch = Scratch(docs.sparkSession, "neardup")
     sig = scratch.put(signatures(docs, words), "signatures")
     reps = scratch.put(sig.where("n_shingles > 0").dropDuplicates(["node"]).drop("doc_id"), "classes")
     rows = sig.select("doc_id", "th1", "th2", "n_shingles", "node")
     banded = reps.select("node", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1")
     member = scratch.put(banded.join(buckets, "bucket"), "members")
-    near = member.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    near = scratch.put(_plausible(near, reps, percent), "near")
-    need = member.select("node").distinct().join(reps.select("node", "th1", "th2"), "node")
-    texts = with_text_hash(docs.select("text")).join(need, ["th1", "th2"]).groupBy("node").agg(F.first("text").alias("text"))
+    # What may be linked: by sketches within a bucket; all of a bucket too large for one block.
+    bound = member.where(f"members > {BLOCK} and node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    small = member.where(f"members <= {BLOCK}").join(reps.select("node", F.col("n_shingles").alias("n"), "sketch"), "node")
+    small = small.select("bucket", "node", "n", "sketch").repartition("bucket").sortWithinPartitions("bucket")
+    maybe = scratch.put(small.mapInArrow(_plausible_kernel(percent, most_odd_bits()), _PAIR).unionByName(bound).distinct(), "maybe")
+    family = connected_components(maybe)
+    sizes = family.groupBy("root").agg(F.count("*").alias("m"))
+    family = family.join(sizes, "root").join(reps.select("node", "th1", "th2"), "node")
+    # The families' texts, one for each class, by the text's hash: a copy meets only itself.
+    texts = with_text_hash(docs.select("text")).join(family, ["th1", "th2"]).groupBy("node").agg(*[F.first(c).alias(c) for c in ("text", "root", "m")])
     texts = scratch.put(texts, "texts")
-    links = scratch.put(_verified(near, texts, words, percent), "links0")
-    tested, step = near, 1
-    while True:
-        label = connected_components(links)
-        wide = member.where("members > 2").select("bucket", "node").join(label, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        several = wide.groupBy("bucket").agg(F.count("*").alias("m"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").drop("l0", "l1")
-        wide = scratch.put(wide.join(several, "bucket"), f"several{step}")
-        if wide.isEmpty():
-            return rows, links
-        parts = F.ceil(F.col("m") / BLOCK).cast("int")
-        wide = wide.join(reps.select("node", F.col("n_shingles").alias("n"), "sketch"), "node").withColumn("side", F.pmod(F.xxhash64("node"), parts).cast("int"))
-        # A member of part p of a large bucket goes to the blocks (p, q) and (q, p): all pairs of parts, each in one block.
-        wide = wide.withColumn("q", F.explode(F.sequence(F.lit(0), parts - 1)))
-        wide = wide.select(F.col("bucket").alias("k1"), F.least("side", "q").alias("k2"), F.greatest("side", "q").alias("k3"), "node", "label", "n", "sketch", "side")
-        blocks = wide.repartition("k1", "k2", "k3").sortWithinPartitions("k1", "k2", "k3")
-        found = blocks.mapInArrow(_across_kernel(percent, most_odd_bits(), True), "a binary, b binary").distinct()
-        found = scratch.put(found.join(tested, ["a", "b"], "left_anti"), f"best{step}")
-        fresh = scratch.put(_verified(found, texts, words, percent), f"links{step}")
-        tested = tested.unionByName(found)
-        if fresh.isEmpty():
-            # No nearest partner links any more: whatever else is plausible is tested once, and that is all there is.
-            found = blocks.mapInArrow(_across_kernel(percent, most_odd_bits(), False), "a binary, b binary").distinct()
-            found = scratch.put(found.join(tested, ["a", "b"], "left_anti"), f"rest{step}")
-            return rows, links.unionByName(scratch.put(_verified(found, texts, words, percent), f"restlinks{step}"))
-        links, step = scratch.put(links.unionByName(fresh), f"all{step}"), step + 1
-
-
-def _plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes and odd sketches allow a link."""
-    one = lambda s: reps.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
-    odd = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return pairs.join(one("a"), "a").join(one("b"), "b").where(sizes & (odd <= most_odd_bits())).select("a", "b")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    one = lambda s: texts.select(F.col("node").alias(s), F.col("text").alias(f"text_{s}"))
-    both = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "text_a", "text_b")
-    return arrow_map(both, _verify_kernel(words, percent), "a binary, b binary", "text_a")
+    parts = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    chunk = F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own))
+    none = F.lit(None).cast("binary")
+    rows_a = texts.select(F.col("root").alias("k1"), F.explode(chunk).alias("k2"), F.lit(0).alias("k3"), "node", "text", none.alias("label"))
+    links = scratch.put(_linked(rows_a, words, percent), "links")
+    large = texts.where(f"m > {BLOCK}")
+    if large.isEmpty():
+        return rows, links
+    # A large family was looked at in parts, each with the family's first member. What is not in its largest component by
+    # now (few, where copies are near) meets all others of the family, in blocks of two parts.
+    label = connected_components(links).select("node", F.col("root").alias("l"))
+    large = large.join(label, "node", "left").withColumn("label", F.coalesce("l", "node")).drop("l", "m")
+    counts = large.groupBy("root", "label").agg(F.count("*").alias("c"))
+    whole = counts.groupBy("root").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("all"))
+    whole = whole.select("root", F.col("most.label").alias("main"), F.ceil((F.col("all") - F.col("most.c")) / BLOCK).cast("int").alias("outer"), F.ceil(F.col("most.c") / BLOCK).cast("int").alias("inner"))
+    large = large.join(whole.where("outer > 0"), "root")
+    out = F.col("label") != F.col("main")
+    place = F.pmod(F.xxhash64("node"), F.when(out, F.col("outer")).otherwise(F.col("inner"))).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    among = F.transform(every(F.col("outer")), lambda q: F.struct(F.least(F.col("place"), q).alias("k2"), F.greatest(F.col("place"), q).alias("k3")))
+    against = F.transform(every(F.col("inner")), lambda q: F.struct(F.col("place").alias("k2"), (-1 - q).alias("k3")))
+    met = F.transform(every(F.col("outer")), lambda q: F.struct(q.alias("k2"), (-1 - F.col("place")).alias("k3")))
+    rows_b = large.withColumn("place", place).withColumn("k", F.explode(F.when(out, F.array_distinct(F.concat(among, against))).otherwise(met)))
+    rows_b = rows_b.select(F.col("root").alias("k1"), "k.k2", "k.k3", "node", "text", "label")
+    return rows, links.unionByName(scratch.put(_linked(rows_b, words, percent), "links2"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
