@@ -7,7 +7,8 @@ words. Highest quotients v / (2 k - 1) give each source, then each of its shards
 takes whole passes over its stream and, for the rest, a run of blocks from a seeded start (its order is seeded too).
 
 Null text has size 0 and takes nothing; null doc_id is a document like any other; rows that repeat each count; an empty
-table gives an empty mix; all-empty sources get target 0. Extra columns are ignored: the mix has its own six.
+table gives an empty mix; all-empty sources get target 0. Other columns are kept by ``mixed``, but the
+operator's own names win.
 """
 
 from __future__ import annotations
@@ -86,11 +87,12 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: str = SEED, shard_docs: int =
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed(docs: DataFrame, block: int = BLOCK, seed: str = SEED, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """``docs`` (doc_id, source, text and any others but the operator's own names) without text, with the mix's columns."""
+def mixed(docs: DataFrame, block: int = BLOCK, seed: str = SEED, shard_docs: int = SHARD_DOCS, keep_text: bool = False) -> DataFrame:
+    """``docs`` (text only if it is kept) with size, source_size, target, taken and pieces: the word ranges [lo, hi) taken, copy by copy."""
     scratch = Scratch(docs.sparkSession, "mix")
     h = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    own = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    made = {"n1", "n2", "size", "h", "source_size", "target", "n_shards", "source_blocks", "shard", "shard_size", "shard_blocks", "taken", "pieces"}
+    own = [F.col(f"`{c}`") for c in docs.columns if (c != "text" or keep_text) and c not in made]
     sized = docs.select(*own, word_count(F.col("text")).alias("size"), F.conv(F.substring(h, 1, 15), 16, 10).cast("long").alias("h"))
     sized = scratch.put(_named(sized), "sized")
     per = sized.groupBy("n1", "n2", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
@@ -106,16 +108,34 @@ def mixed(docs: DataFrame, block: int = BLOCK, seed: str = SEED, shard_docs: int
     parts = scratch.put(parts.select("n1", "n2", "shard", "shard_size", "shard_blocks"), "parts")
     stream = Window.partitionBy("n1", "n2", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = dealt.withColumn("__end", F.sum("size").over(stream)).join(parts, ["n1", "n2", "shard"])
-    return placed.select(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], "size", "source_size", "target", _taken(block, seed).alias("taken"))
+    pieces = _pieces(block, seed)
+    taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["hi"] - p["lo"])
+    return placed.withColumn("pieces", pieces).select(*own, "size", "source_size", "target", taken.alias("taken"), "pieces")
 
 
-def _taken(block: int, seed: str) -> Column:
-    """Words of the stretch [__end - size, __end) of a shard's stream that its blocks cover, pass by pass."""
+def _pieces(block: int, seed: str) -> Column:
+    """Word ranges of a document that its shard's blocks cover: whole passes, then the run's overlap (in two where it wraps)."""
     size, end, whole = F.col("size"), F.col("__end"), F.col("shard_size")
     n = F.greatest(F.ceil(whole / block), F.lit(1))
     quota = F.least(F.col("shard_blocks"), MOST * n)
     passes, rest = F.floor(quota / n), quota % n
     first = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "n1", "n2", "shard")), 1, 15), 16, 10).cast("long") % n
-    overlap = lambda lo, hi: F.greatest(F.least(end, hi) - F.greatest(end - size, lo), F.lit(0))
-    run = overlap(first * block, F.least((first + rest) * block, whole)) + overlap(F.lit(0), (first + rest - n) * block)
-    return (passes * size + run).cast("long")
+    part = lambda lo, hi: F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
+    overlap = lambda lo, hi: part(F.greatest(lo - (end - size), F.lit(0)), F.least(hi - (end - size), size))
+    run = F.array(overlap(first * block, F.least((first + rest) * block, whole)), overlap(F.lit(0), (first + rest - n) * block))
+    every = F.array_repeat(part(F.lit(0), size), passes.cast("int"))
+    return F.filter(F.concat(every, run), lambda p: p["hi"] > p["lo"])
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row for each copy; a part of a document is cut between words."""
+    m = mixed(docs, keep_text=True, **options).withColumn("__piece", F.explode("pieces"))
+    lo, hi = F.col("__piece.lo"), F.col("__piece.hi")
+    # Words with the white space after them; a part begins with a word.
+    words = F.split(F.regexp_replace("text", f"^[{SPACE_CLASS}]+", ""), f"(?<=[{SPACE_CLASS}])(?=[^{SPACE_CLASS}])")
+    cut = F.concat_ws("", F.slice(words, (lo + 1).cast("int"), (hi - lo).cast("int")))
+    text = F.when((lo == 0) & (hi == F.col("size")), F.col("text")).otherwise(cut)
+    m = m.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        m = m.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return m.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, media_jpeg, mixing, near_dup, quality_gam, quality_rules, suffix_dedup, toxicity
+from . import bpe, chat_format, html_extract, media_jpeg, mixing, near_dup, quality_gam, quality_rules, suffix_dedup, toxicity
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -39,6 +39,12 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat_format.preference_pairs(table(spark, sf_dir, "conversations"))
+    spans = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws("-", s["lo"], s["hi"])))
+    return out.withColumn("chosen_mask", spans("chosen_mask")).withColumn("rejected_mask", spans("rejected_mask"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.judged(docs).select(
@@ -56,6 +62,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_preference_format": op7_preference_format,
     "op2_toxicity": op2_toxicity,
     "op5_quality_classifier": op5_quality_classifier,
     "op1_html_extraction": op1_html_extraction,

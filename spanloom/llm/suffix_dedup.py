@@ -12,7 +12,7 @@ against the anchor and by what the windows there have in common, so that no grou
 Texts are known by a 128-bit hash; equal texts get equal results, and their copies never meet in one group.
 Null text is empty; texts under ``min_bytes`` lose nothing; repeated rows repeat each other's strings, and so lose all
 of them; doc_id plays no part; an empty table gives an empty result; other columns are kept, but n_bytes, n_removed,
-spans and kept_bytes are the operator's.
+spans, kept_bytes and kept_text are the operator's.
 """
 
 from __future__ import annotations
@@ -324,7 +324,7 @@ def repeated_spans(texts: DataFrame, min_bytes: int = MIN_BYTES, block_bytes: in
     return here.unionByName(whole).groupBy("th1", "th2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
-def _remove_kernel(t: pa.Table):
+def _remove_kernel(t: pa.Table, as_text: bool):
     data, offsets = text_bytes(t.column("__text"))
     raw = memoryview(np.ascontiguousarray(data))
     n_bytes, removed, spans, kept = np.diff(offsets), [], [], []
@@ -345,16 +345,29 @@ def _remove_kernel(t: pa.Table):
     out = t.drop_columns(["__text", "__spans"])
     out = out.append_column("n_bytes", pa.array(n_bytes)).append_column("n_removed", pa.array(removed, pa.int64()))
     out = out.append_column("spans", pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))))
-    yield out.append_column("kept_bytes", pa.array(kept, pa.binary()))
+    if as_text:
+        # A run may end inside a character; the bytes of it that are left form none and go too.
+        yield out.append_column("kept_text", pa.array([k.decode(errors="ignore") for k in kept], pa.string()))
+    else:
+        yield out.append_column("kept_bytes", pa.array(kept, pa.binary()))
 
 
-def deduplicated(docs: DataFrame, min_bytes: int = MIN_BYTES, **bounds) -> DataFrame:
-    """``docs`` without text, with n_bytes, n_removed, spans (maximal removed runs, in order) and kept_bytes."""
-    made = {"n_bytes", "n_removed", "spans", "kept_bytes", "th1", "th2"}
+def deduplicated(docs: DataFrame, min_bytes: int = MIN_BYTES, as_text: bool = False, **bounds) -> DataFrame:
+    """``docs`` without text, with n_bytes, n_removed, spans (maximal removed runs, in order) and kept_bytes, or kept_text."""
+    made = {"n_bytes", "n_removed", "spans", "kept_bytes", "kept_text", "th1", "th2"}
     own = [c for c in docs.columns if c != "text" and c not in made]
     hashed = with_text_hash(docs.select(*[F.col(f"`{c}`") for c in own], "text"))
     spans = repeated_spans(hashed.select("th1", "th2", "text"), min_bytes, **bounds)
     joined = hashed.join(spans, ["th1", "th2"], "left").select(*[F.col(f"`{c}`") for c in own], F.coalesce("text", F.lit("")).alias("__text"), F.col("spans").alias("__spans"))
     kinds = dict(joined.dtypes)
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in own] + ["n_bytes bigint, n_removed bigint, spans array<struct<lo: bigint, hi: bigint>>, kept_bytes binary"])
-    return arrow_map(joined, _remove_kernel, schema, "__text")
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in own] + ["n_bytes bigint, n_removed bigint, spans array<struct<lo: bigint, hi: bigint>>", "kept_text string" if as_text else "kept_bytes binary"])
+    return arrow_map(joined, lambda t: _remove_kernel(t, as_text), schema, "__text")
+
+
+def cleaned_documents(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """All documents, with their own columns and the text that is left of each."""
+    out = deduplicated(docs, min_bytes, as_text=True).withColumn("text", F.col("kept_text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
