@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import crossings, graphs, grids, logs, sequences, summaries, tolerance  # noqa: F401
+from .registry import COVERS, ORACLES, QUERIES  # noqa: F401
