@@ -136,4 +136,8 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
 
 def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that pass, with their own columns only."""
-    return judged(docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("text").alias("__judged")), rules, "__judged").where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    j = judged(docs.select(F.struct(*own).alias("__row"), F.col("text").alias("__judged")), rules, "__judged")
+    # A filter that also reads a row number stays above the counts. Moved below them, it would hold their expressions
+    # again and again, one within the other, and planning would not end.
+    return j.withColumn("__place", F.monotonically_increasing_id()).where("kept and __place >= 0").select("__row.*")
