@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import arrow_map, text_bytes
-from .training import flat_bytes, held_out, labelled_sample, sigmoid, word_hashes
+from .training import flat_bytes, held_out, labelled_sample, sigmoid, text_parts, word_hashes
 
 FOLDS, HELD = 5, 0
 BITS, HALF, FILTERS, WIDTHS = 18, 4, 8, (1, 2, 3)
@@ -157,7 +157,9 @@ def train(texts: list[str], y: np.ndarray, seed: int = 5) -> Model | None:
     if len(set(y.tolist())) < 2:
         return None
     rng = np.random.default_rng(seed)
-    h, edges, *_ = word_hashes(*flat_bytes(texts))
+    parts = [word_hashes(*p)[:2] for p in text_parts(texts)]
+    h = np.concatenate([p[0] for p in parts])
+    edges = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
     doc = np.repeat(np.arange(len(texts)), np.diff(edges))
     word = telling_words(h, doc, y)
     places = _places(word.view(np.uint64))

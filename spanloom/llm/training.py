@@ -70,3 +70,13 @@ def flat_bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def text_parts(texts: list[str], part: int = 1 << 20):
+    """The texts' bytes and offsets, about ``part`` bytes at a time: bounds the memory of what is computed on the driver."""
+    lo, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= part or i == len(texts) - 1:
+            yield flat_bytes(texts[lo : i + 1])
+            lo, size = i + 1, 0
