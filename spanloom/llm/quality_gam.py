@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from .common import arrow_map, text_bytes
 from .toxicity import _language_hashes
-from .training import flat_bytes, held_out, labelled_sample, sigmoid, word_hashes
+from .training import held_out, labelled_sample, sigmoid, text_parts, word_hashes
 
 FOLDS, HELD = 3, 1
 BINS, PAIR_BINS, PAIRS = 32, 8, 12
@@ -216,5 +216,5 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
 def quality(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs``; the model is trained on rows that are not held out."""
     texts, y = labelled_sample(docs, labels, "quality", folds, held)
-    out = scored(docs, train(features(*flat_bytes(texts)), y) if texts else None)
+    out = scored(docs, train(np.concatenate([features(*p) for p in text_parts(texts)]), y) if texts else None)
     return out.select("doc_id", held_out(out["doc_id"], folds, held).alias("held_out"), "score", (out["score"] >= 0.5).cast("int").alias("predicted"))
