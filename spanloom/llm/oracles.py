@@ -1,5 +1,73 @@
-"""DuckDB SQL for the queries of the training-data operators that SQL can express."""
+"""DuckDB SQL for the queries of the training-data operators that SQL can express on whole tables."""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from . import mixing
+from .quality_rules import MAX_REPEAT_PERCENT, MIN_WORDS, RULES, STOP_WORDS, SYMBOLS
+
+_SPACE = r"[\x20\x09-\x0D]"
+_AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(text: str) -> str:
+    return f"list_filter(string_split_regex({text}, '{_SPACE}+'), lambda x: x <> '')"
+
+
+NEAR_DUPLICATES = f"""WITH RECURSIVE w AS (SELECT doc_id, {_words(f"translate(coalesce(text, ''), '{_AZ}', '{_az}')")} AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM w),
+s AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 80 * (na + nb - c)),
+r AS (SELECT doc_id AS d, doc_id AS m FROM documents UNION SELECT b, m FROM r JOIN l ON a = d),
+c AS (SELECT d, min(m) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM g JOIN c ON d = doc_id"""
+
+
+def _verdict() -> str:
+    parts = []
+    for r in RULES:
+        if r.low is not None:
+            parts.append(f"{r.numerator} * 1000 >= {r.denominator} * {r.low}")
+        if r.high is not None:
+            parts.append(f"{r.numerator} * 1000 <= {r.denominator} * {r.high}")
+    return " AND ".join(parts)
+
+
+_STOP = ", ".join(f"'{v}'" for w in sorted(set(STOP_WORDS)) for v in (w, w.capitalize()))
+QUALITY_RULES = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, {_words("coalesce(text, '')")} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
+i AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM t), v AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM i),
+d AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM v), k AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS p FROM d WHERE n > 1), r AS (SELECT doc_id, count(*) AS n FROM k GROUP BY 1),
+m AS (SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, length(regexp_replace(text, '{_SPACE}', '', 'g')) AS word_chars, length(text) - length(translate(text, '{SYMBOLS}', '')) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, CAST(len(list_intersect(w, [{_STOP}])) AS BIGINT) AS n_stop_kinds, length(text) - length(translate(text, '{_AZ}', '')) AS n_upper, 1 AS one FROM t LEFT JOIN r ON r.doc_id = t.doc_id),
+b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_verdict()} AS kept FROM b"""
+
+_B, _M, _S = mixing.BLOCK, mixing.MOST, mixing.SEED
+
+
+def _seats(src: str, keys: str, group: str, votes: str, seats: str, name: str, out: str) -> str:
+    """CTEs for an apportionment by highest quotients around the quotas."""
+    return f"""{out}1 AS (SELECT *, CASE WHEN sum({votes}) OVER (PARTITION BY {group}) > 0 THEN {votes} * {seats} / CAST(sum({votes}) OVER (PARTITION BY {group}) AS DOUBLE) ELSE 0 END AS q FROM {src}),
+{out}2 AS (SELECT *, CAST(greatest(floor(q) - 12, 0) AS BIGINT) AS base FROM {out}1), {out}3 AS (SELECT *, CAST({seats} - sum(base) OVER (PARTITION BY {group}) AS BIGINT) AS rest FROM {out}2),
+{out}4 AS (SELECT *, unnest(generate_series(base + 1, base + 25)) AS k FROM {out}3), {out}5 AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY {votes} / CAST(2 * k - 1 AS DOUBLE) DESC, {keys}, k) AS rn FROM {out}4),
+{out} AS (SELECT * EXCLUDE (q, base, rest, k, rn), CAST(max(base) + count(*) FILTER (rn <= rest AND {votes} > 0) AS BIGINT) AS {name} FROM {out}5 GROUP BY ALL)"""
+
+
+SOURCE_MIXING = f"""WITH d AS (SELECT doc_id, source IS NULL AS n1, coalesce(source, '') AS n2, CAST(len({_words("coalesce(text, '')")}) AS BIGINT) AS size, ('0x' || md5('{_S}:' || coalesce(CAST(doc_id AS VARCHAR), 'null'))[1:15])::BIGINT AS h FROM documents),
+s AS (SELECT n1, n2, CAST(sum(size) AS BIGINT) AS source_size, CAST(least(ceil(count(*) / {mixing.SHARD_DOCS}.0), {mixing.MAX_SHARDS}) AS BIGINT) AS n_shards FROM d GROUP BY 1, 2),
+w AS (SELECT *, (row_number() OVER (ORDER BY n1, encode(n2)) - 1) % 3 + 1 AS weight FROM s),
+l AS (SELECT *, ((sum(source_size) OVER () - coalesce(sum(source_size * {_M}) OVER o, 0)) / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS DOUBLE)) AS level, coalesce(sum(weight) OVER o, 0) AS before FROM w WINDOW o AS (ORDER BY source_size * {_M} / CAST(weight AS DOUBLE), n1, n2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+x AS (SELECT *, source_size * {_M} / CAST(weight AS DOUBLE) < level AS stops FROM l), y AS (SELECT (SELECT level FROM x WHERE NOT stops ORDER BY before LIMIT 1) AS shared),
+a AS (SELECT n1, n2, source_size, n_shards, CASE WHEN stops THEN CAST(source_size * {_M} AS DOUBLE) ELSE weight * shared END AS target FROM x, y),
+g AS (SELECT *, CAST(floor(sum(target) OVER () / {_B} + 0.5) AS BIGINT) AS blocks, 0 AS one FROM a), {_seats("g", "n1, n2", "one", "target", "blocks", "source_blocks", "z")},
+e AS (SELECT d.*, source_size, target, source_blocks, h % n_shards AS shard FROM d JOIN z ON d.n1 = z.n1 AND d.n2 = z.n2),
+f AS (SELECT n1, n2, shard, source_blocks, CAST(sum(size) AS BIGINT) AS shard_size FROM e GROUP BY 1, 2, 3, 4), {_seats("f", "shard", "n1, n2", "shard_size", "source_blocks", "shard_blocks", "p")},
+u AS (SELECT e.*, shard_size, shard_blocks, CAST(sum(size) OVER (PARTITION BY e.n1, e.n2, e.shard ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS fin, CAST(greatest(ceil(shard_size / {_B}.0), 1) AS BIGINT) AS n FROM e JOIN p ON e.n1 = p.n1 AND e.n2 = p.n2 AND e.shard = p.shard),
+v AS (SELECT *, least(shard_blocks, {_M} * n) // n AS passes, least(shard_blocks, {_M} * n) % n AS rest, ('0x' || md5('{_S}:' || n1 || ':' || n2 || ':' || shard)[1:15])::BIGINT % n AS first FROM u)
+SELECT doc_id, size, source_size, target, CAST(passes * size + greatest(least(fin, least((first + rest) * {_B}, shard_size)) - greatest(fin - size, first * {_B}), 0) + greatest(least(fin, (first + rest - n) * {_B}) - greatest(fin - size, 0), 0) AS BIGINT) AS taken FROM v"""
+
+ORACLES: dict[str, str] = {
+    "op4_near_duplicates": NEAR_DUPLICATES,
+    "op8_quality_rules": QUALITY_RULES,
+    "op10_source_mixing": SOURCE_MIXING,
+}
