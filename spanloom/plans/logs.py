@@ -18,7 +18,8 @@ def log_cursor_page(t):
 
 @query(
     "T01 W24",
-    """WITH m AS (SELECT max(event_id) AS last FROM events) SELECT event_id, user_id, CAST(last - 4999 + 49 AS BIGINT) AS next_cursor, CAST(last - 5000 - 100 AS BIGINT) AS dropped, false AS cursor_reset FROM events, m WHERE event_id > last - 5000 ORDER BY event_id LIMIT 50""",
+    """WITH m AS (SELECT greatest(min(event_id), max(event_id) - 4999) AS first FROM events), p AS (SELECT event_id, user_id, first FROM events, m WHERE event_id > greatest(100, first - 1) ORDER BY event_id LIMIT 50)
+SELECT event_id, user_id, max(event_id) OVER () AS next_cursor, CAST(greatest(first - 101, 0) AS BIGINT) AS dropped, false AS cursor_reset FROM p""",
 )
 def log_ring_overrun(t):
     return log.page(t("events").select("event_id", "user_id"), "event_id", 100, 50, ring=5000)
