@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import chat_format, mixing
 from .quality_rules import MAX_REPEAT_PERCENT, MIN_WORDS, RULES, STOP_WORDS, SYMBOLS
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -66,7 +66,33 @@ u AS (SELECT e.*, shard_size, shard_blocks, CAST(sum(size) OVER (PARTITION BY e.
 v AS (SELECT *, least(shard_blocks, {_M} * n) // n AS passes, least(shard_blocks, {_M} * n) % n AS rest, ('0x' || md5('{_S}:' || n1 || ':' || n2 || ':' || shard)[1:15])::BIGINT % n AS first FROM u)
 SELECT doc_id, size, source_size, target, CAST(passes * size + greatest(least(fin, least((first + rest) * {_B}, shard_size)) - greatest(fin - size, first * {_B}), 0) + greatest(least(fin, (first + rest - n) * {_B}) - greatest(fin - size, 0), 0) AS BIGINT) AS taken FROM v"""
 
+_O, _C = chat_format.OPEN, chat_format.CLOSE.strip()
+
+
+def _render(turns: str) -> str:
+    return f"array_to_string(list_transform({turns}, lambda t: '{_O}' || t.role || chr(10) || t.text || '{_C}' || chr(10)), '')"
+
+
+def _mask(turns: str) -> str:
+    before = f"coalesce(list_sum(list_transform({turns}[1:i - 1], lambda t: {len(_O) + len(_C) + 2} + length(t.role) + length(t.text))), 0) + {len(_O) + 1} + length({turns}[i].role)"
+    span = f"CAST(CAST({before} AS BIGINT) AS VARCHAR) || '-' || CAST(CAST({before} + length({turns}[i].text) + {len(_C) + 1} AS BIGINT) AS VARCHAR)"
+    return f"array_to_string(list_transform(list_filter(generate_series(1, len({turns})), lambda i: {turns}[i].role = 'assistant'), lambda i: {span}), ',')"
+
+
+PREFERENCE_FORMAT = f"""WITH u AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+c AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn, role, text) AS turns FROM u GROUP BY 1),
+w AS (SELECT conv_id, turns, coalesce(list_sum(list_transform(list_filter(turns, lambda t: t.role = 'assistant'), lambda t: len({_words("t.text")}))), 0) AS words, turns[1:greatest(coalesce(list_position(list_transform(turns, lambda t: t.role), 'user'), 0), 1)] AS opening FROM c),
+b AS (SELECT opening, arg_min(conv_id, (-words, conv_id)) AS best, count(*) AS n FROM w GROUP BY 1),
+h AS (SELECT b.opening, best, n, turns AS chosen FROM b JOIN w ON conv_id = best),
+s AS (SELECT conv_id AS pair_id, best AS chosen_id, conv_id AS rejected_id, chosen, turns AS rejected FROM w JOIN h ON w.opening = h.opening AND n > 1 AND conv_id <> best),
+l AS (SELECT *, list_max(list_filter(generate_series(1, len(chosen)), lambda i: chosen[i].role = 'assistant')) AS last FROM h WHERE n = 1),
+p AS (SELECT * FROM s UNION ALL SELECT best, best, NULL, chosen, list_concat(chosen[1:last - 1], [struct_pack(role := 'assistant', text := '')]) FROM l WHERE last IS NOT NULL),
+k AS (SELECT *, least(least(len(chosen), len(rejected)) - 1, coalesce(list_filter(generate_series(1, least(len(chosen), len(rejected))), lambda i: chosen[i] <> rejected[i])[1] - 1, len(chosen))) AS n FROM p),
+x AS (SELECT *, chosen[1:n] AS shared, chosen[n + 1:] AS cc, rejected[n + 1:] AS rr FROM k)
+SELECT pair_id, chosen_id, rejected_id, CAST(n AS BIGINT) AS n_shared, {_render("shared")} AS prompt, {_render("cc")} AS chosen_completion, {_mask("cc")} AS chosen_mask, {_render("rr")} AS rejected_completion, {_mask("rr")} AS rejected_mask FROM x"""
+
 ORACLES: dict[str, str] = {
+    "op7_preference_format": PREFERENCE_FORMAT,
     "op4_near_duplicates": NEAR_DUPLICATES,
     "op8_quality_rules": QUALITY_RULES,
     "op10_source_mixing": SOURCE_MIXING,
