@@ -97,3 +97,32 @@ def first_writer_wins(t):
 def corner_gather(t):
     p = t("events").select("event_id", (F.col("user_id") % 95 + F.lit(0.25)).alias("i"), (F.col("event_id") % 55 + F.lit(0.5)).alias("j"))
     return raster.bilinear(p, _cells(t), [], "i", "j", "v").select("event_id", F.round("v", 6).alias("v"))
+
+
+@query(
+    "S14 S15",
+    """WITH RECURSIVE p AS (SELECT s_suppkey, s_acctbal AS y, CAST(s_nationkey * 400 AS DOUBLE) AS x, row_number() OVER (ORDER BY ('0x' || md5('5:' || s_suppkey)[1:15])::BIGINT, s_suppkey) AS rn FROM supplier),
+w AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(id BIGINT, y DOUBLE, x DOUBLE)[]) AS taken UNION ALL SELECT p.rn, CASE WHEN len(list_filter(taken, lambda t: sqrt((t.y - p.y) ** 2 + (t.x - p.x) ** 2) < 900)) = 0 THEN list_append(taken, struct_pack(id := CAST(s_suppkey AS BIGINT), y := p.y, x := p.x)) ELSE taken END FROM w JOIN p ON p.rn = w.rn + 1),
+u AS (SELECT unnest(taken[1:40]) AS t FROM w WHERE rn = (SELECT max(rn) FROM p)) SELECT t.id AS s_suppkey, t.y AS y, t.x AS x FROM u""",
+)
+def spaced_random_points(t):
+    from ..operators import greedy
+
+    s = t("supplier").select("s_suppkey", F.col("s_acctbal").alias("y"), (F.col("s_nationkey") * 400).cast("double").alias("x"))
+    return greedy.spaced_random(s, "s_suppkey", ["y", "x"], 900.0, 40, "5")
+
+
+@query("S06", None)
+def evenly_spaced_lines(t):
+    from ..operators import greedy
+
+    p = t("lineitem").where("l_suppkey % 5 = 0").select(F.col("l_suppkey").alias("k"), F.col("l_orderkey").alias("id"), F.col("l_extendedprice").alias("p"))
+    return greedy.evenly_spaced(p, "k", "p", "id", 1500.0)
+
+
+@query("K09 K10 W26", None)
+def unwrapped_block_grid(t):
+    from ..operators import greedy
+
+    c = t("events").where("event_id < 400").select((F.col("event_id") / 20).cast("bigint").alias("i"), (F.col("event_id") % 20).alias("j"), (F.col("event_id") * 0.37).alias("a"))
+    return greedy.unwrapped_grid(c, "i", "j", "a")

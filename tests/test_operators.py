@@ -1,5 +1,6 @@
 """Small cases with known answers, and fast forms against plain ones."""
 
+import itertools
 import json
 import math
 import random
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import expr
-from spanloom.operators import aggs, graph, joins, ragged, raster, sampling
+from spanloom.operators import aggs, graph, greedy, joins, ragged, raster, sampling
 from spanloom.sources import files
 from spanloom.streaming import log
 
@@ -186,3 +187,40 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(str(tmp_path / "dead")).first().error == "bad input"
+
+
+def test_even_choice_is_the_best_of_all(spark):
+    rng = random.Random(3)
+    for _ in range(150):
+        x, least = sorted(float(rng.randrange(30)) for _ in range(rng.randint(1, 9))), float(rng.choice([1, 3, 7, 40]))
+        fits = [c for n in range(1, len(x) + 1) for c in itertools.combinations(range(len(x)), n) if all(x[b] - x[a] >= least for a, b in zip(c, c[1:]))]
+        most = max(map(len, fits))
+        if most == 1:
+            goal = [(x[0] + x[-1]) / 2]
+        else:
+            goal = [x[0] + (x[-1] - x[0]) * k / (most - 1) for k in range(most)]
+        cost = lambda c: sum((x[i] - g) ** 2 for i, g in zip(c, goal))
+        got = greedy._even_choice(greedy.np.array(x), least)
+        assert len(got) == most and abs(cost(got) - min(cost(c) for c in fits if len(c) == most)) < 1e-9
+    d = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate([0, 1, 5, 6, 10])] + [(1, 9, None)], "k int, id bigint, p double")
+    assert [r.id for r in greedy.evenly_spaced(d, "k", "p", "id", 4.0).orderBy("rank").collect()] == [0, 2, 4]
+
+
+def test_spaced_random_is_the_greedy_walk(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.uniform(0, 10), rng.uniform(0, 10)) for i in range(80)]
+    df = spark.createDataFrame(rows, "id bigint, y double, x double")
+    order = [r.id for r in df.orderBy(expr.stable_hash("id", seed="q"), "id").collect()]
+    taken = []
+    for i in order:
+        if all(math.dist(rows[i][1:], rows[j][1:]) >= 1.5 for j in taken):
+            taken.append(i)
+    assert {r.id for r in greedy.spaced_random(df, "id", ["y", "x"], 1.5, 100, "q").collect()} == set(taken)
+    assert {r.id for r in greedy.spaced_random(df, "id", ["y", "x"], 1.5, 5, "q").collect()} == set(taken[:5])
+
+
+def test_grid_unwrapping(spark):
+    rows = [(i, j, 1.1 * i + 0.9 * j) for i in range(5) for j in range(6)] + [(20, 20, 1.0)]
+    got = {(r.i, r.j): (r.turns, r.main) for r in greedy.unwrapped_grid(spark.createDataFrame(rows, "i int, j int, a double"), "i", "j", "a").collect()}
+    # A jump of more than half a turn up means that the angle went down through 0.
+    assert all(got[i, j] == (-int(a // (2 * math.pi)), True) for i, j, a in rows[:-1]) and got[20, 20] == (0, False)
