@@ -124,5 +124,5 @@ def evenly_spaced_lines(t):
 def unwrapped_block_grid(t):
     from ..operators import greedy
 
-    c = t("events").where("event_id < 400").select((F.col("event_id") / 20).cast("bigint").alias("i"), (F.col("event_id") % 20).alias("j"), (F.col("event_id") * 0.37).alias("a"))
+    c = t("events").where("event_id < 100").select((F.col("event_id") / 10).cast("bigint").alias("i"), (F.col("event_id") % 10).alias("j"), (F.col("event_id") * 0.37).alias("a"))
     return greedy.unwrapped_grid(c, "i", "j", "a")

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Keys of the point collection format. Fixed values.
 _POINT = "struct<p: array<double>, wind_a: double, creation_time: bigint>"
 _COLLECTION = f"struct<name: string, points: map<string, {_POINT}>, metadata: map<string, string>, color: array<double>>"
 _DOCUMENT = f"vc_pointcollections_json_version string, collections map<string, {_COLLECTION}>"
