@@ -1,8 +1,6 @@
 import random
 import re
 
-import pytest
-
 from spanloom.llm import mixing as m
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size string"
