@@ -114,3 +114,44 @@ s AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNB
 def session_windows(t):
     s = t("events").groupBy("user_id", F.session_window("ts", "1 hour")).agg(F.count("*").alias("events"), F.min("ts").alias("first_ts"))
     return s.select("user_id", "first_ts", "events")
+
+
+@query(
+    "G18 G19 S17 S03",
+    """WITH r AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents)
+SELECT source, min(n) AS documents, min(doc_id) AS first_seen, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS first_three FROM r WHERE rn <= 3 GROUP BY 1""",
+)
+def source_groups(t):
+    d = t("documents").select("source", "doc_id")
+    size = d.groupBy("source").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_seen"))
+    first = log.keep_latest(d, "source", [F.col("doc_id")], 3).groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("first_three"))
+    return size.join(first, "source")
+
+
+@query(
+    "F19 F21 C21",
+    """WITH o AS (SELECT o_orderkey, list(l_quantity ORDER BY l_linenumber, l_quantity, l_partkey) AS q, min(l_shipdate) AS s FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1)
+SELECT o_orderkey, CAST(len(q) AS BIGINT) AS n, list_max(q) AS top, CAST(list_position(q, list_max(q)) - 1 AS BIGINT) AS argmax, coalesce(list_sum(q[1:2]), 0) AS head, q[len(q)] AS last, strftime(s, '%Y-%m-%dT%H:%M:%S') AS stamp FROM o""",
+)
+def array_and_time_functions(t):
+    o = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_partkey"))).alias("a"), F.min("l_shipdate").alias("s"))
+    o = o.join(t("orders").select("o_orderkey"), "o_orderkey", "left_semi").withColumn("q", F.transform("a", lambda x: x["l_quantity"]))
+    top = F.array_max("q")
+    return o.select(
+        "o_orderkey", F.size("q").cast("long").alias("n"), top.alias("top"), (F.array_position("q", top) - 1).alias("argmax"),
+        F.aggregate(F.slice("q", 1, 2), F.lit(0.0), lambda s, x: s + x).alias("head"), F.element_at("q", -1).alias("last"), F.date_format("s", "yyyy-MM-dd'T'HH:mm:ss").alias("stamp"),
+    )
+
+
+@query(
+    "B18 C28 F20",
+    """WITH m AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, user_id FROM events WHERE event_id % 5 = 0) SELECT event_id, k AS renamed, user_id AS added, CASE WHEN k > 500 THEN 1 ELSE 0 END AS unknown FROM m""",
+)
+def migrated_settings(t):
+    from ..sources.files import migrated_settings as migrate
+
+    props = F.from_json("props", "map<string,bigint>")
+    extra = F.map_concat(props, F.when(F.element_at(props, "k") > 500, F.create_map(F.lit("odd"), F.lit(1).cast("long"))).otherwise(F.create_map().cast("map<string,bigint>")))
+    e = t("events").where("event_id % 5 = 0").select("event_id", extra.alias("old"), F.create_map(F.lit("added"), "user_id").alias("defaults"))
+    m = e.withColumn("new", migrate(F.col("old"), {"k": "renamed"}, ["renamed", "added"], F.col("defaults")))
+    return m.select("event_id", F.element_at("new.settings", "renamed").alias("renamed"), F.element_at("new.settings", "added").alias("added"), F.size("new.unknown").alias("unknown"))

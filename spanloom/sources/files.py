@@ -110,3 +110,32 @@ def settings_key(**settings) -> str:
     import hashlib
 
     return hashlib.sha256(json.dumps(settings, sort_keys=True, default=str).encode()).hexdigest()
+
+
+def migrated_settings(old, renames: dict[str, str], known: list[str], defaults):
+    """A struct of settings (renamed, known ones, defaults where absent) and unknown (names that no longer exist)."""
+    name = F.create_map(*[F.lit(x) for kv in renames.items() for x in kv])
+    fresh = F.transform_keys(old, lambda k, v: F.coalesce(name[k], k))
+    kept = F.map_filter(fresh, lambda k, v: k.isin(*known))
+    missing = F.map_filter(defaults, lambda k, v: ~F.map_contains_key(kept, k))
+    unknown = F.filter(F.map_keys(fresh), lambda k: ~k.isin(*known))
+    return F.struct(F.map_concat(kept, missing).alias("settings"), unknown.alias("unknown"))
+
+
+def surface_index(spark: SparkSession, path: str) -> DataFrame:
+    """name, scale, area, bad: surfaces' meta.json files of the one known format; files that are no JSON are marked, not dropped."""
+    schema = "format string, uuid string, scale array<double>, area_vx2 double, _corrupt_record string"
+    d = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).option("pathGlobFilter", "meta.json").json(path)
+    folder = F.element_at(F.split(F.input_file_name(), "/"), -2)
+    d = d.select(F.coalesce("uuid", folder).alias("name"), "scale", F.col("area_vx2").alias("area"), "format", F.col("_corrupt_record").isNotNull().alias("bad"))
+    return d.where("format = 'tifxyz' or bad").drop("format")
+
+
+def write_report(df: DataFrame, path: str, title: str, rows: int = 200) -> None:
+    """A page of text markup with the first ``rows`` rows: a bounded table for people, made on the driver."""
+    import html
+
+    cells = lambda tag, r: "".join(f"<{tag}>{html.escape(str(v))}</{tag}>" for v in r)
+    body = "".join(f"<tr>{cells('td', r)}</tr>" for r in df.limit(rows).collect())
+    page = f"<!DOCTYPE html><title>{html.escape(title)}</title><table><tr>{cells('th', df.columns)}</tr>{body}</table>"
+    df.sparkSession.createDataFrame([(page,)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -224,3 +224,14 @@ def test_grid_unwrapping(spark):
     got = {(r.i, r.j): (r.turns, r.main) for r in greedy.unwrapped_grid(spark.createDataFrame(rows, "i int, j int, a double"), "i", "j", "a").collect()}
     # A jump of more than half a turn up means that the angle went down through 0.
     assert all(got[i, j] == (-int(a // (2 * math.pi)), True) for i, j, a in rows[:-1]) and got[20, 20] == (0, False)
+
+
+def test_surfaces_and_reports(spark, tmp_path):
+    for name, text in (("a", '{"format": "tifxyz", "uuid": "s1", "scale": [0.05, 0.05], "area_vx2": 7.5}'), ("b", '{"format": "other"}'), ("c", "{broken")):
+        (tmp_path / "in" / name).mkdir(parents=True)
+        (tmp_path / "in" / name / "meta.json").write_text(text)
+    got = sorted((r.name, r.area, r.bad) for r in files.surface_index(spark, str(tmp_path / "in")).collect())
+    assert got == [("c", None, True), ("s1", 7.5, False)]
+    files.write_report(spark.range(3).withColumn("t", F.lit("<b>")), str(tmp_path / "report"), "A & B")
+    page = spark.read.text(str(tmp_path / "report")).first().value
+    assert "<th>id</th>" in page and "&lt;b&gt;" in page and "A &amp; B" in page
