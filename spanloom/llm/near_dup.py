@@ -291,8 +291,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """doc_id, th1, th2 (hash of the text), n_shingles, component_id, kept: one row for each row of ``docs``."""
     rows, links = classes_and_links(docs, words, percent)
     root = connected_components(links)
-    rooted = rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    # Written tables on both sides: Spark can then split a join task that a component with very many rows makes large.
+    scratch = Scratch(docs.sparkSession, "neardup-ids")
+    rooted = scratch.put(rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    least = scratch.put(rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     out = rooted.join(least, "root", "left").withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")))
     return out.select("doc_id", "th1", "th2", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
@@ -300,6 +302,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 def kept_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents that stay, one id of each component, with their own columns."""
     kept = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_id").alias("__id"), F.col("th1").alias("__1"), F.col("th2").alias("__2")).distinct()
+    kept = Scratch(docs.sparkSession, "neardup-kept").put(kept, "kept")
     own = [F.col(f"`{c}`") for c in docs.columns]
     t = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumn("__h1", F.xxhash64(t)).withColumn("__h2", F.xxhash64(F.lit(11), t))
