@@ -321,7 +321,9 @@ def repeated_spans(texts: DataFrame, min_bytes: int = MIN_BYTES, block_bytes: in
     lo = F.col("pos") + F.col("off")
     here = rep.where("mixed").select("anchor", "hull", "th1", "th2", "pos").join(all_found, ["anchor", "hull"]).select("th1", "th2", lo.alias("lo"), (lo + F.col("starts") + (min_bytes - 1)).alias("hi"))
     whole = rep.where("not mixed").select("th1", "th2", F.col("pos").alias("lo"), (F.col("pos") + F.col("starts") + (min_bytes - 1)).alias("hi"))
-    return here.unionByName(whole).groupBy("th1", "th2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = here.unionByName(whole).groupBy("th1", "th2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    # A written table, not a shuffle that the next join would share: its task for a text with very many copies can be split.
+    return scratch.put(spans, "spans")
 
 
 def _remove_kernel(t: pa.Table, as_text: bool):
