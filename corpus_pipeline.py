@@ -20,7 +20,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of passages that start more than once go from all texts; the documents stay."""
+    """Passages of over 50 words, or of 400 bytes, that start more than once go from all texts; the documents stay."""
     return suffix_dedup.cleaned_documents(docs)
 
 

@@ -13,6 +13,10 @@ Texts are known by a 128-bit hash; equal texts get equal results, and their copi
 Null text is empty; texts under ``min_bytes`` lose nothing; repeated rows repeat each other's strings, and so lose all
 of them; doc_id plays no part; an empty table gives an empty result; other columns are kept, but n_bytes, n_removed,
 spans, kept_bytes and kept_text are the operator's.
+
+With ``min_words``, strings of at least so many words go too, however few bytes they have: the same plan runs over the
+texts with each word in place of its hash, and counts only the starts that are a word's first byte. Words are compared
+by 56 bits, white space between them is not.
 """
 
 from __future__ import annotations
@@ -22,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, text_bytes
+from .common import CHUNK_BYTES, SPACE_CHARS, Scratch, arrow_map, text_bytes
 
 MIN_BYTES = 400
+#: Words that make a passage in the pipeline: over 50. Bytes that stand for a word.
+MIN_WORDS, WORD_BYTES = 51, 8
 #: Bytes of a Burrows-Wheeler block, and different hulls of one anchor that may share a block.
 BLOCK_BYTES, MAX_HULLS = 1 << 19, 1500
 #: Widths of the places against the anchor by which a larger group is divided, in turn.
@@ -115,6 +121,45 @@ def _anchor_kernel(min_bytes: int):
     return kernel
 
 
+# ---------------------------------------------------------------- words
+
+_SPACE = np.isin(np.arange(256), list(SPACE_CHARS.encode()))
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word, and the byte after its last; words end with their text."""
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = edge[[0, -1]] = True
+    space = _SPACE[data]
+    before, after = edge[:-1].copy(), edge[1:].copy()
+    before[1:] |= space[:-1]
+    after[:-1] |= space[1:]
+    return np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
+
+
+def word_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each word as eight bytes under 128, so that a block has symbols to spare."""
+    if len(start) == 0:
+        return np.zeros(0, np.uint64)
+    sizes = end - start
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(sizes.sum()) - np.repeat(first, sizes)
+    power = np.multiply.accumulate(np.full(sizes.max(), 0x9E3779B97F4A7C15, np.uint64))
+    h = np.add.reduceat(_BYTE[data[place + np.repeat(start, sizes)]] * power[place], first)
+    h ^= h >> _U(29)
+    h *= _U(0xBF58476D1CE4E5B9)
+    h ^= h >> _U(32)
+    return h & _U(0x7F7F7F7F7F7F7F7F)
+
+
+def _word_kernel(t: pa.Table):
+    data, offsets = text_bytes(t.column("text"))
+    start, end = word_bounds(data, offsets)
+    raw, at = memoryview(word_codes(data, start, end).tobytes()), (np.searchsorted(start, offsets) * WORD_BYTES).tolist()
+    codes = pa.array([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+    yield pa.table({"th1": t.column("th1"), "th2": t.column("th2"), "text": codes})
+
+
 # ---------------------------------------------------------------- Burrows-Wheeler block
 
 
@@ -275,13 +320,24 @@ def with_text_hash(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("th1", F.xxhash64(t)).withColumn("th2", F.xxhash64(F.lit(11), t))
 
 
-def repeated_spans(texts: DataFrame, min_bytes: int = MIN_BYTES, block_bytes: int = BLOCK_BYTES, max_hulls: int = MAX_HULLS) -> DataFrame:
-    """texts (th1, th2, text) -> th1, th2, spans: byte ranges [lo, hi) to remove, unmerged; texts without any are absent."""
+def repeated_spans(texts: DataFrame, min_bytes: int = MIN_BYTES, block_bytes: int = BLOCK_BYTES, max_hulls: int = MAX_HULLS, words: bool = False) -> DataFrame:
+    """texts (th1, th2, text) -> th1, th2, spans: byte ranges [lo, hi) to remove, unmerged; texts without any are absent.
+
+    With ``words``, bytes are those of the texts' word codes.
+    """
     spark = texts.sparkSession
     scratch = Scratch(spark, "suffix")
-    texts = texts.where(F.octet_length("text") >= min_bytes)
     schema = "th1 bigint, th2 bigint, pos bigint, starts int, anchor bigint, hull bigint, twice boolean"
-    occ = scratch.put(arrow_map(texts.select("th1", "th2", "text"), _anchor_kernel(min_bytes), schema), "runs")
+    anchors = _anchor_kernel(min_bytes)
+    if words:
+        # Codes and anchors in one pass: one Python worker a task. A word has a byte and, but for the last, a space.
+        raw = texts.where(F.octet_length("text") >= min_bytes // WORD_BYTES * 2 - 1)
+        occ = arrow_map(raw.select("th1", "th2", "text"), lambda t: (out for codes in _word_kernel(t) for out in anchors(codes)), schema, chunk=CHUNK_BYTES >> 1)
+        texts = arrow_map(raw.select("th1", "th2", "text"), _word_kernel, "th1 bigint, th2 bigint, text binary", chunk=CHUNK_BYTES >> 1)
+    else:
+        texts = texts.where(F.octet_length("text") >= min_bytes)
+        occ = arrow_map(texts.select("th1", "th2", "text"), anchors, schema)
+    occ = scratch.put(occ, "runs")
     per = occ.groupBy("anchor").agg(F.count("*").alias("c"), F.min("hull").alias("h0"), F.max("hull").alias("h1"), F.max("twice").alias("self"))
     per = per.where("c > 1 or self").select("anchor", ((F.col("h0") != F.col("h1")) | (F.col("c") == 1)).alias("mixed"))
     rep = scratch.put(occ.drop("twice").join(per, "anchor"), "repeated")
@@ -326,13 +382,26 @@ def repeated_spans(texts: DataFrame, min_bytes: int = MIN_BYTES, block_bytes: in
     return scratch.put(spans, "spans")
 
 
-def _remove_kernel(t: pa.Table, as_text: bool):
+def _word_spans(data: np.ndarray, spans: list[dict], min_words: int) -> list[dict]:
+    """Bytes of the words that a text's spans of word codes cover from starts that are a word's first."""
+    start, end = word_bounds(data, np.array([0, len(data)]))
+    out = []
+    for x in spans:
+        first, last = -(-x["lo"] // WORD_BYTES), x["hi"] // WORD_BYTES - min_words
+        if first <= last:
+            out.append({"lo": int(start[first]), "hi": int(end[last + min_words - 1])})
+    return out
+
+
+def _remove_kernel(t: pa.Table, as_text: bool, min_words: int | None):
     data, offsets = text_bytes(t.column("__text"))
     raw = memoryview(np.ascontiguousarray(data))
     n_bytes, removed, spans, kept = np.diff(offsets), [], [], []
-    for b, n, s in zip(offsets[:-1].tolist(), n_bytes.tolist(), t.column("__spans").to_pylist(), strict=True):
+    by_words = t.column("__word_spans").to_pylist() if min_words else [None] * len(t)
+    for b, n, s, ws in zip(offsets[:-1].tolist(), n_bytes.tolist(), t.column("__spans").to_pylist(), by_words, strict=True):
         merged, rest, at = [], [], 0
-        for x in sorted(s or (), key=lambda x: x["lo"]):
+        s = (s or []) + (_word_spans(data[b : b + n], ws, min_words) if ws else [])
+        for x in sorted(s, key=lambda x: x["lo"]):
             if merged and x["lo"] <= merged[-1]["hi"]:
                 merged[-1]["hi"] = max(merged[-1]["hi"], x["hi"])
             else:
@@ -344,7 +413,7 @@ def _remove_kernel(t: pa.Table, as_text: bool):
         kept.append(b"".join(rest))
         spans.append(merged)
         removed.append(sum(x["hi"] - x["lo"] for x in merged))
-    out = t.drop_columns(["__text", "__spans"])
+    out = t.drop_columns(["__text", "__spans"] + ["__word_spans"] * bool(min_words))
     out = out.append_column("n_bytes", pa.array(n_bytes)).append_column("n_removed", pa.array(removed, pa.int64()))
     out = out.append_column("spans", pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))))
     if as_text:
@@ -354,21 +423,27 @@ def _remove_kernel(t: pa.Table, as_text: bool):
         yield out.append_column("kept_bytes", pa.array(kept, pa.binary()))
 
 
-def deduplicated(docs: DataFrame, min_bytes: int = MIN_BYTES, as_text: bool = False, **bounds) -> DataFrame:
+def deduplicated(docs: DataFrame, min_bytes: int = MIN_BYTES, as_text: bool = False, min_words: int | None = None, **bounds) -> DataFrame:
     """``docs`` without text, with n_bytes, n_removed, spans (maximal removed runs, in order) and kept_bytes, or kept_text."""
     made = {"n_bytes", "n_removed", "spans", "kept_bytes", "kept_text", "th1", "th2"}
     own = [c for c in docs.columns if c != "text" and c not in made]
     hashed = with_text_hash(docs.select(*[F.col(f"`{c}`") for c in own], "text"))
-    spans = repeated_spans(hashed.select("th1", "th2", "text"), min_bytes, **bounds)
-    joined = hashed.join(spans, ["th1", "th2"], "left").select(*[F.col(f"`{c}`") for c in own], F.coalesce("text", F.lit("")).alias("__text"), F.col("spans").alias("__spans"))
+    texts = hashed.select("th1", "th2", "text")
+    spans = repeated_spans(texts, min_bytes, **bounds)
+    if min_words:
+        by_words = repeated_spans(texts, min_words * WORD_BYTES, words=True, **bounds).withColumnRenamed("spans", "word_spans")
+        # Written for the same reason as the spans themselves.
+        spans = Scratch(docs.sparkSession, "suffix").put(spans.join(by_words, ["th1", "th2"], "full"), "both")
+    found = [F.col(c).alias(f"__{c}") for c in ["spans"] + ["word_spans"] * bool(min_words)]
+    joined = hashed.join(spans, ["th1", "th2"], "left").select(*[F.col(f"`{c}`") for c in own], F.coalesce("text", F.lit("")).alias("__text"), *found)
     kinds = dict(joined.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in own] + ["n_bytes bigint, n_removed bigint, spans array<struct<lo: bigint, hi: bigint>>", "kept_text string" if as_text else "kept_bytes binary"])
-    return arrow_map(joined, lambda t: _remove_kernel(t, as_text), schema, "__text")
+    return arrow_map(joined, lambda t: _remove_kernel(t, as_text, min_words), schema, "__text")
 
 
-def cleaned_documents(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+def cleaned_documents(docs: DataFrame, min_bytes: int = MIN_BYTES, min_words: int = MIN_WORDS) -> DataFrame:
     """All documents, with their own columns and the text that is left of each."""
-    out = deduplicated(docs, min_bytes, as_text=True).withColumn("text", F.col("kept_text"))
+    out = deduplicated(docs, min_bytes, as_text=True, min_words=min_words).withColumn("text", F.col("kept_text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
