@@ -1,7 +1,8 @@
-"""Graphs as edge tables. Loops run a bounded number of rounds of joins; each round's result is cut off from its plan."""
+"""Graphs as edge tables. Loops run rounds of joins, a bounded number or until nothing is new; each round's result is cut off from its plan."""
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 
 from pyspark.sql import DataFrame, Window
@@ -16,14 +17,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def breadth_first(edges: DataFrame, seeds: DataFrame, hops: int, node: str = "node") -> DataFrame:
-    """node, depth, acc, parent: reached from the seeds over (src, dst, delta) within ``hops``; first reach wins.
+def breadth_first(edges: DataFrame, seeds: DataFrame, hops: int | None, node: str = "node") -> DataFrame:
+    """node, depth, acc, parent: reached from the seeds over (src, dst, delta) within ``hops``, or at all; first reach wins.
 
     In a level, a node takes the offer of the least (accumulated delta, parent), so the result has no order to depend on.
     """
     seen = cut_lineage(seeds.select(F.col(node).alias("node"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("acc"), F.lit(None).cast(dict(seeds.dtypes)[node]).alias("parent")).distinct())
     front = seen
-    for depth in range(1, hops + 1):
+    for depth in itertools.count(1) if hops is None else range(1, hops + 1):
         step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node"), (F.col("acc") + F.col("delta")).cast("long").alias("acc"), F.col("src").alias("parent"))
         step = step.groupBy("node").agg(F.min(F.struct("acc", "parent")).alias("o")).join(seen.select("node"), "node", "left_anti")
         front = cut_lineage(step.select("node", F.lit(depth).alias("depth"), "o.acc", "o.parent"))

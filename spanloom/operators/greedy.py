@@ -74,10 +74,10 @@ def spaced_random(points: DataFrame, ident: str, coords: list[str], spacing: flo
     return p.orderBy("h", ident).limit(count).select(ident, *coords)
 
 
-def unwrapped_grid(cells: DataFrame, i: str, j: str, angle: str, hops: int = 64) -> DataFrame:
+def unwrapped_grid(cells: DataFrame, i: str, j: str, angle: str) -> DataFrame:
     """i, j, turns, main: whole turns to add to each cell's angle so that neighbours agree, told from its component's first cell.
 
-    ``main``: in the largest component (the first of equals). Cells over ``hops`` steps away from the first are left out.
+    ``main``: in the largest component (the first of equals). One round of joins for each step to the farthest cell.
     """
     node = F.struct(F.col(i).cast("bigint").alias("i"), F.col(j).cast("bigint").alias("j"))
     c = cells.select(node.alias("node"), wrap(angle).alias("a"))
@@ -89,7 +89,7 @@ def unwrapped_grid(cells: DataFrame, i: str, j: str, angle: str, hops: int = 64)
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), (-F.col("delta")).alias("delta")))
     comp = graph.components(e.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     comp = c.select("node").join(comp, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    tree = graph.breadth_first(both, comp.select(F.col("root").alias("node")).distinct(), hops)
+    tree = graph.breadth_first(both, comp.select(F.col("root").alias("node")).distinct(), None)
     size = comp.groupBy("root").agg(F.count("*").alias("n"))
     top = size.agg(F.min_by("root", F.struct(-F.col("n"), F.col("root"))).alias("top"))
     out = tree.join(comp, "node").join(F.broadcast(top))  # top is one row

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import aggs, raster
@@ -126,5 +128,8 @@ def evenly_spaced_lines(t):
 def unwrapped_block_grid(t):
     from ..operators import greedy
 
-    c = t("events").where("event_id < 100").select((F.col("event_id") / 10).cast("bigint").alias("i"), (F.col("event_id") % 10).alias("j"), (F.col("event_id") * 0.37).alias("a"))
+    # All events as a square, row by row.
+    e = t("events").select("event_id")
+    side = math.isqrt(max(e.agg(F.max("event_id")).first()[0] or 0, 0)) + 1
+    c = e.select(F.floor(F.col("event_id") / side).alias("i"), (F.col("event_id") % side).alias("j"), (F.col("event_id") * 0.37).alias("a"))
     return greedy.unwrapped_grid(c, "i", "j", "a")
