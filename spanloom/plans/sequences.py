@@ -171,7 +171,7 @@ def consecutive_pair_edges(t):
 
 
 @query(
-    "G26 W20 W21",
+    "G26 W20",
     f"""WITH s AS (SELECT user_id, {_SEC} AS x, value - 30 AS v, lag({_SEC}) OVER w AS px, lag(value - 30) OVER w AS pv FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT user_id, count(*) FILTER (pv < 0 AND v >= 0) AS entries, count(*) FILTER (pv >= 0 AND v < 0) AS exits, round(sum(abs((v >= 0)::INT - (pv >= 0)::INT)) / 2, 4) AS crossings,
   round(min(CASE WHEN (pv < 0) <> (v < 0) THEN px + (x - px) * pv / (pv - v) END), 3) AS first_zero FROM s GROUP BY 1""",
