@@ -120,7 +120,7 @@ def spaced_random_points(t):
 def evenly_spaced_lines(t):
     from ..operators import greedy
 
-    p = t("lineitem").where("l_suppkey % 5 = 0").select(F.col("l_suppkey").alias("k"), F.col("l_orderkey").alias("id"), F.col("l_extendedprice").alias("p"))
+    p = t("lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_orderkey").alias("id"), F.col("l_extendedprice").alias("p"))
     return greedy.evenly_spaced(p, "k", "p", "id", 1500.0)
 
 
