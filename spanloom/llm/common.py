@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or a folder of this machine where that is unset."""
+    """The shared folder for intermediate tables: spark.checkpoint.dir. Where that is unset, a folder of this machine does if all of Spark runs on it."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = f"file://{tempfile.mkdtemp(prefix='spanloom-')}"
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared.rstrip("/")
@@ -43,14 +46,20 @@ class Scratch:
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(f"{self.root}/{name}")
+
+    def clear(self) -> None:
+        """Drops all of its tables."""
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold(doc_id: Column, n: int) -> Column:
@@ -67,10 +76,21 @@ def arrow_map(df: DataFrame, kernel: Callable[[pa.Table], Iterator[pa.Table]], s
             for lo, hi in cuts(lengths(t.column(text)), chunk):
                 for out in kernel(t.slice(lo, hi - lo)):
                     yield from out.to_batches()
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker process stays on after its task, beside the tasks of other stages."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def lengths(col: pa.ChunkedArray) -> np.ndarray:
     import pyarrow.compute as pc
 

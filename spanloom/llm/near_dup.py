@@ -7,8 +7,10 @@ similarity; pairs not clearly below the threshold make families, as a spanning f
 sets then decide: in blocks, products of its bit matrix give all intersections, and a spanning forest of the links goes
 out, never all pairs. A link needs 100 * intersection >= percent * union.
 
-Null text has no words. Null doc_ids take part, but are never a component's id unless all are null; rows that repeat are
-one document, all kept if its id is the least. An empty table gives an empty result. Other columns are not looked at.
+Null and empty texts have no words and link to nothing. Very long texts have one signature from their whole set, and are
+compared whole. Null doc_ids take part, but are never a component's id unless all are null; rows that repeat are one
+document, all kept if its id is the least: ties of ids stay together. An empty table gives an empty result. Other
+columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, text_bytes
+from .common import Scratch, arrow_map, give_back, text_bytes
 from .components import connected_components
 from .suffix_dedup import with_text_hash
 
@@ -194,6 +196,7 @@ def _by_group(keys: tuple[str, ...], values: tuple[str, ...], edges):
             out += edges(group)
         if out:
             yield batch(out)
+        give_back()
 
     return run
 
@@ -239,9 +242,8 @@ def _linked(rows: DataFrame, words: int, percent: int) -> DataFrame:
     return blocks.mapInArrow(_link_kernel(words, percent), _PAIR).distinct()
 
 
-def classes_and_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def classes_and_links(docs: DataFrame, words: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(per row: doc_id, th1, th2, n_shingles, node; links between different sets that connect all that is connected)."""
-    scratch = Scratch(docs.sparkSession, "neardup")
     sig = scratch.put(signatures(docs, words), "signatures")
     reps = scratch.put(sig.where("n_shingles > 0").dropDuplicates(["node"]).drop("doc_id"), "classes")
     rows = sig.select("doc_id", "th1", "th2", "n_shingles", "node")
@@ -253,7 +255,7 @@ def classes_and_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFr
     small = member.where(f"members <= {BLOCK}").join(reps.select("node", F.col("n_shingles").alias("n"), "sketch"), "node")
     small = small.select("bucket", "node", "n", "sketch").repartition("bucket").sortWithinPartitions("bucket")
     maybe = scratch.put(small.mapInArrow(_plausible_kernel(percent, most_odd_bits()), _PAIR).unionByName(bound).distinct(), "maybe")
-    family = connected_components(maybe)
+    family = connected_components(maybe, scratch, "family")
     sizes = family.groupBy("root").agg(F.count("*").alias("m"))
     family = family.join(sizes, "root").join(reps.select("node", "th1", "th2"), "node")
     # The families' texts, one for each class, by the text's hash: a copy meets only itself.
@@ -270,7 +272,7 @@ def classes_and_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFr
         return rows, links
     # A large family was looked at in parts, each with the family's first member. What is not in its largest component by
     # now (few, where copies are near) meets all others of the family, in blocks of two parts.
-    label = connected_components(links).select("node", F.col("root").alias("l"))
+    label = connected_components(links, scratch, "label").select("node", F.col("root").alias("l"))
     large = large.join(label, "node", "left").withColumn("label", F.coalesce("l", "node")).drop("l", "m")
     counts = large.groupBy("root", "label").agg(F.count("*").alias("c"))
     whole = counts.groupBy("root").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("all"))
@@ -287,13 +289,15 @@ def classes_and_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFr
     return rows, links.unionByName(scratch.put(_linked(rows_b, words, percent), "links2"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, th1, th2 (hash of the text), n_shingles, component_id, kept: one row for each row of ``docs``."""
-    rows, links = classes_and_links(docs, words, percent)
-    root = connected_components(links)
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, th1, th2 (hash of the text), n_shingles, component_id, kept: one row for each row of ``docs``. Reads ``scratch``."""
+    found = Scratch(docs.sparkSession, "neardup")
+    rows, links = classes_and_links(docs, words, percent, found)
+    root = connected_components(links, found, "links")
     # Written tables on both sides: Spark can then split a join task that a component with very many rows makes large.
-    scratch = Scratch(docs.sparkSession, "neardup-ids")
+    scratch = scratch or Scratch(docs.sparkSession, "neardup-ids")
     rooted = scratch.put(rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    found.clear()
     least = scratch.put(rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     out = rooted.join(least, "root", "left").withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")))
     return out.select("doc_id", "th1", "th2", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -301,8 +305,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 def kept_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents that stay, one id of each component, with their own columns."""
-    kept = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_id").alias("__id"), F.col("th1").alias("__1"), F.col("th2").alias("__2")).distinct()
+    ids = Scratch(docs.sparkSession, "neardup-ids")
+    kept = near_duplicates(docs, words, percent, ids).where("kept").select(F.col("doc_id").alias("__id"), F.col("th1").alias("__1"), F.col("th2").alias("__2")).distinct()
     kept = Scratch(docs.sparkSession, "neardup-kept").put(kept, "kept")
+    ids.clear()
     own = [F.col(f"`{c}`") for c in docs.columns]
     t = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumn("__h1", F.xxhash64(t)).withColumn("__h2", F.xxhash64(F.lit(11), t))
