@@ -5,8 +5,10 @@ depth two over the feature's bins is fitted to what the log loss still asks for,
 feature's lookup table. Then the pairs of features whose joint bins still explain most get tables of their own, by
 trees that cut each of the two features once. A score is the sum of table entries at the text's bins.
 
-Null and empty texts have features like others (all counts 0). Without labelled rows of both classes all scores are 0.
-Repeated rows repeat; an empty table gives an empty result; columns other than doc_id and text are not looked at.
+Null and empty texts have features like others (all counts 0). Very long texts are measured whole. Without labelled rows
+of both classes all scores are 0. Repeated rows repeat; a value equal to a cut is in the bin above it, and cuts of equal
+gain go to the first; an empty table gives an empty result; columns other than doc_id and text are not looked at,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -6,9 +6,10 @@ widths slide over the words, the largest value of each is kept (over the whole t
 without a known word are nothing), and a logistic unit gives the log-odds. A threshold for each language, which is told from the text's own function words,
 is set on the training rows, and taken off the log-odds: 0.5 is the threshold in every language.
 
-Null and empty texts have no words and get the score of silence, as all texts do that hold no known word. Without
-labelled rows of both classes all scores are 0. Repeated rows repeat; an empty table gives an empty result; columns
-other than doc_id and text are not looked at.
+Null and empty texts have no words and get the score of silence, as all texts do that hold no known word. Very long
+texts are scored whole. Without labelled rows of both classes all scores are 0. Repeated rows repeat; ties (of windows,
+of languages, of thresholds) go to the first; an empty table gives an empty result; columns other than doc_id and text
+are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from .training import flat_bytes, held_out, labelled_sample, sigmoid, text_parts
 FOLDS, HELD = 5, 0
 BITS, HALF, FILTERS, WIDTHS = 18, 4, 8, (1, 2, 3)
 BATCH, RATE, DECAY = 64, 0.01, 1e-4
-#: Epochs, more where there are few rows: STEPS steps at least. Words that get a vector: those whose share of toxic and of other texts differ by so many standard errors, the first MOST.
-STANDARD_ERRORS, MOST, EPOCHS, STEPS = 3.5, 600, 12, 500
+#: Epochs, more where there are few rows: STEPS steps at least. Words that get a vector: those whose shares of toxic and of other training texts differ by so many standard errors.
+STANDARD_ERRORS, EPOCHS, STEPS = 3.5, 12, 500
 #: What calling a share of the clean texts toxic costs against missing a like share of the toxic ones.
 WRONG = 3
 #: Function words that tell a language. Fixed values.
@@ -86,56 +87,72 @@ def _windows(known: np.ndarray, edges: np.ndarray, w: int) -> tuple[np.ndarray,
     return start[fits], doc[fits]
 
 
+def gradients(params: list[np.ndarray], spans, ids: np.ndarray, a: np.ndarray, b: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Mean weighted log loss of the texts ``ids``, and its gradient for each of the parameters.
+
+    ``spans``: for each width the starts of windows and the place of each text's first one. a, b: rows of the words.
+    """
+    tables, filters, bias, out, out_bias = params[:2], params[2 : 2 + len(WIDTHS)], params[2 + len(WIDTHS) : -2], params[-2], params[-1]
+    kind = out.dtype
+    pooled = np.zeros((len(ids), len(WIDTHS) * FILTERS), kind)
+    place = np.full(pooled.shape, -1)
+    for k, (w, (start, at)) in enumerate(zip(WIDTHS, spans, strict=True)):
+        own = [start[at[d] : at[d + 1]] for d in ids]
+        p = np.concatenate(own)
+        seen = np.concatenate([t[r[p + j]] for j in range(w) for t, r in zip(tables, (a, b), strict=True)], axis=1) @ filters[k].T + bias[k]
+        lo = 0
+        for r, q in enumerate(own):
+            if len(q):
+                part = seen[lo : lo + len(q)]
+                top = part.argmax(axis=0)
+                value = part[top, np.arange(FILTERS)]
+                cols = slice(k * FILTERS, (k + 1) * FILTERS)
+                pooled[r, cols], place[r, cols] = np.maximum(value, 0), np.where(value > 0, q[top], -1)
+                lo += len(q)
+    z = pooled @ out + out_bias
+    loss = float((weight[ids] * np.logaddexp(0, np.where(y[ids] == 1, -z, z))).sum() / len(ids))
+    error = (sigmoid(z) - y[ids]) * weight[ids] / len(ids)
+    grads = [np.zeros_like(x) for x in params]
+    grads[-2], grads[-1] = (pooled.T @ error).astype(kind), np.array([error.sum()], kind)
+    back = (error[:, None] * out[None, :]).astype(kind)
+    for k, w in enumerate(WIDTHS):
+        cols = slice(k * FILTERS, (k + 1) * FILTERS)
+        d, n = np.nonzero(place[:, cols] >= 0)
+        p, g = place[:, cols][d, n], back[:, cols][d, n]
+        for j in range(w):
+            part = slice(j * 2 * HALF, (j + 1) * 2 * HALF)
+            vector = np.concatenate([tables[0][a[p + j]], tables[1][b[p + j]]], axis=1)
+            np.add.at(grads[2 + k][:, part], n, g[:, None] * vector)
+            pull = g[:, None] * filters[k][n, part]
+            np.add.at(grads[0], a[p + j], pull[:, :HALF])
+            np.add.at(grads[1], b[p + j], pull[:, HALF:])
+        np.add.at(grads[2 + len(WIDTHS) + k], n, g)
+    return loss, grads
+
+
+def spans_of(known: np.ndarray, edges: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    out = []
+    for w in WIDTHS:
+        start, doc = _windows(known, edges, w)
+        out.append((start, np.searchsorted(doc, np.arange(len(edges)))))
+    return out
+
+
 def _fit(texts: int, edges, a, b, y, params, epochs: int, rng, moments) -> None:
     """Adam epochs over the words whose rows a, b are not 0; rows, filters and the output change in place."""
-    tables, filters, bias, out, out_bias = params[:2], params[2 : 2 + len(WIDTHS)], params[2 + len(WIDTHS) : -2], params[-2], params[-1]
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
-    spans = []
-    for w in WIDTHS:
-        start, doc = _windows(a > 0, edges, w)
-        spans.append((start, np.searchsorted(doc, np.arange(texts + 1))))
+    spans = spans_of(a > 0, edges)
     for _ in range(epochs):
         order = rng.permutation(texts)
         for i in range(0, len(order), BATCH):
-            ids = order[i : i + BATCH]
-            pooled = np.zeros((len(ids), len(WIDTHS) * FILTERS), np.float32)
-            place = np.full(pooled.shape, -1)
-            for k, (w, (start, at)) in enumerate(zip(WIDTHS, spans, strict=True)):
-                own = [start[at[d] : at[d + 1]] for d in ids]
-                p = np.concatenate(own)
-                seen = np.concatenate([t[r[p + j]] for j in range(w) for t, r in zip(tables, (a, b), strict=True)], axis=1) @ filters[k].T + bias[k]
-                lo = 0
-                for r, q in enumerate(own):
-                    if len(q):
-                        part = seen[lo : lo + len(q)]
-                        top = part.argmax(axis=0)
-                        value = part[top, np.arange(FILTERS)]
-                        cols = slice(k * FILTERS, (k + 1) * FILTERS)
-                        pooled[r, cols], place[r, cols] = np.maximum(value, 0), np.where(value > 0, q[top], -1)
-                        lo += len(q)
-            error = (sigmoid(pooled @ out + out_bias) - y[ids]) * weight[ids] / len(ids)
-            grads = [np.zeros_like(x) for x in params]
-            grads[-2], grads[-1] = (pooled.T @ error).astype(np.float32), np.array([error.sum()], np.float32)
-            back = (error[:, None] * out[None, :]).astype(np.float32)
-            for k, w in enumerate(WIDTHS):
-                cols = slice(k * FILTERS, (k + 1) * FILTERS)
-                d, n = np.nonzero(place[:, cols] >= 0)
-                p, g = place[:, cols][d, n], back[:, cols][d, n]
-                for j in range(w):
-                    part = slice(j * 2 * HALF, (j + 1) * 2 * HALF)
-                    vector = np.concatenate([tables[0][a[p + j]], tables[1][b[p + j]]], axis=1)
-                    np.add.at(grads[2 + k][:, part], n, g[:, None] * vector)
-                    pull = g[:, None] * filters[k][n, part]
-                    np.add.at(grads[0], a[p + j], pull[:, :HALF])
-                    np.add.at(grads[1], b[p + j], pull[:, HALF:])
-                np.add.at(grads[2 + len(WIDTHS) + k], n, g)
+            _, grads = gradients(params, spans, order[i : i + BATCH], a, b, y, weight)
             moments["t"] += 1
             for x, g, m, v in zip(params, grads, moments["m"], moments["v"], strict=True):
                 g = g + DECAY * x
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 x -= RATE * (m / (1 - 0.9 ** moments["t"])) / (np.sqrt(v / (1 - 0.999 ** moments["t"])) + 1e-6)
-            tables[0][0] = tables[1][0] = 0
+            params[0][0] = params[1][0] = 0
 
 
 def telling_words(h: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -148,8 +165,7 @@ def telling_words(h: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
     # Some seen and unseen texts more: a word of only a few texts tells nothing.
     share = (n1 + n0 + 8) / (t1 + t0 + 16)
     z = (n1 / t1 - n0 / t0) / np.sqrt(share * (1 - share) * (1 / t1 + 1 / t0))
-    first = np.argsort(-np.abs(z), kind="stable")[:MOST]
-    return np.sort(word[first[np.abs(z[first]) >= STANDARD_ERRORS]])
+    return np.sort(word[np.abs(z) >= STANDARD_ERRORS])
 
 
 def train(texts: list[str], y: np.ndarray, seed: int = 5) -> Model | None:

@@ -25,9 +25,10 @@ def held_out(doc_id: Column, folds: int, held: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, folds: int, held: int, per_class: int = ROWS_PER_CLASS, row_bytes: int = ROW_BYTES) -> tuple[list[str], np.ndarray]:
-    """Texts and 0/1 labels: of each class the ``per_class`` rows that come first by a hash of the id, held-out rows never.
+    """Texts and 0/1 labels: of each class the ``per_class`` ids that come first by a hash of the id, held-out ids never.
 
-    Texts over ``row_bytes`` are for scoring only. Ids with two different labels are left out.
+    Texts over ``row_bytes`` are for scoring only. Ids with two different labels are left out; of an id's rows the text
+    with the least hash is taken, so that 2 * per_class texts are the most that the driver gets.
     """
     known = labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, held))
     known = known.groupBy("doc_id").agg(F.min(target).alias("y"), F.max(target).alias("z")).where("y = z").drop("z")
@@ -38,7 +39,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, folds: int,
         part = pool.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     # At most 2 * per_class ids: a bounded broadcast.
-    rows = docs.where(F.octet_length("text") <= row_bytes).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").collect()
+    own = docs.where(F.octet_length("text") <= row_bytes).join(F.broadcast(picked), "doc_id")
+    one = own.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "y")).alias("r"))
+    rows = one.select("doc_id", "r.text", "r.y").collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
     return [r.text for r in rows], np.array([r.y for r in rows], np.float64)
 

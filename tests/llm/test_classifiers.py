@@ -77,7 +77,7 @@ def test_words_and_threshold():
     assert 0 < toxicity.threshold(z, y) < 2
 
 
-def test_gradient_of_the_network():
+def test_network_tells_words():
     rng = np.random.default_rng(0)
     texts = [" ".join(rng.choice(["grumf", "ab", "cd", "ef"], 6)) for _ in range(120)]
     y = np.array([float("grumf" in t) for t in texts])
@@ -99,3 +99,86 @@ def test_tables_learn_an_interaction():
     x = rng.random((2000, 3))
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
     assert np.mean((quality_gam.train(x[:1500], y[:1500]).score(x[1500:]) >= 0.5) == y[1500:]) > 0.9
+
+
+def test_gradient_matches_finite_differences():
+    rng = np.random.default_rng(2)
+    n, words = 12, 90
+    edges = np.sort(np.concatenate([[0, words], rng.integers(0, words, n - 1)]))
+    a, b = rng.integers(0, 5, words), rng.integers(0, 5, words)
+    a, b = np.where((a > 0) & (b > 0), a, 0), np.where((a > 0) & (b > 0), b, 0)
+    params = [rng.normal(0, 1, (5, toxicity.HALF)) for _ in range(2)]
+    params += [rng.normal(0, 1, (toxicity.FILTERS, w * 2 * toxicity.HALF)) for w in toxicity.WIDTHS]
+    params += [rng.normal(0, 0.1, toxicity.FILTERS) for _ in toxicity.WIDTHS] + [rng.normal(0, 1, len(toxicity.WIDTHS) * toxicity.FILTERS), rng.normal(0, 1, 1)]
+    y, weight = rng.integers(0, 2, n).astype(float), rng.random(n) + 0.5
+    of = lambda: toxicity.gradients(params, toxicity.spans_of(a > 0, edges), np.arange(n), a, b, y, weight)
+    _, grads = of()
+    for x, g in zip(params, grads):
+        flat, slope = x.reshape(-1), g.reshape(-1)
+        for i in rng.choice(len(flat), min(6, len(flat)), replace=False):
+            was = flat[i]
+            flat[i] = was + 1e-6
+            up, _ = of()
+            flat[i] = was - 1e-6
+            down, _ = of()
+            flat[i] = was
+            assert abs((up - down) / 2e-6 - slope[i]) < 1e-5
+
+
+def plain_toxicity(model, text):
+    """The network's score word by word."""
+    h = word_hashes(*flat_bytes([text]))[0]
+    rows = [{int(r): v for r, v in zip(rs, vs)} for rs, vs in zip(model.rows, model.vectors)]
+    mask = (1 << toxicity.BITS) - 1
+    vectors = []
+    for x in h.tolist():
+        a, b = rows[0].get(x & mask), rows[1].get(x >> 40 & mask)
+        vectors.append(np.concatenate([a, b]).astype(float) if a is not None and b is not None else None)
+    z = model.out_bias
+    for k, w in enumerate(toxicity.WIDTHS):
+        best = np.zeros(toxicity.FILTERS)
+        for i in range(len(vectors) - w + 1):
+            part = vectors[i : i + w]
+            if any(v is not None for v in part):
+                flat = np.concatenate([np.zeros(2 * toxicity.HALF) if v is None else v for v in part])
+                best = np.maximum(best, model.filters[k] @ flat + model.bias[k])
+        z += best @ model.out[k * toxicity.FILTERS : (k + 1) * toxicity.FILTERS]
+    words = __import__("re").findall(r"[0-9A-Za-z\u0080-\U0010ffff]+", text)
+    low = ["".join(c.lower() if c.isascii() else c for c in w) for w in words]
+    counts = [sum(w in own for w in low) for own in toxicity.LANGUAGES.values()]
+    lang = counts.index(max(counts)) if max(counts) else len(counts)
+    return 1 / (1 + np.exp(-(z - model.thresholds[lang])))
+
+
+def test_toxicity_of_whole_texts_matches_a_plain_scorer(spark):
+    docs, labels = corpus(400, 9)
+    model = toxicity.train([d[1] for d in docs], np.array([float(x[2]) for x in labels]))
+    rows = [*docs[:150], (9001, "", "x"), (9002, None, "x"), (9003, " ".join(d[1] for d in docs), "x"), (9004, "calm words " * 100_000 + "GRUMF! blarg", "x")]
+    got = {r.doc_id: r.score for r in toxicity.scored(spark.createDataFrame(rows, DOC), model).collect()}
+    for i, text, _ in rows:
+        if i != 9004:
+            assert abs(got[i] - plain_toxicity(model, text or "")) < 1e-5
+    # The very long text is scored whole: its last words decide.
+    assert got[9004] > 0.5 > got[9002]
+
+
+def test_quality_of_whole_texts_matches_plain_look_ups():
+    docs, labels = corpus(400, 10)
+    texts = [d[1] for d in docs] + ["", "x " * 100_000]
+    x = quality_gam.features(*flat_bytes(texts))
+    model = quality_gam.train(x[:400], np.array([float(v[1]) for v in labels]))
+    got = model.score(x)
+    for row, s in zip(x, got):
+        place = [sum(c <= v for c in cut) for cut, v in zip(model.cuts, row)]
+        coarse = [sum(c <= v for c in cut) for cut, v in zip(model.coarse, row)]
+        z = model.base + sum(t[p] for t, p in zip(model.tables, place)) + sum(t[coarse[a], coarse[b]] for (a, b), t in zip(model.pairs, model.pair_tables))
+        assert abs(s - 1 / (1 + np.exp(-z))) < 1e-9
+    # Features do not depend on what a text shares a batch with.
+    alone = np.concatenate([quality_gam.features(*flat_bytes([t])) for t in texts[-40:]])
+    assert np.allclose(alone, x[-40:])
+
+
+def test_sample_takes_one_row_of_an_id(spark):
+    docs = [(1, f"text {i}", "x") for i in range(50)] + [(2, "other", "x")]
+    texts, y = labelled_sample(spark.createDataFrame(docs, DOC), spark.createDataFrame([(1, 1, 1), (2, 0, 0)], LABEL), "toxic", 5, 9)
+    assert len(texts) == 2 and sorted(y.tolist()) == [0, 1]
