@@ -9,10 +9,14 @@ suffixes by increasing value and stops at ``min_bytes``: what is not set by then
 ``max_hulls`` different hulls (a passage that very many documents share) is first divided by the place of the window
 against the anchor and by what the windows there have in common, so that no group is ever gathered whole.
 
+Before a block is sorted, strings that share nothing beside their anchors with others of their group are left out: they
+hold no window that repeats.
+
 Texts are known by a 128-bit hash; equal texts get equal results, and their copies never meet in one group.
-Null text is empty; texts under ``min_bytes`` lose nothing; repeated rows repeat each other's strings, and so lose all
-of them; doc_id plays no part; an empty table gives an empty result; other columns are kept, but n_bytes, n_removed,
-spans, kept_bytes and kept_text are the operator's.
+Null text is empty; texts under ``min_bytes`` lose nothing; very long texts are read whole, and their runs are shuffled
+as others' are; repeated rows repeat each other's strings, and so lose all of them; of strings that repeat each other
+none comes first: all go; doc_id plays no part; an empty table gives an empty result; other columns are kept, but
+n_bytes, n_removed, spans, kept_bytes and kept_text are the operator's.
 
 With ``min_words``, strings of at least so many words go too, however few bytes they have: the same plan runs over the
 texts with each word in place of its hash, and counts only the starts that are a word's first byte. Words are compared
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, SPACE_CHARS, Scratch, arrow_map, text_bytes
+from .common import CHUNK_BYTES, SPACE_CHARS, Scratch, arrow_map, give_back, text_bytes
 
 MIN_BYTES = 400
 #: Words that make a passage in the pipeline: over 50. Bytes that stand for a word.
@@ -163,36 +167,50 @@ def _word_kernel(t: pa.Table):
 # ---------------------------------------------------------------- Burrows-Wheeler block
 
 
-def suffix_array(sym: np.ndarray, bits: int) -> np.ndarray:
-    """Prefix doubling that sorts only what is not yet single. sym ends with its only 0."""
+def suffix_array(sym: np.ndarray, bits: int, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places by suffix; which of them begin a group of equal strings of q symbols; and q. sym ends with its only 0.
+
+    The first sort is by as many symbols as fit a word. Each later one sorts what is not yet single by the ranks of three
+    (in large blocks two) parts, each as long as what was sorted before. Suffixes that agree in ``depth`` symbols or more
+    stay in any order among themselves: intervals of strings up to that length hold all of them or none.
+    """
     n, per = len(sym), 64 // bits
     padded = np.zeros(n + per, np.uint64)
     padded[:n] = sym
     key = np.zeros(n, np.uint64)
     for j in range(per):
         key = (key << _U(bits)) | padded[j : j + n]
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     key = key[sa]
+    q = min(per, depth - 1)
+    short = key >> _U(bits * (per - q))
+    begins = np.ones(n, bool)
+    begins[1:] = short[1:] != short[:-1]
     head = np.ones(n, bool)
     head[1:] = key[1:] != key[:-1]
-    rank = np.empty(n + 1, np.int64)
+    sa = sa.astype(np.int32)  # half the memory to run over; a block has far fewer symbols than 2**31
+    rank = np.empty(n + 1, np.int32)
     rank[n] = -1
-    rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    h = per
+    rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n, dtype=np.int32), 0))
+    h, width = per, (n + 1).bit_length()
+    parts = 3 if 3 * width < 64 else 2
     while True:
         tied = np.flatnonzero(~(head & np.append(head[1:], True)))
-        if len(tied) == 0:
-            return sa
+        if len(tied) == 0 or h >= depth:
+            return sa, begins, q
         of = sa[tied]
-        key = rank[of] * (n + 1) + rank[np.minimum(of + h, n)] + 1
-        order = np.argsort(key, kind="stable")
+        key = rank[of].astype(np.int64)
+        for j in range(1, parts):
+            key <<= width
+            key |= rank[np.minimum(of + j * h, n)] + 1
+        order = np.argsort(key)
         of, key = of[order], key[order]
         sa[tied] = of
         fresh = np.ones(len(tied), bool)
         fresh[1:] = key[1:] != key[:-1]
         head[tied] = fresh
         rank[of] = np.maximum.accumulate(np.where(fresh, tied, 0))
-        h *= 2
+        h *= parts
 
 
 def repeated_starts(hulls: list[bytes], min_bytes: int) -> list[np.ndarray]:
@@ -211,22 +229,24 @@ def repeated_starts(hulls: list[bytes], min_bytes: int) -> list[np.ndarray]:
     sym = np.full(begin[-1] + 1, kinds.sum() + 1, np.uint8 if bits == 8 else np.uint16)
     sym[np.arange(len(flat)) + np.repeat(np.arange(len(lens)), lens)] = code[flat]
     sym[-1] = 0
-    sa = suffix_array(sym, bits)
+    sa, begins, q = suffix_array(sym, bits, min_bytes + 1)
     n = len(sa)
     bwt = sym[sa - 1]
     order = np.argsort(bwt, kind="stable")
     last_to_first = np.empty(n, np.int64)
-    last_to_first[order] = np.arange(n)
+    last_to_first[order] = np.arange(n) << 32
     first_symbol = bwt[order]
-    # known[i]: the common prefix of suffixes i - 1 and i is set, to the number of the round that set it.
-    known = np.zeros(n + 1, bool)
-    known[0] = known[n] = True
-    lo, hi = np.zeros(1, np.int64), np.full(1, n)
-    for _ in range(min_bytes):
+    # known[i]: the common prefix of suffixes i - 1 and i is set, to the number of the round that set it. The first q
+    # rounds are those that the first sort stands for: intervals of all strings of q symbols.
+    known = np.append(begins, True)
+    lo = np.flatnonzero(begins)
+    hi = np.append(lo[1:], n)
+    for _ in range(q, min_bytes):
         size = hi - lo
         owner = np.repeat(np.arange(len(lo)), size)
         inside = np.arange(len(owner)) + np.repeat(lo - (np.cumsum(size) - size), size)
-        key = np.sort((last_to_first[inside] << 32) | owner)
+        key = last_to_first[inside] | owner
+        key.sort()
         at, owner = key >> 32, key & 0xFFFFFFFF
         cut = np.ones(len(at) + 1, bool)
         cut[1:-1] = (np.diff(at) != 1) | (np.diff(owner) != 0) | (first_symbol[at[1:]] != first_symbol[at[:-1]])
@@ -248,6 +268,33 @@ def _ranges(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2] - edge[::2]
 
 
+def may_repeat(group: np.ndarray, anchor: np.ndarray, hulls: list[bytes], min_bytes: int) -> np.ndarray:
+    """Which strings may hold a window that repeats: those that share with their group, beside an anchor, what a window has there.
+
+    A window of min_bytes has its anchor somewhere in it, and on one side of that at least half of the other bytes. Strings
+    whose neighbourhoods of all anchors are single, on both sides, have no window in common with any other place.
+    """
+    k = anchor_length(min_bytes)
+    side = 1 << max(0, (min_bytes - k + 1) // 2).bit_length() >> 1
+    if side == 0:
+        return np.ones(len(hulls), bool)
+    lens = np.array([len(x) for x in hulls])
+    end = np.cumsum(lens)
+    flat = np.frombuffer(b"".join(hulls), np.uint8)
+    owner = np.repeat(np.arange(len(hulls)), lens)
+    at = np.flatnonzero(substring_hashes(flat, k).view(np.int64) == anchor[owner[: len(flat) - k + 1]])
+    at = at[at + k <= end[owner[at]]]
+    near = substring_hashes(flat, side)
+    own = owner[at]
+    left, right = at - side >= end[own] - lens[own], at + k + side <= end[own]
+    of = np.concatenate([own[left], own[right]])
+    key = np.concatenate([near[at[left] - side], ~near[at[right] + k]]) + group[of].astype(np.uint64) * _U(0x9E3779B97F4A7C15)
+    _, place, count = np.unique(key, return_inverse=True, return_counts=True)
+    out = np.zeros(len(hulls), bool)
+    out[of[count[place] > 1]] = True
+    return out
+
+
 _FOUND = "anchor bigint, hull bigint, off int, starts int"
 
 
@@ -255,6 +302,9 @@ def _block_kernel(min_bytes: int, block_bytes: int):
     """Rows (grp, anchor, hull, off, bytes) sorted by grp -> repeated starts; whole groups, about block_bytes at once."""
 
     def found(rows):
+        group = np.cumsum([False, *(a[0] != b[0] for a, b in zip(rows[:-1], rows[1:], strict=True))])
+        may = may_repeat(group, np.array([r[1] for r in rows], np.int64), [r[4] for r in rows], min_bytes)
+        rows = [r for r, m in zip(rows, may.tolist(), strict=True) if m]
         flags = repeated_starts([r[4] for r in rows], min_bytes)
         out = {"anchor": [], "hull": [], "off": [], "starts": []}
         for (_, anchor, hull, off, _), flag in zip(rows, flags, strict=True):
@@ -276,6 +326,7 @@ def _block_kernel(min_bytes: int, block_bytes: int):
                 size += len(row[4])
         if rows:
             yield found(rows)
+        give_back()
 
     return run
 
