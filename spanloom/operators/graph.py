@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, Window
@@ -10,10 +11,15 @@ from pyspark.sql import functions as F
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's shared folder (spark.checkpoint.dir); a local one only where none is set."""
+    """A checkpoint in the cluster's shared folder (spark.checkpoint.dir). Where that is unset, a folder of this machine does if all of Spark runs on it."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanloom-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            shared = tempfile.mkdtemp(prefix="spanloom-")
+        spark.sparkContext.setCheckpointDir(shared)
     return df.checkpoint()
 
 
@@ -44,21 +50,27 @@ def holonomy(edges: DataFrame, tree: DataFrame) -> DataFrame:
     return j.where(~used & (F.col("src") < F.col("dst"))).select("src", "dst", (F.col("sa") + F.col("delta") - F.col("da")).alias("holonomy"))
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether each node hangs on one root, and no root on another: then every root is its component's least node."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("hangs"), F.lit(0).alias("holds"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    return ends.groupBy("n").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).where("hangs > 1 or hangs = 1 and holds = 1").isEmpty()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, root: the least node of the component, by star contractions until nothing changes."""
-    now = cut_lineage(edges.where(f"{a} != {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    mark = None
-    while True:
+    """node, root: the least node of the component, by star contractions until all edges are stars.
+
+    A node's least neighbour comes from a partial aggregate and is written, so that the join with it can be split at hubs.
+    """
+    now = cut_lineage(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    while not _is_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut_lineage(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
         now = cut_lineage(small.distinct())
-        row = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())
-        if row == mark or row[0] == 0:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        mark = row
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def _from_lower_degree(edges: DataFrame) -> DataFrame:
@@ -86,28 +98,61 @@ def four_cycles(edges: DataFrame) -> DataFrame:
     return shared.where("n > 1").select("a", "c", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("cycles"))
 
 
-def paths_to_root(tree: DataFrame, depth: int) -> DataFrame:
-    """node, path: from the node back to its root, over the parents, at most ``depth`` steps."""
+def paths_to_root(tree: DataFrame, depth: int | None = None) -> DataFrame:
+    """node, path: from the node back to its root, over the parents, at most ``depth`` steps (default: all)."""
+    if depth is None:
+        depth = tree.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
     p = tree.select("node", "parent", F.array("node").alias("path"))
     up = tree.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
-    for _ in range(depth):
+    for k in range(depth):
         p = p.join(up, "parent", "left").select("node", F.col("next").alias("parent"), F.when(F.col("parent").isNotNull(), F.concat("path", F.array("parent"))).otherwise(F.col("path")).alias("path"))
+        if k % 16 == 15:
+            p = cut_lineage(p)
     return p.select("node", "path")
 
 
-def shortest_paths(edges: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
-    """node, cost: least total weight from any seed over (src, dst, weight), by at most ``rounds`` relaxations."""
-    best = cut_lineage(seeds.select("node", F.lit(0.0).alias("cost")).distinct())
-    for _ in range(rounds):
-        offers = best.join(edges, best["node"] == edges["src"]).select(F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"))
-        fresh = cut_lineage(best.unionByName(offers).groupBy("node").agg(F.min("cost").alias("cost")))
-        same = fresh.join(best, ["node", "cost"], "left_anti").isEmpty()
-        best = fresh
-        if same:
+def fundamental_cycles(loops: DataFrame, tree: DataFrame) -> DataFrame:
+    """``loops`` (src, dst) with lca and cycle: the tree's path from src up to the lowest common ancestor and down to dst.
+
+    The loop's own edge closes the cycle from dst back to src.
+    """
+    p = cut_lineage(paths_to_root(tree))
+    j = loops.join(p.select(F.col("node").alias("src"), F.col("path").alias("__p")), "src").join(p.select(F.col("node").alias("dst"), F.col("path").alias("__q")), "dst")
+    j = j.withColumn("lca", F.get(F.filter("__p", lambda x: F.array_contains(F.col("__q"), x)), F.lit(0)))
+    up = F.slice("__p", F.lit(1), F.array_position("__p", F.col("lca")).cast("int"))
+    down = F.slice("__q", F.lit(1), (F.array_position("__q", F.col("lca")) - 1).cast("int"))
+    return j.withColumn("cycle", F.concat(up, F.reverse(down))).select(*loops.columns, "lca", "cycle")
+
+
+def shortest_paths(edges: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
+    """node, cost, parent: least total weight from any seed over (src, dst, weight > 0), and the node before (the least of equals).
+
+    Rounds relax the edges of what was improved in the round before, until nothing is, or ``rounds`` times.
+    """
+    kind = dict(seeds.dtypes)["node"]
+    best = cut_lineage(seeds.select("node", F.lit(0.0).alias("cost"), F.lit(None).cast(kind).alias("parent")).distinct())
+    front = best
+    for _ in itertools.count() if rounds is None else range(rounds):
+        offers = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"), F.col("src").alias("parent"))
+        offers = offers.groupBy("node").agg(F.min(F.struct("cost", "parent")).alias("o"))
+        old = best.select("node", F.col("cost").alias("had"))
+        front = cut_lineage(offers.join(old, "node", "left").where("had is null or o.cost < had").select("node", "o.cost", "o.parent"))
+        if front.isEmpty():
             break
+        best = cut_lineage(best.join(front.select("node"), "node", "left_anti").unionByName(front))
     return best
 
 
+def quad_edges(cells: DataFrame, node: str, i: str, j: str, keys: list[str] | None = None) -> DataFrame:
+    """src, dst, weight: both ways between neighbouring cells of a key, 1 along a side and the square root of 2 at a corner."""
+    keys = keys or []
+    moves = [(a, b, 1.0 if a == 0 or b == 0 else 2**0.5) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
+    move = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(w).alias("w")) for a, b, w in moves]))
+    d = cells.select(*keys, F.col(node).alias("src"), i, j, move.alias("m"))
+    d = d.select(*keys, "src", (F.col(i) + F.col("m.a")).alias(i), (F.col(j) + F.col("m.b")).alias(j), F.col("m.w").alias("weight"))
+    return d.join(cells.select(*keys, i, j, F.col(node).alias("dst")), [*keys, i, j]).select("src", "dst", "weight")
+
+
 def chains(edges: DataFrame) -> DataFrame:
     """node, chain: components of nodes of degree two, joined by edges between such nodes; alone ones are their own."""
     e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
@@ -117,14 +162,60 @@ def chains(edges: DataFrame) -> DataFrame:
     return two.select(F.col("n").alias("node")).join(c, "node", "left").select("node", F.coalesce("root", "node").alias("chain"))
 
 
-def walks(edges: DataFrame, seeds: DataFrame, hops: int, order) -> DataFrame:
-    """start, walk: from each seed, the neighbour that comes first in ``order`` (a column of src, dst) and is not in the walk yet."""
-    w = seeds.select(F.col("node").alias("start"), F.array("node").alias("walk"))
-    e = edges.select("src", "dst")
+def crossing_walks(records: DataFrame, seeds: DataFrame, hops: int, least: float, most: float, order) -> DataFrame:
+    """start, walk: from each seed ``hops`` crossings onto tracks that the walk has not met; walks that cannot go on are left out.
+
+    ``records`` (src, dst, self_local, partner_local): both directions of each crossing. On a track that a walk came to, it
+    leaves between ``least`` and ``most`` steps from where it came. Of the records that fit, the first by ``order`` (a
+    column of src and dst) is taken, then by dst and places.
+    """
+    w = seeds.select(F.col("node").alias("start"), F.array("node").alias("walk"), F.lit(None).cast(dict(records.dtypes)["partner_local"]).alias("entry"))
     for _ in range(hops):
-        step = w.withColumn("src", F.element_at("walk", -1)).join(e, "src").where(~F.array_contains(F.col("walk"), F.col("dst")))
-        step = step.groupBy("start").agg(F.min(F.struct(order.alias("o"), F.col("dst"))).alias("n")).select("start", F.col("n.dst").alias("dst"))
-        w = cut_lineage(w.join(step, "start", "left").select("start", F.when(F.col("dst").isNotNull(), F.concat("walk", F.array("dst"))).otherwise(F.col("walk")).alias("walk")))
+        step = w.withColumn("src", F.element_at("walk", -1)).join(records, "src").where(~F.array_contains(F.col("walk"), F.col("dst")))
+        step = step.where(F.col("entry").isNull() | F.abs(F.col("self_local") - F.col("entry")).between(least, most))
+        first = F.min(F.struct(order.alias("o"), "dst", "self_local", "partner_local")).alias("n")
+        step = step.groupBy("start").agg(first, F.first("walk").alias("walk"))
+        w = cut_lineage(step.select("start", F.concat("walk", F.array("n.dst")).alias("walk"), F.col("n.partner_local").alias("entry")))
+    return w.select("start", "walk")
+
+
+def gated_walks(records: DataFrame, seeds: DataFrame, steps: int, least_travel: float, order, most_tracks: int = 4) -> DataFrame:
+    """start, walk: up to ``steps`` steps, each onto a track from which the walk could still return to its start.
+
+    ``records`` (src, dst, position on src): one for each ordered pair. A candidate passes if a cycle of at most
+    ``most_tracks`` tracks (3 or 4) closes through it: start ... current, candidate, and on to the start over tracks not met
+    yet, leaving the candidate ``least_travel`` or more from where it was entered. Of the candidates that pass, the first
+    by ``order`` (a column of src and dst), then dst, is taken; a walk without one ends.
+    """
+    if most_tracks not in (3, 4):
+        raise ValueError("cycles of three or four tracks can be told")
+    w = seeds.select(F.col("node").alias("start"), F.array("node").alias("walk"))
+    out = F.col("x")
+    for step in range(1, steps + 1):
+        if step + 1 > most_tracks:
+            break
+        current = w.where(F.size("walk") == step).withColumn("src", F.element_at("walk", -1))
+        c = current.join(records.select("src", "dst"), "src").where(~F.array_contains(F.col("walk"), F.col("dst"))).withColumnRenamed("dst", "c")
+        entry = records.select(F.col("src").alias("c"), F.col("dst").alias("src"), F.col("position").alias("entry"))
+        exits = records.select(F.col("src").alias("c"), F.col("dst").alias("x"), F.col("position").alias("leave"))
+        e = c.join(entry, ["c", "src"]).join(exits, "c").where((out != F.col("src")) & (F.abs(F.col("leave") - F.col("entry")) >= least_travel))
+        fresh = ~F.array_contains(F.col("walk"), out)
+        back = records.select(F.col("src").alias("x"), F.col("dst").alias("start"))
+        found = [e.where(out == F.col("start")).select("start", "src", "c")]
+        spare = most_tracks - step - 1
+        if spare >= 1:
+            found.append(e.where(fresh).join(back, ["x", "start"], "left_semi").select("start", "src", "c"))
+        if spare >= 2:
+            via = records.select(F.col("src").alias("x"), F.col("dst").alias("y"))
+            home = records.select(F.col("src").alias("y"), F.col("dst").alias("start"))
+            f = e.where(fresh).join(via, "x").where((F.col("y") != F.col("c")) & ~F.array_contains(F.col("walk"), F.col("y")))
+            found.append(f.join(home, ["y", "start"], "left_semi").select("start", "src", "c"))
+        ok = found[0]
+        for f in found[1:]:
+            ok = ok.unionByName(f)
+        ok = ok.withColumnRenamed("c", "dst").groupBy("start").agg(F.min(F.struct(order.alias("o"), "dst")).alias("n"))
+        w = w.join(ok, "start", "left").select("start", F.when((F.size("walk") == step) & F.col("n").isNotNull(), F.concat("walk", F.array("n.dst"))).otherwise(F.col("walk")).alias("walk"))
+        w = cut_lineage(w)
     return w
 
 

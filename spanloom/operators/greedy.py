@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import stable_hash, wrap
+from ..functions.expr import stable_hash
 from . import graph, joins
+from .blocks import unwrapped_grid  # noqa: F401
 
 
 def _even_choice(x: np.ndarray, least: float) -> list[int]:
@@ -20,18 +21,30 @@ def _even_choice(x: np.ndarray, least: float) -> list[int]:
     if count <= 1:
         return [int(np.argmin(np.abs(x - (x[0] + x[-1]) / 2)))] if len(x) else []
     goal = np.linspace(x[0], x[-1], count)
-    # best[i]: (cost, places) of choices that end at i; a later place joins the cheapest choice that ends early enough.
-    best: list[tuple[float, tuple[int, ...]] | None] = [((v - goal[0]) ** 2, (i,)) for i, v in enumerate(x)]
+    # cost[i]: of the cheapest choice that ends at i; before[g][i]: the place before it in that choice.
+    n = len(x)
+    cost, before = (x - goal[0]) ** 2, []
+    rank = rank0 = np.arange(n)  # order of choices by their places, for ties
     for g in goal[1:]:
-        reach, cheapest, grown = 0, None, []
-        for i, v in enumerate(x):
-            while reach < i and v - x[reach] >= least:
-                if best[reach] is not None and (cheapest is None or best[reach] < cheapest):
-                    cheapest = best[reach]
-                reach += 1
-            grown.append(None if cheapest is None else (cheapest[0] + (v - g) ** 2, (*cheapest[1], i)))
-        best = grown
-    return list(min(b for b in best if b is not None)[1])
+        reach = np.minimum(np.searchsorted(x, x - least, "right"), rank0)  # places whose choices may go before: those up to x - least
+        while np.any(late := (reach > 0) & (x - x[np.maximum(reach - 1, 0)] < least)):
+            reach[late] -= 1
+        while np.any(early := (reach < np.arange(n)) & (x - x[np.minimum(reach, n - 1)] >= least)):
+            reach[early] += 1
+        by = np.lexsort((rank, cost))
+        order = np.empty(n, np.int64)
+        order[by] = np.arange(n)
+        first = np.minimum.accumulate(order)
+        has = (reach > 0) & (first[np.maximum(reach - 1, 0)] < n)
+        from_ = np.where(has, by[first[np.maximum(reach - 1, 0)]], -1)
+        grown = np.where(has & np.isfinite(cost[np.maximum(from_, 0)]), cost[np.maximum(from_, 0)] + (x - g) ** 2, np.inf)
+        before.append(from_)
+        rank = np.lexsort((np.arange(n), rank[np.maximum(from_, 0)])).argsort()
+        cost = grown
+    out = [int(np.lexsort((rank, cost))[0])]
+    for b in reversed(before):
+        out.append(int(b[out[-1]]))
+    return out[::-1]
 
 
 def evenly_spaced(df: DataFrame, key: str, position: str, ident: str, least: float) -> DataFrame:
@@ -72,25 +85,3 @@ def spaced_random(points: DataFrame, ident: str, coords: list[str], spacing: flo
             open_ = graph.cut_lineage(open_.join(first.select(ident), ident, "left_anti").join(out, ident, "left_anti"))
         p = taken
     return p.orderBy("h", ident).limit(count).select(ident, *coords)
-
-
-def unwrapped_grid(cells: DataFrame, i: str, j: str, angle: str) -> DataFrame:
-    """i, j, turns, main: whole turns to add to each cell's angle so that neighbours agree, told from its component's first cell.
-
-    ``main``: in the largest component (the first of equals). One round of joins for each step to the farthest cell.
-    """
-    node = F.struct(F.col(i).cast("bigint").alias("i"), F.col(j).cast("bigint").alias("j"))
-    c = cells.select(node.alias("node"), wrap(angle).alias("a"))
-    right = [(0, 1), (1, 0)]
-    to = F.array(*[F.struct((F.col("node.i") + a).alias("i"), (F.col("node.j") + b).alias("j")) for a, b in right])
-    e = c.select(F.col("node").alias("src"), F.col("a").alias("sa"), F.explode(to).alias("dst")).join(c.select(F.col("node").alias("dst"), F.col("a").alias("da")), "dst")
-    jump = F.col("da") - F.col("sa")
-    e = graph.cut_lineage(e.select("src", "dst", ((jump > np.pi).cast("bigint") - (jump < -np.pi).cast("bigint")).alias("delta")))
-    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), (-F.col("delta")).alias("delta")))
-    comp = graph.components(e.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    comp = c.select("node").join(comp, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    tree = graph.breadth_first(both, comp.select(F.col("root").alias("node")).distinct(), None)
-    size = comp.groupBy("root").agg(F.count("*").alias("n"))
-    top = size.agg(F.min_by("root", F.struct(-F.col("n"), F.col("root"))).alias("top"))
-    out = tree.join(comp, "node").join(F.broadcast(top))  # top is one row
-    return out.select(F.col("node.i").alias(i), F.col("node.j").alias(j), F.col("acc").alias("turns"), (F.col("root") == F.col("top")).alias("main"))

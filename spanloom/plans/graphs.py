@@ -6,18 +6,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators import graph, joins
+from ..operators.ragged import numbered
 from .registry import query
 
-# Edges between 400 groups of parts that are an order's first and second line.
-_E = """e AS (SELECT DISTINCT least(a.l_partkey % 400, b.l_partkey % 400) AS a, greatest(a.l_partkey % 400, b.l_partkey % 400) AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2
-  WHERE a.l_partkey % 400 <> b.l_partkey % 400 AND a.l_orderkey % 8 = 0),
+# Edges between parts that are an order's first and second line.
+_E = """e AS (SELECT DISTINCT least(a.l_partkey, b.l_partkey) AS a, greatest(a.l_partkey, b.l_partkey) AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2
+  WHERE a.l_partkey <> b.l_partkey),
 d AS (SELECT a AS src, b AS dst, b - a AS delta0 FROM e UNION ALL SELECT b, a, a - b FROM e),
 g AS (SELECT src, dst, CASE WHEN src < dst THEN (src + dst) % 7 - 3 ELSE -((src + dst) % 7 - 3) END AS delta FROM d)"""
 
 
+def _least_label(name: str, edges: str) -> str:
+    """Each node's least reachable node, by labels that only fall."""
+    return f"""{name}(node, root) USING KEY (node) AS (SELECT src, src FROM {edges} UNION
+  SELECT w.dst, min(r.root) FROM {name} r JOIN {edges} w ON r.node = w.src LEFT JOIN recurring.{name} k ON k.node = w.dst GROUP BY w.dst, k.root HAVING k.root IS NULL OR min(r.root) < k.root)"""
+
+
 def _edges(t):
-    one = lambda n, name: t("lineitem").where(F.col("l_linenumber") == n).select("l_orderkey", (F.col("l_partkey") % 400).alias(name))
-    e = one(1, "p").join(one(2, "q"), "l_orderkey").where("p != q and l_orderkey % 8 = 0")
+    one = lambda n, name: t("lineitem").where(F.col("l_linenumber") == n).select("l_orderkey", F.col("l_partkey").alias(name))
+    e = one(1, "p").join(one(2, "q"), "l_orderkey").where("p != q")
     return e.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
@@ -27,6 +34,9 @@ def _directed(t):
     return e.select("src", "dst", F.when(F.col("src") < F.col("dst"), w).otherwise(-w).alias("delta"))
 
 
+_LEAST_COST = """r(node, cost) USING KEY (node) AS ({first} UNION
+  SELECT w.dst, min(r.cost + w.w) FROM r JOIN w ON r.node = w.src LEFT JOIN recurring.r k ON k.node = w.dst GROUP BY w.dst, k.cost HAVING k.cost IS NULL OR min(r.cost + w.w) < k.cost)"""
+
 _BFS = f"""WITH {_E}, l0 AS (SELECT CAST(100 AS BIGINT) AS node, 0 AS depth, CAST(0 AS BIGINT) AS acc, CAST(NULL AS BIGINT) AS parent),
 o1 AS (SELECT dst AS node, 1 AS depth, CAST(min(acc + delta) AS BIGINT) AS acc, arg_min(src, (acc + delta, src)) AS parent FROM l0 JOIN g ON node = src WHERE dst NOT IN (SELECT node FROM l0) GROUP BY 1), s1 AS (SELECT * FROM l0 UNION ALL SELECT * FROM o1),
 o2 AS (SELECT dst AS node, 2 AS depth, CAST(min(acc + delta) AS BIGINT) AS acc, arg_min(src, (acc + delta, src)) AS parent FROM o1 JOIN g ON node = src WHERE dst NOT IN (SELECT node FROM s1) GROUP BY 1), s2 AS (SELECT * FROM s1 UNION ALL SELECT * FROM o2),
@@ -59,7 +69,7 @@ def cycle_holonomy(t):
 
 
 @query(
-    "K12 K04",
+    "K12",
     f"""{_BFS} SELECT a.node, CAST(1 + (a.parent IS NOT NULL)::INT + (b.parent IS NOT NULL)::INT + (c.parent IS NOT NULL)::INT AS BIGINT) AS length, concat_ws('-', a.node, a.parent, b.parent, c.parent) AS path
 FROM tree a LEFT JOIN tree b ON a.parent = b.node LEFT JOIN tree c ON b.parent = c.node""",
 )
@@ -68,23 +78,36 @@ def tree_paths(t):
     return p.select("node", F.size("path").cast("long").alias("length"), F.concat_ws("-", F.transform("path", lambda x: x.cast("string"))).alias("path"))
 
 
+_H = "h AS (SELECT g.src, g.dst, CAST(x.acc + g.delta - y.acc AS BIGINT) AS holonomy FROM g JOIN tree x ON g.src = x.node JOIN tree y ON g.dst = y.node WHERE g.src < g.dst AND NOT (coalesce(y.parent = g.src, false) OR coalesce(x.parent = g.dst, false)))"
+
+
+@query(
+    "K04",
+    f"""{_BFS}, {_H}, p AS (SELECT a.node, list_filter([a.node, a.parent, b.parent, c.parent], lambda x: x IS NOT NULL) AS path FROM tree a LEFT JOIN tree b ON a.parent = b.node LEFT JOIN tree c ON b.parent = c.node),
+j AS (SELECT src, dst, holonomy, p.path AS pp, q.path AS qq, list_filter(p.path, lambda x: list_contains(q.path, x))[1] AS lca FROM h JOIN p ON p.node = src JOIN p q ON q.node = dst WHERE holonomy <> 0)
+SELECT src, dst, holonomy, lca, array_to_string(list_concat(pp[1:list_position(pp, lca)], list_reverse(qq[1:list_position(qq, lca) - 1])), '-') AS cycle FROM j""",
+)
+def fundamental_cycles(t):
+    tree = _tree(t)
+    loops = graph.holonomy(_directed(t), tree).withColumn("holonomy", F.col("holonomy").cast("long")).where("holonomy != 0")
+    c = graph.fundamental_cycles(loops, tree)
+    return c.withColumn("cycle", F.concat_ws("-", F.transform("cycle", lambda x: x.cast("string"))))
+
+
 @query("K23", f"{_BFS} SELECT node, depth, CAST(row_number() OVER (PARTITION BY depth ORDER BY parent NULLS FIRST, node) - 1 AS BIGINT) AS slot FROM tree")
 def layout_slots(t):
     return graph.layout_slots(_tree(t)).select("node", "depth", F.col("slot").cast("long").alias("slot"))
 
 
 @query(
-    "K06 K07 K08",
-    f"""WITH RECURSIVE {_E}, r AS (SELECT src AS node, src AS root FROM g UNION SELECT dst, root FROM r JOIN g ON node = src WHERE root < dst),
-c AS (SELECT node, least(node, min(root)) AS root FROM r GROUP BY 1), f AS (SELECT DISTINCT node, root FROM c)
-SELECT root, count(*) AS nodes, CAST(sum(p_size) AS BIGINT) AS area, row_number() OVER (ORDER BY count(*) DESC, sum(p_size) DESC, root) AS rank FROM f JOIN part ON node = p_partkey GROUP BY 1""",
+    "K06 K07",
+    f"""WITH RECURSIVE {_E}, {_least_label("r", "g")}
+SELECT root, count(*) AS nodes, CAST(sum(p_size) AS BIGINT) AS area, row_number() OVER (ORDER BY count(*) DESC, sum(p_size) DESC, root) AS rank FROM r JOIN part ON node = p_partkey GROUP BY 1""",
 )
 def components_rank(t):
-    from pyspark.sql import Window
-
     c = graph.components(_edges(t)).join(t("part").select(F.col("p_partkey").alias("node"), "p_size"), "node")
     c = c.groupBy("root").agg(F.count("*").alias("nodes"), F.sum("p_size").alias("area"))
-    return c.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("nodes"), F.desc("area"), "root")).cast("long"))
+    return numbered(c, [F.desc("nodes"), F.desc("area"), F.col("root")], "rank").withColumn("rank", F.col("rank") + 1)
 
 
 @query("K19 U04", f"WITH {_E}, t AS (SELECT x.a AS n1, x.b AS n2, y.b AS n3 FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b), u AS (SELECT unnest([n1, n2, n3]) AS node FROM t) SELECT node, count(*) AS triangles FROM u GROUP BY 1")
@@ -98,13 +121,32 @@ def four_cycles(t):
 
 
 @query(
-    "K11 K09",
-    f"""WITH RECURSIVE {_E}, w AS (SELECT src, dst, 1 + (src + dst) % 5 AS w FROM g), r AS (SELECT CAST(100 AS BIGINT) AS node, CAST(0 AS BIGINT) AS cost, 0 AS k UNION SELECT dst, cost + w, k + 1 FROM r JOIN w ON node = src WHERE k < 4)
-SELECT node, CAST(min(cost) AS DOUBLE) AS cost FROM r GROUP BY 1""",
+    "K11",
+    f"""WITH RECURSIVE {_E}, w AS (SELECT src, dst, 1 + (src + dst) % 5 AS w FROM g), {_LEAST_COST.format(first="SELECT CAST(100 AS BIGINT), CAST(0 AS BIGINT)")} SELECT node, CAST(cost AS DOUBLE) AS cost FROM r""",
 )
 def shortest_paths(t):
     e = _directed(t).select("src", "dst", (1.0 + (F.col("src") + F.col("dst")) % 5).alias("weight"))
-    return graph.shortest_paths(e, t("part").where("p_partkey = 100").select(F.col("p_partkey").alias("node")), 4)
+    return graph.shortest_paths(e, t("part").where("p_partkey = 100").select(F.col("p_partkey").alias("node"))).select("node", "cost")
+
+
+_QUADS = """c AS (SELECT DISTINCT l_suppkey AS i, l_partkey % 60 AS j FROM lineitem WHERE l_quantity > 25), n AS (SELECT i, j, i * 60 + j AS node FROM c),
+w AS (SELECT a.node AS src, b.node AS dst, CASE WHEN a.i = b.i OR a.j = b.j THEN 1 ELSE sqrt(2) END AS w FROM n a JOIN (VALUES (0, 1), (1, 0), (1, 1), (1, -1), (0, -1), (-1, 0), (-1, -1), (-1, 1)) m(di, dj) ON true JOIN n b ON b.i = a.i + di AND b.j = a.j + dj)"""
+
+
+def _quads(t):
+    c = t("lineitem").where("l_quantity > 25").select(F.col("l_suppkey").alias("i"), (F.col("l_partkey") % 60).alias("j")).distinct()
+    return c.withColumn("node", F.col("i") * 60 + F.col("j"))
+
+
+@query("K11 K07", f"""WITH RECURSIVE {_QUADS}, {_LEAST_COST.format(first="SELECT min(node), CAST(0 AS DOUBLE) FROM n")} SELECT node, round(cost, 6) AS cost FROM r""")
+def grid_geodesics(t):
+    from ..operators import blocks
+
+    c = _quads(t)
+    first = c.agg(F.min("node").alias("first"))
+    c = c.join(F.broadcast(first))  # first is one row
+    g = blocks.geodesics(c.withColumn("seed", F.col("node") == F.col("first")), "i", "j", "seed")
+    return g.select((F.col("i") * 60 + F.col("j")).alias("node"), F.round("cost", 6).alias("cost"))
 
 
 @query(
@@ -118,13 +160,20 @@ def degree_two_chains(t):
 
 
 @query(
-    "K16 K20 C13",
-    f"""WITH {_E}, s AS (SELECT CAST(p_partkey AS BIGINT) AS n0 FROM part WHERE p_partkey % 40 = 0), a AS (SELECT n0, (SELECT arg_min(dst, ((src * 31 + dst * 17) % 101, dst)) FROM g WHERE src = n0 AND dst <> n0) AS n1 FROM s),
-b AS (SELECT *, (SELECT arg_min(dst, ((src * 31 + dst * 17) % 101, dst)) FROM g WHERE src = n1 AND dst NOT IN (n0, n1)) AS n2 FROM a) SELECT n0 AS start, concat_ws('-', n0, n1, n2) AS walk FROM b""",
+    "K20",
+    f"""WITH {_E}, p AS (SELECT src, dst, (src * 7 + dst * 13) % 50 AS position FROM g),
+c1 AS (SELECT a.src AS s, a.dst AS c, b.position AS entry FROM p a JOIN p b ON b.src = a.dst AND b.dst = a.src), x1 AS (SELECT s, c, p.dst AS x FROM c1 JOIN p ON p.src = c AND p.dst <> s AND abs(position - entry) >= 10),
+o1 AS (SELECT s, c FROM x1 JOIN p ON p.src = x AND p.dst = s UNION SELECT s, c FROM x1 JOIN p v ON v.src = x AND v.dst <> c AND v.dst <> s JOIN p h ON h.src = v.dst AND h.dst = s),
+w1 AS (SELECT s, arg_min(c, ((s * 31 + c * 17) % 101, c)) AS u FROM o1 GROUP BY s),
+c2 AS (SELECT s, u, a.dst AS c, b.position AS entry FROM w1 JOIN p a ON a.src = u AND a.dst <> s JOIN p b ON b.src = a.dst AND b.dst = u), x2 AS (SELECT s, u, c, p.dst AS x FROM c2 JOIN p ON p.src = c AND p.dst <> u AND abs(position - entry) >= 10),
+o2 AS (SELECT s, u, c FROM x2 WHERE x = s UNION SELECT s, u, c FROM x2 JOIN p ON x <> s AND p.src = x AND p.dst = s), w2 AS (SELECT s, arg_min(c, ((u * 31 + c * 17) % 101, c)) AS v FROM o2 GROUP BY s)
+SELECT n.src AS start, concat_ws('-', n.src, u, v) AS walk FROM (SELECT DISTINCT src FROM p) n LEFT JOIN w1 ON w1.s = n.src LEFT JOIN w2 ON w2.s = n.src""",
 )
-def bounded_walks(t):
+def gated_walks(t):
+    g = _directed(t)
+    records = graph.cut_lineage(g.select("src", "dst", ((F.col("src") * 7 + F.col("dst") * 13) % 50).alias("position")))
     order = (F.col("src") * 31 + F.col("dst") * 17) % 101
-    w = graph.walks(_directed(t), t("part").where("p_partkey % 40 = 0").select(F.col("p_partkey").alias("node")), 2, order)
+    w = graph.gated_walks(records, records.select(F.col("src").alias("node")).distinct(), 2, 10.0, order)
     return w.select("start", F.concat_ws("-", F.transform("walk", lambda x: x.cast("string"))).alias("walk"))
 
 
