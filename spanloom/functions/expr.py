@@ -103,6 +103,18 @@ def numeric_suffix(name) -> Column:
     return F.regexp_extract(col(name), r"(\d+)$", 1).cast("int")
 
 
+def expm_2x2(a, b, c, d) -> tuple[Column, Column, Column, Column]:
+    """The exponential of [[a, b], [c, d]], by rows: e^s (cosh q I + sinh q / q (A - s I)), s half the trace, q^2 = s^2 - det."""
+    a, b, c, d = (col(x) for x in (a, b, c, d))
+    s = (a + d) / 2
+    q2 = (a - d) * (a - d) / 4 + b * c
+    q = F.sqrt(F.abs(q2))
+    even = F.when(q2 >= 0, F.cosh(q)).otherwise(F.cos(q))
+    odd = F.when(q < 1e-8, F.lit(1.0)).when(q2 >= 0, F.sinh(q) / q).otherwise(F.sin(q) / q)
+    e = F.exp(s)
+    return e * (even + odd * (a - s)), e * odd * b, e * odd * c, e * (even + odd * (d - s))
+
+
 def stable_hash(*parts, seed: str = "0") -> Column:
     """A 60-bit number that other engines can compute too: the first 15 hex digits of an md5."""
     text = F.concat_ws(":", F.lit(seed), *[col(p).cast("string") for p in parts])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ragged import gap_clusters, over
+from .ragged import gap_clusters, numbered, over
 
 
 def crossing_events(points: DataFrame, track: str, cell: str, index: str, family: str | None = None) -> DataFrame:
@@ -24,12 +24,15 @@ def crossing_events(points: DataFrame, track: str, cell: str, index: str, family
 
 def best_crossings(events: DataFrame, clearance: Column, gap: int = 4) -> DataFrame:
     """One event for each pair: of the middles of the clusters of near events, that of most clearance (then the first)."""
-    e = gap_clusters(events, ["a", "b"], ["a_idx", "b_idx"], ["a_idx", "b_idx"], gap)
+    g = events.groupBy("a", "b").agg(F.collect_list(F.struct("a_idx", "b_idx")).alias("all"))
+    # Nearly all pairs meet once, and need no order. The others are dealt by pair already.
+    single = g.where(F.size("all") == 1).select("a", "b", F.lit(1).cast("long").alias("clusters"), F.inline("all")).withColumn("clearance", clearance)
+    e = gap_clusters(g.where(F.size("all") > 1).select("a", "b", F.inline("all")), ["a", "b"], ["a_idx", "b_idx"], ["a_idx", "b_idx"], gap)
     w = Window.partitionBy("a", "b", "cluster")
     e = e.withColumn("n", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy("a_idx", "b_idx")) - 1).where(F.col("k") == F.floor(F.col("n") / 2))
     e = e.withColumn("clearance", clearance)
     best = F.min_by(F.struct("a_idx", "b_idx", "clearance"), F.struct(-F.col("clearance"), F.col("a_idx"), F.col("b_idx"))).alias("e")
-    return e.groupBy("a", "b").agg(F.max("cluster").alias("clusters"), best).select("a", "b", "clusters", "e.*")
+    return single.unionByName(e.groupBy("a", "b").agg(F.max("cluster").alias("clusters"), best).select("a", "b", "clusters", "e.*"))
 
 
 def both_ways(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -38,7 +41,7 @@ def both_ways(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def restricted(edges: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
     """Edges (a, b) between the given nodes, renumbered densely from 0 in the order of the nodes."""
-    ids = nodes.select(node).distinct().withColumn("id", F.row_number().over(Window.orderBy(node)) - 1)
+    ids = numbered(nodes.select(node).distinct(), [node])
     one = lambda s: ids.select(F.col(node).alias(s), F.col("id").cast("long").alias(f"{s}_id"))
     return edges.join(one("a"), "a").join(one("b"), "b").select("a_id", "b_id")
 

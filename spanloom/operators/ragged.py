@@ -20,6 +20,21 @@ def running(w: Window) -> Window:
     return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+def numbered(df: DataFrame, order: list, name: str = "id") -> DataFrame:
+    """Numbers all rows from 0 in ``order``: rows are ranged over tasks by it, each task numbers its own, and what lies before a
+    task is added. No task gets all rows; equal rows are numbered in any order among themselves."""
+    cols = [c if isinstance(c, Column) else F.col(c) for c in order]
+    d = df.repartitionByRange(*cols).sortWithinPartitions(*cols).select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__at"))
+    from .graph import cut_lineage
+
+    # Written once: ranges are drawn from a sample, and must not be drawn anew between the counts and the rows.
+    d = cut_lineage(d.withColumn("__at", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))))
+    counts = d.groupBy("__part").agg(F.count("*").alias("__n"))
+    # One row a task: a small table, numbered in one.
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    return d.join(before, "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
+
+
 def step_lengths(df: DataFrame, key, order, coords: list[str], name: str = "step") -> DataFrame:
     """Distance from the point before, 0 for the first."""
     w = over(key, order)
@@ -152,3 +167,75 @@ def catmull_rom(df: DataFrame, key: str, order: str, value: str, parts: int) ->
     return d.select(key, order, "k", curve.alias(value))
 
 
+
+
+def complete_bands(samples: DataFrame, ray: str, order, arc: str, field: str, valid: str, dot: str, least_gap: float, graze_dot: float, graze_depth: float) -> DataFrame:
+    """Stretches of each ray where ``field`` falls below 0 and comes back: ray, ordinal, center, width, depth, clearance_before,
+    ambiguous, graze, merged, interior_invalid, unsupported_before.
+
+    A band begins and ends where the field crosses 0 between two valid samples, in between them by proportion; stretches
+    that a ray's end cuts are none. Depth is the least field inside, clearance the largest valid one since the band before
+    (null for a ray's first). Two neighbours whose centres are nearer than ``least_gap``, measured along the normal by the
+    smaller ``dot`` (of the last sample up to the centre, null: no normal), become one, unless an invalid sample lies inside
+    either or between their centres or one has no normal: then both are ambiguous, as are both of a pair that overlaps a
+    merged one. A band grazes if its dot is under ``graze_dot`` and it is not deeper than ``graze_depth``.
+    """
+    orders = [order] if isinstance(order, str) else list(order)
+    w = over(ray, orders)
+    s = samples.select(ray, *orders, F.col(arc).alias("x"), F.col(field).alias("f"), F.col(valid).alias("ok"), F.col(dot).alias("dot"), F.row_number().over(w).alias("pos"))
+    w = over(ray, "pos")
+    x1, f1, ok1 = (F.lead(c).over(w) for c in ("x", "f", "ok"))
+    s = s.withColumn("x1", x1).withColumn("f1", f1).withColumn("crosses", F.col("ok") & F.coalesce(ok1, F.lit(False)) & ((F.col("f") < 0) != (f1 < 0)))
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("f") / (F.col("f") - F.col("f1"))))
+    s = s.withColumn("c", F.when(F.col("crosses"), F.struct("pos", (F.col("x") + share * (F.col("x1") - F.col("x"))).alias("at"), (F.col("f") >= 0).alias("entry"))))
+    s = s.withColumn("n", F.first("c", True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    begins = F.col("c.entry") & ~F.col("n.entry")
+    band = F.struct(F.col("c.at").alias("a"), F.col("n.at").alias("b"), F.col("n.pos").alias("last"), ((F.col("c.at") + F.col("n.at")) / 2).alias("center"), F.col("dot").alias("dot"))
+    s = s.withColumn("band", F.when(begins, band))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("k", F.count("band").over(before)).withColumn("o", F.last("band", True).over(before))
+    inside = F.col("pos") <= F.col("o.last")
+    early = F.col("x") <= F.col("o.center")
+    g = s.groupBy(ray, "k").agg(
+        F.first("o").alias("o"),
+        F.min(F.when(inside, F.col("f"))).alias("depth"),
+        F.max(F.when(~F.coalesce(inside, F.lit(False)) & F.col("ok"), F.col("f"))).alias("gap"),
+        F.coalesce(F.bool_or(inside & ~F.col("ok")), F.lit(False)).alias("holed"),
+        F.coalesce(F.bool_or(early & ~F.col("ok")), F.lit(False)).alias("bad_here"),
+        F.coalesce(F.bool_or(~F.coalesce(early, F.lit(False)) & ~F.col("ok")), F.lit(False)).alias("bad_after"),
+        F.max_by(F.struct("dot"), F.when(early & inside, F.col("pos"))).alias("last_dot"),
+    )
+    # Where no sample lies between a band's begin and its centre, the one before its begin tells.
+    g = g.withColumn("dot", F.when(F.col("last_dot").isNull(), F.col("o.dot")).otherwise(F.col("last_dot.dot")))
+    w = over(ray, "k")
+    back = lambda c, none: F.coalesce(F.lag(c).over(w), F.lit(none))
+    g = g.withColumn("unsupported", F.col("bad_here") | back("bad_after", False)).withColumn("clearance", F.when(F.col("k") > 1, F.lag("gap").over(w))).where("k > 0")
+    near = (F.lead("o.center").over(w) - F.col("o.center")) * F.least(F.coalesce("dot", F.lit(0.0)), F.coalesce(F.lead("dot").over(w), F.lit(0.0))) < least_gap
+    doubt = F.lead("unsupported").over(w) | F.col("holed") | F.lead("holed").over(w) | F.col("dot").isNull() | F.lead("dot").over(w).isNull()
+    g = g.withColumn("near", F.coalesce(near, F.lit(False))).withColumn("split", F.col("near") & F.coalesce(doubt, F.lit(False))).withColumn("m", F.col("near") & ~F.col("split"))
+    g = g.withColumn("overlap", F.col("m") & back("m", False)).withColumn("merge", F.col("m") & ~back("m", False))
+    g = g.withColumn("ambiguous", F.col("holed") | F.col("split") | F.col("overlap") | back("split", False) | back("overlap", False))
+    next_ = lambda c: F.lead(c).over(w)
+    g = g.withColumn("end", F.when(F.col("merge"), next_("o.b")).otherwise(F.col("o.b"))).withColumn("depth2", F.when(F.col("merge"), F.least("depth", next_("depth"))).otherwise(F.col("depth")))
+    g = g.withColumn("dot2", F.when(F.col("merge"), F.least("dot", next_("dot"))).otherwise(F.col("dot"))).withColumn("gone", back("merge", False)).where("not gone")
+    graze = F.coalesce((F.col("dot2") < graze_dot) & (F.col("depth2") > -graze_depth), F.lit(False))
+    return g.select(
+        ray, (F.row_number().over(w) - 1).cast("long").alias("ordinal"), ((F.col("o.a") + F.col("end")) / 2).alias("center"), (F.col("end") - F.col("o.a")).alias("width"), F.col("depth2").alias("depth"),
+        F.col("clearance").alias("clearance_before"), "ambiguous", graze.alias("graze"), F.col("merge").alias("merged"), F.col("holed").alias("interior_invalid"), F.col("unsupported").alias("unsupported_before"),
+    )
+
+
+def padded(df: DataFrame, key: str, order, values: list[str], width: int | None = None, fill: float = 0.0) -> DataFrame:
+    """key, n, valid and one array of each value, in order, all ``width`` long (default: as long as the longest sequence).
+
+    What a sequence lacks is ``fill``, and false in ``valid``; what it has beyond ``width`` is left out, and counted in n.
+    """
+    orders = [order] if isinstance(order, str) else list(order)
+    g = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*orders, *[F.col(v).alias(f"__{v}") for v in values]))).alias("__a"))
+    if width is None:
+        width = g.agg(F.coalesce(F.max(F.size("__a")), F.lit(0))).first()[0]
+    n = F.size("__a")
+    pad = lambda a, x: F.slice(F.concat(a, F.array_repeat(x, F.greatest(F.lit(width) - n, F.lit(0)))), 1, width) if width else a
+    of = lambda v: F.transform("__a", lambda r: r[f"__{v}"].cast("double"))
+    cols = [pad(of(v), F.lit(fill)).alias(v) for v in values]
+    return g.select(key, n.cast("long").alias("n"), pad(F.transform("__a", lambda r: F.lit(True)), F.lit(False)).alias("valid"), *cols)

@@ -67,6 +67,36 @@ def pooled(cells: DataFrame, coords: list[str], factor: int, how: Column, extent
     return cells.groupBy(*[F.floor(F.col(c) / factor).alias(c) for c in coords]).agg(how)
 
 
+def line_gaps(cells: DataFrame, i: str, j: str, value: str, height: int, window: int, step: int, pitch: tuple[float, float], least: float) -> DataFrame:
+    """start, gaps, score: for each window of ``window`` columns, every ``step``, whose mean is ``least`` or more: the gaps between
+    the lines of its profile down the rows, and the mean of how well they fit the pitch.
+
+    A profile is the windows' mean of each of ``height`` rows (absent cells are 0), without its slow trend, smoothed; lines
+    are its peaks that stand out and are not too near each other. A window's profile is one group: ``height`` numbers.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from ..functions.lines import conformity, peaks, smoothed
+
+    lo, hi = pitch
+    first = F.greatest(F.ceil((F.col(j) - (window - 1)) / step), F.lit(0).cast("long"))
+    starts = F.filter(F.sequence(first, F.greatest(first, F.floor(F.col(j) / step))), lambda s: s <= F.floor(F.col(j) / step))
+    d = cells.where(F.col(i).between(0, height - 1) & (F.col(j) >= 0)).withColumn("start", F.explode(F.transform(starts, lambda s: s * step)))
+    rows = d.groupBy("start", i).agg((F.sum(value) / window).alias("__mean"))
+
+    def lines(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        profile = np.zeros(height)
+        profile[rows[i].to_numpy(int)] = rows["__mean"].to_numpy(float)
+        if profile.mean() < least:
+            return pd.DataFrame({"start": [], "gaps": [], "score": []})
+        flat = smoothed(profile - smoothed(profile, 2 * hi), lo / 8)
+        gaps = np.diff(peaks(flat, max(1, int(0.3 * lo)), max(0.25 * flat.std(), 0.2 * profile.mean())))
+        return pd.DataFrame({"start": [key[0]], "gaps": [gaps.tolist()], "score": [float(np.mean([conformity(g, lo, hi) for g in gaps])) if len(gaps) else None]})
+
+    return rows.groupBy("start").applyInPandas(lines, "start bigint, gaps array<bigint>, score double")
+
+
 def chunk_of(cells: DataFrame, coords: list[str], size: int) -> DataFrame:
     """Chunk coordinates c_*, and the offset within the chunk in row-major order."""
     d, off = cells, F.lit(0)
@@ -76,7 +106,8 @@ def chunk_of(cells: DataFrame, coords: list[str], size: int) -> DataFrame:
     return d.withColumn("offset", off.cast("long"))
 
 
-def round_robin_labels(df: DataFrame, order: Column, labels: int = 255) -> Column:
-    from pyspark.sql import Window
+def round_robin_labels(df: DataFrame, order: str, labels: int = 255) -> DataFrame:
+    """``df`` with label: 1 to ``labels`` again and again, in order."""
+    from .ragged import numbered
 
-    return 1 + F.pmod(F.row_number().over(Window.orderBy(order)) - 1, F.lit(labels))
+    return numbered(df, [order], "label").withColumn("label", (1 + F.col("label") % labels).cast("long"))

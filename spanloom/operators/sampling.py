@@ -69,22 +69,159 @@ def spaced_top_k(candidates: DataFrame, key: str, position: str, clearance: str,
     """k of each key's candidates, far apart: the least position first, the farthest from it second, then again and again
     the one whose nearest chosen is farthest. k = 1: the clearest. Ties: more clearance, then the least id.
 
-    Each choice depends on those before, so a key is one ordered array and one fold: keys are assumed to be bounded.
+    Each choice is a partial aggregate over a join with those before it, k at most for a key: no key is gathered.
     """
-    item = F.struct(F.col(position).cast("double").alias("p"), F.col(clearance).cast("double").alias("c"), F.col(ident).cast("long").alias("id"))
-    g = candidates.groupBy(key).agg(F.collect_list(item).alias("all"))
-
-    def best(items: Column, score) -> Column:
-        ranked = F.transform(items, lambda x: F.struct(score(x).alias("s"), x["c"].alias("c"), (-x["id"]).alias("i"), x.alias("x")))
-        return F.array_max(ranked)["x"]
-
-    def grow(chosen: Column) -> Column:
-        left = F.filter("all", lambda x: ~F.exists(chosen, lambda y: y["id"] == x["id"]))
-        gap = lambda x: F.array_min(F.transform(chosen, lambda y: F.abs(x["p"] - y["p"])))
-        return F.when(F.size(left) > 0, F.concat(chosen, F.array(best(left, gap)))).otherwise(chosen)
-
-    first = best(F.col("all"), (lambda x: x["c"]) if k == 1 else (lambda x: -x["p"]))
-    # One fold: chained columns would hold each other's expressions twice over in every step.
-    steps = F.sequence(F.lit(1), F.lit(k - 1)) if k > 1 else F.array().cast("array<int>")
-    g = g.withColumn("chosen", F.aggregate(steps, F.array(first), lambda chosen, _: grow(chosen)))
-    return g.select(key, F.posexplode("chosen").alias("rank", "x")).select(key, "rank", F.col("x.id").alias(ident), F.col("x.p").alias(position))
+    from .graph import cut_lineage
+
+    c = candidates.select(key, F.col(position).cast("double").alias("p"), F.col(clearance).cast("double").alias("c"), F.col(ident).cast("long").alias("id"))
+    item = F.struct("p", "c", "id")
+
+    def first(score: Column) -> Column:
+        return F.max_by(item, F.struct(score, "c", -F.col("id")))
+
+    chosen = c.groupBy(key).agg(F.array(first(F.col("c") if k == 1 else -F.col("p"))).alias("chosen"))
+    for _ in range(1, k):
+        chosen = cut_lineage(chosen)
+        left = c.join(chosen, key).where(~F.exists("chosen", lambda y: y["id"] == F.col("id")))
+        gap = F.array_min(F.transform("chosen", lambda y: F.abs(F.col("p") - y["p"])))
+        best = left.withColumn("gap", gap).groupBy(key).agg(first(F.col("gap")).alias("best"))
+        chosen = chosen.join(best, key, "left").select(key, F.when(F.col("best").isNotNull(), F.concat("chosen", F.array("best"))).otherwise(F.col("chosen")).alias("chosen"))
+    return chosen.select(key, F.posexplode("chosen").alias("rank", "x")).select(key, "rank", F.col("x.id").alias(ident), F.col("x.p").alias(position))
+
+
+def prefix_sums(df: DataFrame, order: list[str], value: str, name: str = "upto") -> DataFrame:
+    """``df`` with the running sum of ``value`` over all rows in ``order``: tasks sum ranges of the rows, and what lies before a task is added."""
+    from .graph import cut_lineage
+
+    d = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()))
+    # One row a task: a small table, summed in one.
+    sums = d.groupBy("__part").agg(F.sum(value).alias("__s"))
+    sums = sums.withColumn("__before", F.coalesce(F.sum("__s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__s")
+    inside = F.sum(value).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return d.withColumn("__inside", inside).join(sums, "__part").withColumn(name, F.col("__before") + F.col("__inside")).drop("__part", "__inside", "__before")
+
+
+def weighted_draws(df: DataFrame, key: str, weight: str, n: int, seed: str) -> DataFrame:
+    """draw, key: ``n`` draws with replacement, likely by ``weight`` (whole numbers; others than positive are never drawn).
+
+    A draw is a hash of seed and number, modulo the total; it takes the first row, by key, whose running sum is above it.
+    """
+    c = prefix_sums(df.where(F.col(weight) > 0).select(key, F.col(weight).cast("long").alias("w")), [key], "w")
+    from .graph import cut_lineage
+
+    c = cut_lineage(c)
+    total = c.agg(F.coalesce(F.max("upto"), F.lit(0)).alias("t")).first()[0]
+    spark = df.sparkSession
+    if total == 0:
+        return spark.range(0).select(F.col("id").alias("draw")).join(df.select(key), F.lit(False))
+    draws = spark.range(n).select(F.col("id").alias("draw"), (stable_hash("id", seed=seed) % total).alias("u"))
+    # Rows are dealt to the stretches of the range of sums that they reach into, draws to the one that they fall in.
+    width = max(1, total // 4096)
+    stretch = lambda x: F.floor(x / width)
+    c = c.withColumn("lo", F.col("upto") - F.col("w")).withColumn("__b", F.explode(F.sequence(stretch(F.col("lo")), stretch(F.col("upto") - 1))))
+    return draws.withColumn("__b", stretch(F.col("u"))).join(c, "__b").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("upto"))).select("draw", key)
+
+
+def distant_endpoints(df: DataFrame, by: str, key: str, distance: str, n: int, seed: str) -> DataFrame:
+    """by, key, rn: of each group's rows at least half as far as its farthest (and over 0), ``n`` drawn by the square of
+    their distance, without replacement; a group with fewer gives its rows again and again, in their order of drawing."""
+    far = df.where(F.col(distance) > 0)
+    most = far.groupBy(by).agg(F.max(distance).alias("__most"))
+    far = far.join(most, by).where(F.col(distance) >= 0.5 * F.col("__most")).withColumn("__w", F.pow(F.col(distance) / F.col("__most"), 2))
+    d = weighted_order(far, key, "__w", n, seed, by)
+    size = d.groupBy(by).agg(F.count("*").alias("__n"))
+    again = F.sequence(F.col("rn"), F.lit(n).cast("int"), F.col("__n").cast("int"))
+    return d.join(size, by).withColumn("rn", F.explode(again)).select(by, key, F.col("rn").cast("long").alias("rn"))
+
+
+def diverse_seeds(df: DataFrame, key: str, length: str, coords: list[str], n: int, seed: str) -> DataFrame:
+    """rank, key, coords: ``n`` of the rows in the top quarter by length. The first by a seeded hash; each next one, by the
+    hash of its rank, of those whose distance to the nearest chosen is in the top quarter of what is left.
+
+    A round is two aggregates; what is chosen, n rows, is all that the driver holds.
+    """
+    cut = F.percentile(F.col(length), 0.75)
+    top = df.agg(cut.alias("__cut"))
+    c = df.join(F.broadcast(top), F.col(length) >= F.col("__cut")).select(key, *coords)  # top is one row
+    from .graph import cut_lineage
+
+    c, chosen = cut_lineage(c), []
+    while len(chosen) < n:
+        left = c.where(~F.col(key).isin([r[key] for r in chosen])) if chosen else c
+        if chosen:
+            gaps = [F.sqrt(sum((F.pow(F.col(x) - F.lit(float(r[x])), 2) for x in coords), F.lit(0.0))) for r in chosen]
+            left = left.withColumn("__gap", F.round(F.least(*gaps) if len(gaps) > 1 else gaps[0], 9))
+            bar = left.agg(F.percentile("__gap", 0.75)).first()[0]
+            left = left.where(F.col("__gap") >= F.lit(bar)) if bar is not None else left
+        h = stable_hash(F.lit(len(chosen)), key, seed=seed)
+        row = left.orderBy(h, key).select(key, *coords).first()
+        if row is None:
+            break
+        chosen.append(row)
+    kinds = dict(df.dtypes)
+    schema = ", ".join(["rank bigint", f"{key} {kinds[key]}", *(f"{x} {kinds[x]}" for x in coords)])
+    return df.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(chosen)], schema)
+
+
+def eviction_plan(residents: DataFrame, wanted: DataFrame, key: str, stamp: str, capacity: int) -> DataFrame:
+    """key, action: what a cache of ``capacity`` does for ``wanted`` keys: 'hit' those that are resident, 'load' the others, and
+    'evict' for them, beyond its free places, the residents of least stamp that are not wanted (ties by key).
+
+    More wanted than the capacity is an error.
+    """
+    w = wanted.select(key).distinct()
+    r = residents.groupBy(key).agg(F.max(stamp).alias("__stamp"))
+    j = w.join(r, key, "left").select(key, F.when(F.col("__stamp").isNull(), "load").otherwise("hit").alias("action"))
+    n = j.agg(F.count("*").alias("n"), F.count(F.when(F.col("action") == "load", 1)).alias("new")).first()
+    if n.n > capacity:
+        raise ValueError(f"{n.n} keys are wanted, and the cache holds {capacity}")
+    need = max(0, r.count() + n.new - capacity)
+    out = r.join(w, key, "left_anti").orderBy("__stamp", key).limit(need)
+    return j.unionByName(out.select(key, F.lit("evict").alias("action")))
+
+
+def spatial_labels(cells: DataFrame, track: str, coords: list[str], labels: int, reach: int, seed: str) -> DataFrame:
+    """track, label, forced: labels 1 to ``labels`` so that tracks with cells within ``reach`` of each other differ; reach 0: in one cell.
+
+    Tracks come in a seeded order; each takes the first label, from one told by its hash on and around, that none of its
+    neighbours before it has. Where all are taken, it takes the one that the fewest of them have (then the least): forced.
+    In a round all tracks are labelled whose neighbours before them are: the result is that of the order, however rows lie.
+    """
+    from .graph import cut_lineage
+    from .raster import neighbours
+
+    one = cells.select(track, *coords).distinct()
+    t = one.select(track).distinct().withColumn("h", stable_hash(track, seed=seed))
+    near = neighbours(one, coords, reach) if reach else one
+    pairs = near.join(one.withColumnRenamed(track, "o"), coords).select(track, "o").distinct().where(F.col(track) != F.col("o"))
+    pairs = pairs.join(t, track).join(t.select(F.col(track).alias("o"), F.col("h").alias("oh")), "o")
+    earlier = cut_lineage(pairs.where((F.col("oh") < F.col("h")) | ((F.col("oh") == F.col("h")) & (F.col("o") < F.col(track)))).select(track, "o"))
+    open_, done = cut_lineage(t), cut_lineage(t.limit(0).select(track, F.lit(0).cast("long").alias("label"), F.lit(False).alias("forced")))
+    while not open_.isEmpty():
+        waits = earlier.join(open_.select(F.col(track).alias("o")), "o", "left_semi").select(track).distinct()
+        ready = open_.join(waits, track, "left_anti")
+        used = earlier.join(done.select(F.col(track).alias("o"), "label"), "o").groupBy(track, "label").agg(F.count("*").alias("n"))
+        used = used.groupBy(track).agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("used"))
+        r = ready.join(used, track, "left").withColumn("used", F.coalesce("used", F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<bigint>"))))
+        around = F.transform(F.sequence(F.lit(0), F.lit(labels - 1)), lambda k: 1 + (F.col("h") + k) % labels)
+        free = F.filter(around, lambda x: ~F.map_contains_key(F.col("used"), x))
+        least = F.array_min(F.transform(F.map_entries("used"), lambda e: F.struct(e["value"].alias("n"), e["key"].alias("k"))))["k"]
+        fresh = cut_lineage(r.select(track, F.when(F.size(free) > 0, F.get(free, F.lit(0))).otherwise(least).cast("long").alias("label"), (F.size(free) == 0).alias("forced")))
+        done = cut_lineage(done.unionByName(fresh))
+        open_ = cut_lineage(open_.join(fresh.select(track), track, "left_anti"))
+    return done
+
+
+def strips(cells: DataFrame, keys: list[str], i: str, j: str, anchors: DataFrame, n: int, along: str) -> DataFrame:
+    """anchor's columns, rank, i, j: ``n`` places of the cells' run through each anchor (keys, i, j) along one axis, evenly, ends included,
+    rounded half to even; an anchor that is no cell has none."""
+    across = i if along == j else j
+    runs = cells.select(*keys, i, j).distinct()
+    place = Window.partitionBy(*keys, across).orderBy(along)
+    runs = runs.withColumn("__run", F.col(along) - F.row_number().over(place))
+    ends = runs.groupBy(*keys, across, "__run").agg(F.min(along).alias("__lo"), F.max(along).alias("__hi"))
+    own = anchors.columns
+    a = anchors.join(ends, [*keys, across]).where(F.col(along).between(F.col("__lo"), F.col("__hi")))
+    at = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.rint(F.col("__lo") + (F.col("__hi") - F.col("__lo")) * k / max(1, n - 1)).cast("long"))
+    a = a.select(*[F.col(c).alias(f"__a_{c}") for c in own], *keys, F.col(across).alias("__across"), F.posexplode(at).alias("rank", "__at"))
+    return a.select(*[F.col(f"__a_{c}").alias(f"anchor_{c}") for c in own], "rank", F.col("__across").alias(across), F.col("__at").alias(along))

@@ -61,7 +61,11 @@ def csr_degree_zero_filled(t):
 SELECT x.id AS a_id, y.id AS b_id FROM e JOIN n x ON e.a = x.o_orderkey JOIN n y ON e.b = y.o_orderkey""",
 )
 def restrict_remap(t):
-    return joins.restricted(_edges(t), t("orders").where("o_totalprice > 100000"), "o_orderkey")
+    # Points of other orders go before the join of all points with each other.
+    kept = t("orders").where("o_totalprice > 100000")
+    points = _points(t).join(kept.select(F.col("o_orderkey").alias("track")), "track", "left_semi")
+    edges = joins.crossing_events(points, "track", "cell", "idx", "fam").select("a", "b").distinct()
+    return joins.restricted(edges, kept, "o_orderkey")
 
 
 @query(
@@ -95,7 +99,7 @@ def connectivity_summary(t):
 
 
 @query(
-    "J13 J14 U06 B08 S09",
+    "J13 U06 B08 S09",
     """WITH v AS (SELECT l_suppkey AS s, l_partkey AS p, avg(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
 j AS (SELECT x.s AS a, y.s AS b, count(*) AS shared, count(*) FILTER (x.q > y.q) AS above, count(*) FILTER (x.q < y.q) AS below FROM v x JOIN v y ON x.p = y.p AND x.s < y.s GROUP BY 1, 2)
 SELECT a, b, shared, above, below, least(above, below) AS both_ways FROM j WHERE above >= 5 AND below >= 5""",
@@ -107,19 +111,19 @@ def overlap_pairs_symmetric(t):
 
 @query(
     "J23 K19",
-    """WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_linenumber = 1),
+    """WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem),
 w AS (SELECT x.s AS a, y.s AS c, count(*) AS n FROM e x JOIN e y ON x.p = y.p AND x.s < y.s GROUP BY 1, 2)
 SELECT a, c, CAST(n * (n - 1) // 2 AS BIGINT) AS quads FROM w WHERE n > 1""",
 )
 def quad_closures(t):
-    e = t("lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
+    e = t("lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
     w = e.select(F.col("s").alias("a"), "p").join(e.select(F.col("s").alias("c"), "p"), "p").where("a < c").groupBy("a", "c").agg(F.count("*").alias("n"))
     return w.where("n > 1").select("a", "c", F.expr("n * (n - 1) div 2").alias("quads"))
 
 
 @query(
     "S04 S05",
-    """WITH c AS (SELECT l_suppkey AS k, l_partkey AS id, min(l_linenumber) * 1000.0 + l_partkey % 1000 AS p FROM lineitem WHERE l_suppkey % 10 = 0 GROUP BY 1, 2),
+    """WITH c AS (SELECT l_suppkey AS k, l_partkey AS id, min(l_linenumber) * 1000.0 + l_partkey % 1000 AS p FROM lineitem GROUP BY 1, 2),
 one AS (SELECT k, min(p) AS p1, max(p) AS far FROM c GROUP BY k),
 a AS (SELECT k, min(id) AS id1, any_value(p1) AS p1 FROM c JOIN one USING (k) WHERE p = p1 GROUP BY k),
 b AS (SELECT c.k, min(id) AS id2, max(p) AS p2 FROM c JOIN one ON c.k = one.k AND p = far GROUP BY c.k),
@@ -129,6 +133,24 @@ SELECT k, 0 AS rank, id1 AS id, p1 AS p FROM a UNION ALL SELECT k, 1, id2, p2 FR
 def maximin_spaced_partners(t):
     from ..operators import sampling
 
-    c = t("lineitem").where("l_suppkey % 10 = 0").groupBy(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("id"))
+    c = t("lineitem").groupBy(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("id"))
     c = c.agg((F.min("l_linenumber") * 1000.0 + F.col("id") % 1000).alias("p")).withColumn("c", F.lit(0.0))
     return sampling.spaced_top_k(c, "k", "p", "c", "id", 3)
+
+
+@query(
+    "K16 S16",
+    f"""WITH {_POINTS}, r AS (SELECT a AS src, b AS dst, a_idx AS s, b_idx AS p FROM events UNION ALL SELECT b, a, b_idx, a_idx FROM events),
+w1 AS (SELECT src AS n0, min(struct_pack(o := (src * 31 + dst * 17) % 1009, dst := dst, s := s, p := p)) AS n FROM r GROUP BY 1),
+w2 AS (SELECT n0, any_value(n.dst) AS n1, min(struct_pack(o := (src * 31 + r.dst * 17) % 1009, dst := r.dst, s := r.s, p := r.p)) AS m FROM w1 JOIN r ON src = n.dst AND r.dst <> n0 AND abs(r.s - n.p) BETWEEN 1 AND 3 GROUP BY 1)
+SELECT n0 AS start, concat_ws('-', n0, n1, m.dst) AS walk FROM w2""",
+)
+def crossing_walks(t):
+    from ..operators import graph
+
+    e = _events(t)
+    r = e.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("a_idx").alias("self_local"), F.col("b_idx").alias("partner_local"))
+    r = r.unionByName(e.select(F.col("b").alias("src"), F.col("a").alias("dst"), F.col("b_idx").alias("self_local"), F.col("a_idx").alias("partner_local")))
+    order = (F.col("src") * 31 + F.col("dst") * 17) % 1009
+    w = graph.crossing_walks(r, t("orders").select(F.col("o_orderkey").alias("node")), 2, 1, 3, order)
+    return w.select("start", F.concat_ws("-", F.transform("walk", lambda x: x.cast("string"))).alias("walk"))

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from ..operators import aggs, raster
 from .registry import query
 
-_C = "c AS (SELECT l_suppkey AS i, l_partkey % 60 AS j, max(l_quantity) AS v FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2)"
+_C = "c AS (SELECT l_suppkey AS i, l_partkey % 60 AS j, max(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
 _AROUND = "o AS (SELECT * FROM (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) AS t(di, dj))"
 
 
 def _cells(t):
-    return t("lineitem").where("l_linenumber <= 3").groupBy(F.col("l_suppkey").alias("i"), (F.col("l_partkey") % 60).alias("j")).agg(F.max("l_quantity").alias("v"))
+    return t("lineitem").groupBy(F.col("l_suppkey").alias("i"), (F.col("l_partkey") % 60).alias("j")).agg(F.max("l_quantity").alias("v"))
 
 
 @query("C11", f"WITH {_C} SELECT a.i, a.j FROM c a JOIN c b ON b.i = a.i + 1 AND b.j = a.j JOIN c d ON d.i = a.i AND d.j = a.j + 1 JOIN c e ON e.i = a.i + 1 AND e.j = a.j + 1")
@@ -28,7 +28,7 @@ def boundary_cells(t):
 
 
 @query(
-    "C13 K08",
+    "C13",
     f"""WITH {_C}, {_AROUND}, n AS (SELECT c.i, c.j, count(x.i) AS n FROM c CROSS JOIN o LEFT JOIN c x ON x.i = c.i + di AND x.j = c.j + dj GROUP BY 1, 2), e AS (SELECT i, j FROM n WHERE n = 5),
 m AS (SELECT e.i, e.j, count(x.i) AS n FROM e CROSS JOIN o LEFT JOIN e x ON x.i = e.i + di AND x.j = e.j + dj GROUP BY 1, 2) SELECT i, j FROM m WHERE n = 5""",
 )
@@ -78,9 +78,9 @@ def coarse_cells_crossed(t):
     return s.select(F.floor(F.col("i") / 4).alias("a"), F.explode(F.sequence(F.floor(F.col("j") / 4), F.floor(F.col("j1") / 4))).alias("b")).distinct()
 
 
-@query("K18 F09", "SELECT s_suppkey, CAST(1 + (row_number() OVER (ORDER BY s_suppkey) - 1) % 31 AS BIGINT) AS label FROM supplier")
+@query("F09", "SELECT s_suppkey, CAST(1 + (row_number() OVER (ORDER BY s_suppkey) - 1) % 31 AS BIGINT) AS label FROM supplier")
 def round_robin_labels(t):
-    return t("supplier").select("s_suppkey", raster.round_robin_labels(t("supplier"), F.col("s_suppkey"), 31).cast("long").alias("label"))
+    return raster.round_robin_labels(t("supplier").select("s_suppkey"), "s_suppkey", 31)
 
 
 @query("F09", "SELECT l_partkey, CAST(bit_or(CAST(1 AS BIGINT) << (l_suppkey % 60)) AS BIGINT) AS labels, CAST(bit_count(bit_or(CAST(1 AS BIGINT) << (l_suppkey % 60))) AS INTEGER) AS n FROM lineitem GROUP BY 1")
@@ -97,14 +97,14 @@ def first_writer_wins(t):
     return first_per_key(c, ["i", "j"], ["label", "l_linenumber", "l_partkey"]).select("i", "j", "label")
 
 
-@query("J19", f"WITH {_C}, p AS (SELECT event_id, user_id % 95 + 0.25 AS i, event_id % 55 + 0.5 AS j FROM events), w AS (SELECT *, unnest([0, 0, 1, 1]) AS a, unnest([0, 1, 0, 1]) AS b FROM p) SELECT event_id, round(CASE WHEN count(v) = 4 THEN sum((CASE WHEN a = 1 THEN 0.25 ELSE 0.75 END) * 0.5 * v) END, 6) AS v FROM w LEFT JOIN c ON c.i = floor(w.i) + a AND c.j = floor(w.j) + b GROUP BY 1")
+@query("J17", f"WITH {_C}, p AS (SELECT event_id, user_id % 95 + 0.25 AS i, event_id % 55 + 0.5 AS j FROM events), w AS (SELECT *, unnest([0, 0, 1, 1]) AS a, unnest([0, 1, 0, 1]) AS b FROM p) SELECT event_id, round(CASE WHEN count(v) = 4 THEN sum((CASE WHEN a = 1 THEN 0.25 ELSE 0.75 END) * 0.5 * v) END, 6) AS v FROM w LEFT JOIN c ON c.i = floor(w.i) + a AND c.j = floor(w.j) + b GROUP BY 1")
 def corner_gather(t):
     p = t("events").select("event_id", (F.col("user_id") % 95 + F.lit(0.25)).alias("i"), (F.col("event_id") % 55 + F.lit(0.5)).alias("j"))
     return raster.bilinear(p, _cells(t), [], "i", "j", "v").select("event_id", F.round("v", 6).alias("v"))
 
 
 @query(
-    "S14 S15",
+    "S14",
     """WITH RECURSIVE p AS (SELECT s_suppkey, s_acctbal AS y, CAST(s_nationkey * 400 AS DOUBLE) AS x, row_number() OVER (ORDER BY ('0x' || md5('5:' || s_suppkey)[1:15])::BIGINT, s_suppkey) AS rn FROM supplier),
 w AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(id BIGINT, y DOUBLE, x DOUBLE)[]) AS taken UNION ALL SELECT p.rn, CASE WHEN len(list_filter(taken, lambda t: sqrt((t.y - p.y) ** 2 + (t.x - p.x) ** 2) < 900)) = 0 THEN list_append(taken, struct_pack(id := CAST(s_suppkey AS BIGINT), y := p.y, x := p.x)) ELSE taken END FROM w JOIN p ON p.rn = w.rn + 1),
 u AS (SELECT unnest(taken[1:40]) AS t FROM w WHERE rn = (SELECT max(rn) FROM p)) SELECT t.id AS s_suppkey, t.y AS y, t.x AS x FROM u""",
@@ -124,7 +124,15 @@ def evenly_spaced_lines(t):
     return greedy.evenly_spaced(p, "k", "p", "id", 1500.0)
 
 
-@query("K09 K10 W26", None)
+_UNWRAP = f"""WITH RECURSIVE s AS (SELECT CAST(floor(sqrt(max(event_id))) AS BIGINT) + 1 AS side FROM events), c AS (SELECT event_id // side AS i, event_id % side AS j, (event_id * 0.37) % (2 * pi()) AS a FROM events, s),
+w AS (SELECT x.i * 1000000 + x.j AS src, y.i * 1000000 + y.j AS dst, CASE WHEN y.a - x.a > pi() THEN 1 WHEN y.a - x.a < -pi() THEN -1 ELSE 0 END AS delta FROM c x JOIN (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) m(di, dj) ON true JOIN c y ON y.i = x.i + di AND y.j = x.j + dj),
+l(node, root) USING KEY (node) AS (SELECT i * 1000000 + j, i * 1000000 + j FROM c UNION SELECT w.dst, min(l.root) FROM l JOIN w ON l.node = w.src LEFT JOIN recurring.l k ON k.node = w.dst GROUP BY w.dst, k.root HAVING min(l.root) < k.root),
+b(node, turns) USING KEY (node) AS (SELECT DISTINCT root, CAST(0 AS BIGINT) FROM l UNION SELECT w.dst, CAST(min(b.turns + delta) AS BIGINT) FROM b JOIN w ON b.node = w.src LEFT JOIN recurring.b k ON k.node = w.dst WHERE k.node IS NULL GROUP BY w.dst),
+z AS (SELECT root, count(*) AS n FROM l GROUP BY 1), t AS (SELECT arg_min(root, (-n, root)) AS top FROM z)
+SELECT node // 1000000 AS i, node % 1000000 AS j, turns, root = top AS main FROM b JOIN l USING (node), t"""
+
+
+@query("K09 K10 W26", _UNWRAP)
 def unwrapped_block_grid(t):
     from ..operators import greedy
 

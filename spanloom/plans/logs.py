@@ -50,13 +50,13 @@ def resume_done_set(t):
 
 @query(
     "T05 T04 T07 T08",
-    """WITH k AS (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 'committed' WHEN 'click' THEN 'incorporated' ELSE 'seen' END AS kind FROM events WHERE event_id % 40 = 0),
+    """WITH k AS (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 'committed' WHEN 'click' THEN 'incorporated' ELSE 'seen' END AS kind FROM events),
 s AS (SELECT user_id, max((kind = 'committed')::INT) AS c, max((kind = 'incorporated')::INT) AS i, max(event_id) AS last FROM k GROUP BY 1)
 SELECT user_id, CASE WHEN i = 1 THEN 'incorporated' ELSE 'pending' END AS state, c = 1 AND i = 1 AS settled, last FROM s""",
 )
 def projected_states(t):
     kind = F.when(F.col("event_type") == "purchase", "committed").when(F.col("event_type") == "click", "incorporated").otherwise("seen")
-    return log.projected_states(t("events").where("event_id % 40 = 0").select("user_id", "event_id", kind.alias("kind")), "user_id", "event_id")
+    return log.projected_states(t("events").select("user_id", "event_id", kind.alias("kind")), "user_id", "event_id")
 
 
 @query(
@@ -105,16 +105,24 @@ def tumbling_windows(t):
 
 
 @query(
-    "W22 W23",
-    """WITH p AS (SELECT l_partkey % 400 AS x, count(*) AS n FROM lineitem GROUP BY 1), s AS (SELECT x, avg(n) OVER (ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM p),
-k AS (SELECT x, m > (SELECT avg(n) FROM p) AS hit FROM s), r AS (SELECT x, hit, row_number() OVER (ORDER BY x) - sum(hit::INT) OVER (ORDER BY x ROWS UNBOUNDED PRECEDING) AS g FROM k)
-SELECT min(x) AS first_x, max(x) AS last_x, count(*) AS length FROM r WHERE hit GROUP BY g HAVING count(*) >= 4""",
+    "W22",
+    """WITH p AS (SELECT l_suppkey AS k, l_partkey % 400 AS x, count(*) AS n FROM lineitem GROUP BY 1, 2), s AS (SELECT k, x, avg(n) OVER (PARTITION BY k ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM p),
+a AS (SELECT k, avg(n) AS mean FROM p GROUP BY 1), h AS (SELECT k, x, m > mean AS hit FROM s JOIN a USING (k)),
+r AS (SELECT k, x, hit, row_number() OVER (PARTITION BY k ORDER BY x) - 1 AS spot, row_number() OVER (PARTITION BY k ORDER BY x) - sum(hit::INT) OVER (PARTITION BY k ORDER BY x ROWS UNBOUNDED PRECEDING) AS g FROM h)
+SELECT k, min(spot) AS first_at, max(spot) AS last_at, count(*) AS length FROM r WHERE hit GROUP BY k, g HAVING count(*) >= 4""",
 )
 def profile_runs(t):
-    p = t("lineitem").groupBy((F.col("l_partkey") % 400).alias("x")).agg(F.count("*").alias("n"))
-    p = p.withColumn("all", F.lit(0))
-    mean = p.groupBy("all").agg(F.avg("n").alias("mean"))
-    p = p.withColumn("m", F.avg("n").over(ragged.over("all", "x").rowsBetween(-2, 2))).join(mean, "all")
-    i = ragged.islands(p, "all", "x", F.col("m") > F.col("mean")).where("length >= 4")
-    # The profile has every x from 0 on, so a run's places are its columns.
-    return i.select(F.col("start").cast("long").alias("first_x"), F.col("end").cast("long").alias("last_x"), "length")
+    p = t("lineitem").groupBy(F.col("l_suppkey").alias("k"), (F.col("l_partkey") % 400).alias("x")).agg(F.count("*").alias("n"))
+    mean = p.groupBy("k").agg(F.avg("n").alias("mean"))
+    p = p.withColumn("m", F.avg("n").over(ragged.over("k", "x").rowsBetween(-2, 2))).join(mean, "k")
+    i = ragged.islands(p, "k", "x", F.col("m") > F.col("mean")).where("length >= 4")
+    return i.select("k", F.col("start").cast("long").alias("first_at"), F.col("end").cast("long").alias("last_at"), "length")
+
+
+@query("W23", None)
+def line_gaps(t):
+    from ..operators import raster
+
+    c = t("lineitem").groupBy((F.col("l_partkey") % 160).alias("i"), F.col("l_suppkey").alias("j")).agg(F.sum(F.when(F.col("l_partkey") % 16 < 5, F.col("l_quantity")).otherwise(0.0)).alias("v"))
+    g = raster.line_gaps(c, "i", "j", "v", 160, 16, 8, (12.0, 20.0), 0.01)
+    return g.select("start", F.concat_ws(",", F.transform("gaps", lambda x: x.cast("string"))).alias("gaps"), F.round("score", 6).alias("score"))

@@ -76,11 +76,11 @@ def duration_labels(t):
 
 @query(
     "S23 M21 A22",
-    """WITH r AS (SELECT l_orderkey AS ray, l_linenumber AS level, min(l_extendedprice) AS at FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY 1, 2)
+    """WITH r AS (SELECT l_orderkey AS ray, l_linenumber AS level, min(l_extendedprice) AS at FROM lineitem GROUP BY 1, 2)
 SELECT a.ray AS ray, a.level AS a, b.level AS b, round(b.at - a.at, 4) AS gap FROM r a JOIN r b ON a.ray = b.ray AND b.level - a.level BETWEEN 1 AND 3""",
 )
 def ray_pairs(t):
-    r = t("lineitem").where("l_orderkey % 4 = 0").groupBy(F.col("l_orderkey").alias("ray"), F.col("l_linenumber").alias("level")).agg(F.min("l_extendedprice").alias("at"))
+    r = t("lineitem").groupBy(F.col("l_orderkey").alias("ray"), F.col("l_linenumber").alias("level")).agg(F.min("l_extendedprice").alias("at"))
     a, b = r.select("ray", F.col("level").alias("a"), F.col("at").alias("x")), r.select("ray", F.col("level").alias("b"), F.col("at").alias("y"))
     return a.join(b, "ray").where((F.col("b") - F.col("a")).between(1, 3)).select("ray", "a", "b", F.round(F.col("y") - F.col("x"), 4).alias("gap"))
 
@@ -145,13 +145,13 @@ def array_and_time_functions(t):
 
 @query(
     "B18 C28 F20",
-    """WITH m AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, user_id FROM events WHERE event_id % 5 = 0) SELECT event_id, k AS renamed, user_id AS added, CASE WHEN k > 500 THEN 1 ELSE 0 END AS unknown FROM m""",
+    """WITH m AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, user_id FROM events) SELECT event_id, k AS renamed, user_id AS added, CASE WHEN k > 500 THEN 1 ELSE 0 END AS unknown FROM m""",
 )
 def migrated_settings(t):
     from ..sources.files import migrated_settings as migrate
 
     props = F.from_json("props", "map<string,bigint>")
     extra = F.map_concat(props, F.when(F.element_at(props, "k") > 500, F.create_map(F.lit("odd"), F.lit(1).cast("long"))).otherwise(F.create_map().cast("map<string,bigint>")))
-    e = t("events").where("event_id % 5 = 0").select("event_id", extra.alias("old"), F.create_map(F.lit("added"), "user_id").alias("defaults"))
+    e = t("events").select("event_id", extra.alias("old"), F.create_map(F.lit("added"), "user_id").alias("defaults"))
     m = e.withColumn("new", migrate(F.col("old"), {"k": "renamed"}, ["renamed", "added"], F.col("defaults")))
     return m.select("event_id", F.element_at("new.settings", "renamed").alias("renamed"), F.element_at("new.settings", "added").alias("added"), F.size("new.unknown").alias("unknown"))

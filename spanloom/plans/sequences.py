@@ -29,11 +29,11 @@ def any_intersects(t):
 
 @query(
     "C03 C04 C05 C10",
-    """WITH b AS (SELECT user_id, event_id, value FROM events WHERE value BETWEEN 20 AND 60 AND event_id % 7 IN (1, 2, 3))
+    """WITH b AS (SELECT user_id, event_id, value FROM events WHERE value BETWEEN 20 AND 60 AND event_type <> 'error')
 SELECT user_id, count(*) AS points, round(min(value), 6) AS low, round(max(value), 6) AS high FROM b GROUP BY 1 HAVING count(*) >= 2""",
 )
 def box_points(t):
-    inside = t("events").where("value between 20 and 60 and event_id % 7 in (1, 2, 3)")
+    inside = t("events").where("value between 20 and 60 and event_type != 'error'")
     return inside.groupBy("user_id").agg(F.count("*").alias("points"), F.round(F.min("value"), 6).alias("low"), F.round(F.max("value"), 6).alias("high")).where("points >= 2")
 
 
@@ -147,18 +147,18 @@ def resample_levels(t):
 
 @query(
     "W25 F03",
-    """WITH s AS (SELECT user_id, event_id, row_number() OVER w AS segment, value AS y, lag(value) OVER w AS py, CAST(event_id % 50 AS DOUBLE) AS x, lag(CAST(event_id % 50 AS DOUBLE)) OVER w AS px FROM events WHERE user_id < 40 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    """WITH s AS (SELECT user_id, event_id, row_number() OVER w AS segment, value AS y, lag(value) OVER w AS py, CAST(event_id % 50 AS DOUBLE) AS x, lag(CAST(event_id % 50 AS DOUBLE)) OVER w AS px FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 n AS (SELECT *, CASE WHEN py IS NULL THEN 0 ELSE CAST(ceil(greatest(abs(y - py), abs(x - px))) AS INT) END AS n FROM s),
 k AS (SELECT *, unnest(CASE WHEN py IS NULL THEN [0] ELSE generate_series(1, n) END) AS step FROM n)
 SELECT user_id, segment, CAST(step AS BIGINT) AS step, CAST(round_even(CASE WHEN step = 0 THEN y ELSE py + (y - py) * step / n END, 0) AS BIGINT) AS y, CAST(round_even(CASE WHEN step = 0 THEN x ELSE px + (x - px) * step / n END, 0) AS BIGINT) AS x FROM k""",
 )
 def rasterize_steps(t):
-    e = t("events").where("user_id < 40").select("user_id", "ts", "event_id", F.col("value").alias("y"), (F.col("event_id") % 50).cast("double").alias("x"))
+    e = t("events").select("user_id", "ts", "event_id", F.col("value").alias("y"), (F.col("event_id") % 50).cast("double").alias("x"))
     return ragged.rasterized(e, "user_id", ["ts", "event_id"], ["y", "x"])
 
 
 @query(
-    "J21 J22 W28",
+    "J21 J22",
     """WITH s AS (SELECT user_id, event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b, lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) - value AS d FROM events),
 e AS (SELECT least(a, b) AS a, greatest(a, b) AS b, CASE WHEN a < b THEN d ELSE -d END AS d FROM s WHERE a <> b)
 SELECT a, b, count(*) AS n, round(sum(d), 4) AS delta FROM e GROUP BY 1, 2""",
@@ -186,12 +186,12 @@ def zero_crossings(t):
 
 @query(
     "W15",
-    f"""WITH RECURSIVE p AS (SELECT user_id, {_SEC} AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE user_id < 60),
+    f"""WITH RECURSIVE p AS (SELECT user_id, {_SEC} AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
 k AS (SELECT user_id, x, rn FROM p WHERE rn = 1 UNION ALL SELECT n.user_id, n.x, n.rn FROM k, LATERAL (SELECT p.user_id, p.x, p.rn FROM p WHERE p.user_id = k.user_id AND p.rn > k.rn AND p.x - k.x >= 86400 ORDER BY p.rn LIMIT 1) n)
 SELECT user_id, count(*) AS kept, round(sum(x), 2) AS total FROM k GROUP BY 1""",
 )
 def min_spacing_decimation(t):
-    e = t("events").where("user_id < 60").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct((expr.seconds("ts")).alias("x"), "event_id"))).alias("pts"))
+    e = t("events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct((expr.seconds("ts")).alias("x"), "event_id"))).alias("pts"))
     e = e.withColumn("kept", ragged.spaced(F.transform("pts", lambda p: p["x"]), lambda a, b: b - a, 86400.0))
     return e.select("user_id", F.size("kept").cast("long").alias("kept"), F.round(F.aggregate("kept", F.lit(0.0), lambda s, x: s + x), 2).alias("total"))
 
@@ -209,18 +209,18 @@ def anchored_resample_counts(t):
 
 @query(
     "W19",
-    """WITH s AS (SELECT user_id, event_id, value AS v, lag(value) OVER w AS a, lead(value) OVER w AS c, lead(value, 2) OVER w AS d FROM events WHERE user_id < 40 WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    """WITH s AS (SELECT user_id, event_id, value AS v, lag(value) OVER w AS a, lead(value) OVER w AS c, lead(value, 2) OVER w AS d FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 e AS (SELECT user_id, event_id, v, coalesce(a, 2 * v - c) AS a, c, coalesce(d, 2 * c - v) AS d, unnest([0, 1, 2, 3]) AS k FROM s WHERE c IS NOT NULL)
 SELECT user_id, event_id, k, round(0.5 * (2 * v + (c - a) * (k / 4.0) + (2 * a - 5 * v + 4 * c - d) * (k / 4.0) ** 2 + (3 * v - a - 3 * c + d) * (k / 4.0) ** 3), 10) AS value FROM e""",
 )
 def catmull_rom_spline(t):
-    c = ragged.catmull_rom(t("events").where("user_id < 40"), "user_id", "event_id", "value", 4)
+    c = ragged.catmull_rom(t("events"), "user_id", "event_id", "value", 4)
     return c.select("user_id", "event_id", "k", F.round("value", 10).alias("value"))
 
 
 @query(
     "W14 F10",
-    """WITH p AS (SELECT l_orderkey AS k, l_linenumber AS i, avg(l_quantity) AS y, avg(l_discount * 100) AS x FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1, 2),
+    """WITH p AS (SELECT l_orderkey AS k, l_linenumber AS i, avg(l_quantity) AS y, avg(l_discount * 100) AS x FROM lineitem GROUP BY 1, 2),
 e AS (SELECT k, min(i) AS lo, max(i) AS hi FROM p GROUP BY 1),
 f AS (SELECT p.k, p.i, coalesce((SELECT max(q.i) FROM p q WHERE q.k = p.k AND q.i < p.i AND sqrt((q.y - p.y) ** 2 + (q.x - p.x) ** 2) >= 12), e.lo) AS l,
   coalesce((SELECT min(q.i) FROM p q WHERE q.k = p.k AND q.i > p.i AND sqrt((q.y - p.y) ** 2 + (q.x - p.x) ** 2) >= 12), e.hi) AS r FROM p JOIN e ON p.k = e.k),
@@ -228,6 +228,41 @@ g AS (SELECT f.k, f.i, b.y - a.y AS dy, b.x - a.x AS dx FROM f JOIN p a ON a.k =
 SELECT k, i, round(CASE WHEN dy <> 0 OR dx <> 0 THEN dy / sqrt(dy * dy + dx * dx) END, 5) AS t_y, round(CASE WHEN dy <> 0 OR dx <> 0 THEN dx / sqrt(dy * dy + dx * dx) END, 5) AS t_x FROM g""",
 )
 def vertex_tangents(t):
-    p = t("lineitem").where("l_orderkey % 20 = 0").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i")).agg(F.avg("l_quantity").alias("y"), F.avg(F.col("l_discount") * 100).alias("x"))
+    p = t("lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i")).agg(F.avg("l_quantity").alias("y"), F.avg(F.col("l_discount") * 100).alias("x"))
     out = ragged.tangents(p, "k", "i", ["y", "x"], 12.0)
     return out.select("k", "i", F.round("t_y", 5).alias("t_y"), F.round("t_x", 5).alias("t_x"))
+
+
+@query(
+    "W21 W20",
+    f"""WITH s AS (SELECT user_id, row_number() OVER w AS pos, {_SEC} / 3600 AS x, value - 35 AS f, event_type <> 'error' OR event_id % 3 > 0 AS ok, CASE WHEN event_id % 17 > 0 THEN (event_id % 10 + 1) / 10 END AS dot FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+l AS (SELECT *, lead(x) OVER w AS x1, lead(f) OVER w AS f1, ok AND coalesce(lead(ok) OVER w, false) AND (f < 0) <> (lead(f) OVER w < 0) AS crosses FROM s WINDOW w AS (PARTITION BY user_id ORDER BY pos)),
+c AS (SELECT *, CASE WHEN crosses THEN x + greatest(0, least(1, f / (f - f1))) * (x1 - x) END AS cx, CASE WHEN crosses THEN f >= 0 END AS entry, CASE WHEN crosses THEN pos END AS cpos FROM l),
+n AS (SELECT *, first_value(cx IGNORE NULLS) OVER w AS nat, first_value(entry IGNORE NULLS) OVER w AS nentry, first_value(cpos IGNORE NULLS) OVER w AS npos FROM c WINDOW w AS (PARTITION BY user_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+b AS (SELECT *, CASE WHEN entry AND NOT nentry THEN struct_pack(a := cx, b := nat, last := npos, center := (cx + nat) / 2, dot := dot) END AS band FROM n),
+k AS (SELECT *, count(band) OVER w AS k, last_value(band IGNORE NULLS) OVER w AS o FROM b WINDOW w AS (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT user_id, k, any_value(o) AS o, min(f) FILTER (pos <= o.last) AS depth, max(f) FILTER (ok AND NOT coalesce(pos <= o.last, false)) AS gap, coalesce(bool_or(NOT ok) FILTER (pos <= o.last), false) AS holed, coalesce(bool_or(NOT ok) FILTER (x <= o.center), false) AS bad_here,
+  coalesce(bool_or(NOT ok) FILTER (NOT coalesce(x <= o.center, false)), false) AS bad_after, max(pos) FILTER (x <= o.center AND pos <= o.last) AS dpos FROM k GROUP BY 1, 2),
+d AS (SELECT g.*, CASE WHEN dpos IS NULL THEN o.dot ELSE s.dot END AS dot FROM g LEFT JOIN s ON s.user_id = g.user_id AND s.pos = dpos),
+u AS (SELECT *, bad_here OR coalesce(lag(bad_after) OVER w, false) AS unsupported, CASE WHEN k > 1 THEN lag(gap) OVER w END AS clearance FROM d WINDOW w AS (PARTITION BY user_id ORDER BY k)),
+p AS (SELECT *, coalesce((lead(o.center) OVER w - o.center) * least(coalesce(dot, 0), coalesce(lead(dot) OVER w, 0)) < 20, false) AS near, coalesce(lead(unsupported) OVER w OR holed OR lead(holed) OVER w OR dot IS NULL OR lead(dot) OVER w IS NULL, false) AS doubt FROM u WHERE k > 0 WINDOW w AS (PARTITION BY user_id ORDER BY k)),
+q AS (SELECT *, near AND doubt AS split, near AND NOT doubt AS m FROM p), r AS (SELECT *, m AND coalesce(lag(m) OVER w, false) AS overlap, m AND NOT coalesce(lag(m) OVER w, false) AS merge FROM q WINDOW w AS (PARTITION BY user_id ORDER BY k)),
+t AS (SELECT *, holed OR split OR overlap OR coalesce(lag(split) OVER w, false) OR coalesce(lag(overlap) OVER w, false) AS ambiguous, CASE WHEN merge THEN lead(o.b) OVER w ELSE o.b END AS fin, CASE WHEN merge THEN least(depth, lead(depth) OVER w) ELSE depth END AS depth2,
+  CASE WHEN merge THEN least(dot, lead(dot) OVER w) ELSE dot END AS dot2, coalesce(lag(merge) OVER w, false) AS gone FROM r WINDOW w AS (PARTITION BY user_id ORDER BY k))
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY k) - 1 AS ordinal, round((o.a + fin) / 2, 5) AS center, round(fin - o.a, 5) AS width, depth2 AS depth, clearance AS clearance_before, ambiguous, coalesce(dot2 < 0.4 AND depth2 > -20, false) AS graze, merge AS merged, holed AS interior_invalid, unsupported AS unsupported_before FROM t WHERE NOT gone""",
+)
+def complete_bands(t):
+    e = t("events").select("user_id", "ts", "event_id", (expr.seconds("ts") / 3600).alias("x"), (F.col("value") - 35).alias("f"), ((F.col("event_type") != "error") | (F.col("event_id") % 3 > 0)).alias("ok"), F.when(F.col("event_id") % 17 > 0, (F.col("event_id") % 10 + 1) / 10).alias("dot"))
+    b = ragged.complete_bands(e, "user_id", ["ts", "event_id"], "x", "f", "ok", "dot", 20.0, 0.4, 20.0)
+    return b.withColumn("center", F.round("center", 5)).withColumn("width", F.round("width", 5))
+
+
+@query(
+    "W28",
+    """WITH g AS (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events WHERE event_type = 'purchase' GROUP BY 1), m AS (SELECT max(len(v)) AS width FROM g),
+p AS (SELECT user_id, len(v) AS n, list_concat(v, list_transform(generate_series(1, width - len(v)), lambda i: -1.0)) AS v FROM g, m)
+SELECT user_id, n, CAST(len(v) AS BIGINT) AS width, v[1] AS first_value, v[len(v)] AS last_value, round(list_sum(v), 6) AS total FROM p""",
+)
+def padded_rows(t):
+    p = ragged.padded(t("events").where("event_type = 'purchase'"), "user_id", ["ts", "event_id"], ["value"], fill=-1.0)
+    return p.select("user_id", "n", F.size("value").cast("long").alias("width"), F.get("value", F.lit(0)).alias("first_value"), F.element_at("value", -1).alias("last_value"), F.round(F.aggregate("value", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))

@@ -61,11 +61,11 @@ def consensus_median(t):
 
 @query(
     "G24",
-    """WITH p AS (SELECT l_partkey % 200 AS k, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS s, l_quantity AS v FROM lineitem WHERE l_linenumber <= 2)
+    """WITH p AS (SELECT l_partkey % 200 AS k, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS s, l_quantity AS v FROM lineitem)
 SELECT a.k AS k, round(sum(abs(a.v - b.v)), 4) AS total, count(*) AS pairs, round(avg(abs(a.v - b.v)), 6) AS mean FROM p a JOIN p b ON a.k = b.k AND a.s = 0 AND b.s = 1 GROUP BY 1""",
 )
 def all_pairs_l1(t):
-    p = t("lineitem").where("l_linenumber <= 2").select((F.col("l_partkey") % 200).alias("k"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("s"), F.col("l_quantity").alias("v"))
+    p = t("lineitem").select((F.col("l_partkey") % 200).alias("k"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("s"), F.col("l_quantity").alias("v"))
     return aggs.all_pairs_l1(p, "k", "s", "v").where("pairs > 0").select("k", F.round("total", 4).alias("total"), "pairs", F.round("mean", 6).alias("mean"))
 
 
@@ -156,7 +156,7 @@ def stratified_quota(t):
 
 
 @query(
-    "S10 S19 S16",
+    "S16",
     """WITH h AS (SELECT s_nationkey AS k, s_suppkey, round(-ln((('0x' || md5('3:' || s_suppkey)[1:15])::BIGINT + 1) / 1152921504606846976.0) / s_acctbal, 12) AS d FROM supplier WHERE s_acctbal > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d, s_suppkey) AS rn FROM h) SELECT k, s_suppkey, CAST(rn AS BIGINT) AS rn FROM r WHERE rn <= 2""",
 )
@@ -220,3 +220,97 @@ def split_name_pairs(t):
     s = s.join(t("part").select(F.col("p_brand").alias("a")).distinct(), "a", "left_semi").join(t("part").select(F.concat_ws("__", "p_type", F.lit("x")).alias("z")).distinct(), "z", "left_semi")
     f = joins.first_per_key(s, "p_partkey", ["i"])
     return f.select("p_partkey", F.col("a").alias("first_name"), F.col("z").alias("second_name"), F.expr("try_cast(nullif(regexp_extract(a, '([0-9]+)$', 1), '') as int)").alias("suffix"))
+
+
+_HASH = "('0x' || md5('{0}:' || {1})[1:15])::BIGINT"
+
+
+@query(
+    "S10",
+    f"""WITH c AS (SELECT c_custkey, CAST(floor(sqrt(c_acctbal) * 1000) AS BIGINT) AS w FROM customer WHERE c_acctbal > 0), s AS (SELECT *, CAST(sum(w) OVER (ORDER BY c_custkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM c WHERE w > 0),
+d AS (SELECT draw, {_HASH.format(11, "draw")} % (SELECT max(upto) FROM s) AS u FROM (SELECT unnest(generate_series(0, 499)) AS draw)) SELECT draw, c_custkey FROM d JOIN s ON u >= upto - w AND u < upto""",
+)
+def weighted_draws(t):
+    c = t("customer").where("c_acctbal > 0").select("c_custkey", F.floor(F.sqrt("c_acctbal") * 1000).alias("w"))
+    return sampling.weighted_draws(c, "c_custkey", "w", 500, "11")
+
+
+@query(
+    "S19",
+    f"""WITH m AS (SELECT s_nationkey AS k, max(s_acctbal) AS top FROM supplier WHERE s_acctbal > 0 GROUP BY 1), f AS (SELECT k, s_suppkey, round(-ln(({_HASH.format(13, "s_suppkey")} + 1) / 1152921504606846976.0) / (s_acctbal / top) ** 2, 12) AS d FROM supplier JOIN m ON k = s_nationkey WHERE s_acctbal >= 0.5 * top),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d, s_suppkey) AS rn FROM f), n AS (SELECT k, count(*) AS n FROM r WHERE rn <= 4 GROUP BY 1) SELECT k, s_suppkey, CAST(unnest(generate_series(rn, 4, n)) AS BIGINT) AS rn FROM r JOIN n USING (k) WHERE rn <= 4""",
+)
+def distant_endpoints(t):
+    s = t("supplier").select(F.col("s_nationkey").alias("k"), "s_suppkey", "s_acctbal")
+    return sampling.distant_endpoints(s, "k", "s_suppkey", "s_acctbal", 4, "13")
+
+
+def _diverse(n: int) -> str:
+    """One step for each seed: the gaps to those before, their upper quarter, and the first by hash."""
+    out = ["c AS (SELECT s_suppkey, s_acctbal AS y, s_nationkey * 400.0 AS x FROM supplier, (SELECT quantile_cont(s_acctbal, 0.75) AS cut FROM supplier) WHERE s_acctbal >= cut)"]
+    for k in range(n):
+        if k == 0:
+            out.append("g0 AS (SELECT *, 0 AS gap FROM c)")
+        else:
+            gaps = ", ".join(f"sqrt((c.y - t{i}.y) ** 2 + (c.x - t{i}.x) ** 2)" for i in range(k))
+            others = ", ".join(f"t{i}" for i in range(k))
+            out.append(f"g{k} AS (SELECT c.*, round(least({gaps}), 9) AS gap FROM c, {others} WHERE {' AND '.join(f'c.s_suppkey <> t{i}.s_suppkey' for i in range(k))})")
+        h = _HASH.format(17, f"{k} || ':' || s_suppkey")
+        out.append(f"t{k} AS (SELECT s_suppkey, y, x FROM g{k} WHERE gap >= (SELECT quantile_cont(gap, 0.75) FROM g{k}) ORDER BY {h}, s_suppkey LIMIT 1)")
+    return f"WITH {', '.join(out)} " + " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS rank, s_suppkey, y, x FROM t{k}" for k in range(n))
+
+
+@query("S15", _diverse(3))
+def diverse_seeds(t):
+    s = t("supplier").select("s_suppkey", "s_acctbal", F.col("s_acctbal").alias("y"), (F.col("s_nationkey") * 400).cast("double").alias("x"))
+    return sampling.diverse_seeds(s, "s_suppkey", "s_acctbal", ["y", "x"], 3, "17")
+
+
+@query(
+    "S07 S08",
+    """WITH r AS (SELECT user_id, max(event_id) AS stamp FROM events WHERE event_type = 'view' AND value > 40 GROUP BY 1), w AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value > 40),
+j AS (SELECT w.user_id, CASE WHEN stamp IS NULL THEN 'load' ELSE 'hit' END AS action FROM w LEFT JOIN r USING (user_id)), n AS (SELECT greatest(count(*) FILTER (action = 'load') - 3, 0) AS need FROM j),
+o AS (SELECT user_id, row_number() OVER (ORDER BY stamp, user_id) AS rn FROM r ANTI JOIN w USING (user_id)) SELECT * FROM j UNION ALL SELECT user_id, 'evict' FROM o, n WHERE rn <= need""",
+)
+def cache_plan(t):
+    e = t("events").select("user_id", "event_id", "event_type", "value")
+    held = e.where("event_type = 'view' and value > 40")
+    room = held.select("user_id").distinct().count() + 3
+    return sampling.eviction_plan(held, e.where("event_type = 'purchase' and value > 40"), "user_id", "event_id", room)
+
+
+@query(
+    "K18",
+    f"""WITH RECURSIVE p AS (SELECT s_suppkey AS id, s_nationkey AS y, CAST(floor(s_acctbal / 700) AS BIGINT) AS x, {_HASH.format(19, "s_suppkey")} AS h, row_number() OVER (ORDER BY {_HASH.format(19, "s_suppkey")}, s_suppkey) AS rn FROM supplier),
+w AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(id BIGINT, y BIGINT, x BIGINT, label BIGINT, forced BOOLEAN)[]) AS done UNION ALL
+  SELECT n.rn, list_append(done, struct_pack(id := CAST(n.id AS BIGINT), y := CAST(n.y AS BIGINT), x := n.x, label := CAST(coalesce(list_filter(list_transform(generate_series(0, 4), lambda k: 1 + (n.h + k) % 5), lambda l: NOT list_contains(used, l))[1],
+      list_sort(list_transform(list_distinct(used), lambda l: struct_pack(n := len(list_filter(used, lambda u: u = l)), k := l)))[1].k) AS BIGINT), forced := len(list_distinct(used)) = 5))
+  FROM (SELECT p.*, done, list_transform(list_filter(done, lambda d: abs(d.y - p.y) <= 1 AND abs(d.x - p.x) <= 1), lambda d: d.label) AS used FROM w JOIN p ON p.rn = w.rn + 1) n),
+u AS (SELECT unnest(done) AS d FROM w WHERE rn = (SELECT max(rn) FROM p)) SELECT d.id AS s_suppkey, d.label AS label, d.forced AS forced FROM u""",
+)
+def spatial_labels(t):
+    c = t("supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("y"), F.floor(F.col("s_acctbal") / 700).alias("x"))
+    return sampling.spatial_labels(c, "s_suppkey", ["y", "x"], 5, 1, "19")
+
+
+@query(
+    "S22",
+    """WITH c AS (SELECT DISTINCT l_suppkey AS i, l_partkey % 50 AS j FROM lineitem WHERE l_quantity > 20), r AS (SELECT i, j, j - row_number() OVER (PARTITION BY i ORDER BY j) AS run FROM c), e AS (SELECT i, run, min(j) AS lo, max(j) AS hi FROM r GROUP BY 1, 2),
+a AS (SELECT s_suppkey AS i, s_suppkey * 7 % 50 AS j FROM supplier) SELECT a.i AS i, a.j AS anchor_j, k AS rank, CAST(round_even(lo + (hi - lo) * k / 4.0, 0) AS BIGINT) AS j FROM (SELECT *, unnest([0, 1, 2, 3, 4]) AS k FROM a) a JOIN e ON e.i = a.i AND a.j BETWEEN lo AND hi""",
+)
+def strip_samples(t):
+    c = t("lineitem").where("l_quantity > 20").select(F.col("l_suppkey").alias("i"), (F.col("l_partkey") % 50).alias("j"))
+    a = t("supplier").select(F.col("s_suppkey").alias("i"), (F.col("s_suppkey") * 7 % 50).alias("j"))
+    return sampling.strips(c, [], "i", "j", a, 5, "j").select("i", "anchor_j", "rank", "j")
+
+
+@query(
+    "F11",
+    """WITH m AS (SELECT event_id, value / 100 AS a, (user_id % 7 - 3) / 4 AS b, (event_id % 5 - 2) / 3 AS c, (event_id % 11 - 5) / 10 AS d FROM events), s AS (SELECT *, (a + d) / 2 AS s, (a - d) * (a - d) / 4 + b * c AS q2, sqrt(abs((a - d) * (a - d) / 4 + b * c)) AS q FROM m),
+e AS (SELECT *, CASE WHEN q2 >= 0 THEN (exp(q) + exp(-q)) / 2 ELSE cos(q) END AS ev, CASE WHEN q < 1e-8 THEN 1.0 WHEN q2 >= 0 THEN (exp(q) - exp(-q)) / 2 / q ELSE sin(q) / q END AS od FROM s)
+SELECT event_id, round(exp(s) * (ev + od * (a - s)), 6) AS m11, round(exp(s) * od * b, 6) AS m12, round(exp(s) * od * c, 6) AS m21, round(exp(s) * (ev + od * (d - s)), 6) AS m22 FROM e""",
+)
+def matrix_exponentials(t):
+    e = t("events").select("event_id", (F.col("value") / 100).alias("a"), ((F.col("user_id") % 7 - 3) / 4).alias("b"), ((F.col("event_id") % 5 - 2) / 3).alias("c"), ((F.col("event_id") % 11 - 5) / 10).alias("d"))
+    m = expr.expm_2x2("a", "b", "c", "d")
+    return e.select("event_id", *[F.round(x, 6).alias(n) for x, n in zip(m, ("m11", "m12", "m21", "m22"), strict=True)])

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ragged import numbered
+
 #: Keys of the point collection format. Fixed values.
 _POINT = "struct<p: array<double>, wind_a: double, creation_time: bigint>"
 _COLLECTION = f"struct<name: string, points: map<string, {_POINT}>, metadata: map<string, string>, color: array<double>>"
@@ -73,7 +75,7 @@ def slab_jobs(spark: SparkSession, lo: int, hi: int, stride: int, depth: int) ->
 def appended_with_new_ids(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """``old`` and, numbered on from its largest id in their own order, the rows of ``new``."""
     top = old.agg(F.coalesce(F.max(key), F.lit(0)).alias("top"))
-    fresh = new.withColumn("rn", F.row_number().over(Window.orderBy(key))).crossJoin(F.broadcast(top)).withColumn(key, (F.col("top") + F.col("rn")).cast("long")).drop("rn", "top")  # top is one row
+    fresh = numbered(new, [key], "rn").crossJoin(F.broadcast(top)).withColumn(key, (F.col("top") + F.col("rn") + 1).cast("long")).drop("rn", "top")  # top is one row
     return old.unionByName(fresh)
 
 
@@ -95,7 +97,7 @@ def write_flat_metrics(df: DataFrame, path: str) -> None:
 
 def write_mesh(vertices: DataFrame, faces: DataFrame, path: str) -> None:
     """Wavefront text: valid vertices numbered from 1 in (i, j) order, and the faces whose four corners are valid."""
-    v = vertices.withColumn("n", F.row_number().over(Window.orderBy("i", "j")))
+    v = numbered(vertices, ["i", "j"], "n").withColumn("n", F.col("n") + 1)
     corner = lambda a, b, s: v.select((F.col("i") - a).alias("i"), (F.col("j") - b).alias("j"), F.col("n").alias(s))
     f = faces.select("i", "j")
     for s, (a, b) in zip("abcd", ((0, 0), (0, 1), (1, 1), (1, 0)), strict=True):
