@@ -1,18 +1,19 @@
 """Quality rules: a table of thresholds compiled into one Spark projection; no user functions.
 
-Null or empty text has no words: all counts are 0 and it fails the base rule. Rows are judged alone, so repeated rows,
-ties and extra columns (also ones named as the counts; the rules' values win) have no influence on each other.
+Null or empty text has no words: all counts are 0 and it fails the base rule. Very long texts are judged whole; windows
+of texts whose hashes clash are compared by their words. Rows are judged alone, so repeated rows, ties and extra columns
+(also ones named as the counts; the rules' values win) have no influence on each other. A value equal to a threshold
+passes. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from string import ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, SPACE_CLASS
+from .common import SPACE_CLASS, Scratch
 
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words of English, German, French and Spanish. Fixed values.
@@ -22,7 +23,9 @@ STOP_WORDS = (
     "de la le et les des un une est que dans pour qui sur par du "
     "el los las en y por con del se una para al lo su no"
 ).split()
+#: Low bits of a packed window, for its place; the others are its hash. Words of a text that places can tell apart.
 _IDX = 24
+_HIGH = ~((1 << _IDX) - 1)
 _MASK = (1 << _IDX) - 1
 
 
@@ -49,28 +52,44 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
 def _words(text: Column) -> Column:
-    trimmed = F.regexp_replace(text, f"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+$", "")
-    return F.when(F.length(trimmed) > 0, F.split(trimmed, f"[{SPACE_CLASS}]+")).otherwise(F.array().cast("array<string>"))
+    return F.array_remove(F.split(text, f"[{SPACE_CLASS}]+"), "")
 
 
-def _repeat_words(words: str, packed: str) -> Column:
-    """Words in three-word windows that occur twice or more.
+def _packed(words: str) -> Column:
+    """Of each three-word window its hash (high bits) and place (low bits), sorted: equal windows are neighbours."""
+    at = lambda i: F.get(words, i)
+    window = lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2)).bitwiseAND(F.lit(_HIGH)).bitwiseOR(i.cast("long"))
+    return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - 3), window))
 
-    ``packed`` holds, sorted, each window's hash (high bits) and place (low bits): equal windows are neighbours, and
-    the words themselves confirm each pair. A text of over 2**24 words sorts (hash, place) pairs instead.
-    """
-    p, w = F.col(packed), F.col(words)
-    at = lambda k: F.get(p, k)
-    place = lambda k: at(k).bitwiseAND(F.lit(_MASK)).cast("int")
 
-    def same(a: Column, b: Column) -> Column:
-        i, j = place(a), place(b)
-        confirm = [F.get(w, i + d) == F.get(w, j + d) for d in range(3)]
-        return (F.shiftright(at(a), _IDX) == F.shiftright(at(b), _IDX)) & confirm[0] & confirm[1] & confirm[2]
+def _alike(a: Column, b: Column) -> Column:
+    return a.bitwiseXOR(b).bitwiseAND(F.lit(_HIGH)) == 0
 
-    last = F.size(p) - 1
-    hits = F.filter(F.sequence(F.lit(0), last), lambda k: ((k > 0) & same(k - 1, k)) | ((k < last) & same(k, k + 1)))
-    return F.when(last >= 1, F.sort_array(F.transform(hits, place))).otherwise(F.array().cast("array<int>"))
+
+def _place(x: Column) -> Column:
+    return x.bitwiseAND(F.lit((1 << _IDX) - 1)).cast("int")
+
+
+def _differ(words: str, hits: str) -> Column:
+    """Whether neighbours among the windows with equal hashes have different words. If none have, all of a hash are equal."""
+    at, q = lambda i: F.get(words, i), F.col(hits)
+
+    def other(x: Column, k: Column) -> Column:
+        i, j = _place(F.get(q, k - 1)), _place(x)
+        return (k > 0) & _alike(F.get(q, k - 1), x) & ((at(i) != at(j)) | (at(i + 1) != at(j + 1)) | (at(i + 2) != at(j + 2)))
+
+    return F.size(F.filter(q, other)) > 0
+
+
+def _sorted_by_words(words: str) -> Column:
+    """Places of windows that occur twice or more, by a sort of the words themselves."""
+    w, n = F.col(words), F.size(words)
+    texts = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.concat_ws(" ", F.slice(w, i + 1, 3)))
+    pairs = F.array_sort(F.arrays_zip(texts.alias("w"), F.sequence(F.lit(0), n - 3).alias("i")))
+    # Bound to a name, so that the lambdas read the sorted array and do not sort it.
+    twin = lambda z: F.filter(z, lambda x, k: ((k > 0) & (F.get(z, k - 1)["w"] == x["w"])) | ((k < F.size(z) - 1) & (F.get(z, k + 1)["w"] == x["w"])))
+    found = F.get(F.transform(F.array(pairs), twin), F.lit(0))
+    return F.sort_array(F.transform(found, lambda x: x["i"]))
 
 
 def _covered(places: str) -> Column:
@@ -85,32 +104,27 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     keep = [c for c in docs.columns if c not in made]
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     stop = F.array(*[F.lit(w) for s in sorted(set(STOP_WORDS)) for w in (s, s.capitalize())])
-    lines = F.filter(F.split(t, "\n", -1), lambda line: F.length(F.translate(line, SPACE_CHARS, "")) > 0)
+    lines = F.filter(F.split(t, "\n", -1), lambda line: F.rlike(line, F.lit(f"[^{SPACE_CLASS}]")))
     # Staged so that an array is computed once and then read by name inside lambdas.
-    one = docs.select(*[F.col(f"`{c}`") for c in keep], t.alias("__t"), _words(t).alias("__w"), lines.alias("__l"))
-    window = lambda i: F.xxhash64(F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2)).bitwiseAND(F.lit(~_MASK)).bitwiseOR(i.cast("long"))
-    n = F.size("__w")
-    two = one.withColumn("__p", F.when((n >= 4) & (n <= _MASK), F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), window))).otherwise(F.array().cast("array<bigint>")))
-    three = two.withColumn("__r", _repeat_words("__w", "__p"))
+    d = docs.select(*[F.col(f"`{c}`") for c in keep], t.alias("__t"), _words(t).alias("__w"), lines.alias("__l"))
+    n, none = F.size("__w"), F.array().cast("array<bigint>")
+    d = d.withColumn("__p", F.when((n >= 4) & (n <= _MASK), _packed("__w")).otherwise(none))
+    p = F.col("__p")
+    d = d.withColumn("__q", F.filter(p, lambda x, k: ((k > 0) & _alike(x, F.get(p, k - 1))) | ((k < F.size(p) - 1) & _alike(x, F.get(p, k + 1)))))
+    # Few texts go the long way: those with a clash of hashes, and those of more words than a place has bits for.
+    d = d.withColumn("__long", (n > _MASK) | _differ("__w", "__q"))
+    d = d.withColumn("__r", F.when(F.col("__long"), _sorted_by_words("__w")).otherwise(F.sort_array(F.transform("__q", _place))))
     t, w = F.col("__t"), F.col("__w")
-    chars = F.length(t)
-    huge = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.concat_ws(" ", F.slice(w, i + 1, 3)))
-    pairs = F.array_sort(F.arrays_zip(huge.alias("w"), F.sequence(F.lit(0), n - 3).alias("i")))
-    four = three.withColumn("__z", F.when(n > _MASK, pairs))
-    z, end = F.col("__z"), F.size("__z") - 1
-    twin = lambda k: ((k > 0) & (F.get(z, k)["w"] == F.get(z, k - 1)["w"])) | ((k < end) & (F.get(z, k)["w"] == F.get(z, k + 1)["w"]))
-    found = F.sort_array(F.transform(F.filter(F.sequence(F.lit(0), end), twin), lambda k: F.get(z, k)["i"]))
-    five = four.withColumn("__r", F.when(n > _MASK, found).otherwise(F.col("__r")))
-    return five.select(
+    return d.select(
         *[F.col(f"`{c}`") for c in keep],
         n.cast("long").alias("n_words"),
-        F.length(F.translate(t, SPACE_CHARS, "")).cast("long").alias("word_chars"),
-        (chars - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         F.size("__l").cast("long").alias("n_lines"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         _covered("__r").alias("n_repeat_words"),
-        F.size(F.array_intersect("__w", stop)).cast("long").alias("n_stop_kinds"),
-        (chars - F.length(F.translate(t, ascii_uppercase, ""))).cast("long").alias("n_upper"),
+        F.size(F.array_intersect(w, stop)).cast("long").alias("n_stop_kinds"),
+        F.regexp_count(t, F.lit("[A-Z]")).cast("long").alias("n_upper"),
         F.lit(1).cast("long").alias("one"),
     )
 
@@ -135,9 +149,8 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
 
 
 def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that pass, with their own columns only."""
+    """The documents that pass, with their own columns only. They are written with their verdicts, and then filtered: a
+    filter over the counts themselves would be moved below them, and hold their expressions one within the other."""
     own = [F.col(f"`{c}`") for c in docs.columns]
     j = judged(docs.select(F.struct(*own).alias("__row"), F.col("text").alias("__judged")), rules, "__judged")
-    # A filter that also reads a row number stays above the counts. Moved below them, it would hold their expressions
-    # again and again, one within the other, and planning would not end.
-    return j.withColumn("__place", F.monotonically_increasing_id()).where("kept and __place >= 0").select("__row.*")
+    return Scratch(docs.sparkSession, "rules").put(j.select("__row", "kept"), "judged").where("kept").select("__row.*")

@@ -41,6 +41,23 @@ def test_sorting_pairs_for_very_long_texts_is_the_same(spark, monkeypatch):
     assert [g.n_repeat_words for g in got] == [brute(r[1])[4] for r in rows]
 
 
+def test_clashing_hashes_do_not_hide_repeats(spark, monkeypatch):
+    """Hashes of a few bits: windows that clash stand between equal ones, and their words decide."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices("abcdefghij", k=60)), "x") for i in range(200)] + fixture()
+    for bits in (1, 4, 8):
+        monkeypatch.setattr(m, "_HIGH", (1 << bits) - 1 << m._IDX)
+        got = m.measured(spark.createDataFrame(rows, SCHEMA)).collect()
+        assert [g.n_repeat_words for g in got] == [brute(r[1])[4] for r in rows]
+
+
+def test_very_long_text(spark):
+    rng = random.Random(8)
+    text = " ".join(rng.choices([f"w{i}" for i in range(4000)], k=300_000)) + "\nend\nend"
+    g = m.judged(spark.createDataFrame([(1, text, "x")], SCHEMA)).first()
+    assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words, g.base_failed) == brute(text)
+
+
 def test_verdict_and_kept_documents(spark):
     prose = "The house of the old man and his dog is by the river that runs to the sea for all to see, " * 1
     good = " ".join(f"{prose} word{i} and other{i * 3} things to name{i}." for i in range(6))
