@@ -1,15 +1,16 @@
 """Media columns: progressive JPEG files that hold a payload exactly, and a decoder for them and other progressive files.
 
-A JPEG's unit is the quantised coefficient. A payload byte b is the coefficient b if b >= 128 and b - 255 otherwise:
-magnitudes of eight bits, whose sign and bits are b itself. 192 bytes are one 8 x 8 block of each of three components.
-The file is sent by spectral selection (levels first, then bands of the rest) and successive approximation (all but the
-last bit, then that bit). The decoder takes any Huffman-coded progressive file: it gathers scans in coefficient arrays,
-inverse-transforms them, upsamples components to full size and gives RGB. Scans whose codes all have one length are read
-at once, after a check that they have; others symbol by symbol.
-
-Null text is empty; an empty payload is one unit of spaces; a text's size is only bounded by a row's; equal texts give
-equal files and features; rows are stored alone, so order, ties and repeats play no part; an empty table gives an empty
-result. Other columns are kept, but the operators' own names win.
+A JPEG's unit is the quantised coefficient. A payload byte b is the level b + 256 of a block, or, among the block's other
+coefficients, b if b >= 128 and b - 255 otherwise: magnitudes of eight bits, whose sign and bits are b itself. Chroma has
+half the resolution both ways: two units of 192 bytes are four blocks of luma and one of either chroma component, 16 x 16
+pixels. The file is sent by spectral selection (levels first, then bands of the rest) and successive approximation (all
+but the last bits, then those, one by one). The decoder takes any Huffman-coded progressive file: it gathers scans in
+coefficient arrays, inverse-transforms them, upsamples components to full size and gives RGB. Scans whose codes all have
+one length are read at once, after a check that they have; others symbol by symbol.
+
+Null text is empty; an empty payload is one unit of spaces; a very long text is one file of as many pixels as it needs,
+bounded by a row's size alone; equal texts give equal files and features; rows are stored alone, so order, ties and
+repeats play no part; an empty table gives an empty result. Other columns are kept, but the operators' own names win.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, text_bytes
+from .common import CHUNK_BYTES, arrow_map, text_bytes
 
 UNIT = 192
-_MAX_SIDE = 8191  # blocks of 8 in the 65,535 pixels that a side may have
+_MAX_SIDE = 4095  # MCUs of 16 in the 65,535 pixels that a side may have
 
 
 def padded(data: bytes) -> bytes:
@@ -49,10 +50,14 @@ def _scan(components: list[tuple[int, int]], ss: int, se: int, ah: int, al: int)
     return _segment(0xDA, bytes([len(components), *(x for c, t in components for x in (c, t)), ss, se, ah << 4 | al]))
 
 
-_LEVELS = _table(0, 0, {1: [8]})
+#: Codes of one bit. Levels lose two bits at first and then have seven, all others one and then have seven.
+_LEVELS = _table(0, 0, {1: [7]})
 _FIRST = _table(1, 0, {1: [7]})
 _REFINE = _table(1, 1, {4: [n << 4 for n in range(15)]})
 _QUANT = _segment(0xDB, bytes([0]) + bytes([1] * 64))
+#: Blocks of a unit of the file, of luma across and down and of each chroma component.
+_SAMPLING = ((2, 2), (1, 1), (1, 1))
+_MCU = 64 * sum(h * v for h, v in _SAMPLING)
 #: (component, first coefficient, last coefficient) of the scans after the levels.
 _BANDS = ((0, 1, 5), (0, 6, 63), (1, 1, 63), (2, 1, 63))
 
@@ -62,39 +67,57 @@ def _stuffed(data: np.ndarray) -> bytes:
     return raw.replace(b"\xff", b"\xff\x00") if b"\xff" in raw else raw
 
 
+def _packed(bits: np.ndarray) -> bytes:
+    return _stuffed(np.packbits(np.concatenate([bits, np.ones(-len(bits) % 8, np.uint8)])))
+
+
+def component_bytes(payload: np.ndarray, wide: int, high: int) -> list[np.ndarray]:
+    """(blocks, 64) of each component, its blocks row by row, of a payload that is cut in MCUs row by row."""
+    mcus, at, out = payload.reshape(high, wide, _MCU // 64, 64), 0, []
+    for h, v in _SAMPLING:
+        own = mcus[:, :, at : at + h * v].reshape(high, wide, v, h, 64)
+        out.append(np.ascontiguousarray(own.transpose(0, 2, 1, 3, 4)).reshape(-1, 64))
+        at += h * v
+    return out
+
+
+def payload_bytes(components: list[np.ndarray], wide: int, high: int) -> np.ndarray:
+    """The other way round."""
+    own = [c.reshape(high, v, wide, h, 64).transpose(0, 2, 1, 3, 4).reshape(high, wide, h * v, 64) for c, (h, v) in zip(components, _SAMPLING, strict=True)]
+    return np.concatenate(own, axis=2).reshape(-1)
+
+
 def write_jpeg(payload: bytes) -> bytes:
     """The progressive JPEG of a payload of a positive multiple of 192 bytes."""
-    units = len(payload) // UNIT
-    wide = -(-units // _MAX_SIDE)
-    high = -(-units // wide)
-    b = np.frombuffer(payload + b" " * (wide * high - units) * UNIT, np.uint8).reshape(-1, 3, 64)
-    size = (8 * high).to_bytes(2, "big") + (8 * wide).to_bytes(2, "big")
-    out = [b"\xff\xd8", _segment(0xFE, b"units=%d" % units), _QUANT, _segment(0xC2, b"\x08" + size + bytes([3, 1, 0x11, 0, 2, 0x11, 0, 3, 0x11, 0]))]
-    # Levels: one restart interval for each unit, so that none is told by difference from the one before.
-    level = b[:, :, 0].astype(np.uint32)
-    rows = np.empty((len(b), 6), np.uint8)
-    rows[:, :4] = (level[:, 0] << 23 | level[:, 1] << 14 | level[:, 2] << 5 | 31).astype(">u4").view(np.uint8).reshape(-1, 4)
-    rows[:, 4] = 0xFF
-    rows[:, 5] = 0xD0 + (np.arange(len(b)) & 7)
-    full = rows[:, :4] == 0xFF
-    flat = rows.ravel()
-    if full.any():
-        r, c = np.nonzero(full)
-        flat = np.insert(flat, r * 6 + c + 1, 0)
-    out += [_segment(0xDD, b"\x00\x01"), _LEVELS, _scan([(1, 0), (2, 0), (3, 0)], 0, 0, 0, 0), flat[:-2].tobytes(), _segment(0xDD, b"\x00\x00"), _FIRST, _REFINE]
-    half = b >> 1
+    n = -(-len(payload) // _MCU)
+    wide = -(-n // _MAX_SIDE)
+    high = -(-n // wide)
+    parts = component_bytes(np.frombuffer(payload.ljust(wide * high * _MCU), np.uint8), wide, high)
+    size = (16 * high).to_bytes(2, "big") + (16 * wide).to_bytes(2, "big")
+    spec = b"".join(bytes([c + 1, h << 4 | v, 0]) for c, (h, v) in enumerate(_SAMPLING))
+    out = [b"\xff\xd8", _segment(0xFE, b"units=%d" % (len(payload) // UNIT)), _QUANT, _segment(0xC2, b"\x08" + size + bytes([len(_SAMPLING)]) + spec), _segment(0xDD, b"\x00\x01"), _LEVELS]
+    # Levels: one restart interval for each block, so that none is told by difference from the one before. A code and its bits are one byte.
+    for c, b in enumerate(parts):
+        rows = np.empty((len(b), 3), np.uint8)
+        rows[:, 0] = 64 | b[:, 0] >> 2
+        rows[:, 1] = 0xFF
+        rows[:, 2] = 0xD0 + (np.arange(len(b)) & 7)
+        out += [_scan([(c + 1, 0)], 0, 0, 0, 2), rows.tobytes()[:-2]]
+    out += [_segment(0xDD, b"\x00\x00"), _FIRST, _REFINE]
+    for c, b in enumerate(parts):
+        for al in (1, 0):
+            out += [_scan([(c + 1, 0)], 0, 0, al + 1, al), _packed(b[:, 0] >> al & 1)]
     for c, ss, se in _BANDS:
-        out += [_scan([(c + 1, 0)], ss, se, 0, 1), half[:, c, ss : se + 1].tobytes()]
-    last = ((b & 1) ^ (b < 128)).astype(np.uint8)
-    for c in range(3):
+        out += [_scan([(c + 1, 0)], ss, se, 0, 1), (parts[c][:, ss : se + 1] >> 1).tobytes()]
+    for c, b in enumerate(parts):
+        last = ((b & 1) ^ (b < 128)).astype(np.uint8)
         bits = []
         for at in range(0, len(b), 32767):
             run = min(32767, len(b) - at)
-            n = run.bit_length() - 1
-            head = format(n, "04b") + (format(run - (1 << n), f"0{n}b") if n else "")
-            bits += [np.frombuffer(head.encode(), np.uint8) - 48, last[at : at + run, c, 1:].ravel()]
-        bits.append(np.ones(-sum(map(len, bits)) % 8, np.uint8))
-        out += [_scan([(c + 1, 1)], 1, 63, 1, 0), _stuffed(np.packbits(np.concatenate(bits)))]
+            k = run.bit_length() - 1
+            head = format(k, "04b") + (format(run - (1 << k), f"0{k}b") if k else "")
+            bits += [np.frombuffer(head.encode(), np.uint8) - 48, last[at : at + run, 1:].ravel()]
+        out += [_scan([(c + 1, 1)], 1, 63, 1, 0), _packed(np.concatenate(bits))]
     return b"".join([*out, b"\xff\xd9"])
 
 
@@ -253,9 +276,11 @@ def _blocks(chosen, units: tuple[int, int]):
 
 
 def _read_scan(raw, chosen, ss, se, ah, al, tables, interval, units) -> None:
+    if ss == 0 and ah == 0 and interval == 1 and _levels_at_once(raw, chosen, al, tables, units):
+        return
     parts = _intervals(raw)
     if ss == 0:
-        if not (ah == 0 and interval == 1 and _levels_at_once(parts, chosen, al, tables, units)):
+        if not (ah and _last_bits_at_once(parts, chosen, al, interval)):
             _levels(parts, chosen, ah, al, tables, interval, units)
         return
     c, t = chosen[0]
@@ -273,14 +298,21 @@ def _read_scan(raw, chosen, ss, se, ah, al, tables, interval, units) -> None:
         own[...] = blocks.reshape(own.shape)
 
 
-def _levels_at_once(parts, chosen, al, tables, units) -> bool:
-    """Levels of intervals of one unit each, all of one length, and each component's codes of one length."""
-    if any((c.h, c.v) != (1, 1) for c, _ in chosen) or len(chosen) < 2 or len(parts) != units[0] * units[1]:
+def _levels_at_once(raw, chosen, al, tables, units) -> bool:
+    """Levels of intervals of one unit each, all of one length and without stuffing, and each component's codes of one length."""
+    if len(chosen) == 1:
+        across, down = chosen[0][0].wide, chosen[0][0].high
+    elif all((c.h, c.v) == (1, 1) for c, _ in chosen):
+        across, down = units
+    else:
+        return False
+    stride, rest = divmod(len(raw) + 2, across * down)
+    if rest or stride < 3:
         return False
-    n = len(parts[0])
-    if any(len(p) != n for p in parts):
+    rows = np.append(raw, np.array([0xFF, 0xD0], np.uint8)).reshape(across * down, stride)
+    if np.any(rows[:, -2] != 0xFF) or np.any(rows[:, -1] & 0xF8 != 0xD0) or np.any(rows[:, :-2] == 0xFF):
         return False
-    bits = np.unpackbits(np.concatenate(parts).reshape(len(parts), n), axis=1)
+    bits = np.unpackbits(rows[:, :-2], axis=1)
     at, found = 0, []
     for _, t in chosen:
         length, code, size = tables[0, t >> 4].first
@@ -292,7 +324,17 @@ def _levels_at_once(parts, chosen, al, tables, units) -> bool:
         found.append(np.where(x >> (size - 1) != 0, x, x - (1 << size) + 1) << al)
         at += length + size
     for (c, _), x in zip(chosen, found, strict=True):
-        c.coefficients[:, :, 0] = x.reshape(units[1], units[0])
+        c.coefficients[:down, :across, 0] = x.reshape(down, across)
+    return True
+
+
+def _last_bits_at_once(parts, chosen, al, interval) -> bool:
+    """One bit more for the levels of one component."""
+    if len(chosen) != 1 or interval:
+        return False
+    c = chosen[0][0]
+    bits = np.unpackbits(parts[0])[: c.high * c.wide].astype(np.int32)
+    c.coefficients[: c.high, : c.wide, 0] |= bits.reshape(c.high, c.wide) << al
     return True
 
 
@@ -412,7 +454,9 @@ def to_rgb(image: Image) -> np.ndarray:
         matrix = _INVERSE if np.all(step == 1) else _INVERSE * step[:, None]
         plane = c.coefficients.reshape(-1, 64).astype(np.float32) @ matrix
         plane = plane.reshape(rows, cols, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, cols * 8) + 128
-        if (c.h, c.v) != (hm, vm):
+        if hm % c.h == 0 and vm % c.v == 0:
+            plane = plane.repeat(vm // c.v, axis=0).repeat(hm // c.h, axis=1) if (c.h, c.v) != (hm, vm) else plane
+        else:
             y = np.arange(image.height) * c.v // vm
             x = np.arange(image.width) * c.h // hm
             plane = plane[y[:, None], x[None, :]]
@@ -426,9 +470,14 @@ def to_rgb(image: Image) -> np.ndarray:
 
 def read_payload(image: Image) -> bytes:
     """The payload of a file by ``write_jpeg``."""
-    x = np.stack([c.coefficients.reshape(-1, 64) for c in image.components], axis=1)
+    parts = [c.coefficients.reshape(-1, 64) for c in image.components]
+    out = []
+    for x in parts:
+        b = np.where(x > 0, x, x + 255)
+        b[:, 0] = x[:, 0] - 256
+        out.append(b.astype(np.uint8))
     units = int(image.comment.removeprefix(b"units="))
-    return np.where(x > 0, x, x + 255)[:units].astype(np.uint8).tobytes()
+    return payload_bytes(out, image.width // 16, image.height // 16)[: units * UNIT].tobytes()
 
 
 def feature(rgb: np.ndarray) -> str:
@@ -466,38 +515,58 @@ def stored(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select(*[f"`{c}`" for c in own], "text"), kernel, _schema(docs, own, "n_bytes bigint, media binary"))
 
 
+def _with_tensors(t: pa.Table, images: list[Image | None]) -> pa.Table:
+    rgb = [None if x is None else to_rgb(x) for x in images]
+    for k, name in enumerate(("height", "width")):
+        t = t.append_column(name, pa.array([None if x is None else x.shape[k] for x in rgb], pa.int32()))
+    return t.append_column("rgb", pa.array([None if x is None else x.tobytes() for x in rgb], pa.binary()))
+
+
+def _images(t: pa.Table) -> list[Image | None]:
+    return [None if m is None else read_jpeg(m) for m in t.column("media").to_pylist()]
+
+
 def tensors(files: DataFrame) -> DataFrame:
     """``files`` (media: progressive JPEG files; null gives nulls) with height, width and rgb: the bytes of the (height, width, 3) tensor."""
-    made = {"height", "width", "rgb"}
-    own = _own(files, made)
+    own = _own(files, {"height", "width", "rgb"})
 
     def kernel(t: pa.Table):
-        rgb = [None if m is None else to_rgb(read_jpeg(m)) for m in t.column("media").to_pylist()]
-        size = [pa.array([None if x is None else x.shape[k] for x in rgb], pa.int32()) for k in (0, 1)]
-        t = t.append_column("height", size[0]).append_column("width", size[1])
-        yield t.append_column("rgb", pa.array([None if x is None else x.tobytes() for x in rgb], pa.binary()))
+        yield _with_tensors(t, _images(t))
 
     return arrow_map(files.select(*[f"`{c}`" for c in own]), kernel, _schema(files, own, "height int, width int, rgb binary"), "media")
 
 
+def features(t: pa.Table) -> list[str | None]:
+    """Of a table's tensor columns height, width and rgb, the feature of each row."""
+    out = []
+    for high, wide, raw in zip(*(t.column(c).to_pylist() for c in ("height", "width", "rgb")), strict=True):
+        out.append(None if raw is None else feature(np.frombuffer(raw, np.uint8).reshape(high, wide, 3)))
+    return out
+
+
 def described(files: DataFrame) -> DataFrame:
-    """``files`` (media by ``stored``) without media, with what reading it back gives: payload and media digests, and the feature of its tensor."""
+    """``files`` (media by ``stored``; null gives nulls) without media, with what reading it back gives: payload and media
+    digests, and the feature of its tensor. The tensor columns are those of ``tensors``, made and read in one pass."""
     made = {"payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"}
     own = [c for c in _own(files, made) if c != "media"]
 
     def kernel(t: pa.Table):
-        out = {c: [] for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-        for m in t.column("media").to_pylist():
-            image = read_jpeg(m)
-            payload = read_payload(image)
-            row = len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(to_rgb(image))
-            for c, v in zip(out, row, strict=True):
-                out[c].append(v)
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        images, media = _images(t), t.column("media").to_pylist()
+        payload = [None if x is None else read_payload(x) for x in images]
+        of = lambda f, values: [None if v is None else f(v) for v in values]
+        sha = lambda v: hashlib.sha256(v).hexdigest()
+        found = (
+            ("payload_bytes", of(len, payload), pa.int64()),
+            ("payload_sha256", of(sha, payload), pa.string()),
+            ("tail_crc32", of(lambda v: zlib.crc32(v[-16:]), payload), pa.int64()),
+            ("media_bytes", of(len, media), pa.int64()),
+            ("media_sha256", of(sha, media), pa.string()),
+            ("feature", features(_with_tensors(t.select(["media"]), images)), pa.string()),
+        )
         t = t.drop_columns(["media"])
-        for (c, v), k in zip(out.items(), kinds, strict=True):
-            t = t.append_column(c, pa.array(v, k))
+        for name, values, kind in found:
+            t = t.append_column(name, pa.array(values, kind))
         yield t
 
     more = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return arrow_map(files.select(*[f"`{c}`" for c in own], "media"), kernel, _schema(files, own, more), "media")
+    return arrow_map(files.select(*[f"`{c}`" for c in own], "media"), kernel, _schema(files, own, more), "media", CHUNK_BYTES >> 2)

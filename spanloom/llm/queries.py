@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat_format, html_extract, media_jpeg, mixing, near_dup, quality_gam, quality_rules, suffix_dedup, toxicity
-from .common import table
+from .common import Scratch, table
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -54,7 +54,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = media_jpeg.stored(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return media_jpeg.described(files)
+    return media_jpeg.described(Scratch(spark, "media").put(files, "files"))
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

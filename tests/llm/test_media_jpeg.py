@@ -206,6 +206,7 @@ def test_written_files_also_read_symbol_by_symbol(monkeypatch):
     data = m.padded(bytes(range(256)) * 3)
     monkeypatch.setattr(m, "_levels_at_once", lambda *a: False)
     monkeypatch.setattr(m, "_first_at_once", lambda *a: False)
+    monkeypatch.setattr(m, "_last_bits_at_once", lambda *a: False)
     assert m.read_payload(m.read_jpeg(m.write_jpeg(data))) == data
 
 
@@ -215,7 +216,59 @@ def test_frame(spark):
     got = m.described(files).collect()
     assert [(r.n_bytes, r.payload_bytes) for r in got] == [(6, 192), (6, 192), (0, 192), (0, 192), (1000, 1152)]
     assert got[0] == got[1] and got[2].payload_sha256 == got[3].payload_sha256
-    assert got[4].tail_crc32 == zlib.crc32(b" " * 16) and got[4].feature.startswith("48x8;")
+    assert got[4].tail_crc32 == zlib.crc32(b" " * 16) and got[4].feature.startswith("48x16;")  # 6 units: three of 16 x 16 pixels
     rgb = m.tensors(files).collect()
     assert all(len(r.rgb) == r.height * r.width * 3 for r in rgb)
     assert m.described(m.stored(spark.createDataFrame([], "doc_id bigint, text string"))).count() == 0
+
+
+def test_payloads_lie_in_subsampled_components():
+    """Byte for byte against the coefficients: four blocks of luma, then the chroma blocks, for each 384 bytes."""
+    rng = random.Random(4)
+    data = bytes(rng.choices(range(256), k=192 * 7))
+    image = m.read_jpeg(m.write_jpeg(data))
+    assert [(c.h, c.v) for c in image.components] == [(2, 2), (1, 1), (1, 1)] and (image.width, image.height) == (16, 64)
+    full = data + b" " * 192
+    for i, b in enumerate(full):
+        unit, rest = divmod(i, 384)
+        block, k = divmod(rest, 64)
+        c, r, x = (0, 2 * unit + block // 2, block % 2) if block < 4 else (block - 3, unit, 0)
+        assert image.components[c].coefficients[r, x, k] == (b + 256 if k == 0 else b if b >= 128 else b - 255)
+
+
+def test_tensor_against_a_plain_decoder():
+    """Pixel by pixel: the sum of cosines, chroma of half the resolution, and the colour transform."""
+    rng = random.Random(5)
+    image = m.read_jpeg(m.write_jpeg(bytes(rng.choices(range(60, 256), k=384))))
+    order, rgb = m.zigzag(), m.to_rgb(image)
+    assert rgb.shape == (16, 16, 3)
+
+    def sample(block, yy, xx):
+        total = 128.0
+        for k in range(64):
+            v, u = divmod(int(order[k]), 8)
+            scale = (np.sqrt(0.5) if u == 0 else 1) * (np.sqrt(0.5) if v == 0 else 1) / 4
+            total += scale * block[k] * np.cos((2 * xx + 1) * u * np.pi / 16) * np.cos((2 * yy + 1) * v * np.pi / 16)
+        return float(np.clip(np.rint(total), 0, 255))
+
+    y, cb, cr = (c.coefficients for c in image.components)
+    for yy in range(16):
+        for xx in range(16):
+            a = sample(y[yy // 8, xx // 8], yy % 8, xx % 8)
+            b, r = (sample(c[0, 0], yy // 2, xx // 2) - 128 for c in (cb, cr))
+            want = np.clip([a + 1.402 * r, a - 0.344136 * b - 0.714136 * r, a + 1.772 * b], 0, 255)
+            assert np.abs(rgb[yy, xx] - want).max() <= 1.5
+
+
+def test_stored_files_and_tensors_are_tables(spark, tmp_path):
+    """Files written, read back, decoded to a stored tensor column: its feature is the one that the query gives."""
+    rows = [(i, "wörd " * (7 * i), "x") for i in range(6)] + [(9, None, "x"), (10, "z" * 300_000, None)]
+    m.stored(spark.createDataFrame(rows, "doc_id bigint, text string, media string")).write.parquet(str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))
+    m.tensors(files).write.parquet(str(tmp_path / "tensors"))
+    held = {r.doc_id: r for r in spark.read.parquet(str(tmp_path / "tensors")).collect()}
+    for r in m.described(files).collect():
+        t = held[r.doc_id]
+        assert r.feature == m.feature(np.frombuffer(t.rgb, np.uint8).reshape(t.height, t.width, 3)) and r.media_bytes == len(t.media)
+    nulls = m.described(spark.createDataFrame([(1, None)], "doc_id bigint, media binary")).first()
+    assert nulls.feature is None and nulls.payload_bytes is None
