@@ -6,20 +6,26 @@ import itertools
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, the folder that the driver and all executors share. Where that is unset, one of this machine does if all of Spark runs on it."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='spanloom-')}"
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's shared folder (spark.checkpoint.dir). Where that is unset, a folder of this machine does if all of Spark runs on it."""
+    """A checkpoint in the shared folder."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if not re.match(r"local(\[|$)", spark.sparkContext.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            shared = tempfile.mkdtemp(prefix="spanloom-")
-        spark.sparkContext.setCheckpointDir(shared)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

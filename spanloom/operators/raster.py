@@ -60,6 +60,27 @@ def bilinear(points: DataFrame, grid: DataFrame, keys: list[str], i: str, j: str
     return out.agg(F.when(F.count("__v") == F.count("*"), F.sum(F.col("__c.w") * F.col("__v"))).alias(value))
 
 
+def warped(points: DataFrame, image: DataFrame, i: str, j: str, channels: list[str]) -> DataFrame:
+    """``points`` at fractional (i, j) with each channel between the four pixels around; null if one of them is missing."""
+    fi, fj = F.col(i) - F.floor(i), F.col(j) - F.floor(j)
+    corner = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), ((fi if a else 1 - fi) * (fj if b else 1 - fj)).alias("w")) for a in (0, 1) for b in (0, 1)]
+    p = points.withColumn("__c", F.explode(F.filter(F.array(*corner), lambda c: c["w"] > 0)))
+    p = p.withColumn("__i", F.floor(i) + F.col("__c.a")).withColumn("__j", F.floor(j) + F.col("__c.b"))
+    g = image.select(F.col(i).alias("__i"), F.col(j).alias("__j"), *[F.col(c).alias(f"__{c}") for c in channels], F.lit(1).alias("__there"))
+    whole = F.count("__there") == F.count("*")
+    return p.join(g, ["__i", "__j"], "left").groupBy(*points.columns).agg(*[F.when(whole, F.sum(F.col("__c.w") * F.col(f"__{c}"))).alias(c) for c in channels])
+
+
+def covered(faces: DataFrame) -> DataFrame:
+    """y, x, faces: the whole points of the plane in triangles (corners a, b, c: ``a_y``, ``a_x`` ...), edges included, and how many hold them."""
+    span = lambda x: F.sequence(F.ceil(F.least(f"a_{x}", f"b_{x}", f"c_{x}")), F.floor(F.greatest(f"a_{x}", f"b_{x}", f"c_{x}")))
+    some = lambda x: F.ceil(F.least(f"a_{x}", f"b_{x}", f"c_{x}")) <= F.floor(F.greatest(f"a_{x}", f"b_{x}", f"c_{x}"))
+    d = faces.where(some("y") & some("x")).withColumn("y", F.explode(span("y"))).withColumn("x", F.explode(span("x")))
+    side = lambda a, b: (F.col(f"{b}_x") - F.col(f"{a}_x")) * (F.col("y") - F.col(f"{a}_y")) - (F.col(f"{b}_y") - F.col(f"{a}_y")) * (F.col("x") - F.col(f"{a}_x"))
+    u = [side("a", "b"), side("b", "c"), side("c", "a")]
+    return d.where((F.least(*u) >= 0) | (F.greatest(*u) <= 0)).groupBy("y", "x").agg(F.count("*").alias("faces"))
+
+
 def pooled(cells: DataFrame, coords: list[str], factor: int, how: Column, extent: dict[str, int] | None = None) -> DataFrame:
     """``how`` over blocks of factor cells along each axis; ``extent``: an unfinished last block is cut off."""
     for c, n in (extent or {}).items():
