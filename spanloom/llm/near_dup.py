@@ -256,7 +256,8 @@ def classes_and_links(docs: DataFrame, words: int, percent: int, scratch: Scratc
     small = small.select("bucket", "node", "n", "sketch").repartition("bucket").sortWithinPartitions("bucket")
     maybe = scratch.put(small.mapInArrow(_plausible_kernel(percent, most_odd_bits()), _PAIR).unionByName(bound).distinct(), "maybe")
     family = connected_components(maybe, scratch, "family")
-    sizes = family.groupBy("root").agg(F.count("*").alias("m"))
+    # Written first: Spark then knows how small it is, and need not deal a large family by its root.
+    sizes = scratch.put(family.groupBy("root").agg(F.count("*").alias("m")), "sizes")
     family = family.join(sizes, "root").join(reps.select("node", "th1", "th2"), "node")
     # The families' texts, one for each class, by the text's hash: a copy meets only itself.
     texts = with_text_hash(docs.select("text")).join(family, ["th1", "th2"]).groupBy("node").agg(*[F.first(c).alias(c) for c in ("text", "root", "m")])

@@ -110,7 +110,7 @@ def line_gaps(cells: DataFrame, i: str, j: str, value: str, height: int, window:
         profile = np.zeros(height)
         profile[rows[i].to_numpy(int)] = rows["__mean"].to_numpy(float)
         if profile.mean() < least:
-            return pd.DataFrame({"start": [], "gaps": [], "score": []})
+            return pd.DataFrame({"start": [], "gaps": [], "score": []}, dtype=object)
         flat = smoothed(profile - smoothed(profile, 2 * hi), lo / 8)
         gaps = np.diff(peaks(flat, max(1, int(0.3 * lo)), max(0.25 * flat.std(), 0.2 * profile.mean())))
         return pd.DataFrame({"start": [key[0]], "gaps": [gaps.tolist()], "score": [float(np.mean([conformity(g, lo, hi) for g in gaps])) if len(gaps) else None]})

@@ -183,27 +183,29 @@ def eviction_plan(residents: DataFrame, wanted: DataFrame, key: str, stamp: str,
 def spatial_labels(cells: DataFrame, track: str, coords: list[str], labels: int, reach: int, seed: str) -> DataFrame:
     """track, label, forced: labels 1 to ``labels`` so that tracks with cells within ``reach`` of each other differ; reach 0: in one cell.
 
-    Tracks come in a seeded order; each takes the first label, from one told by its hash on and around, that none of its
-    neighbours before it has. Where all are taken, it takes the one that the fewest of them have (then the least): forced.
+    Labels go around by the tracks' own order; a track whose label a neighbour has, that comes before it in a seeded order,
+    takes the next one that none of these has. Where all are taken, it takes the one that the fewest of them have (then the
+    least): forced.
     In a round all tracks are labelled whose neighbours before them are: the result is that of the order, however rows lie.
     """
     from .graph import cut_lineage
+    from .ragged import numbered
     from .raster import neighbours
 
     one = cells.select(track, *coords).distinct()
-    t = one.select(track).distinct().withColumn("h", stable_hash(track, seed=seed))
+    t = cut_lineage(numbered(one.select(track).distinct(), [track], "rank").withColumn("h", stable_hash(track, seed=seed)))
     near = neighbours(one, coords, reach) if reach else one
     pairs = near.join(one.withColumnRenamed(track, "o"), coords).select(track, "o").distinct().where(F.col(track) != F.col("o"))
-    pairs = pairs.join(t, track).join(t.select(F.col(track).alias("o"), F.col("h").alias("oh")), "o")
+    pairs = pairs.join(t.drop("rank"), track).join(t.select(F.col(track).alias("o"), F.col("h").alias("oh")), "o")
     earlier = cut_lineage(pairs.where((F.col("oh") < F.col("h")) | ((F.col("oh") == F.col("h")) & (F.col("o") < F.col(track)))).select(track, "o"))
-    open_, done = cut_lineage(t), cut_lineage(t.limit(0).select(track, F.lit(0).cast("long").alias("label"), F.lit(False).alias("forced")))
+    open_, done = t, cut_lineage(t.limit(0).select(track, F.lit(0).cast("long").alias("label"), F.lit(False).alias("forced")))
     while not open_.isEmpty():
         waits = earlier.join(open_.select(F.col(track).alias("o")), "o", "left_semi").select(track).distinct()
         ready = open_.join(waits, track, "left_anti")
         used = earlier.join(done.select(F.col(track).alias("o"), "label"), "o").groupBy(track, "label").agg(F.count("*").alias("n"))
         used = used.groupBy(track).agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("used"))
         r = ready.join(used, track, "left").withColumn("used", F.coalesce("used", F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<bigint>"))))
-        around = F.transform(F.sequence(F.lit(0), F.lit(labels - 1)), lambda k: 1 + (F.col("h") + k) % labels)
+        around = F.transform(F.sequence(F.lit(0), F.lit(labels - 1)), lambda k: 1 + (F.col("rank") + k) % labels)
         free = F.filter(around, lambda x: ~F.map_contains_key(F.col("used"), x))
         least = F.array_min(F.transform(F.map_entries("used"), lambda e: F.struct(e["value"].alias("n"), e["key"].alias("k"))))["k"]
         fresh = cut_lineage(r.select(track, F.when(F.size(free) > 0, F.get(free, F.lit(0))).otherwise(least).cast("long").alias("label"), (F.size(free) == 0).alias("forced")))

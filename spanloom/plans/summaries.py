@@ -281,9 +281,9 @@ def cache_plan(t):
 
 @query(
     "K18",
-    f"""WITH RECURSIVE p AS (SELECT s_suppkey AS id, s_nationkey AS y, CAST(floor(s_acctbal / 700) AS BIGINT) AS x, {_HASH.format(19, "s_suppkey")} AS h, row_number() OVER (ORDER BY {_HASH.format(19, "s_suppkey")}, s_suppkey) AS rn FROM supplier),
+    f"""WITH RECURSIVE p AS (SELECT s_suppkey AS id, s_nationkey AS y, CAST(floor(s_acctbal / 700) AS BIGINT) AS x, {_HASH.format(19, "s_suppkey")} AS h, row_number() OVER (ORDER BY {_HASH.format(19, "s_suppkey")}, s_suppkey) AS rn, row_number() OVER (ORDER BY s_suppkey) - 1 AS rank FROM supplier),
 w AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(id BIGINT, y BIGINT, x BIGINT, label BIGINT, forced BOOLEAN)[]) AS done UNION ALL
-  SELECT n.rn, list_append(done, struct_pack(id := CAST(n.id AS BIGINT), y := CAST(n.y AS BIGINT), x := n.x, label := CAST(coalesce(list_filter(list_transform(generate_series(0, 4), lambda k: 1 + (n.h + k) % 5), lambda l: NOT list_contains(used, l))[1],
+  SELECT n.rn, list_append(done, struct_pack(id := CAST(n.id AS BIGINT), y := CAST(n.y AS BIGINT), x := n.x, label := CAST(coalesce(list_filter(list_transform(generate_series(0, 4), lambda k: 1 + (n.rank + k) % 5), lambda l: NOT list_contains(used, l))[1],
       list_sort(list_transform(list_distinct(used), lambda l: struct_pack(n := len(list_filter(used, lambda u: u = l)), k := l)))[1].k) AS BIGINT), forced := len(list_distinct(used)) = 5))
   FROM (SELECT p.*, done, list_transform(list_filter(done, lambda d: abs(d.y - p.y) <= 1 AND abs(d.x - p.x) <= 1), lambda d: d.label) AS used FROM w JOIN p ON p.rn = w.rn + 1) n),
 u AS (SELECT unnest(done) AS d FROM w WHERE rn = (SELECT max(rn) FROM p)) SELECT d.id AS s_suppkey, d.label AS label, d.forced AS forced FROM u""",

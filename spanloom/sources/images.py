@@ -116,7 +116,7 @@ def surfaces(spark: SparkSession, path: str) -> DataFrame:
 
     def decode(rows: pd.DataFrame) -> pd.DataFrame:
         planes = {p[:-4]: read_tiff(c) for p, c in zip(rows["plane"], rows["content"], strict=True)}
-        none = pd.DataFrame({c: [] for c in ("surface", "i", "j", "z", "y", "x", "winding")})
+        none = pd.DataFrame({c: [] for c in ("surface", "i", "j", "z", "y", "x", "winding")}, dtype=object)
         if not {"z", "y", "x"} <= planes.keys() or len({planes[c].shape[:2] for c in "zyx"}) > 1:
             return none
         grid = np.stack([planes[c].astype(np.float64) for c in "zyx"], axis=-1)
@@ -124,9 +124,9 @@ def surfaces(spark: SparkSession, path: str) -> DataFrame:
         if "mask" in planes:
             valid &= (planes["mask"] if planes["mask"].ndim == 2 else planes["mask"][..., 0]) != 0
         i, j = np.nonzero(valid)
-        winding = planes["winding"][i, j].astype(np.float64) if "winding" in planes else np.full(len(i), np.nan)
-        out = pd.DataFrame({"surface": rows["surface"].iloc[0], "i": i, "j": j, "z": grid[i, j, 0], "y": grid[i, j, 1], "x": grid[i, j, 2]})
-        return out.assign(winding=pd.Series(winding).where(winding != 0).astype(object).where(~np.isnan(winding) & (winding != 0), None))
+        winding = planes["winding"][i, j].astype(np.float64) if "winding" in planes else np.zeros(len(i))
+        turns = [None if w == 0 or np.isnan(w) else w for w in winding.tolist()]
+        return pd.DataFrame({"surface": rows["surface"].iloc[0], "i": i, "j": j, "z": grid[i, j, 0], "y": grid[i, j, 1], "x": grid[i, j, 2], "winding": pd.Series(turns, dtype=object)})
 
     return files.groupBy("surface").applyInPandas(decode, "surface string, i bigint, j bigint, z double, y double, x double, winding double")
 
