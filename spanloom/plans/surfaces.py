@@ -129,3 +129,45 @@ def distance_to_features(t):
     every = t("supplier").select(F.col("s_suppkey").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("j"))
     g = every.join(on, ["i", "j"], "left").withColumn("on", F.coalesce("on", F.lit(False)))
     return surfaces.distance_transform(g, [], "i", "j", "on", 5).select("i", "j", F.round("distance", 8).alias("distance"))
+
+
+_PARTS = "c AS (SELECT DISTINCT l_suppkey // 10 AS k, l_suppkey % 10 AS i, l_partkey % 12 AS j FROM lineitem WHERE (l_suppkey * 5 + l_partkey % 12 * 7) % 4 > 0)"
+
+
+def _parts(t):
+    c = t("lineitem").where("(l_suppkey * 5 + l_partkey % 12 * 7) % 4 > 0")
+    return c.select(F.floor(F.col("l_suppkey") / 10).alias("k"), (F.col("l_suppkey") % 10).alias("i"), (F.col("l_partkey") % 12).alias("j")).distinct()
+
+
+@query(
+    "K07",
+    f"""WITH RECURSIVE {_PARTS}, w AS (SELECT a.k * 10000 + a.i * 100 + a.j AS src, b.k * 10000 + b.i * 100 + b.j AS dst FROM c a JOIN c b ON a.k = b.k AND abs(a.i - b.i) + abs(a.j - b.j) <= 1),
+r(node, root) USING KEY (node) AS (SELECT src, src FROM w WHERE src = dst UNION SELECT w.dst, min(r.root) FROM r JOIN w ON r.node = w.src LEFT JOIN recurring.r m ON m.node = w.dst GROUP BY w.dst, m.root HAVING min(r.root) < m.root),
+n AS (SELECT node // 10000 AS k, root, count(*) AS n FROM r GROUP BY 1, 2), t AS (SELECT k, arg_min(root, (-n, root)) AS root FROM n GROUP BY 1) SELECT t.k AS k, node % 10000 // 100 AS i, node % 100 AS j FROM r JOIN t ON t.root = r.root""",
+)
+def largest_parts(t):
+    from ..operators import paths
+
+    return paths.largest_part(_parts(t), "k", "i", "j")
+
+
+@query("S26 K12", None)
+def cone_path_pools(t):
+    from ..operators import paths
+
+    c = _parts(t)
+    a = c.groupBy("k").agg(F.min(F.struct(F.abs(F.col("i") - 5) + F.abs(F.col("j") - 6), "i", "j")).alias("m")).select("k", "m.i", "m.j")
+    p = paths.cone_paths(c, "k", "i", "j", a, 3, "29")
+    return p.select("k", "anchor_i", "anchor_j", "cone", "rank", F.round("length", 6).alias("length"), F.concat_ws(" ", F.transform("path", lambda x: F.concat_ws(",", x["i"].cast("string"), x["j"].cast("string")))).alias("path"))
+
+
+@query("K13", None)
+def stitched_paths(t):
+    from ..operators import paths
+
+    v = _vertices(t)
+    top = v.agg(F.max("i").alias("top"))
+    v = v.join(F.broadcast(top)).where((F.col("s") == "N") & (F.col("i") <= 0.7 * F.col("top")) | (F.col("s") == "R") & (F.col("i") >= 0.3 * F.col("top")))  # top is one row
+    pair = t("region").sparkSession.createDataFrame([("N", "R")], "a string, b string")
+    p = paths.stitched_paths(v.drop("top"), "s", "i", "j", list("zyx"), pair, 4.0, 2.0)
+    return p.select("a", "b", "rank", "on", "i", "j", *[F.round(c, 6).alias(c) for c in "zyx"])

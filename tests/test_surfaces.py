@@ -146,3 +146,33 @@ def test_lines_of_known_pitch(spark):
     assert sorted(r.start for r in got) == [0, 8, 16, 24, 32] and all(r.score > 0.95 and len(r.gaps) >= 5 for r in got)
     blank = raster.line_gaps(spark.createDataFrame([(0, 0, 1e-6)], "i int, j int, v double"), "i", "j", "v", 160, 16, 8, (16.0, 24.0), 0.01)
     assert blank.count() == 0
+
+
+def test_cone_paths(spark):
+    from spanloom.operators import paths
+
+    cells = [("s", i, j) for i in range(7) for j in range(9)] + [("t", 0, 0), ("t", 5, 5)]
+    got = paths.cone_paths(spark.createDataFrame(cells, "k string, i int, j int"), "k", "i", "j", spark.createDataFrame([("s", 3, 4), ("t", 0, 0), ("t", 9, 9)], "k string, i int, j int"), 2, "q").collect()
+    assert sorted((r.k, r.cone, r.rank) for r in got) == sorted([("s", c, r) for c in range(4) for r in range(2)] + [("t", c, 0) for c in range(4)])
+    for r in got:
+        way = [(p.i, p.j) for p in r.path]
+        assert way[0] == (r.anchor_i, r.anchor_j) and all(max(abs(a[0] - b[0]), abs(a[1] - b[1])) == 1 for a, b in zip(way, way[1:]))
+        assert abs(sum(math.dist(a, b) for a, b in zip(way, way[1:])) - r.length) < 1e-9
+        if r.k == "s":
+            dy, dx = way[-1][0] - 3, way[-1][1] - 4
+            assert [dx >= abs(dy), -dx >= abs(dy), dy >= abs(dx), -dy >= abs(dx)][r.cone]
+            short, long = sorted((abs(dy), abs(dx)))
+            assert abs(r.length - (long - short + short * 2**0.5)) < 1e-9 and r.length >= (2 if r.cone < 2 else 1.5)
+
+
+def test_stitched_path_of_two_sheets(spark):
+    from spanloom.operators import paths
+
+    rows = [("a", i, j, 0.0, float(i), float(j)) for i in range(9) for j in range(4)] + [("b", i, j, 0.4, float(i) + 5, float(j)) for i in range(9) for j in range(4)]
+    v = spark.createDataFrame(rows + [("c", i, j, 90.0, float(i), float(j)) for i in range(3) for j in range(3)], "s string, i int, j int, z double, y double, x double")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c")], "a string, b string")
+    got = paths.stitched_paths(v, "s", "i", "j", list("zyx"), pairs, 0.5, 2.0).orderBy("rank").collect()
+    # Squares 5 to 7 of a lie on 0 to 2 of b: two squares from those, straight on, and over once.
+    assert [(r.on, r.i) for r in got[:1] + got[-1:]] == [("a", 3), ("b", 4)] and {r.b for r in got} == {"b"}
+    assert [r.rank for r in got] == list(range(len(got))) and sum(p.on != q.on for p, q in zip(got, got[1:])) == 1
+    assert all(abs(p.y - q.y) <= 1 and abs(p.x - q.x) <= 1 for p, q in zip(got, got[1:]))
