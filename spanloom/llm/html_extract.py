@@ -7,7 +7,7 @@ follow each other among one parent's children, are joined by edges that weigh mo
 tree. The minimum cut, by maximum flow, labels all blocks of a page at once.
 
 The classifier is fitted in numpy, by Newton steps that are held near PRIOR, on the blocks of at most FIT_PAGES pages
-(those that come first by a hash of their html, of at most FIT_BYTES bytes): in pages with an article element, what is
+(those that come first by a hash of their html, each once, of at most FIT_BYTES bytes): in pages with an article element, what is
 inside it is content. Without such pages it is PRIOR itself. All pages are then labelled, whatever their size.
 
 Null or empty html, and pages without content, give an empty text. Character references are decoded, white space in a
@@ -20,6 +20,7 @@ Other columns are kept, but text, n_chars and blocks are the operator's.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -192,21 +193,24 @@ _ITEMS = frozenset("li dt dd td th".split())
 def features(blocks: list[Block]) -> np.ndarray:
     """(blocks, FEATURES) of one page's blocks, from their text and place in the tree; no names of classes or sections."""
     words = [b.text.split() for b in blocks]
-    seen = Counter(w for ws in words for w in set(ws))
+    kinds = [set(ws) for ws in words]
+    seen: Counter = Counter()
+    for k in kinds:
+        seen.update(k)
+    shared = {w for w, n in seen.items() if n > 1}
     group = Counter((id(b.node.parent), b.node.tag) for b in blocks)
     size: Counter = Counter()
     for b in blocks:
         size[id(b.node.parent)] += len(b.text)
-    middle = float(np.median([b.node.depth for b in blocks]))
-    out = np.zeros((len(blocks), len(FEATURES)))
-    for row, (i, (b, ws)) in zip(out, enumerate(zip(blocks, words, strict=True)), strict=True):
-        n, tag, kinds = len(ws), b.node.tag, set(ws)
-        marks = sum(c in _PUNCTUATION for c in b.text)
-        row[:] = (
-            1.0, np.log1p(min(n, 200)), n < 4, min(1.0, b.linked / len(b.text)), b.text[-1] in _SENTENCE_END, min(1.0, 4 * marks / n), tag in _HEADINGS, tag in _PARAGRAPHS, tag in _ITEMS,
-            min(4.0, abs(b.node.depth - middle)), np.log(min(50, group[id(b.node.parent), tag])), np.log1p(min(20_000, size[id(b.node.parent)])) - 5, sum(seen[w] > 1 for w in kinds) / len(kinds), i in (0, len(blocks) - 1),
-        )
-    return out
+    middle, last, rows = float(np.median([b.node.depth for b in blocks])), len(blocks) - 1, []
+    for i, (b, ws, k) in enumerate(zip(blocks, words, kinds, strict=True)):
+        text, n, tag = b.text, len(ws), b.node.tag
+        marks = sum(map(text.count, _PUNCTUATION))
+        rows.append((
+            1.0, math.log1p(min(n, 200)), n < 4, min(1.0, b.linked / len(text)), text[-1] in _SENTENCE_END, min(1.0, 4 * marks / n), tag in _HEADINGS, tag in _PARAGRAPHS, tag in _ITEMS,
+            min(4.0, abs(b.node.depth - middle)), math.log(min(50, group[id(b.node.parent), tag])), math.log1p(min(20_000, size[id(b.node.parent)])) - 5, len(k & shared) / len(k), i in (0, last),
+        ))
+    return np.array(rows, float)
 
 
 def named(blocks: list[Block]) -> np.ndarray:
@@ -343,8 +347,13 @@ def main_blocks(page: str | None, weights: np.ndarray = PRIOR) -> list[str]:
 def fitted(pages: DataFrame, column: str = "html", most: int = FIT_PAGES) -> np.ndarray:
     """Weights from at most ``most`` of the pages that have an article element."""
     h = F.col(f"`{column}`")
-    marked = pages.select(h.alias("h")).where(h.rlike(r"(?i)<(article|main)[\s>]") & (F.octet_length(h) <= FIT_BYTES))
-    return fit([r.h for r in marked.orderBy(F.xxhash64("h"), "h").limit(most).collect()])
+    marked = pages.select(h.alias("h")).where(h.rlike(r"(?i)<(article|main)[\s>]") & (F.octet_length(h) <= FIT_BYTES)).withColumn("k", F.xxhash64("h"))
+    # The hashes of the first pages, and then these pages: no task holds more than it sends.
+    first = [r.k for r in marked.select("k").distinct().orderBy("k").limit(most).collect()]
+    if not first:
+        return PRIOR
+    rows = marked.where(F.col("k") <= first[-1]).groupBy("k").agg(F.min("h").alias("h")).collect()
+    return fit([r.h for r in sorted(rows, key=lambda r: r.k)])
 
 
 def extracted(pages: DataFrame, column: str = "html", weights: np.ndarray | None = None) -> DataFrame:
