@@ -88,6 +88,49 @@ def pooled(cells: DataFrame, coords: list[str], factor: int, how: Column, extent
     return cells.groupBy(*[F.floor(F.col(c) / factor).alias(c) for c in coords]).agg(how)
 
 
+def dusted(cells: DataFrame, coords: list[str], least: int, most: int | None = None, faces_only: bool = True) -> DataFrame:
+    """Cells of the stretches (over faces, or over corners too) that have ``least`` cells or more, and fewer than ``most``."""
+    from .graph import components
+
+    c = cells.select(*coords).distinct()
+    node = F.struct(*coords)
+    near = neighbours(c.withColumn("a", node), coords, 1, faces_only).select("a", node.alias("b")).where("a < b")
+    parts = components(near.join(c.select(node.alias("b")), "b"))
+    own = c.join(parts, node == F.col("node"), "left").select(*coords, F.coalesce("root", node).alias("root"))
+    size = own.groupBy("root").agg(F.count("*").alias("n")).where((F.col("n") >= least) & (F.lit(True) if most is None else F.col("n") < most))
+    return own.join(size, "root").select(*coords)
+
+
+def thinned(cells: DataFrame, keys: list[str], i: str, j: str) -> DataFrame:
+    """The cells' skeleton, one cell wide: boundary cells go, from two sides in turn, where that neither cuts nor shortens a line.
+
+    A cell's eight neighbours are one byte, gathered by a partial aggregate; a round is two of these, and rounds go on until
+    none goes: as many as half of the thickest part.
+    """
+    from .graph import cut_lineage
+
+    # Neighbours in turn, from the one above on: the order that crossings are counted in.
+    ring = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
+    now = cut_lineage(cells.select(*keys, i, j).distinct())
+    bit = lambda k: F.shiftright("bits", k).bitwiseAND(F.lit(1))
+    while True:
+        gone = False
+        for side in (0, 1):
+            votes = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(1 << k).alias("bit")) for k, (a, b) in enumerate(ring)]))
+            # A cell at (a, b) from another is that one's neighbour k.
+            v = now.withColumn("m", votes).select(*keys, (F.col(i) - F.col("m.a")).alias(i), (F.col(j) - F.col("m.b")).alias(j), F.col("m.bit").alias("bit"))
+            d = now.join(v.groupBy(*keys, i, j).agg(F.sum("bit").cast("int").alias("bits")), [*keys, i, j], "left").withColumn("bits", F.coalesce("bits", F.lit(0)))
+            n = F.bit_count("bits")
+            turns = sum(((1 - bit(k)) * bit((k + 1) % 8) for k in range(8)), F.lit(0))
+            p2, p4, p6, p8 = bit(0), bit(2), bit(4), bit(6)
+            open_ = (p2 * p4 * p6 == 0) & (p4 * p6 * p8 == 0) if side == 0 else (p2 * p4 * p8 == 0) & (p2 * p6 * p8 == 0)
+            left = cut_lineage(d.where(~(n.between(2, 6) & (turns == 1) & open_)).select(*keys, i, j))
+            gone |= left.count() < now.count()
+            now = left
+        if not gone:
+            return now
+
+
 def line_gaps(cells: DataFrame, i: str, j: str, value: str, height: int, window: int, step: int, pitch: tuple[float, float], least: float) -> DataFrame:
     """start, gaps, score: for each window of ``window`` columns, every ``step``, whose mean is ``least`` or more: the gaps between
     the lines of its profile down the rows, and the mean of how well they fit the pitch.

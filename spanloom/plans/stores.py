@@ -273,3 +273,28 @@ def hit_rates(t):
     hit = F.col("l_orderkey") > F.col("first")
     j = line.join(first, F.col("l_partkey") == F.col("k")).groupBy("l_suppkey")
     return j.agg(F.count(F.when(hit, 1)).alias("hits"), F.count(F.when(~hit, 1)).alias("misses"), F.round(expr.guarded_ratio(F.sum(hit.cast("int")), F.count("*")), 6).alias("rate"))
+
+
+@query("A15", "SELECT * FROM (VALUES ('bad', 'corrupt'), ('half', 'missing: data.pkl'), ('old', 'legacy')) v(name, problem)")
+def saved_states(t):
+    import io
+    import os
+    import zipfile
+
+    folder = _folder(t).removeprefix("file://")
+    os.makedirs(folder)
+
+    def archive(*names: str) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for n in names:
+                z.writestr(n, n * 50)
+        return out.getvalue()
+
+    whole = archive("state/data.pkl", "state/version")
+    contents = {"whole": whole, "bad": whole.replace(b"data.pklstate", b"data.pkl_____", 1), "half": archive("state/version"), "old": b"\x80\x02}q\x00."}
+    for name, content in contents.items():
+        with open(f"{folder}/{name}.ckpt", "wb") as f:
+            f.write(content)
+    p = images.container_problems(t("region").sparkSession, [f"{folder}/{n}.ckpt" for n in contents], ["data.pkl", "version"])
+    return p.select(F.regexp_extract("path", "([a-z]+)[.]ckpt$", 1).alias("name"), "problem")

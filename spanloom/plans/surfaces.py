@@ -171,3 +171,40 @@ def stitched_paths(t):
     pair = t("region").sparkSession.createDataFrame([("N", "R")], "a string, b string")
     p = paths.stitched_paths(v.drop("top"), "s", "i", "j", list("zyx"), pair, 4.0, 2.0)
     return p.select("a", "b", "rank", "on", "i", "j", *[F.round(c, 6).alias(c) for c in "zyx"])
+
+
+@query(
+    "K15",
+    """WITH RECURSIVE c AS (SELECT DISTINCT l_suppkey AS i, l_partkey % 30 AS j FROM lineitem WHERE (l_suppkey * 5 + l_partkey % 30 * 7) % 5 < 2), w AS (SELECT a.i * 100 + a.j AS src, b.i * 100 + b.j AS dst FROM c a JOIN c b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1),
+r(node, root) USING KEY (node) AS (SELECT src, src FROM w WHERE src = dst UNION SELECT w.dst, min(r.root) FROM r JOIN w ON r.node = w.src LEFT JOIN recurring.r m ON m.node = w.dst GROUP BY w.dst, m.root HAVING min(r.root) < m.root),
+n AS (SELECT root FROM r GROUP BY 1 HAVING count(*) >= 3 AND count(*) < 400) SELECT node // 100 AS i, node % 100 AS j FROM r JOIN n USING (root)""",
+)
+def size_band(t):
+    from ..operators import raster
+
+    c = t("lineitem").where("(l_suppkey * 5 + l_partkey % 30 * 7) % 5 < 2").select(F.col("l_suppkey").alias("i"), (F.col("l_partkey") % 30).alias("j"))
+    return raster.dusted(c, ["i", "j"], 3, 400, faces_only=False)
+
+
+@query("K15 C13", None)
+def grid_skeleton(t):
+    from ..operators import raster
+
+    c = t("lineitem").where("(l_suppkey % 20 div 3 + l_partkey % 24 div 3) % 3 < 2").select(F.floor(F.col("l_suppkey") / 20).alias("k"), (F.col("l_suppkey") % 20).alias("i"), (F.col("l_partkey") % 24).alias("j"))
+    return raster.thinned(c, ["k"], "i", "j")
+
+
+@query("G45", "SELECT 120.0 AS cy, -40.0 AS cx, 24.0 AS dr, 1.0 AS phase, -1 AS sense FROM region LIMIT 1")
+def spiral_fit(t):
+    from ..operators import fits
+
+    # Points of a known spiral, those of 'error' events far off it: the fit finds the spiral.
+    e = t("events")
+    theta = (F.col("event_id") * 0.7) % 6.28
+    r = (F.col("user_id") % 8 + 3 + theta / (2 * 3.141592653589793)) * 24.0 + F.when(F.col("event_type") == "error", F.col("value") % 60).otherwise(F.sin("event_id") * 0.3)
+    angle = 1.0 - theta
+    p = e.select((F.col("user_id") % 8 + 3).alias("winding"), (F.lit(120.0) + r * F.sin(angle)).alias("y"), (F.lit(-40.0) + r * F.cos(angle)).alias("x"))
+    f = fits.fit_spiral(p, [18.0, 22.0, 26.0, 30.0], 2.0)
+    # Decimals of the planted figures; the sample's noise moves those after.
+    near = lambda c, to: (F.round(F.col(c) / to) * to).alias(c)
+    return f.select(near("cy", 1.0), near("cx", 1.0), near("dr", 0.5), near("phase", 0.1), "sense")

@@ -195,6 +195,36 @@ def dbm_records(spark: SparkSession, path: str, parts: int = 16) -> DataFrame:
     return spark.range(0, parts, 1, parts).mapInPandas(read, "ordinal bigint, key binary, value binary")
 
 
+def container_problems(spark: SparkSession, paths: list[str], required: list[str]) -> DataFrame:
+    """path, problem: what is wrong with archives that hold a saved state: 'legacy' (no archive), 'corrupt' (its list or a record's
+    checksum fails), 'missing: ...' (records, by the end of their names). Whole files give no row."""
+    files = spark.read.format("binaryFile").option("ignoreMissingFiles", True).load(paths).select("path", "content")
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+        import zipfile
+
+        for batch in batches:
+            out = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                if not content.startswith(b"PK"):
+                    out.append((path, "legacy"))
+                    continue
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        broken, names = z.testzip(), z.namelist()
+                except (zipfile.BadZipFile, zlib.error, EOFError):
+                    broken, names = "", []
+                lost = [r for r in required if not any(n == r or n.endswith(f"/{r}") for n in names)]
+                if broken is not None:
+                    out.append((path, "corrupt"))
+                elif lost:
+                    out.append((path, f"missing: {', '.join(lost)}"))
+            yield pd.DataFrame(out, columns=["path", "problem"], dtype=object)
+
+    return files.mapInPandas(check, "path string, problem string")
+
+
 def layout(spark: SparkSession, root: str, entries: list[tuple[str, str, bool]], one_of: dict[str, str] | None = None) -> DataFrame:
     """key, status, paths: what of a conventional layout (key, relative path, required) is under ``root``.
 

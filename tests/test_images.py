@@ -166,3 +166,22 @@ def test_loss_map_of_two_samples(spark):
     assert (e.name, e.sample_count, e.eligible, e.projected, e.off_surface, e.omitted, e.pixels, e.p50, e.maximum) == ("patch", 2, 3, 2, 0, 1, 1, 4.0, 4.0)
     shown = {(r.row, r.col): r.a for r in lossmaps.coloured(lossmaps.maps(p, weights), lossmaps.entries(p, weights), pixels).collect()}
     assert set(shown) == {(0, 0), (1, 0), (1, 1), (2, 0), (2, 1)} and set(shown.values()) == {235}
+
+
+def test_saved_states_are_checked(spark, tmp_path):
+    import io
+    import zipfile
+
+    def archive(*names):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for n in names:
+                z.writestr(n, n * 90)
+        return out.getvalue()
+
+    whole = archive("x/data.pkl", "x/version")
+    files = {"a": whole, "b": whole[:-30], "c": b"\x80\x02", "d": archive("x/version"), "e": whole.replace(b"data.pklx", b"data.pkl!", 1)}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r.path[-1]: r.problem for r in images.container_problems(spark, [str(tmp_path / n) for n in files], ["data.pkl", "version"]).collect()}
+    assert got == {"b": "corrupt", "c": "legacy", "d": "missing: data.pkl", "e": "corrupt"}

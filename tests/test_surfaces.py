@@ -176,3 +176,58 @@ def test_stitched_path_of_two_sheets(spark):
     assert [(r.on, r.i) for r in got[:1] + got[-1:]] == [("a", 3), ("b", 4)] and {r.b for r in got} == {"b"}
     assert [r.rank for r in got] == list(range(len(got))) and sum(p.on != q.on for p, q in zip(got, got[1:])) == 1
     assert all(abs(p.y - q.y) <= 1 and abs(p.x - q.x) <= 1 for p, q in zip(got, got[1:]))
+
+
+def thin(cells):
+    """Zhang and Suen's rules, cell by cell."""
+    ring = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
+    cells = set(cells)
+    while True:
+        before = len(cells)
+        for side in (0, 1):
+            out = set()
+            for c in cells:
+                p = [int((c[0] + a, c[1] + b) in cells) for a, b in ring]
+                turns = sum(p[k] == 0 and p[(k + 1) % 8] == 1 for k in range(8))
+                sides = (p[0] * p[2] * p[4], p[2] * p[4] * p[6]) if side == 0 else (p[0] * p[2] * p[6], p[0] * p[4] * p[6])
+                if 2 <= sum(p) <= 6 and turns == 1 and sides == (0, 0):
+                    out.add(c)
+            cells -= out
+        if len(cells) == before:
+            return cells
+
+
+def test_thinning_and_size_bands(spark):
+    rng = random.Random(8)
+    grids = {0: {(i, j) for i in range(3, 10) for j in range(12)}, 1: {(i, j) for i in range(12) for j in range(12) if rng.random() < 0.75}, 2: {(0, 0)}}
+    df = spark.createDataFrame([(k, *c) for k, cells in grids.items() for c in cells], "k int, i int, j int")
+    got = {}
+    for r in raster.thinned(df, ["k"], "i", "j").collect():
+        got.setdefault(r.k, set()).add((r.i, r.j))
+    assert got == {k: thin(c) for k, c in grids.items()} and len(got[0]) < 15
+    cells = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (5, 5), (6, 6), (9, 0)], "i int, j int")
+    of = lambda *a, **k: sorted(tuple(r) for r in raster.dusted(cells, ["i", "j"], *a, **k).collect())
+    assert of(2) == [(0, 0), (0, 1), (1, 1)] and of(2, faces_only=False) == [(0, 0), (0, 1), (1, 1), (5, 5), (6, 6)] and of(1, 2) == [(5, 5), (6, 6), (9, 0)]
+
+
+def test_largest_part(spark):
+    from spanloom.operators import paths
+
+    rows = [("a", 0, j) for j in range(4)] + [("a", 2, j) for j in range(5)] + [("b", 7, 7), ("b", 9, 9)]
+    got = sorted(tuple(r) for r in paths.largest_part(spark.createDataFrame(rows, "k string, i int, j int"), "k", "i", "j").collect())
+    assert got == [("a", 2, j) for j in range(5)] + [("b", 7, 7)]
+
+
+def test_spiral_is_found_among_strays(spark):
+    from spanloom.operators import fits
+
+    rng = random.Random(10)
+    rows = []
+    for k in range(400):
+        w, theta = rng.randint(4, 9), rng.uniform(0, 2 * math.pi)
+        r = (w + theta / (2 * math.pi)) * 21.5 + rng.gauss(0, 0.2) + (rng.uniform(10, 90) if k % 8 == 0 else 0)
+        rows.append((w, 15 + r * math.sin(2.5 + theta), 33 + r * math.cos(2.5 + theta)))
+    df = spark.createDataFrame(rows, "winding int, y double, x double")
+    f = fits.fit_spiral(df, [18.0, 26.0], 2.0).first()
+    assert abs(f.cy - 15) < 0.3 and abs(f.cx - 33) < 0.3 and abs(f.dr - 21.5) < 0.05 and abs(f.phase - 2.5) < 0.05 and f.sense == 1  # strays pull a little
+    assert fits.fit_spiral(df.limit(0), [18.0], 2.0).count() == 0
