@@ -188,3 +188,27 @@ def worst_cycle_groups(t):
     p = lambda s, n: tree.select(F.col("node").alias(s), F.coalesce("parent", F.lit(-1)).alias(n))
     h = h.join(p("src", "p1"), "src").join(p("dst", "p2"), "dst").groupBy(F.least("p1", "p2").alias("key"))
     return h.agg(F.count("*").alias("cycles"), F.max(F.abs("holonomy")).cast("long").alias("worst")).orderBy(F.desc("worst"), F.desc("cycles"), "key").limit(10)
+
+
+_KINDS = "k AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS n FROM (SELECT DISTINCT event_type FROM events))"
+
+
+@query(
+    "K05",
+    f"""WITH {_KINDS}, s AS (SELECT user_id, n AS a, lead(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events JOIN k USING (event_type)),
+e AS (SELECT DISTINCT user_id, least(a, b) AS src, greatest(a, b) AS dst FROM s WHERE a <> b), d AS (SELECT *, dst - src + CASE WHEN (user_id + src * 3 + dst * 5) % 4 = 0 THEN 1 ELSE 0 END AS delta FROM e),
+v AS (SELECT CAST(unnest(generate_series(-2, 2)) AS BIGINT) AS o), x AS (SELECT [0, v1.o, v2.o, v3.o, v4.o] AS o FROM v v1, v v2, v v3, v v4),
+c AS (SELECT user_id, x.o AS o, count(*) FILTER (dst + x.o[dst + 1] - src - x.o[src + 1] <> delta) AS n FROM d, x GROUP BY 1, 2) SELECT user_id, min(n) AS changed FROM c GROUP BY 1""",
+)
+def fewest_repairs(t):
+    from pyspark.sql import Window
+
+    from ..operators import ragged, repairs
+
+    kinds = t("events").select("event_type").distinct()
+    kinds = ragged.numbered(kinds, ["event_type"], "n")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    s = t("events").join(kinds, "event_type").select("user_id", F.col("n").alias("a"), F.lead("n").over(w).alias("b")).where("a != b")
+    e = s.select("user_id", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+    e = e.withColumn("delta", F.col("dst") - F.col("src") + ((F.col("user_id") + F.col("src") * 3 + F.col("dst") * 5) % 4 == 0).cast("long"))
+    return repairs.repaired(e, "user_id", "src", "dst", "delta", 10).groupBy("user_id").agg(F.sum(F.col("changed").cast("long")).alias("changed"))

@@ -77,12 +77,12 @@ def props_json_explode(t):
 
 @query(
     "A25 A17",
-    """WITH j AS (SELECT CAST(unnest(generate_series(0, 15000, 700)) AS BIGINT) AS lo) SELECT lo, least(lo + 1000, 15000) AS hi, count(o_orderkey) AS n FROM j LEFT JOIN orders ON o_orderkey >= lo AND o_orderkey < least(lo + 1000, 15000) WHERE lo < 15000 GROUP BY 1, 2""",
+    """WITH m AS (SELECT max(o_orderkey) + 1 AS top FROM orders), j AS (SELECT CAST(unnest(generate_series(0, top - 1, 700)) AS BIGINT) AS lo, top FROM m)
+SELECT lo, least(lo + 1000, top) AS hi, count(o_orderkey) AS n FROM j LEFT JOIN orders ON o_orderkey >= lo AND o_orderkey < least(lo + 1000, top) GROUP BY 1, 2""",
 )
 def slab_jobs(t):
-    # Slabs reach the last key, and 15000 at least, as the SQL's for tables up to sf0.01 do.
     top = t("orders").agg(F.max("o_orderkey")).first()[0]
-    jobs = files.slab_jobs(t("region").sparkSession, 0, max(15000, (top or 0) + 1), 700, 1000)
+    jobs = files.slab_jobs(t("region").sparkSession, 0, 0 if top is None else top + 1, 700, 1000)
     hit = joins.range_pairs(t("orders").select("o_orderkey"), jobs, "o_orderkey", "lo", "hi", 1000.0).groupBy("lo", "hi").agg(F.count("*").alias("n"))
     return jobs.join(hit, ["lo", "hi"], "left").select("lo", "hi", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 

@@ -46,3 +46,16 @@ def test_every_query_names_what_it_covers():
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_queries_without_sql_run(spark, name):
     assert catalog.QUERIES[name](spark, str(SF)).count() > 0
+
+
+def test_coverage_table_lists_the_queries():
+    import re
+
+    text = (Path(__file__).parents[1] / "COVERAGE.md").read_text()
+    table = {m[1]: set(re.findall(r"`(\w+)`", m[2])) for m in re.finditer(r"^\| ([A-Z]\d\d) \| (.*?) \|", text, re.M)}
+    covered = {}
+    for name, ids in catalog.COVERS.items():
+        for i in re.findall(r"\b[A-Z]\d\d\b", ids):
+            if i in table:
+                covered.setdefault(i, set()).add(name)
+    assert table == {i: covered.get(i, set()) for i in table} and len(table) == 293
