@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from .ragged import gap_clusters, numbered, over
 
 
+#: Ways that a caller may ask a join for, and Spark's names for them; "any" leaves it to Spark.
+STRATEGIES = {"any": None, "broadcast": "broadcast", "merge": "merge", "hash": "shuffle_hash", "loop": "shuffle_replicate_nl"}
+
+
+def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", strategy: str = "any") -> DataFrame:
+    """A join by the strategy asked for. "broadcast" sends all of ``right`` to each executor: only for a side of a known bound."""
+    hint = STRATEGIES[strategy]
+    return left.join(right.hint(hint) if hint else right, on, how)
+
+
 def crossing_events(points: DataFrame, track: str, cell: str, index: str, family: str | None = None) -> DataFrame:
     """Pairs a < b of tracks that share a cell: one point of each track and cell (the first), of different families.
 

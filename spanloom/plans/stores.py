@@ -298,3 +298,56 @@ def saved_states(t):
             f.write(content)
     p = images.container_problems(t("region").sparkSession, [f"{folder}/{n}.ckpt" for n in contents], ["data.pkl", "version"])
     return p.select(F.regexp_extract("path", "([a-z]+)[.]ckpt$", 1).alias("name"), "problem")
+
+
+@query(
+    "A14 A24 B06 T09",
+    """WITH c AS (SELECT l_suppkey AS z, l_linenumber AS y, l_partkey % 50 AS x, max(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3) SELECT z // 32 AS slab, count(*) AS voxels, CAST(sum(v) AS DOUBLE) AS total FROM c WHERE z >= 3 AND y BETWEEN 2 AND 5 AND x < 40 GROUP BY 1""",
+)
+def volume_files(t):
+    from ..sources import zarr
+
+    c = t("lineitem").groupBy(F.col("l_suppkey").alias("z"), F.col("l_linenumber").alias("y"), (F.col("l_partkey") % 50).alias("x")).agg(F.max("l_quantity").cast("int").alias("value"))
+    path, top = _folder(t), c.agg(F.max("z")).first()[0] + 1
+    shape = (top, 8, 50)
+    # A run that ends after some chunks, and one that goes on.
+    zarr.write_volume(c.where("z < 32"), path, shape, 32)
+    zarr.write_volume(c, path, shape, 32)
+    v = zarr.voxels(c.sparkSession, path, (3, 2, 0), (top, 6, 40))
+    return v.groupBy(F.floor(F.col("z") / 32).alias("slab")).agg(F.count("*").alias("voxels"), F.sum("value").alias("total"))
+
+
+@query("T12 T13 T14 T03", "SELECT CAST(e AS BIGINT) AS batches, CAST((SELECT count(*) FROM nation) AS BIGINT) AS rows, CAST((SELECT sum(n_nationkey) FROM nation) AS BIGINT) AS total, true AS in_order FROM (SELECT 5 AS e)")
+def resumed_stream(t):
+    from ..streaming import log
+
+    path, n = _folder(t), t("nation")
+    spark = n.sparkSession
+    put = lambda k: n.where(F.col("n_nationkey") % 5 == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = lambda: spark.readStream.schema(n.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    for k in range(3):
+        put(k)
+    log.ended_batches(stream(), f"{path}/out", f"{path}/state")
+    for k in (3, 4):
+        put(k)
+    # A new query with the same checkpoint: what was read is not read again; one file is in flight at a time, the oldest first.
+    batches = log.ended_batches(stream(), f"{path}/out", f"{path}/state")
+    out = spark.read.parquet(f"{path}/out")
+    order = out.select("batch", (F.col("n_nationkey") % 5).alias("k")).distinct()
+    return out.agg(F.lit(batches).cast("long").alias("batches"), F.count("*").alias("rows"), F.sum("n_nationkey").cast("long").alias("total")).join(order.agg(F.bool_and(F.col("batch") == F.col("k")).alias("in_order")))
+
+
+@query(
+    "J30",
+    """WITH j AS (SELECT n_name, count(*) AS suppliers FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1), f AS (SELECT r_regionkey AS k FROM region), g AS (SELECT n_nationkey AS k FROM nation)
+SELECT s AS strategy, n_name, suppliers FROM j, (VALUES ('any'), ('broadcast'), ('merge'), ('hash'), ('loop')) v(s) UNION ALL SELECT 'right', CAST(g.k AS VARCHAR), count(f.k) FROM f RIGHT JOIN g USING (k) GROUP BY ALL""",
+)
+def join_strategies(t):
+    n = t("nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    out = None
+    for name in joins.STRATEGIES:
+        j = joins.joined(t("supplier"), n, ["s_nationkey"], strategy=name).groupBy("n_name").agg(F.count("*").alias("suppliers")).select(F.lit(name).alias("strategy"), "n_name", "suppliers")
+        out = j if out is None else out.unionByName(j)
+    r, k = t("region").select(F.col("r_regionkey").alias("k"), F.lit(1).alias("one")), t("nation").select(F.col("n_nationkey").alias("k"))
+    right = joins.joined(r, k, ["k"], "right", "merge").groupBy(F.col("k").cast("string").alias("n_name")).agg(F.count("one").alias("suppliers"))
+    return out.unionByName(right.select(F.lit("right").alias("strategy"), "n_name", "suppliers"))

@@ -83,3 +83,10 @@ def append_batches(stream: DataFrame, path: str, checkpoint: str, prepare: Calla
             batch.withColumn("error", F.lit(str(error)[:500])).write.mode("overwrite").parquet(f"{dead_letters}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def ended_batches(stream: DataFrame, path: str, checkpoint: str) -> int:
+    """Appends all that is there to read now, batch by batch, and stops; a later call goes on from the checkpoint. Batches so far."""
+    query = append_batches(stream, path, checkpoint, lambda batch: batch, f"{path}-dead").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return (query.lastProgress or {"batchId": -1})["batchId"] + 1
