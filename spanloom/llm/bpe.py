@@ -5,8 +5,9 @@ letter, and cut into words. For each new word, greedy longest matches propose to
 exactly if no neighbouring two tokens would have been merged across their border before their own last merges; that
 check runs on arrays of all neighbouring pairs of a batch's new words. Words with a failing pair are merged exactly.
 
-Null text is empty and has no ids; equal texts have equal ids; every row is encoded alone, so ties, repeated rows and
-order play no part. An empty table gives an empty result. Other columns are kept, but n_tokens, ids and decoded are ours.
+Null text is empty and has no ids; very long texts and words are encoded whole; equal texts have equal ids; every row is
+encoded alone, so ties, repeated rows and order play no part. An empty table gives an empty result. Other columns are
+kept, but n_tokens, ids and decoded are ours.
 """
 
 from __future__ import annotations

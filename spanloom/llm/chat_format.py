@@ -10,8 +10,10 @@ before it included) are a group; the one with most assistant words (then the lea
 rejected against it. A conversation alone in its group is paired with itself cut before its last assistant turn's text.
 
 Null roles count as 'user' and null texts as empty; turns with equal numbers are ordered by role and text, and turns
-that are equal in all of them are one. Rows without a conv_id or a turn number are no turns. Empty conversations have no
-pairs, an empty table gives an empty result, and other columns are not looked at.
+that are equal in all of them are one. Rows without a conv_id or a turn number are no turns. Very long texts are rendered
+whole; a conversation's turns are one row, and so bounded by a row's size. Of chosen candidates with as many words the
+least id is taken. Empty conversations have no pairs, an empty table gives an empty result, and other columns are not
+looked at, whatever their names. An opening that very many conversations share is one text joined to all of them, once.
 """
 
 from __future__ import annotations

@@ -17,6 +17,8 @@ SPACE_CLASS = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: Bytes of text that a numpy kernel takes at once; bounds the memory of a Python worker.
 CHUNK_BYTES = 1 << 20
+#: Rows and bytes of a batch that a task hands to Python at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 1 << 23
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,11 +64,33 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def packed_row(docs: DataFrame, *but: str) -> Column:
+    """All columns but some as one, __row, that no operator's own names can clash with."""
+    return F.struct(F.lit(True).alias("__packed"), *[F.col(f"`{c}`") for c in docs.columns if c not in but]).alias("__row")
+
+
+def unpacked_row(df: DataFrame, columns: list[str], made: dict[str, Column]) -> DataFrame:
+    """The columns of __row, in their order, and what was ``made`` of some."""
+    return df.select(*[made[c].alias(c) if c in made else F.col(f"__row.`{c}`").alias(c) for c in columns])
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n: the fold that a row belongs to. A null id is fold 0."""
     return F.coalesce(F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(n)), F.lit(0))
 
 
+def in_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """mapInArrow over batches of bounded size: rows of text are large, and a batch is held by the JVM and by Python at once.
+
+    Sets the session's limits of a batch, where nobody else has.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if conf.get(f"spark.sql.execution.arrow.{name}", None) is None:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+    return df.mapInArrow(run, schema)
+
+
 def arrow_map(df: DataFrame, kernel: Callable[[pa.Table], Iterator[pa.Table]], schema: str, text: str = "text", chunk: int = CHUNK_BYTES) -> DataFrame:
     """mapInArrow with batches cut so that each has about ``chunk`` bytes in the column ``text``; kernel: table -> tables."""
 
@@ -78,7 +102,7 @@ def arrow_map(df: DataFrame, kernel: Callable[[pa.Table], Iterator[pa.Table]], s
                     yield from out.to_batches()
         give_back()
 
-    return df.mapInArrow(run, schema)
+    return in_batches(df, run, schema)
 
 
 def give_back() -> None:

@@ -6,9 +6,13 @@ Each source's documents are dealt by a seeded hash to shards; a shard is a strea
 words. Highest quotients v / (2 k - 1) give each source, then each of its shards, a whole number of blocks. A shard
 takes whole passes over its stream and, for the rest, a run of blocks from a seeded start (its order is seeded too).
 
-Null text has size 0 and takes nothing; null doc_id is a document like any other; rows that repeat each count; an empty
-table gives an empty mix; all-empty sources get target 0. Other columns are kept by ``mixed``, but the
-operator's own names win.
+Null text has size 0 and takes nothing; a very long text is one document of its shard, and is cut between words like
+others; null doc_id is a document like any other; rows that repeat each count; equal quotients go to the first source,
+then the first shard; an empty table gives an empty mix; all-empty sources get target 0. Other columns are kept by
+``mixed``, but the operator's own names win.
+
+Sources are ordered in one task, one row for each: they are names of collections, some thousands at most, not a page's
+address. A table with a source for each document needs a coarser column first.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, Scratch
+from .common import SPACE_CLASS, Scratch, packed_row, unpacked_row
 
 MOST = 3
 BLOCK = 16
@@ -129,13 +133,14 @@ def _pieces(block: int, seed: str) -> Column:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each copy; a part of a document is cut between words."""
-    m = mixed(docs, keep_text=True, **options).withColumn("__piece", F.explode("pieces"))
+    m = mixed(docs.select(packed_row(docs, "text"), "doc_id", "source", "text"), keep_text=True, **options).withColumn("__piece", F.explode("pieces"))
     lo, hi = F.col("__piece.lo"), F.col("__piece.hi")
     # Words with the white space after them; a part begins with a word.
     words = F.split(F.regexp_replace("text", f"^[{SPACE_CLASS}]+", ""), f"(?<=[{SPACE_CLASS}])(?=[^{SPACE_CLASS}])")
     cut = F.concat_ws("", F.slice(words, (lo + 1).cast("int"), (hi - lo).cast("int")))
     text = F.when((lo == 0) & (hi == F.col("size")), F.col("text")).otherwise(cut)
-    m = m.withColumn("text", text)
+    m = m.select("__row", text.alias("text"))
+    made = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        m = m.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return m.select(*[F.col(f"`{c}`") for c in docs.columns])
+        made["n_chars"] = F.length("text").cast(dict(docs.dtypes)["n_chars"])
+    return unpacked_row(m, docs.columns, made)

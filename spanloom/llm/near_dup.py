@@ -20,15 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, give_back, text_bytes
+from .common import Scratch, arrow_map, give_back, in_batches, text_bytes
 from .components import connected_components
 from .suffix_dedup import with_text_hash
 
 BANDS, ROWS, SAMPLES, SKETCH_BITS = 24, 4, 128, 1024
 #: Estimates below this are left out: over five standard deviations under a similarity of 0.8.
 FLOOR = 0.6
-#: Members of a bucket or family that are compared in one block.
-BLOCK = 512
+#: Members of a bucket whose sketches are compared in one part of a block, and members of a family whose full sets are.
+SKETCHES, BLOCK = 2048, 512
 _U = np.uint64
 _RNG = np.random.default_rng(41)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -156,20 +156,23 @@ class Forest:
             self.joined.append((i, j))
 
 
-def _plausible_kernel(percent: int, most: int):
-    """Rows (bucket, node, n, sketch) sorted by bucket -> edges that connect what sizes and odd sketches let be linked."""
+def _plausible_kernel(keys: tuple[str, ...], percent: int, most: int):
+    """Rows (keys, node, n, sketch) sorted by keys -> edges that connect what sizes and odd sketches let be linked."""
 
     def edges(group):
         node, n, sketch = zip(*group, strict=True)
-        n, sketch, forest = np.array(n), np.array(sketch, np.int64).view(np.uint64), Forest([None] * len(group))
+        n, sketch, label, out = np.array(n), np.array(sketch, np.int64).view(np.uint64), np.arange(len(group)), []
         for i in range(len(group) - 1):
-            odd = np.bitwise_count(sketch[i + 1 :] ^ sketch[i]).sum(axis=1)
-            fits = 100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :])
-            for j in np.flatnonzero((odd <= most) & fits).tolist():
-                forest.unite(i, i + 1 + j)
-        return [(node[i], node[j]) for i, j in forest.joined]
+            # Those that are connected with it already need no look.
+            j = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+            odd = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1)
+            for k in j[(odd <= most) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))].tolist():
+                if label[k] != label[i]:
+                    label[label == label[k]] = label[i]
+                    out.append((node[i], node[k]))
+        return out
 
-    return _by_group(("bucket",), ("node", "n", "sketch"), edges)
+    return _by_group(keys, ("node", "n", "sketch"), edges)
 
 
 def _by_group(keys: tuple[str, ...], values: tuple[str, ...], edges):
@@ -239,7 +242,7 @@ _PAIR = "a binary, b binary"
 
 def _linked(rows: DataFrame, words: int, percent: int) -> DataFrame:
     blocks = rows.repartition("k1", "k2", "k3").sortWithinPartitions("k1", "k2", "k3")
-    return blocks.mapInArrow(_link_kernel(words, percent), _PAIR).distinct()
+    return in_batches(blocks, _link_kernel(words, percent), _PAIR).distinct()
 
 
 def classes_and_links(docs: DataFrame, words: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -248,13 +251,16 @@ def classes_and_links(docs: DataFrame, words: int, percent: int, scratch: Scratc
     reps = scratch.put(sig.where("n_shingles > 0").dropDuplicates(["node"]).drop("doc_id"), "classes")
     rows = sig.select("doc_id", "th1", "th2", "n_shingles", "node")
     banded = reps.select("node", F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1")
+    buckets = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     member = scratch.put(banded.join(buckets, "bucket"), "members")
-    # What may be linked: by sketches within a bucket; all of a bucket too large for one block.
-    bound = member.where(f"members > {BLOCK} and node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    small = member.where(f"members <= {BLOCK}").join(reps.select("node", F.col("n_shingles").alias("n"), "sketch"), "node")
-    small = small.select("bucket", "node", "n", "sketch").repartition("bucket").sortWithinPartitions("bucket")
-    maybe = scratch.put(small.mapInArrow(_plausible_kernel(percent, most_odd_bits()), _PAIR).unionByName(bound).distinct(), "maybe")
+    # What may be linked, by sketches within a bucket. A large one is looked at in blocks of two of its parts.
+    parts = F.ceil(F.col("members") / SKETCHES).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), parts - 1), lambda q: F.struct(F.least(own, q).alias("k2"), F.greatest(own, q).alias("k3")))
+    met = member.withColumn("k", F.explode(blocks)).join(reps.select("node", F.col("n_shingles").alias("n"), "sketch"), "node")
+    keys = ("bucket", "k2", "k3")
+    met = met.select("bucket", "k.k2", "k.k3", "node", "n", "sketch").repartition(*keys).sortWithinPartitions(*keys)
+    maybe = scratch.put(in_batches(met, _plausible_kernel(keys, percent, most_odd_bits()), _PAIR).distinct(), "maybe")
     family = connected_components(maybe, scratch, "family")
     # Written first: Spark then knows how small it is, and need not deal a large family by its root.
     sizes = scratch.put(family.groupBy("root").agg(F.count("*").alias("m")), "sizes")
@@ -305,13 +311,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, scratch:
 
 
 def kept_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay, one id of each component, with their own columns."""
+    """The documents that stay, one of each component, with their own columns; of rows that repeat id and text, one."""
     ids = Scratch(docs.sparkSession, "neardup-ids")
-    kept = near_duplicates(docs, words, percent, ids).where("kept").select(F.col("doc_id").alias("__id"), F.col("th1").alias("__1"), F.col("th2").alias("__2")).distinct()
+    names = [F.col("doc_id").alias("__id"), F.col("th1").alias("__1"), F.col("th2").alias("__2")]
+    kept = near_duplicates(docs, words, percent, ids).where("kept").groupBy(*names).agg(F.count("*").alias("__rows"))
     kept = Scratch(docs.sparkSession, "neardup-kept").put(kept, "kept")
     ids.clear()
     own = [F.col(f"`{c}`") for c in docs.columns]
     t = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumn("__h1", F.xxhash64(t)).withColumn("__h2", F.xxhash64(F.lit(11), t))
     same = (F.col("__h1") == F.col("__1")) & (F.col("__h2") == F.col("__2")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    return keyed.join(kept, same, "left_semi").select(*own)
+    out = keyed.join(kept.where("__rows = 1"), same, "left_semi").select(*own)
+    again = kept.where("__rows > 1")
+    if again.isEmpty():
+        return out
+    # Rows that repeat, id and text: one of each, found by partial aggregates.
+    twice = keyed.join(again, same, "left_semi").groupBy("doc_id", "__h1", "__h2").agg(F.first(F.struct(*own)).alias("__row"))
+    return out.unionByName(twice.select("__row.*"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, SPACE_CHARS, Scratch, arrow_map, give_back, text_bytes
+from .common import CHUNK_BYTES, SPACE_CHARS, Scratch, arrow_map, give_back, in_batches, packed_row, text_bytes, unpacked_row
 
 MIN_BYTES = 400
 #: Words that make a passage in the pipeline: over 50. Bytes that stand for a word.
@@ -417,7 +417,7 @@ def repeated_spans(texts: DataFrame, min_bytes: int = MIN_BYTES, block_bytes: in
         groups = scratch.put(work.groupBy("grp").agg(F.count("*").alias("m"), F.min("n").alias("least")), f"groups{level}")
         small = groups.where(f"m <= {max_hulls} and least = 1" + (" and m > 1" if level else "")).select("grp")
         block = work.join(small, "grp").select("grp", "anchor", "hull", "off", "bytes").repartition("grp").sortWithinPartitions("grp")
-        found.append(scratch.put(block.mapInArrow(_block_kernel(min_bytes, block_bytes), _FOUND), f"found{level}"))
+        found.append(scratch.put(in_batches(block, _block_kernel(min_bytes, block_bytes), _FOUND), f"found{level}"))
         large = groups.where(f"m > {max_hulls}").select("grp")
         if large.isEmpty():
             break
@@ -494,8 +494,8 @@ def deduplicated(docs: DataFrame, min_bytes: int = MIN_BYTES, as_text: bool = Fa
 
 def cleaned_documents(docs: DataFrame, min_bytes: int = MIN_BYTES, min_words: int = MIN_WORDS) -> DataFrame:
     """All documents, with their own columns and the text that is left of each."""
-    out = deduplicated(docs, min_bytes, as_text=True, min_words=min_words).withColumn("text", F.col("kept_text"))
+    out = deduplicated(docs.select(packed_row(docs, "text"), "text"), min_bytes, as_text=True, min_words=min_words)
+    made = {"text": F.col("kept_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
-
+        made["n_chars"] = F.length("kept_text").cast(dict(docs.dtypes)["n_chars"])
+    return unpacked_row(out, docs.columns, made)

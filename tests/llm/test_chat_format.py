@@ -61,3 +61,12 @@ def test_pairs_match_brute_force(spark):
 
 def test_empty_table(spark):
     assert m.preference_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_very_long_turns_and_a_shared_opening(spark):
+    long = "wörd " * 150_000
+    rows = [(c, 0, "user", "hello", "x") for c in range(300)] + [(c, 1, "assistant", long if c == 7 else f"answer {c}", "x") for c in range(300)]
+    got = m.preference_pairs(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 299 and all(r.chosen_id == 7 and r.n_shared == 1 and r.prompt == "<|im_start|>user\nhello<|im_end|>\n" for r in got)
+    assert all(r.chosen_completion == f"<|im_start|>assistant\n{long}<|im_end|>\n" for r in got)
+    assert all(r.rejected_completion[r.rejected_mask[0].lo : r.rejected_mask[0].hi] == f"answer {r.rejected_id}<|im_end|>\n" for r in got)

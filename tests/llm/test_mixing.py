@@ -90,3 +90,14 @@ def test_empty_and_wordless_tables(spark):
     assert m.mix(spark.createDataFrame([], SCHEMA)).count() == 0
     got = m.mix(spark.createDataFrame([(1, None, None, "a", None, None), (2, "", None, None, None, None)], SCHEMA)).collect()
     assert [(g.size, g.source_size, g.target, g.taken) for g in got] == [(0, 0, 0.0, 0)] * 2
+
+
+def test_very_long_text(spark):
+    rows = [(1, "long " * 400_000, None, "a", None, "x"), (2, "b c d", None, "a", None, "x"), (3, "e " * 100_000, None, "b", None, "x")]
+    got = {r.doc_id: r for r in m.mix(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert (got[1].size, got[3].size) == (400_000, 100_000) and abs(got[3].target - 300_000) < 1e-6 and abs(got[1].target - 200_003) < 1e-6
+    for s in "ab":
+        own = [got[r[0]] for r in rows if r[3] == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 2 * m.BLOCK and all(r.taken <= 3 * r.size for r in own)
+    parts = m.mixed_documents(spark.createDataFrame(rows, SCHEMA)).where("doc_id = 3").collect()
+    assert sum(len(words(r.text)) for r in parts) == got[3].taken

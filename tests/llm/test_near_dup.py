@@ -81,6 +81,7 @@ def test_components_match_brute_force(spark):
 
 def test_blocks_of_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(m, "BLOCK", 3)
+    monkeypatch.setattr(m, "SKETCHES", 2)
     rows = fixture(4)
     got = m.near_duplicates(spark.createDataFrame(rows, SCHEMA), 4).collect()
     assert sorted((g.doc_id is None, g.doc_id or 0, g.n_shingles, g.component_id is None, g.component_id or 0, g.doc_id == g.component_id) for g in got) == brute(rows, 4)
@@ -94,3 +95,19 @@ def test_empty_table(spark):
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a bigint, b bigint")
     assert sorted(tuple(r) for r in connected_components(edges).collect()) == [(i, 0) for i in range(41)] + [(100, 100), (101, 100)]
+
+
+def test_very_long_texts(spark):
+    """Texts of 120,000 words: copies with one word in ten changed are linked or not by their whole sets."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(50_000)}" for _ in range(120_000)]
+    far, near = list(base), list(base)
+    for i in range(0, 120_000, 50):
+        near[i] = f"n{i}"
+    for i in range(60_000, 120_000, 4):
+        far[i] = f"f{i}"
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far)), (4, "\n".join(base)), (5, "other words here and there")]
+    sets = sets_of([t for _, t in rows], 4)
+    assert len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]) > 0 and len(sets[0] & sets[2]) < 0.7 * len(sets[0] | sets[2])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in m.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 4).collect()}
+    assert got == {i + 1: (len(s), c) for i, (s, c) in enumerate(zip(sets, (1, 1, 3, 1, 5)))}

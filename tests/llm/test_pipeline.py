@@ -71,3 +71,45 @@ def test_stages_one_by_one(spark, tmp_path):
     assert sorted(tuple(r.ids) for r in final) == sorted(tuple(x) for x in e.encode([t for v in mixed.values() for t in v]))
     # run() does the same in one go.
     assert sorted((r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted((r.doc_id, tuple(r.ids)) for r in final)
+
+
+def test_stages_take_any_rows(spark, tmp_path):
+    """Empty tables, nulls in every column, repeated rows and columns with clashing names, stage by stage and in one go."""
+    extra = SCHEMA + ", kept string, spans string, root string, size string, node string, pieces string"
+    good = " ".join(f"the house{i} of name{i * 7} and word{i}" for i in range(20))
+    more = ("k", "s", "r", "z", "n", "p")
+    rows = [(1, good, "en", "a", len(good), *more)] * 2 + [(None, good + " end", None, None, None, *more), (3, None, None, None, None, *[None] * 6), (None, "", "x", "y", 0, *more)]
+    for name, data in (("none", []), ("some", rows)):
+        docs = spark.createDataFrame(data, extra)
+        for stage_name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, "")
+            if stage_name != "bpe_tokens":
+                assert out.columns == docs.columns
+                out.write.parquet(str(tmp_path / f"{name}-{stage_name}"))
+                docs = spark.read.parquet(str(tmp_path / f"{name}-{stage_name}"))
+                assert docs.count() > 0 or not data
+                assert all((r.kept, r.spans, r.root, r.size, r.node, r.pieces) == more for r in docs.collect())
+                # Rows that repeat are one document from the second stage on; others that say almost the same are gone.
+                assert stage_name == "quality_rules" or not data or {(r.doc_id, r.lang) for r in docs.collect()} == {(1, "en")}
+            else:
+                assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256"] and (out.count() > 0) == bool(data)
+        (tmp_path / name).mkdir()
+        spark.createDataFrame(data, extra).write.parquet(str(tmp_path / name / "documents.parquet"))
+        assert (corpus_pipeline.run(spark, str(tmp_path / name)).count() > 0) == bool(data)
+
+
+def test_passages_are_gone_after_the_stage(spark):
+    """No 51 words in a row are left that stood in two documents of the small table, and other documents are left alone."""
+    from collections import Counter
+
+    docs = corpus_pipeline.apply_quality_rules(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "")
+    before = {r.doc_id: words(r.text) for r in docs.collect()}
+    after = {r.doc_id: words(r.text) for r in corpus_pipeline.remove_repeated_passages(spark, docs, "").collect()}
+    windows = lambda w: [tuple(w[i : i + 51]) for i in range(len(w) - 50)]
+    twice = {k for k, n in Counter(x for w in before.values() for x in windows(w)).items() if n > 1}
+    assert twice and not any(x in twice for w in after.values() for x in windows(w))
+    raw = {r.doc_id: r.text.encode() for r in docs.collect()}
+    long = Counter(b[i : i + 400] for b in raw.values() for i in range(len(b) - 399))
+    for i, w in before.items():
+        if not any(x in twice for x in windows(w)) and not any(long[raw[i][k : k + 400]] > 1 for k in range(len(raw[i]) - 399)):
+            assert after[i] == w

@@ -58,3 +58,42 @@ def test_large_groups_are_divided(spark):
 
 def test_empty_table(spark):
     assert m.deduplicated(spark.createDataFrame([], SCHEMA), 24).count() == 0
+
+
+def test_production_size_matches_brute_force(spark):
+    """400 bytes and the default bounds, and the same with large groups divided: texts from 0 to 60,000 bytes."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghiklmnoprstué", k=rng.randint(1, 9))) for _ in range(3000)]
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+    passages = [prose(n) for n in (40, 55, 62, 70, 90, 400)]
+    assert min(len(p.encode()) for p in passages) < 400
+    texts = [f"{prose(rng.randint(0, 80))} {rng.choice(passages)[rng.randint(0, 60):]} {prose(rng.randint(0, 80))}" for _ in range(80)]
+    texts += [passages[5] + passages[5], "z" * 399, "z" * 400, "y" * 401, ("ab" * 300), prose(9000) + passages[4] + prose(300), texts[0], texts[0], None, ""]
+    texts += [f"{i} {passages[3]} {i}" for i in range(40)]
+    rows = [(i, t, None, "s", None, "clash") for i, t in enumerate(texts)]
+    want = brute([(t or "").encode() for t in texts], 400)
+    assert sum(w[0] > 0 for w in want) > 60 and sum(w[0] == 0 for w in want) > 10
+    for bounds in ({}, {"max_hulls": 5, "block_bytes": 5000}):
+        got = {r.doc_id: (r.n_removed, len(r.spans), bytes(r.kept_bytes)) for r in m.deduplicated(spark.createDataFrame(rows, SCHEMA), **bounds).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_strings_left_out_hold_no_repeat():
+    """What the filter beside the anchors leaves out has no window in common with another of its group."""
+    rng = random.Random(9)
+    length = 24
+    for _ in range(40):
+        shared = bytes(rng.choices(b"abcd", k=rng.randint(4, 40)))
+        pieces = [bytes(rng.choices(b"abcd", k=rng.randint(0, 40))) + shared + bytes(rng.choices(b"abcd", k=rng.randint(0, 40))) for _ in range(rng.randint(1, 6))]
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
+        text, start, count, anchor, _, _ = m.runs(data, offsets, length)
+        hulls = [pieces[t][s : s + n + length - 1] for t, s, n in zip(text, start, count)]
+        order = np.argsort(anchor, kind="stable")
+        hulls, anchor = [hulls[i] for i in order], anchor[order]
+        group = np.cumsum(np.diff(anchor, prepend=anchor[:1]) != 0)
+        keep = m.may_repeat(group, anchor, hulls, length)
+        for g in set(group.tolist()):
+            own = [h for h, x in zip(hulls, group) if x == g]
+            flags = m.repeated_starts(own, length)
+            assert all(k or not f.any() for k, f in zip(keep[group == g], flags))
