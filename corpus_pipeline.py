@@ -1,9 +1,9 @@
 """A corpus from raw documents to token ids: quality rules, near-duplicates, repeated passages, mixing, tokens.
 
 Null and empty texts fail the rules, and so go in the first stage; a stage on its own gives them what its operator's
-docstring says. Rows that repeat are near-duplicates of each other; all rows of the id that a group keeps stay if their
-texts are the same. Null ids, ties and very long texts are as in the operators; columns of ``documents`` with other
-names go along untouched up to the last stage, whatever their names. An empty table gives an empty result at each stage.
+docstring says. Rows that repeat are near-duplicates of each other, and one of them stays. Null ids, ties and very long
+texts are as in the operators; other columns go along untouched up to the last stage, whatever their names. An empty
+table gives an empty result at each stage.
 """
 
 from __future__ import annotations
