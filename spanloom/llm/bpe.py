@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_map
+from .common import CHUNK_BYTES, arrow_map
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a Python worker remembers; beyond that it starts anew.
@@ -274,4 +274,5 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     kinds = dict(df.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in own), "n_tokens bigint, ids array<int>, decoded string"])
-    return arrow_map(df, kernel, schema)
+    # The vocabulary and what was learnt go with the task: the next one, perhaps of another stage, has the worker's memory.
+    return arrow_map(df, kernel, schema, chunk=CHUNK_BYTES << 2, after=lambda: encoder.cache_clear())

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: Bytes of text that a numpy kernel takes at once; bounds the memory of a Python worker.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Rows and bytes of a batch that a task hands to Python at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 1 << 23
 
@@ -91,8 +91,11 @@ def in_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def arrow_map(df: DataFrame, kernel: Callable[[pa.Table], Iterator[pa.Table]], schema: str, text: str = "text", chunk: int = CHUNK_BYTES) -> DataFrame:
-    """mapInArrow with batches cut so that each has about ``chunk`` bytes in the column ``text``; kernel: table -> tables."""
+def arrow_map(df: DataFrame, kernel: Callable[[pa.Table], Iterator[pa.Table]], schema: str, text: str = "text", chunk: int = CHUNK_BYTES, after: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow with batches cut so that each has about ``chunk`` bytes in the column ``text``; kernel: table -> tables.
+
+    ``after`` is called when a task ends, to let go of what the worker holds.
+    """
 
     def run(batches):
         for batch in batches:
@@ -100,6 +103,8 @@ def arrow_map(df: DataFrame, kernel: Callable[[pa.Table], Iterator[pa.Table]], s
             for lo, hi in cuts(lengths(t.column(text)), chunk):
                 for out in kernel(t.slice(lo, hi - lo)):
                     yield from out.to_batches()
+        if after is not None:
+            after()
         give_back()
 
     return in_batches(df, run, schema)
@@ -108,7 +113,9 @@ def arrow_map(df: DataFrame, kernel: Callable[[pa.Table], Iterator[pa.Table]], s
 def give_back() -> None:
     """Returns freed memory to the system: a worker process stays on after its task, beside the tasks of other stages."""
     import ctypes
+    import gc
 
+    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:

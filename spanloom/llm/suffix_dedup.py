@@ -36,7 +36,7 @@ MIN_BYTES = 400
 #: Words that make a passage in the pipeline: over 50. Bytes that stand for a word.
 MIN_WORDS, WORD_BYTES = 51, 8
 #: Bytes of a Burrows-Wheeler block, and different hulls of one anchor that may share a block.
-BLOCK_BYTES, MAX_HULLS = 1 << 19, 1500
+BLOCK_BYTES, MAX_HULLS = 1 << 18, 1500
 #: Widths of the places against the anchor by which a larger group is divided, in turn.
 DIVISIONS = (16, 1)
 _U = np.uint64
