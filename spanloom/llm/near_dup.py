@@ -261,6 +261,11 @@ def classes_and_links(docs: DataFrame, words: int, percent: int, scratch: Scratc
     keys = ("bucket", "k2", "k3")
     met = met.select("bucket", "k.k2", "k.k3", "node", "n", "sketch").repartition(*keys).sortWithinPartitions(*keys)
     maybe = scratch.put(in_batches(met, _plausible_kernel(keys, percent, most_odd_bits()), _PAIR).distinct(), "maybe")
+    return rows, confirmed_links(docs, reps, maybe, words, percent, scratch)
+
+
+def confirmed_links(docs: DataFrame, reps: DataFrame, maybe: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links a, b between the nodes of ``reps`` (node, th1, th2) that full sets confirm, among what ``maybe`` (a, b) connects: a spanning forest."""
     family = connected_components(maybe, scratch, "family")
     # Written first: Spark then knows how small it is, and need not deal a large family by its root.
     sizes = scratch.put(family.groupBy("root").agg(F.count("*").alias("m")), "sizes")
@@ -276,7 +281,7 @@ def classes_and_links(docs: DataFrame, words: int, percent: int, scratch: Scratc
     links = scratch.put(_linked(rows_a, words, percent), "links")
     large = texts.where(f"m > {BLOCK}")
     if large.isEmpty():
-        return rows, links
+        return links
     # A large family was looked at in parts, each with the family's first member. What is not in its largest component by
     # now (few, where copies are near) meets all others of the family, in blocks of two parts.
     label = connected_components(links, scratch, "label").select("node", F.col("root").alias("l"))
@@ -293,16 +298,20 @@ def classes_and_links(docs: DataFrame, words: int, percent: int, scratch: Scratc
     met = F.transform(every(F.col("outer")), lambda q: F.struct(q.alias("k2"), (-1 - F.col("place")).alias("k3")))
     rows_b = large.withColumn("place", place).withColumn("k", F.explode(F.when(out, F.array_distinct(F.concat(among, against))).otherwise(met)))
     rows_b = rows_b.select(F.col("root").alias("k1"), "k.k2", "k.k3", "node", "text", "label")
-    return rows, links.unionByName(scratch.put(_linked(rows_b, words, percent), "links2"))
+    return links.unionByName(scratch.put(_linked(rows_b, words, percent), "links2"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, th1, th2 (hash of the text), n_shingles, component_id, kept: one row for each row of ``docs``. Reads ``scratch``."""
     found = Scratch(docs.sparkSession, "neardup")
     rows, links = classes_and_links(docs, words, percent, found)
+    return with_components(rows, links, found, scratch or Scratch(docs.sparkSession, "neardup-ids"))
+
+
+def with_components(rows: DataFrame, links: DataFrame, found: Scratch, scratch: Scratch) -> DataFrame:
+    """Rows (doc_id, th1, th2, n_shingles, node) with component_id and kept. Clears ``found``; the result reads ``scratch``."""
     root = connected_components(links, found, "links")
     # Written tables on both sides: Spark can then split a join task that a component with very many rows makes large.
-    scratch = scratch or Scratch(docs.sparkSession, "neardup-ids")
     rooted = scratch.put(rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     found.clear()
     least = scratch.put(rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
