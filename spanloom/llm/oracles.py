@@ -13,14 +13,41 @@ def _words(text: str) -> str:
     return f"list_filter(string_split_regex({text}, '{_SPACE}+'), lambda x: x <> '')"
 
 
-NEAR_DUPLICATES = f"""WITH RECURSIVE w AS (SELECT doc_id, {_words(f"translate(coalesce(text, ''), '{_AZ}', '{_az}')")} AS w FROM documents),
-g AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM w),
+def _linked_sets(words: int, percent: int, result: str) -> str:
+    """Components of documents whose sets of shingles are alike."""
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, {_words(f"translate(coalesce(text, ''), '{_AZ}', '{_az}')")} AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) >= {words} THEN list_distinct(list_transform(generate_series(1, len(w) - {words - 1}), lambda i: array_to_string(w[i:i + {words - 1}], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM w),
 s AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM g),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
-l AS (SELECT a, b FROM p WHERE 100 * c >= 80 * (na + nb - c)),
+l AS (SELECT a, b FROM p WHERE 100 * c >= {percent} * (na + nb - c)),
 r AS (SELECT doc_id AS d, doc_id AS m FROM documents UNION SELECT b, m FROM r JOIN l ON a = d),
 c AS (SELECT d, min(m) AS component_id FROM r GROUP BY 1)
-SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM g JOIN c ON d = doc_id"""
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, {result} FROM g JOIN c ON d = doc_id"""
+
+
+NEAR_DUPLICATES = _linked_sets(4, 80, "component_id, doc_id = component_id AS kept")
+NGRAM_JOIN = _linked_sets(3, 90, "component_id")
+
+
+def _collocations(least: int = 100, top: int = 2000, longest: int = 5) -> str:
+    grams = " UNION ALL ".join(
+        f"SELECT lang, array_to_string(w[i:i + {k - 1}], ' ') AS p, {k} AS k, count(*) AS f FROM (SELECT lang, w, unnest(generate_series(1, len(w) - {k - 1})) AS i FROM x) GROUP BY ALL" for k in range(1, longest + 1)
+    )
+    return f"""WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_AZ}', '{_az}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+x AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS w FROM t),
+f AS (SELECT * FROM ({grams}) WHERE f >= {least}), n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM x GROUP BY 1),
+c AS (SELECT lang, p, k, f AS a, string_split(p, ' ') AS w FROM f WHERE k > 1),
+m AS (SELECT lang, unnest([array_to_string(w[2:], ' '), array_to_string(w[:k - 1], ' ')]) AS p, a FROM c WHERE k > 2),
+d AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.lang = c.lang AND m.p = c.p AND 100 * m.a >= 100 * c.a)),
+u AS (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM d),
+s AS (SELECT u.lang, u.p, a, j, l.f AS l, r.f AS r, n.n, CAST(1000 * CAST(a AS HUGEINT) * n.n // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score FROM u JOIN f l ON l.lang = u.lang AND l.p = array_to_string(u.w[:j], ' ')
+  JOIN f r ON r.lang = u.lang AND r.p = array_to_string(u.w[j + 1:], ' ') JOIN n ON n.lang = u.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, j) AS i FROM s),
+o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, n, score FROM b WHERE i = 1)
+SELECT * FROM o WHERE rank <= {top}"""
+
+
+COLLOCATIONS = _collocations()
 
 
 def _verdict() -> str:
@@ -96,4 +123,6 @@ ORACLES: dict[str, str] = {
     "op4_near_duplicates": NEAR_DUPLICATES,
     "op8_quality_rules": QUALITY_RULES,
     "op10_source_mixing": SOURCE_MIXING,
+    "op11_ngram_join": NGRAM_JOIN,
+    "op12_collocations": COLLOCATIONS,
 }

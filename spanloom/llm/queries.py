@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, html_extract, media_jpeg, mixing, near_dup, quality_gam, quality_rules, suffix_dedup, toxicity
+from . import bpe, chat_format, collocations, html_extract, media_jpeg, mixing, near_dup, ngram_join, quality_gam, quality_rules, suffix_dedup, toxicity
 from .common import Scratch, table
 from .oracles import ORACLES  # noqa: F401
 
@@ -61,6 +61,15 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_join.joined(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=90)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES = {
     "op7_preference_format": op7_preference_format,
     "op2_toxicity": op2_toxicity,
@@ -72,4 +81,6 @@ QUERIES = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op10_source_mixing": op10_source_mixing,
+    "op11_ngram_join": op11_ngram_join,
+    "op12_collocations": op12_collocations,
 }
