@@ -113,19 +113,19 @@ class Filter:
         self.words = words
 
     @staticmethod
-    def places(h: np.ndarray) -> Iterator[np.ndarray]:
+    def places(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
         for i in range(MARKS):
-            yield _mix(h * _STEP[i]) % _U(FILTER_BITS)
+            yield _mix(h * _STEP[i]) % _U(bits)
 
     def has(self, h: np.ndarray) -> np.ndarray:
         out = np.ones(len(h), bool)
-        for place in self.places(h):
+        for place in self.places(h, 64 * len(self.words)):
             out &= (self.words[(place >> _U(6)).astype(np.int64)] >> (place & _U(63)) & _U(1)).astype(bool)
         return out
 
 
-def shards(batches, text: str = "text", lang: str = "lang") -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """Arrow batches -> (lang, bytes, offsets) of shards: texts of one language, up to SHARD_BYTES; longer texts are cut between pieces."""
+def shards(batches, most: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Arrow batches (lang, text) -> (lang, bytes, offsets) of shards: texts of one language, about ``most`` bytes; longer texts are cut between pieces."""
     held: dict[str, list[np.ndarray]] = {}
     size: dict[str, int] = {}
 
@@ -135,17 +135,17 @@ def shards(batches, text: str = "text", lang: str = "lang") -> Iterator[tuple[st
         return key, np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
     for batch in batches:
-        data, offsets = text_bytes(batch.column(text))
-        for key, a, b in zip(batch.column(lang).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        data, offsets = text_bytes(batch.column("text"))
+        for key, a, b in zip(batch.column("lang").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             while a < b:
                 end = b
-                if b - a > SHARD_BYTES:
-                    breaks = np.flatnonzero(_BREAK[data[a + SHARD_BYTES : b]])
-                    end = a + SHARD_BYTES + int(breaks[0]) if len(breaks) else b
+                if b - a > most:
+                    breaks = np.flatnonzero(_BREAK[data[a + most : b]])
+                    end = a + most + int(breaks[0]) if len(breaks) else b
                 held.setdefault(key, []).append(data[a:end].copy())
                 size[key] = size.get(key, 0) + end - a
                 # Shards of all languages together are bounded, too: the largest goes.
-                if sum(size.values()) >= SHARD_BYTES:
+                if sum(size.values()) >= most:
                     yield shard(max(size, key=size.get))
                 a = end
     for key in list(held):
@@ -170,9 +170,9 @@ def plausible(words: Words, seed: int, longest: int, filters: dict[int, Filter])
         yield k, ends[ok], h[ok]
 
 
-def _counts_kernel(lengths: tuple[int, ...], filters: dict[int, Filter]):
+def _counts_kernel(lengths: tuple[int, ...], filters: dict[int, Filter], shard_bytes: int):
     def run(batches):
-        for lang, data, offsets in shards(batches):
+        for lang, data, offsets in shards(batches, shard_bytes):
             for k, _, h in plausible(Words(data, offsets), _seed(lang), max(lengths), filters):
                 if k in lengths:
                     h, c = np.unique(h, return_counts=True)
@@ -182,24 +182,24 @@ def _counts_kernel(lengths: tuple[int, ...], filters: dict[int, Filter]):
     return run
 
 
-def _frequent(docs: DataFrame, lengths: tuple[int, ...], filters: dict[int, Filter], least: int) -> dict[int, Filter]:
+def _frequent(docs: DataFrame, lengths: tuple[int, ...], filters: dict[int, Filter], least: int, shard_bytes: int, bits: int) -> dict[int, Filter]:
     """Filters with one for each of ``lengths``: hashes of phrases that occur at least ``least`` times."""
-    counts = in_batches(docs, _counts_kernel(lengths, filters), "h bigint, c int, k tinyint").groupBy("k", "h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    counts = in_batches(docs, _counts_kernel(lengths, filters, shard_bytes), "h bigint, c int, k tinyint").groupBy("k", "h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
 
     def places(batches):
         for b in batches:
             h = b.column("h").to_numpy().view(np.uint64)
             k = b.column("k").to_numpy()
-            for place in Filter.places(h):
+            for place in Filter.places(h, bits):
                 yield pa.record_batch([pa.array(k), pa.array((place >> _U(6)).astype(np.int32)), pa.array((_U(1) << (place & _U(63))).view(np.int64))], names=["k", "at", "bits"])
 
-    # At most FILTER_BITS / 64 rows for each length, whatever the input.
+    # At most bits / 64 rows for each length, whatever the input.
     rows = in_batches(counts.select("k", "h"), places, "k tinyint, at int, bits bigint").groupBy("k", "at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    k, at, bits = (rows.column(c).to_numpy() for c in ("k", "at", "bits"))
+    k, at, marks = (rows.column(c).to_numpy() for c in ("k", "at", "bits"))
     out = dict(filters)
     for n in lengths:
-        words = np.zeros(FILTER_BITS // 64, np.uint64)
-        words[at[k == n]] = bits[k == n].view(np.uint64)
+        words = np.zeros(bits // 64, np.uint64)
+        words[at[k == n]] = marks[k == n].view(np.uint64)
         out[n] = Filter(words)
     return out
 
@@ -238,9 +238,9 @@ class Automaton:
             yield from zip(level["end"][top].tolist(), [k] * len(top), low[-1][top].tolist(), level["count"][top].tolist(), strict=True)
 
 
-def _states_kernel(longest: int, filters: dict[int, Filter]):
+def _states_kernel(longest: int, filters: dict[int, Filter], shard_bytes: int):
     def run(batches):
-        for lang, data, offsets in shards(batches):
+        for lang, data, offsets in shards(batches, shard_bytes):
             words = Words(data, offsets)
             # Words by their hash: each is decoded once.
             kinds, first, own = np.unique(words.hash, return_index=True, return_inverse=True)
@@ -259,13 +259,13 @@ def _states_kernel(longest: int, filters: dict[int, Filter]):
     return run
 
 
-def phrase_counts(docs: DataFrame, least: int = 100, longest: int = LONGEST) -> DataFrame:
+def phrase_counts(docs: DataFrame, least: int = 100, longest: int = LONGEST, shard_bytes: int = SHARD_BYTES, filter_bits: int = FILTER_BITS) -> DataFrame:
     """lang, phrase, k (words), f: all phrases of up to ``longest`` words that occur at least ``least`` times; and '' with all words of a lang."""
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    filters = _frequent(docs, (1, 2), {}, least)
+    filters = _frequent(docs, (1, 2), {}, least, shard_bytes, filter_bits)
     for k in range(3, longest):
-        filters = _frequent(docs, (k,), filters, least)
-    states = in_batches(docs, _states_kernel(longest, filters), "lang string, phrase array<string>, shortest int, c bigint")
+        filters = _frequent(docs, (k,), filters, least, shard_bytes, filter_bits)
+    states = in_batches(docs, _states_kernel(longest, filters, shard_bytes), "lang string, phrase array<string>, shortest int, c bigint")
     size = F.size("phrase")
     phrases = F.transform(F.sequence("shortest", size), lambda k: F.struct(F.array_join(F.slice("phrase", size - k + 1, k), " ").alias("phrase"), k.alias("k")))
     rows = states.withColumn("p", F.explode(phrases)).select("lang", "p.phrase", "p.k", "c")
@@ -277,10 +277,10 @@ def _without(words, first: int, last: int):
     return F.array_join(F.slice(words, first + 1, F.size(words) - first - last), " ")
 
 
-def collocations(docs: DataFrame, least: int = 100, percent: int = 100, top: int = 2000, longest: int = LONGEST) -> DataFrame:
-    """lang, rank, phrase, a, l, r, n, score: the first ``top`` of each language, by score, count and phrase."""
+def collocations(docs: DataFrame, least: int = 100, percent: int = 100, top: int = 2000, longest: int = LONGEST, **sizes: int) -> DataFrame:
+    """lang, rank, phrase, a, l, r, n, score: the first ``top`` of each language, by score, count and phrase; ``sizes``: shard_bytes, filter_bits."""
     scratch = Scratch(docs.sparkSession, "collocations")
-    counts = scratch.put(phrase_counts(docs, least, longest), "counts")
+    counts = scratch.put(phrase_counts(docs, least, longest, **sizes), "counts")
     phrases = scratch.put(counts.where("k > 0"), "phrases")
     candidate = phrases.where("k > 1").withColumnRenamed("f", "a")
     words = F.split("phrase", " ")
