@@ -135,12 +135,12 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 class Forest:
-    """Union-find over the rows of a block, some of which are already together; ``joined`` has the pairs that it united."""
+    """Union-find over the rows of a block, some of which are already together."""
 
     def __init__(self, labels: list):
         first: dict = {}
         self.root = [first.setdefault(x, i) if x is not None else i for i, x in enumerate(labels)]
-        self.joined: list[tuple[int, int]] = []
+        self.before = sorted(set(self.root))
 
     def find(self, i: int) -> int:
         root = self.root
@@ -153,7 +153,14 @@ class Forest:
         a, b = self.find(i), self.find(j)
         if a != b:
             self.root[max(a, b)] = min(a, b)
-            self.joined.append((i, j))
+
+    def stars(self, node: list) -> list[tuple]:
+        """Pairs that connect what was united: one node of each part that was apart before, with the least of them."""
+        least: dict = {}
+        for i in self.before:
+            r = self.find(i)
+            least[r] = min(least.get(r, node[i]), node[i])
+        return [(least[self.find(i)], node[i]) for i in self.before if node[i] != least[self.find(i)]]
 
 
 def _plausible_kernel(keys: tuple[str, ...], percent: int, most: int):
@@ -232,7 +239,7 @@ def _link_kernel(words: int, percent: int):
         linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
         for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
             forest.unite(int(i), int(j))
-        return [(node[i], node[j]) for i, j in forest.joined]
+        return forest.stars(node)
 
     return _by_group(("k1", "k2", "k3"), ("node", "text", "label"), edges)
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_map, cuts, give_back, in_batches, lengths, text_bytes
-from .near_dup import _by_group, _mix, confirmed_links, shingle_sets, with_components
+from .near_dup import Forest, _by_group, _mix, confirmed_links, shingle_sets, with_components
 from .suffix_dedup import with_text_hash
 
 #: Sets of more shingles are never enumerated: the numbers of subsets grow beyond any list.
@@ -180,7 +180,7 @@ def _scan_kernel(keys: tuple[str, ...], percent: int):
             # A bitmap is folded to that of a smaller width: parities of parities.
             at = next(i for i, x in enumerate(words) if len(x) == w)
             folded[w] = at, np.array([x if len(x) == w else np.bitwise_xor.reduce(x.reshape(-1, w), axis=0) for x in words[at:]])
-        label, out = np.arange(len(group)), []
+        label, forest = np.arange(len(group)), Forest([None] * len(group))
         for i in range(len(group) - 1):
             # Those that are connected with it already need no look.
             hi = int(np.searchsorted(n, most[i], "right"))
@@ -190,8 +190,8 @@ def _scan_kernel(keys: tuple[str, ...], percent: int):
             for k in j[(100 + percent) * differ <= (100 - percent) * (n[i] + n[j])].tolist():
                 if label[k] != label[i]:
                     label[label == label[k]] = label[i]
-                    out.append((node[i], node[k]))
-        return out
+                    forest.unite(i, k)
+        return forest.stars(node)
 
     return _by_group(keys, ("node", "n", "bits"), edges)
 
