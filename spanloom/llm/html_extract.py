@@ -1,10 +1,15 @@
 """Main text of HTML pages by minimum-cut labelling.
 
 A page is cut into blocks of text. A logistic classifier of structural features (length, links, punctuation, depth,
-siblings, words shared with the rest of the page) gives each block bounded log-odds of being content; names of elements
-and classes add one bounded feature. They become capacities to the two terminals. Blocks that follow each other, or
-follow each other among one parent's children, are joined by edges that weigh more the closer they are in the document
-tree. The minimum cut, by maximum flow, labels all blocks of a page at once.
+siblings, words shared with the rest of the page) gives each block bounded log-odds of being content; elements and names
+add evidence: an article element for it, a name of other parts against it, one that is a plain word too just as much
+as the article is for it, so that structure decides, and sections that by their kind hold no article most. They become capacities to the two terminals. Blocks that follow
+each other, or follow each other among one parent's children, are joined by edges that weigh more the closer they are in
+the document tree. The minimum cut, by maximum flow, labels all blocks of a page at once.
+
+A name is a whole class, id or role, or a compound all of whose words name such parts or are neutral (``cookie-notice``,
+``related-posts``; not ``has-sidebar``, ``overflow-hidden``). An article element is never left out by its own name alone. What
+is in an inline element only stands apart if it is named as an advert; a paragraph around it stays one.
 
 The classifier is fitted in numpy, by Newton steps that are held near PRIOR, on the blocks of at most FIT_PAGES pages
 (those that come first by a hash of their html, each once, of at most FIT_BYTES bytes): in pages with an article element, what is
@@ -34,11 +39,12 @@ from .common import arrow_map
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mrow msub msup msubsup mfrac msqrt mroot mover munder munderover mfenced mspace semantics".split()
 )
 #: Elements whose content is not markup, and those that hold no article text at all.
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
-NEVER = RAW | frozenset("head button select option datalist form fieldset svg canvas audio video object map math dialog".split())
+NEVER = RAW | frozenset("head button select option datalist form fieldset svg canvas audio video object map dialog".split())
 BOILERPLATE = frozenset("nav footer aside menu".split())
 CONTENT = frozenset("article main".split())
 #: What a start tag of these ends, if it is open nearer than the tags that bound it.
@@ -51,12 +57,21 @@ ENDS = {
 }
 #: Words in class, id or role that name parts of a page other than its article. Fixed values.
 NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr "
-    "notice notices notification alert popup modal overlay newsletter subscribe subscription signup login paywall sidebar widget widgets related "
-    "recommended recommendations trending popular share sharing social follow comment comments commentlist disqus respond reply replies "
-    "discussion menu nav navbar navigation navigations breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar copyright "
-    "legal disclaimer outbrain taboola search searchbox skip complementary contentinfo".split()
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted cookie cookies consent gdpr popup modal "
+    "overlay newsletter subscribe subscription signup login paywall sidebar widget widgets related share sharing social recommended recommendations trending comment comments "
+    "commentlist disqus respond reply replies menu nav navbar navigation navigations breadcrumb breadcrumbs pagination pager footer masthead topbar "
+    "toolbar outbrain taboola searchbox complementary contentinfo".split()
+)
+#: Those of them that are plain words as well, and tell less. Fixed values.
+WORDS = frozenset("banner notice notices notification alert popular follow discussion copyright legal disclaimer search skip".split())
+#: Words that say nothing beside a name. Fixed values.
+NEUTRAL = frozenset(
+    "area article articles bar block bottom box button buttons col column container desktop div entry form global group heading icons inner item items left "
+    "link links list main message mobile module news outer page panel post posts primary right row secondary section site slot stories text thread title top "
+    "unit view wrap wrapper zone".split()
 )
+#: Names of inline elements that stand apart from the text around them. Fixed values.
+ADVERTS = frozenset("ad ads advert adverts advertisement adsense sponsored promo".split())
 #: Parts that hold article elements of their own, one for each comment or teaser.
 LISTS = frozenset("comment comments commentlist disqus respond reply replies discussion related recommended recommendations trending popular".split())
 
@@ -67,9 +82,14 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S,
 )
-_NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-_WORD = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+
+#: Bound of the structural log-odds, and what elements and names add: in an article element; elsewhere in a page that has
+#: one; in a part with a name, or with one that is a plain word too; in an article with such a name of its own; in a
+#: section that by its kind holds no article. Plain words inside an article leave it to the structure, within its bound.
+BOUND, INSIDE, OUTSIDE, NAMED, WORDED, OWN, SECTION = 4.0, 4.5, -5.0, -9.0, -4.5, -3.0, -14.0
 
 
 @dataclass
@@ -77,48 +97,72 @@ class Node:
     tag: str
     parent: Node | None
     depth: int
-    zone: int  # 1 content, 0 neither, -1 boilerplate, -2 never text
+    content: bool = False  # in an article element
+    evidence: float = 0.0  # of names, 0 or less
+    section: bool = False  # in a part that by its kind holds no article
+    never: bool = False  # never text
     listed: bool = False
+    open: int = 0  # of an inline element: elements of its tag that are open in it
 
 
 @dataclass
 class Block:
     node: Node
+    paragraph: int
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
 
 
-def _zone(tag: str, attrs: str, parent: Node) -> tuple[int, bool]:
-    names = {w for m in _NAMED.finditer(attrs) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())} if attrs else ()
-    listed = parent.listed or bool(LISTS.intersection(names))
-    if parent.zone == -2 and tag not in ("body", "article", "main") or tag in NEVER or attrs and _HIDDEN.search(attrs):
-        return -2, listed
-    if NAMES.intersection(names) and tag not in ("html", "body"):
-        return -1, listed
-    if tag in CONTENT and not listed:
-        return 1, listed
-    if tag in BOILERPLATE:
-        return -1, listed
-    if tag == "header":
+def _attributes(attrs: str) -> dict[str, str]:
+    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attrs)}
+
+
+def _names(attributes: dict[str, str]) -> set[str]:
+    """The words that name a part: of whole names, or of compounds with neutral words only."""
+    out: set[str] = set()
+    for name in (*attributes.get("class", "").split(), *attributes.get("role", "").split(), attributes.get("id", ""), attributes.get("aria-label", "")):
+        words = {w.lower() for w in _WORD.findall(name)}
+        known = words & (NAMES | WORDS)
+        if known and words <= known | NEUTRAL:
+            out |= known
+    return out
+
+
+def _child(tag: str, attrs: str, parent: Node) -> Node:
+    attributes = _attributes(attrs) if attrs else {}
+    hidden = attributes.get("hidden", "false").lower() != "false" or attributes.get("aria-hidden", "").lower() == "true" or bool(_UNSEEN.search(attributes.get("style", "")))
+    never = parent.never and tag not in ("body", "article", "main") or tag in NEVER or hidden
+    names = _names(attributes) if attributes and tag not in ("html", "body") else set()
+    child = Node(tag, parent, parent.depth + 1, parent.content, parent.evidence, parent.section, never, parent.listed)
+    own = NAMED if names & NAMES else WORDED if names else 0.0
+    if tag in CONTENT and not parent.listed:
+        # Its own name never outweighs that it is an article; one of a comment or a teaser takes away that it is.
+        child.content, child.section, child.evidence = not names & LISTS, False, max(OWN, own)
+        return child
+    child.listed = parent.listed or bool(names & LISTS)
+    child.evidence = min(parent.evidence, own)
+    if tag in BOILERPLATE or tag == "header" and not parent.content:
         # A page's header; that of an article holds its headline.
-        return (parent.zone if parent.zone == 1 else -1), listed
-    return parent.zone, listed
+        child.section = True
+    return child
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The page's blocks with text, in order."""
-    node = Node("", None, 0, 0)
-    out, current, link, at, n = [], None, 0, 0, len(page)
+    """The page's blocks with text, in order; pieces of one paragraph have its number."""
+    node = Node("", None, 0)
+    out, current, link, at, n, paragraph, gap = [], None, 0, 0, len(page), 0, ""
 
     def text(s: str) -> None:
-        nonlocal current
-        if node.zone == -2 or not s:
+        nonlocal current, gap
+        if node.never or not s:
             return
         if current is None:
             if s.isspace():
+                gap = " "
                 return
-            current = Block(node)
+            current = Block(node, paragraph, [gap] if out and out[-1].paragraph == paragraph else [])
+            gap = ""
             out.append(current)
         s = html.unescape(s) if "&" in s else s
         current.parts.append(s)
@@ -137,13 +181,17 @@ def blocks_of(page: str) -> list[Block]:
                     link = 0 if closing else 1
                 elif tag == "br" and current is not None:
                     current.parts.append(" ")
-                if not closing and tag in ("span", "a") and attrs and _zone(tag, attrs, node)[0] < min(node.zone, 0):
-                    # A marked inline part, such as an advert's: a block of its own, up to its end tag.
-                    node, current = Node(tag, node, node.depth + 1, *_zone(tag, attrs, node)), None
-                elif closing and node.tag == tag:
+                if node.tag == tag and not closing:
+                    node.open += 1
+                elif node.tag == tag and node.open:
+                    node.open -= 1
+                elif node.tag == tag:
                     node, current = node.parent, None
+                elif not closing and tag in ("span", "a") and attrs and (_names(_attributes(attrs)) & ADVERTS or _child(tag, attrs, node).never and not node.never):
+                    # An advert or a hidden piece inside a paragraph: apart from it, up to its end tag.
+                    node, current = _child(tag, attrs, node), None
             else:
-                current = None
+                current, gap, paragraph = None, "", paragraph + 1
                 if closing:
                     up = node
                     while up.parent is not None and up.tag != tag:
@@ -158,13 +206,12 @@ def blocks_of(page: str) -> list[Block]:
                     if up.parent is not None and up.tag in ended:
                         node = up.parent
                     if tag not in VOID:
-                        child = Node(tag, node, node.depth + 1, *_zone(tag, attrs, node))
+                        child = _child(tag, attrs, node)
                         if tag in RAW and not attrs.endswith("/"):
                             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
                             at = end.end() if end else n
                         elif tag == "body":
-                            node = Node(tag, None, 1, 0)
-                            node.parent = Node("", None, 0, 0)
+                            node = Node(tag, Node("", None, 0), 1)
                         else:
                             node = child
                             link = 0
@@ -178,8 +225,6 @@ def blocks_of(page: str) -> list[Block]:
 #: Structural features of a block, and weights that a fit starts from and is held to.
 FEATURES = ("one", "log_words", "few_words", "linked", "ends_sentence", "punctuation", "heading", "paragraph", "item", "depth", "log_siblings", "log_sibling_text", "shared_words", "at_end")
 PRIOR = np.array([-3.0, 0.5, -0.5, -3.2, 0.3, 0.7, 2.2, 2.0, -0.7, -0.3, 0.3, 0.6, 1.0, -0.5])
-#: Bound of the structural log-odds, and what names add: in a content element; elsewhere in a page that has one; in a part named as boilerplate.
-BOUND, INSIDE, OUTSIDE, NAMED = 4.0, 4.5, -5.0, -9.0
 FIT_PAGES, FIT_BYTES, HOLD = 400, 65_536, 0.5
 #: Most that an edge weighs; one between neighbouring children of one parent weighs 2, and a fifth with each step farther apart.
 NEAREST = 3.0
@@ -214,9 +259,14 @@ def features(blocks: list[Block]) -> np.ndarray:
 
 
 def named(blocks: list[Block]) -> np.ndarray:
-    """The one feature of names, as log-odds."""
-    has = any(b.node.zone == 1 for b in blocks)
-    return np.array([INSIDE if b.node.zone == 1 else NAMED if b.node.zone < 0 else OUTSIDE if has else 0.0 for b in blocks])
+    """What elements and names say, as log-odds."""
+    has = any(b.node.content for b in blocks)
+    return np.array([SECTION if b.node.section else (INSIDE if b.node.content else OUTSIDE if has else 0.0) + b.node.evidence for b in blocks])
+
+
+def taught(blocks: list[Block]) -> np.ndarray:
+    """Labels by elements and names alone: 1 in an article element, 0 elsewhere or in a part with a name, NaN where the name is a plain word too."""
+    return np.array([0.0 if b.node.section or not b.node.content or b.node.evidence <= NAMED else 1.0 if b.node.evidence == 0 else np.nan for b in blocks])
 
 
 def fit(pages: list[str], prior: np.ndarray = PRIOR, hold: float = HOLD) -> np.ndarray:
@@ -224,9 +274,11 @@ def fit(pages: list[str], prior: np.ndarray = PRIOR, hold: float = HOLD) -> np.n
     x, y = [np.zeros((0, len(prior)))], [np.zeros(0)]
     for page in pages:
         blocks = blocks_of(page)
-        if any(b.node.zone == 1 for b in blocks):
-            x.append(features(blocks))
-            y.append(np.array([b.node.zone == 1 for b in blocks], float))
+        label = taught(blocks) if blocks else np.zeros(0)
+        if (label == 1).any():
+            known = ~np.isnan(label)
+            x.append(features(blocks)[known])
+            y.append(label[known])
     x, y = np.concatenate(x), np.concatenate(y)
     if len(set(y.tolist())) < 2:
         return prior
@@ -248,8 +300,9 @@ def scores(blocks: list[Block], weights: np.ndarray = PRIOR) -> np.ndarray:
 
 
 def _distance(a: Node, b: Node) -> int:
-    """Steps between two nodes of the tree; into or out of a part named as boilerplate, two more."""
-    steps = 2 if (a.zone < 0) != (b.zone < 0) else 0
+    """Steps between two nodes of the tree; into or out of a part that is no article's by its kind or name, two more."""
+    apart = [x.section or x.evidence <= NAMED for x in (a, b)]
+    steps = 2 if apart[0] != apart[1] else 0
     while a is not b and steps < 12:
         if a.depth >= b.depth:
             a = a.parent or b
@@ -341,7 +394,12 @@ def main_blocks(page: str | None, weights: np.ndarray = PRIOR) -> list[str]:
     if not blocks:
         return []
     keep = minimum_cut(scores(blocks, weights).tolist(), edges_of(blocks))
-    return [b.text for b, k in zip(blocks, keep, strict=True) if k]
+    # What is kept of a paragraph is one block again.
+    paragraphs: dict[int, list[str]] = {}
+    for b, k in zip(blocks, keep, strict=True):
+        if k:
+            paragraphs.setdefault(b.paragraph, []).extend(b.parts)
+    return [" ".join("".join(parts).split()) for parts in paragraphs.values()]
 
 
 def fitted(pages: DataFrame, column: str = "html", most: int = FIT_PAGES) -> np.ndarray:

@@ -64,7 +64,7 @@ def test_pages_without_telling_names(pages):
     weights = m.fit(pages[::2])
     blocks = wrong = 0
     for page in pages[1::2]:
-        truth = [b.node.zone == 1 for b in m.blocks_of(page)]
+        truth = (m.taught(m.blocks_of(page)) == 1).tolist()
         plain = m.blocks_of(stripped(page))
         assert len(plain) == len(truth) and not m.named(plain).any()
         keep = m.minimum_cut(m.scores(plain, weights).tolist(), m.edges_of(plain))
@@ -77,7 +77,7 @@ def test_cut_mends_a_doubtful_classifier(pages):
     rng = np.random.default_rng(3)
     weights, changed, by_sign, by_cut = m.fit(pages[::2]), 0, 0, 0
     for page in pages[1::2]:
-        truth = np.array([b.node.zone == 1 for b in m.blocks_of(page)])
+        truth = m.taught(m.blocks_of(page)) == 1
         plain = m.blocks_of(stripped(page))
         s = m.scores(plain, weights) + rng.normal(0, 3, len(plain))
         keep = np.array(m.minimum_cut(s.tolist(), m.edges_of(plain)))
