@@ -4,14 +4,16 @@ Texts are lower-cased (A-Z), cut into pieces at ``[.,;:!?\\x0A-\\x0D]`` and piec
 never cross pieces. A shard (some MB of one language) gets a generalised suffix automaton, bounded to phrases of
 ``LONGEST`` words: its states are the classes of phrases that end at the same places (endpos), its suffix links lead from
 a phrase to the one without its first word. Here the automaton is made by ranking, level by level, not word by word: a
-phrase of k + 1 words is the pair of a phrase of k words and the word before it. Each state gives one row, its longest
-phrase, the number of words of its shortest and the size of its endpos set; Spark expands the phrases of a state and
-adds up the shards.
+phrase of k + 1 words is the pair of a phrase of k words and the word before it.
 
-What can't reach ``least`` occurrences is left out before that, exactly: a phrase is only as frequent as its parts. For k
-= 1 to 4 words, hashes of phrases whose parts may be frequent are counted over all shards, and those with at least
-``least`` are marked in a filter of a fixed number of bits. A filter has no false negatives: one that is too full only
-leaves more to count. Counts that are returned are sums by the phrases themselves.
+Shards give 64-bit hashes of the phrases of their states and the sizes of the endpos sets; Spark adds them up. What can't
+reach ``least`` occurrences is left out on the way, exactly: a phrase is only as frequent as its parts. One and two words
+are counted first, then three, then four and more, each only where the parts passed: those with at least ``least`` are
+marked in a filter of a fixed number of bits. A filter has no false negatives: one that is too full only leaves more to count.
+
+Only what is frequent gets its words, and not from each shard that has it: a first look takes one in ``SPARE`` pairs of phrase
+and shard, by hash; a second one takes, from all shards, what is still without. A phrase that many shards share so costs
+few rows, and none is left out.
 
 Subsumption goes along the links: a phrase is dropped if one that is a word longer, in front (suffix link) or at the end
 (its mirror), has ``percent`` of its occurrences or more. One word is enough: what lies between a phrase and a longer one
@@ -36,6 +38,8 @@ from .common import Scratch, give_back, in_batches, text_bytes
 LONGEST = 5
 #: Bytes of text of a shard.
 SHARD_BYTES = 4 << 20
+#: Of how many pairs of phrase and shard one gives the phrase's words at first.
+SPARE = 16
 #: Bits of a filter, and of how many of them a phrase has. A filter is what tasks are sent: 4 MB, whatever the input.
 FILTER_BITS, MARKS = 1 << 25, 2
 _U = np.uint64
@@ -77,7 +81,7 @@ class Words:
         last = offsets[1:][np.diff(offsets) > 0] - 1
         ends[last] = ~gap[last]
         self.at = np.flatnonzero(begins)
-        self.size = np.flatnonzero(ends) + 1 - self.at
+        self.size = (np.flatnonzero(ends) + 1 - self.at).astype(np.int32)
         if len(self.at) == 0:
             return
         power = np.cumprod(np.concatenate([[_U(1)], np.full(int(self.size.max()), _BASE)]))
@@ -91,7 +95,7 @@ class Words:
         # Pieces end at breaks and at the ends of texts.
         cut = np.concatenate([[0], np.cumsum(_BREAK[data])])[self.at] + np.searchsorted(offsets, self.at, "right") * (1 + len(data))
         new = np.flatnonzero(np.concatenate([[True], cut[1:] != cut[:-1]]))
-        self.run = np.arange(len(self.at)) - np.repeat(new, np.diff(np.append(new, len(self.at)))) + 1
+        self.run = (np.arange(len(self.at)) - np.repeat(new, np.diff(np.append(new, len(self.at)))) + 1).astype(np.int32)
 
     def hashes(self, seed: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """k, ends of phrases of k words (indices of words), their hashes; the language is the seed."""
@@ -173,50 +177,54 @@ def plausible(words: Words, seed: int, longest: int, filters: dict[int, Filter])
 def _counts_kernel(lengths: tuple[int, ...], filters: dict[int, Filter], shard_bytes: int):
     def run(batches):
         for lang, data, offsets in shards(batches, shard_bytes):
-            for k, _, h in plausible(Words(data, offsets), _seed(lang), max(lengths), filters):
-                if k in lengths:
-                    h, c = np.unique(h, return_counts=True)
-                    yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(c.astype(np.int32)), pa.array(np.full(len(h), k, np.int8))], names=["h", "c", "k"])
+            words, seed = Words(data, offsets), _seed(lang)
+            made = [(0, np.array([seed], np.uint64), np.array([len(words.hash)]))] if 1 in lengths else []
+            made += [(k, level["hash"], level["count"]) for k, level in enumerate(Automaton(words, seed, max(lengths), filters).levels, 1) if k in lengths]
+            for k, h, c in made:
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(c.astype(np.int32)), pa.array(np.full(len(h), k, np.int8))], names=["h", "c", "k"])
         give_back()
 
     return run
 
 
-def _frequent(docs: DataFrame, lengths: tuple[int, ...], filters: dict[int, Filter], least: int, shard_bytes: int, bits: int) -> dict[int, Filter]:
-    """Filters with one for each of ``lengths``: hashes of phrases that occur at least ``least`` times."""
-    counts = in_batches(docs, _counts_kernel(lengths, filters, shard_bytes), "h bigint, c int, k tinyint").groupBy("k", "h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+def _marked(hashes: DataFrame, bits: int) -> dict[int, Filter]:
+    """Filters of ``hashes`` (k, h), by k."""
 
     def places(batches):
         for b in batches:
-            h = b.column("h").to_numpy().view(np.uint64)
-            k = b.column("k").to_numpy()
+            h, k = b.column("h").to_numpy().view(np.uint64), b.column("k").to_numpy()
             for place in Filter.places(h, bits):
                 yield pa.record_batch([pa.array(k), pa.array((place >> _U(6)).astype(np.int32)), pa.array((_U(1) << (place & _U(63))).view(np.int64))], names=["k", "at", "bits"])
 
-    # At most bits / 64 rows for each length, whatever the input.
-    rows = in_batches(counts.select("k", "h"), places, "k tinyint, at int, bits bigint").groupBy("k", "at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    # At most bits / 64 rows for each k, whatever the input.
+    rows = in_batches(hashes.select("k", "h"), places, "k tinyint, at int, bits bigint").groupBy("k", "at").agg(F.bit_or("bits").alias("bits")).toArrow()
     k, at, marks = (rows.column(c).to_numpy() for c in ("k", "at", "bits"))
-    out = dict(filters)
-    for n in lengths:
+    out = {}
+    for n in np.unique(k).tolist():
         words = np.zeros(bits // 64, np.uint64)
         words[at[k == n]] = marks[k == n].view(np.uint64)
         out[n] = Filter(words)
     return out
 
 
+def _none(bits: int) -> Filter:
+    return Filter(np.zeros(bits // 64, np.uint64))
+
+
 class Automaton:
     """The suffix automaton of a shard, bounded to ``longest`` words, of the phrases that ``plausible`` leaves.
 
-    Level k has the phrases of k words: ``end`` (a word where it ends), ``count`` (size of the endpos set), ``link`` (phrase of level
-    k - 1: its suffix link) and ``top``, whether it is the longest of its state: no phrase with a word before it has its endpos set.
+    Level k has the phrases of k words: ``hash``, ``end`` (a word where it ends), ``count`` (size of the endpos set), ``link``
+    (phrase of level k - 1: its suffix link) and ``top``, whether it is the longest of its state: no phrase with a word
+    before it has its endpos set.
     """
 
     def __init__(self, words: Words, seed: int, longest: int, filters: dict[int, Filter]):
         self.levels = []
         below = np.zeros(len(words.hash), np.int64)  # by word: the phrase of k - 1 words that ends there
         for _, ends, h in plausible(words, seed, longest, filters):
-            _, first, own, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-            level = {"end": ends[first], "count": count, "link": below[ends[first]], "top": np.ones(len(first), bool)}
+            kinds, first, own, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            level = {"hash": kinds, "end": ends[first], "count": count, "link": below[ends[first]], "top": np.ones(len(first), bool)}
             if self.levels:
                 under = self.levels[-1]
                 same = level["count"] == under["count"][level["link"]]
@@ -238,38 +246,49 @@ class Automaton:
             yield from zip(level["end"][top].tolist(), [k] * len(top), low[-1][top].tolist(), level["count"][top].tolist(), strict=True)
 
 
-def _states_kernel(longest: int, filters: dict[int, Filter], shard_bytes: int):
+def _words_kernel(longest: int, filters: dict[int, Filter], wanted: dict[int, Filter] | None, shard_bytes: int):
+    """Rows h, lang, phrase of frequent phrases: one in SPARE of each shard's, or all that are ``wanted``."""
+    import pyarrow.compute as pc
+
     def run(batches):
         for lang, data, offsets in shards(batches, shard_bytes):
-            words = Words(data, offsets)
-            # Words by their hash: each is decoded once.
-            kinds, first, own = np.unique(words.hash, return_index=True, return_inverse=True)
-            names = [words.text(i) for i in first.tolist()]
-            own = own.tolist()
-            rows = [([names[w] for w in own[e - k + 1 : e + 1]], s, c) for e, k, s, c in Automaton(words, _seed(lang), longest, filters).states()]
-            rows.append(([], 0, len(own)))
-            for i in range(0, len(rows), 20_000):
-                phrase, shortest, count = zip(*rows[i : i + 20_000], strict=True)
-                yield pa.record_batch(
-                    [pa.array([lang] * len(phrase)), pa.array(phrase, pa.list_(pa.string())), pa.array(shortest, pa.int32()), pa.array(count, pa.int64())],
-                    names=["lang", "phrase", "shortest", "c"],
-                )
+            words, seed = Words(data, offsets), _seed(lang)
+            own = _mix(np.array([words.hash.sum(dtype=np.uint64)]))[0]
+            yield pa.record_batch([pa.array(np.array([seed], np.uint64).view(np.int64)), pa.array([lang]), pa.array([""])], names=["h", "lang", "phrase"])
+            for k, level in enumerate(Automaton(words, seed, longest, filters).levels, 1):
+                h = level["hash"]
+                take = np.flatnonzero(_mix(h ^ own) % _U(SPARE) == 0 if wanted is None else wanted[k].has(h) if k in wanted else np.zeros(len(h), bool))
+                if len(take) == 0:
+                    continue
+                end = level["end"][take]
+                # Each word is decoded once.
+                at, place = np.unique((end[:, None] + np.arange(1 - k, 1)).ravel(), return_inverse=True)
+                names, place = pa.array([words.text(i) for i in at.tolist()], pa.string()), place.reshape(-1, k)
+                parts = [names.take(pa.array(place[:, j])) for j in range(k)]
+                phrase = pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]
+                yield pa.record_batch([pa.array(h[take].view(np.int64)), pa.repeat(lang, len(take)), phrase], names=["h", "lang", "phrase"])
         give_back()
 
     return run
 
 
-def phrase_counts(docs: DataFrame, least: int = 100, longest: int = LONGEST, shard_bytes: int = SHARD_BYTES, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """lang, phrase, k (words), f: all phrases of up to ``longest`` words that occur at least ``least`` times; and '' with all words of a lang."""
+def phrase_counts(docs: DataFrame, scratch: Scratch, least: int = 100, longest: int = LONGEST, shard_bytes: int = SHARD_BYTES, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """lang, phrase, k (words), f: all phrases of up to ``longest`` words that occur at least ``least`` times; and '' (k = 0) with all words of a lang."""
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    filters = _frequent(docs, (1, 2), {}, least, shard_bytes, filter_bits)
-    for k in range(3, longest):
-        filters = _frequent(docs, (k,), filters, least, shard_bytes, filter_bits)
-    states = in_batches(docs, _states_kernel(longest, filters, shard_bytes), "lang string, phrase array<string>, shortest int, c bigint")
-    size = F.size("phrase")
-    phrases = F.transform(F.sequence("shortest", size), lambda k: F.struct(F.array_join(F.slice("phrase", size - k + 1, k), " ").alias("phrase"), k.alias("k")))
-    rows = states.withColumn("p", F.explode(phrases)).select("lang", "p.phrase", "p.k", "c")
-    return rows.groupBy("lang", "phrase", "k").agg(F.sum("c").alias("f")).where((F.col("f") >= least) | (F.col("k") == 0))
+    filters: dict[int, Filter] = {}
+    counts = None
+    for lengths in [(1, 2), (3,), tuple(range(4, longest + 1))]:
+        if lengths and lengths[0] <= longest:
+            c = in_batches(docs, _counts_kernel(lengths, filters, shard_bytes), "h bigint, c int, k tinyint").groupBy("k", "h").agg(F.sum("c").alias("f"))
+            c = scratch.put(c.where((F.col("f") >= least) | (F.col("k") == 0)), f"counts-{lengths[0]}")
+            filters |= {k: _none(filter_bits) for k in lengths} | _marked(c, filter_bits)
+            counts = c if counts is None else counts.unionByName(c)
+    look = lambda wanted: in_batches(docs, _words_kernel(longest, filters, wanted, shard_bytes), "h bigint, lang string, phrase string").groupBy("h").agg(F.min(F.struct("lang", "phrase")).alias("p"))
+    named = scratch.put(look(None), "named")
+    rest = _marked(counts.where("k > 0").join(named, "h", "left_anti"), filter_bits)
+    if rest:
+        named = named.unionByName(scratch.put(look(rest), "named-late").join(named, "h", "left_anti"))
+    return counts.join(named, "h").select("p.lang", "p.phrase", F.col("k").cast("int").alias("k"), "f")
 
 
 def _without(words, first: int, last: int):
@@ -280,7 +299,7 @@ def _without(words, first: int, last: int):
 def collocations(docs: DataFrame, least: int = 100, percent: int = 100, top: int = 2000, longest: int = LONGEST, **sizes: int) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first ``top`` of each language, by score, count and phrase; ``sizes``: shard_bytes, filter_bits."""
     scratch = Scratch(docs.sparkSession, "collocations")
-    counts = scratch.put(phrase_counts(docs, least, longest, **sizes), "counts")
+    counts = scratch.put(phrase_counts(docs, scratch, least, longest, **sizes), "counts")
     phrases = scratch.put(counts.where("k > 0"), "phrases")
     candidate = phrases.where("k > 1").withColumnRenamed("f", "a")
     words = F.split("phrase", " ")
