@@ -121,6 +121,16 @@ def stable_hash(*parts, seed: str = "0") -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
+def winding_by_circumference(u, lowest, highest) -> Column:
+    """A whole winding in [lowest, highest] from a uniform draw u in [0, 1): k comes with the weight of its circumference, k + 1/2.
+
+    The weights up to k add up to ((k + 1)**2 - lowest**2) / 2, which is solved for k.
+    """
+    a, b = col(lowest).cast("double"), col(highest).cast("double")
+    mass = ((b + 1) * (b + 1) - a * a) / 2
+    return F.least(F.greatest(F.ceil(F.sqrt(2 * col(u) * mass + a * a) - 1).cast("double"), a), b).cast("bigint")
+
+
 def seconds(at) -> Column:
     """Seconds since 1970 of a timestamp without a zone (or one taken as it reads), with fractions."""
     since = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), col(at).cast("timestamp_ntz"))

@@ -49,9 +49,16 @@ def both_ways(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).unionByName(edges.select(F.col(b).alias("src"), F.col(a).alias("dst")))
 
 
-def restricted(edges: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
-    """Edges (a, b) between the given nodes, renumbered densely from 0 in the order of the nodes."""
+def restricted(edges: DataFrame, nodes: DataFrame, node: str, known: DataFrame | None = None) -> DataFrame:
+    """Edges (a, b) between the given nodes, renumbered densely from 0 in the order of the nodes.
+
+    ``known`` (the column ``node``) has the graph's own nodes: a given one that is not among them is an error.
+    """
     ids = numbered(nodes.select(node).distinct(), [node])
+    if known is not None:
+        absent = [r[0] for r in ids.join(known, node, "left_anti").select(node).limit(5).collect()]
+        if absent:
+            raise ValueError(f"not in the graph: {', '.join(map(str, absent))}{' ...' if len(absent) == 5 else ''}")
     one = lambda s: ids.select(F.col(node).alias(s), F.col("id").cast("long").alias(f"{s}_id"))
     return edges.join(one("a"), "a").join(one("b"), "b").select("a_id", "b_id")
 

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import stable_hash
+from .ragged import numbered
 
 
 def systematic(df: DataFrame, order: str, every: int, key: str | None = None) -> DataFrame:
     """Each ``every``-th row of each key (or of all), the first included."""
-    w = Window.partitionBy(*([key] if key else [])).orderBy(order)
-    return df.withColumn("rn", F.row_number().over(w)).where((F.col("rn") - 1) % every == 0)
+    if key is None:
+        return numbered(df, [order], "rn").withColumn("rn", F.col("rn") + 1).where((F.col("rn") - 1) % every == 0)
+    return df.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(order))).where((F.col("rn") - 1) % every == 0)
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: str, by: str | None = None) -> DataFrame:

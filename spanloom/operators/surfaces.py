@@ -153,19 +153,3 @@ def holes(cells: DataFrame, key: list[str], i: str, j: str) -> DataFrame:
     roots = here.join(comp, here["a"] == comp["node"], "left").select(F.coalesce("root", "a").alias("r")).distinct()
     count = roots.groupBy(*[F.col(f"r.{k}").alias(k) for k in key]).agg(F.count("*").alias("components"))
     return count.join(euler, key).select(*key, "components", (F.col("components") - F.col("euler")).alias("holes"))
-
-
-def distance_transform(cells: DataFrame, key: list[str], i: str, j: str, feature: str, reach: int) -> DataFrame:
-    """``cells`` (all of a grid) with ``distance`` to the nearest cell of their key whose ``feature`` is true, exact up to ``reach``, null beyond.
-
-    One axis by a window over a row, the other by offers to up to ``reach`` rows either way: what a tile with a halo of
-    ``reach`` has, and partly aggregated before the shuffle.
-    """
-    row = Window.partitionBy(*key, i).orderBy(j)
-    on = F.when(F.col(feature), F.col(j))
-    left, right = F.last(on, True).over(row.rowsBetween(Window.unboundedPreceding, 0)), F.first(on, True).over(row.rowsBetween(0, Window.unboundedFollowing))
-    g = cells.select(*key, F.col(i).alias("__from"), j, F.least(F.col(j) - left, right - F.col(j)).alias("__g")).where(F.col("__g") <= reach)
-    offers = g.withColumn(i, F.explode(F.sequence(F.col("__from") - reach, F.col("__from") + reach)))
-    square = F.pow(F.col(i) - F.col("__from"), 2) + F.pow("__g", F.lit(2))
-    best = offers.groupBy(*key, i, j).agg(F.sqrt(F.min(square)).alias("distance")).where(F.col("distance") <= reach)
-    return cells.join(best, [*key, i, j], "left")

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import crossings, graphs, grids, logs, records, sequences, stores, summaries, surfaces, tolerance  # noqa: F401
+from . import crossings, graphs, grids, logs, records, sequences, stores, summaries, surfaces, tolerance, volumes  # noqa: F401
 from .registry import COVERS, ORACLES, QUERIES  # noqa: F401

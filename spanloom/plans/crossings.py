@@ -65,7 +65,7 @@ def restrict_remap(t):
     kept = t("orders").where("o_totalprice > 100000")
     points = _points(t).join(kept.select(F.col("o_orderkey").alias("track")), "track", "left_semi")
     edges = joins.crossing_events(points, "track", "cell", "idx", "fam").select("a", "b").distinct()
-    return joins.restricted(edges, kept, "o_orderkey")
+    return joins.restricted(edges, kept, "o_orderkey", t("orders").select("o_orderkey"))
 
 
 @query(

@@ -9,27 +9,31 @@ from ..operators import graph, joins
 from ..operators.ragged import numbered
 from .registry import query
 
-# Edges between parts that are an order's first and second line.
-_E = """e AS (SELECT DISTINCT least(a.l_partkey, b.l_partkey) AS a, greatest(a.l_partkey, b.l_partkey) AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2
+# Edges between parts that are consecutive lines of an order.
+_E = """e AS (SELECT DISTINCT least(a.l_partkey, b.l_partkey) AS a, greatest(a.l_partkey, b.l_partkey) AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber
   WHERE a.l_partkey <> b.l_partkey),
 d AS (SELECT a AS src, b AS dst, b - a AS delta0 FROM e UNION ALL SELECT b, a, a - b FROM e),
 g AS (SELECT src, dst, CASE WHEN src < dst THEN (src + dst) % 7 - 3 ELSE -((src + dst) % 7 - 3) END AS delta FROM d)"""
 
 
+_OPENING = _E.replace("a.l_linenumber + 1 = b.l_linenumber", "a.l_linenumber = 1 AND b.l_linenumber = 2")
+
+
 def _least_label(name: str, edges: str) -> str:
     """Each node's least reachable node, by labels that only fall."""
     return f"""{name}(node, root) USING KEY (node) AS (SELECT src, src FROM {edges} UNION
   SELECT w.dst, min(r.root) FROM {name} r JOIN {edges} w ON r.node = w.src LEFT JOIN recurring.{name} k ON k.node = w.dst GROUP BY w.dst, k.root HAVING k.root IS NULL OR min(r.root) < k.root)"""
 
 
-def _edges(t):
-    one = lambda n, name: t("lineitem").where(F.col("l_linenumber") == n).select("l_orderkey", F.col("l_partkey").alias(name))
-    e = one(1, "p").join(one(2, "q"), "l_orderkey").where("p != q")
-    return e.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+def _edges(t, opening: bool = False):
+    """Parts of consecutive lines; ``opening``: of the first and second line only."""
+    one = lambda k, name: t("lineitem").select("l_orderkey", (F.col("l_linenumber") + k).alias("n"), F.col("l_partkey").alias(name))
+    e = one(1, "p").join(one(0, "q"), ["l_orderkey", "n"]).where("p != q")
+    return (e.where("n = 2") if opening else e).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
-def _directed(t):
-    e = joins.both_ways(_edges(t))
+def _directed(t, opening: bool = False):
+    e = joins.both_ways(_edges(t, opening))
     w: Column = (F.col("src") + F.col("dst")) % 7 - 3
     return e.select("src", "dst", F.when(F.col("src") < F.col("dst"), w).otherwise(-w).alias("delta"))
 
@@ -37,15 +41,17 @@ def _directed(t):
 _LEAST_COST = """r(node, cost) USING KEY (node) AS ({first} UNION
   SELECT w.dst, min(r.cost + w.w) FROM r JOIN w ON r.node = w.src LEFT JOIN recurring.r k ON k.node = w.dst GROUP BY w.dst, k.cost HAVING k.cost IS NULL OR min(r.cost + w.w) < k.cost)"""
 
-_BFS = f"""WITH {_E}, l0 AS (SELECT CAST(100 AS BIGINT) AS node, 0 AS depth, CAST(0 AS BIGINT) AS acc, CAST(NULL AS BIGINT) AS parent),
-o1 AS (SELECT dst AS node, 1 AS depth, CAST(min(acc + delta) AS BIGINT) AS acc, arg_min(src, (acc + delta, src)) AS parent FROM l0 JOIN g ON node = src WHERE dst NOT IN (SELECT node FROM l0) GROUP BY 1), s1 AS (SELECT * FROM l0 UNION ALL SELECT * FROM o1),
-o2 AS (SELECT dst AS node, 2 AS depth, CAST(min(acc + delta) AS BIGINT) AS acc, arg_min(src, (acc + delta, src)) AS parent FROM o1 JOIN g ON node = src WHERE dst NOT IN (SELECT node FROM s1) GROUP BY 1), s2 AS (SELECT * FROM s1 UNION ALL SELECT * FROM o2),
-o3 AS (SELECT dst AS node, 3 AS depth, CAST(min(acc + delta) AS BIGINT) AS acc, arg_min(src, (acc + delta, src)) AS parent FROM o2 JOIN g ON node = src WHERE dst NOT IN (SELECT node FROM s2) GROUP BY 1), tree AS (SELECT * FROM s2 UNION ALL SELECT * FROM o3)"""
+# From the least part of each component to all that it reaches.
+_BFS = f"""WITH RECURSIVE {_E}, {_least_label("c", "g")},
+tree(node, depth, acc, parent) USING KEY (node) AS (SELECT DISTINCT root, 0, CAST(0 AS BIGINT), CAST(NULL AS BIGINT) FROM c UNION
+  SELECT g.dst, t.depth + 1, CAST(min(t.acc + g.delta) AS BIGINT), arg_min(g.src, (t.acc + g.delta, g.src)) FROM tree t JOIN g ON t.node = g.src LEFT JOIN recurring.tree k ON k.node = g.dst WHERE k.node IS NULL GROUP BY g.dst, t.depth)"""
+_PATHS = """w(node, up, path) AS (SELECT node, parent, [node] FROM tree UNION ALL SELECT w.node, t.parent, list_append(w.path, w.up) FROM w JOIN tree t ON t.node = w.up), p AS (SELECT node, path FROM w WHERE up IS NULL)"""
 
 
 def _tree(t):
-    seed = t("part").where("p_partkey = 100").select(F.col("p_partkey").alias("node"))
-    return graph.breadth_first(_directed(t), seed, 3)
+    directed = graph.cut_lineage(_directed(t))
+    seeds = graph.components(directed.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))).select(F.col("root").alias("node")).distinct()
+    return graph.breadth_first(directed, seeds, None)
 
 
 @query("K01 K10 A29", f"{_BFS} SELECT node, depth, acc, parent FROM tree")
@@ -70,11 +76,10 @@ def cycle_holonomy(t):
 
 @query(
     "K12",
-    f"""{_BFS} SELECT a.node, CAST(1 + (a.parent IS NOT NULL)::INT + (b.parent IS NOT NULL)::INT + (c.parent IS NOT NULL)::INT AS BIGINT) AS length, concat_ws('-', a.node, a.parent, b.parent, c.parent) AS path
-FROM tree a LEFT JOIN tree b ON a.parent = b.node LEFT JOIN tree c ON b.parent = c.node""",
+    f"""{_BFS}, {_PATHS} SELECT node, CAST(len(path) AS BIGINT) AS length, array_to_string(path, '-') AS path FROM p""",
 )
 def tree_paths(t):
-    p = graph.paths_to_root(_tree(t), 3)
+    p = graph.paths_to_root(_tree(t))
     return p.select("node", F.size("path").cast("long").alias("length"), F.concat_ws("-", F.transform("path", lambda x: x.cast("string"))).alias("path"))
 
 
@@ -83,7 +88,7 @@ _H = "h AS (SELECT g.src, g.dst, CAST(x.acc + g.delta - y.acc AS BIGINT) AS holo
 
 @query(
     "K04",
-    f"""{_BFS}, {_H}, p AS (SELECT a.node, list_filter([a.node, a.parent, b.parent, c.parent], lambda x: x IS NOT NULL) AS path FROM tree a LEFT JOIN tree b ON a.parent = b.node LEFT JOIN tree c ON b.parent = c.node),
+    f"""{_BFS}, {_H}, {_PATHS},
 j AS (SELECT src, dst, holonomy, p.path AS pp, q.path AS qq, list_filter(p.path, lambda x: list_contains(q.path, x))[1] AS lca FROM h JOIN p ON p.node = src JOIN p q ON q.node = dst WHERE holonomy <> 0)
 SELECT src, dst, holonomy, lca, array_to_string(list_concat(pp[1:list_position(pp, lca)], list_reverse(qq[1:list_position(qq, lca) - 1])), '-') AS cycle FROM j""",
 )
@@ -101,11 +106,12 @@ def layout_slots(t):
 
 @query(
     "K06 K07",
-    f"""WITH RECURSIVE {_E}, {_least_label("r", "g")}
+    f"""WITH RECURSIVE {_OPENING}, {_least_label("r", "g")}
 SELECT root, count(*) AS nodes, CAST(sum(p_size) AS BIGINT) AS area, row_number() OVER (ORDER BY count(*) DESC, sum(p_size) DESC, root) AS rank FROM r JOIN part ON node = p_partkey GROUP BY 1""",
 )
 def components_rank(t):
-    c = graph.components(_edges(t)).join(t("part").select(F.col("p_partkey").alias("node"), "p_size"), "node")
+    # All consecutive lines would make one component.
+    c = graph.components(_edges(t, opening=True)).join(t("part").select(F.col("p_partkey").alias("node"), "p_size"), "node")
     c = c.groupBy("root").agg(F.count("*").alias("nodes"), F.sum("p_size").alias("area"))
     return numbered(c, [F.desc("nodes"), F.desc("area"), F.col("root")], "rank").withColumn("rank", F.col("rank") + 1)
 
@@ -151,17 +157,18 @@ def grid_geodesics(t):
 
 @query(
     "K14",
-    f"""WITH RECURSIVE {_E}, n AS (SELECT src AS node FROM g GROUP BY 1 HAVING count(*) = 2), i AS (SELECT src, dst FROM g WHERE src IN (FROM n) AND dst IN (FROM n)),
+    f"""WITH RECURSIVE {_OPENING}, n AS (SELECT src AS node FROM g GROUP BY 1 HAVING count(*) = 2), i AS (SELECT src, dst FROM g WHERE src IN (FROM n) AND dst IN (FROM n)),
 r AS (SELECT node, node AS chain FROM n UNION SELECT dst, chain FROM r JOIN i ON node = src), c AS (SELECT node, min(chain) AS chain FROM r GROUP BY 1)
 SELECT chain, count(*) AS length FROM c GROUP BY 1""",
 )
 def degree_two_chains(t):
-    return graph.chains(_edges(t)).groupBy("chain").agg(F.count("*").alias("length"))
+    # With all consecutive lines no part has only two neighbours.
+    return graph.chains(_edges(t, opening=True)).groupBy("chain").agg(F.count("*").alias("length"))
 
 
 @query(
     "K20",
-    f"""WITH {_E}, p AS (SELECT src, dst, (src * 7 + dst * 13) % 50 AS position FROM g),
+    f"""WITH {_OPENING}, p AS (SELECT src, dst, (src * 7 + dst * 13) % 50 AS position FROM g),
 c1 AS (SELECT a.src AS s, a.dst AS c, b.position AS entry FROM p a JOIN p b ON b.src = a.dst AND b.dst = a.src), x1 AS (SELECT s, c, p.dst AS x FROM c1 JOIN p ON p.src = c AND p.dst <> s AND abs(position - entry) >= 10),
 o1 AS (SELECT s, c FROM x1 JOIN p ON p.src = x AND p.dst = s UNION SELECT s, c FROM x1 JOIN p v ON v.src = x AND v.dst <> c AND v.dst <> s JOIN p h ON h.src = v.dst AND h.dst = s),
 w1 AS (SELECT s, arg_min(c, ((s * 31 + c * 17) % 101, c)) AS u FROM o1 GROUP BY s),
@@ -170,7 +177,8 @@ o2 AS (SELECT s, u, c FROM x2 WHERE x = s UNION SELECT s, u, c FROM x2 JOIN p ON
 SELECT n.src AS start, concat_ws('-', n.src, u, v) AS walk FROM (SELECT DISTINCT src FROM p) n LEFT JOIN w1 ON w1.s = n.src LEFT JOIN w2 ON w2.s = n.src""",
 )
 def gated_walks(t):
-    g = _directed(t)
+    """Over the first two lines of each order: with all consecutive lines a part has some 45 neighbours, and returns over three tracks are their cubes."""
+    g = _directed(t, opening=True)
     records = graph.cut_lineage(g.select("src", "dst", ((F.col("src") * 7 + F.col("dst") * 13) % 50).alias("position")))
     order = (F.col("src") * 31 + F.col("dst") * 17) % 101
     w = graph.gated_walks(records, records.select(F.col("src").alias("node")).distinct(), 2, 10.0, order)

@@ -36,6 +36,35 @@ def coalesce_latest(t):
     return log.coalesced(t("events").select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], "ts", "event_id", 21600).select("user_id", "event_type", "slot", "merged", "event_id")
 
 
+@query(
+    "T02 T03",
+    """WITH m AS (SELECT floor((epoch(max(ts)) - 3600) / 21600) AS open FROM events)
+SELECT user_id, event_type, CAST(floor(epoch(ts) / 21600) AS BIGINT) AS slot, count(*) AS merged, max(event_id) AS event_id FROM events, m WHERE floor(epoch(ts) / 21600) < open GROUP BY 1, 2, 3""",
+)
+def coalesced_stream(t):
+    """All events, as a stream in two runs from one checkpoint: what the watermark has passed by then."""
+    from ..streaming import ring
+    from .stores import _folder
+
+    path, spark = _folder(t), t("events").sparkSession
+    at = F.timestamp_micros(F.round(expr.seconds("ts") * 1_000_000).cast("bigint"))
+    e = t("events").where("ts is not null").select(F.concat_ws(":", "user_id", "event_type").alias("key"), at.alias("at"), "event_id", "user_id", "event_type")
+    ends = e.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).first()
+    early = F.lit(False) if ends["lo"] is None else F.col("at") < F.lit(ends["lo"] + (ends["hi"] - ends["lo"]) / 2)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ring.PROVIDER)
+    try:
+        for part in (early, ~early):
+            e.where(part).write.mode("append").parquet(f"{path}/in")
+            stream = spark.readStream.schema(e.schema).parquet(f"{path}/in")
+            out = ring.coalesced_stream(stream, "key", "at", "event_id", 21600, "1 hour")
+            out.writeStream.option("checkpointLocation", f"{path}/state").format("parquet").option("path", f"{path}/out").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(out.schema).parquet(f"{path}/out").select("user_id", "event_type", "slot", "merged", "event_id")
+
+
 @query("T06", "SELECT user_id * 10 + event_id % 10 AS command, min(event_id) AS event_id, count(*) - 1 AS repeats FROM events GROUP BY 1")
 def command_dedup(t):
     e = t("events").select((F.col("user_id") * 10 + F.col("event_id") % 10).alias("command"), "event_id")

@@ -47,7 +47,7 @@ def area_weighted_satisfaction(t):
     return p.agg(F.count("*").alias("objects"), F.count(F.when(hit, 1)).alias("satisfied"), F.round(F.sum(F.col("area") * F.col("ok") / F.col("n")) / F.greatest(F.sum("area"), F.lit(1e-9)), 8).alias("area_ratio"), F.round(aggs.weighted_ratio(hit, "area"), 8).alias("whole_ratio"))
 
 
-@query("G07 G05 G08 M14", "SELECT event_type, CAST(hour(ts) AS BIGINT) AS h, count(value) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
+@query("G05 M14", "SELECT event_type, CAST(hour(ts) AS BIGINT) AS h, count(value) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
 def bin2d_mean(t):
     b = aggs.bin_means(t("events"), {"event_type": F.col("event_type"), "h": F.hour("ts").cast("long")}, "value")
     return b.withColumn("mean", F.round("mean", 6))
@@ -260,6 +260,16 @@ def _diverse(n: int) -> str:
     return f"WITH {', '.join(out)} " + " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS rank, s_suppkey, y, x FROM t{k}" for k in range(n))
 
 
+@query(
+    "S18",
+    f"""SELECT event_id, CAST(least(greatest(ceil(sqrt(2 * ({_HASH.format(23, "event_id")} / 1152921504606846976.0) * ((41.0 + user_id % 10) * (41.0 + user_id % 10) - 9) / 2 + 9) - 1), 3.0), 40.0 + user_id % 10) AS BIGINT) AS winding FROM events""",
+)
+def circumference_windings(t):
+    """A winding from 3 up to each user's outermost one, for each event."""
+    u = expr.stable_hash("event_id", seed="23") / 1152921504606846976.0
+    return t("events").select("event_id", expr.winding_by_circumference(u, 3, 40 + F.col("user_id") % 10).alias("winding"))
+
+
 @query("S15", _diverse(3))
 def diverse_seeds(t):
     s = t("supplier").select("s_suppkey", "s_acctbal", F.col("s_acctbal").alias("y"), (F.col("s_nationkey") * 400).cast("double").alias("x"))

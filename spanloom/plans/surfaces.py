@@ -119,16 +119,16 @@ def grid_holes(t):
 
 @query(
     "R03",
-    """WITH c AS (SELECT l_suppkey AS i, l_partkey % 40 AS j, bool_or(l_quantity >= 50) AS hit FROM lineitem GROUP BY 1, 2), e AS (SELECT s_suppkey AS i, unnest(generate_series(0, 39)) AS j FROM supplier),
-g AS (SELECT e.i, e.j, coalesce(hit, false) AS hit FROM e LEFT JOIN c ON c.i = e.i AND c.j = e.j)
-SELECT a.i, a.j, round(sqrt(min((a.i - b.i) ** 2 + (a.j - b.j) ** 2)), 8) AS distance FROM g a LEFT JOIN g b ON b.hit AND (a.i - b.i) ** 2 + (a.j - b.j) ** 2 <= 25 GROUP BY 1, 2""",
+    """WITH c AS (SELECT DISTINCT l_suppkey AS i, CAST(l_quantity AS BIGINT) AS j FROM lineitem WHERE l_linenumber = 7), e AS (SELECT s_suppkey AS i, unnest(generate_series(1, 50)) AS j FROM supplier)
+SELECT e.i, e.j, round(min(sqrt((e.i - c.i) ** 2 + (e.j - c.j) ** 2)), 8) AS distance FROM e CROSS JOIN c GROUP BY 1, 2""",
 )
 def distance_to_features(t):
-    line = t("lineitem")
-    on = line.groupBy(F.col("l_suppkey").alias("i"), (F.col("l_partkey") % 40).alias("j")).agg(F.bool_or(F.col("l_quantity") >= 50).alias("on"))
-    every = t("supplier").select(F.col("s_suppkey").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("j"))
-    g = every.join(on, ["i", "j"], "left").withColumn("on", F.coalesce("on", F.lit(False)))
-    return surfaces.distance_transform(g, [], "i", "j", "on", 5).select("i", "j", F.round("distance", 8).alias("distance"))
+    """Suppliers by quantities: how far from a seventh line of an order."""
+    from ..operators import distance
+
+    cells = t("lineitem").where("l_linenumber = 7").select(F.col("l_suppkey").alias("i"), F.col("l_quantity").cast("long").alias("j"))
+    ends = t("supplier").agg(F.min("s_suppkey").alias("lo"), F.max("s_suppkey").alias("hi")).first()
+    return distance.distances(cells, ["i", "j"], {"i": (ends["lo"] or 0, (ends["hi"] or 0) + 1), "j": (1, 51)}).withColumn("distance", F.round("distance", 8))
 
 
 _PARTS = "c AS (SELECT DISTINCT l_suppkey // 10 AS k, l_suppkey % 10 AS i, l_partkey % 12 AS j FROM lineitem WHERE (l_suppkey * 5 + l_partkey % 12 * 7) % 4 > 0)"

@@ -71,16 +71,20 @@ def windowed_stream(stream: DataFrame, at: str, lateness: str, length: str, slid
 
 
 def append_batches(stream: DataFrame, path: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame], dead_letters: str):
-    """A query that appends prepared micro-batches. A batch that fails goes to ``dead_letters`` and the stream goes on.
+    """A query that appends prepared micro-batches. A batch that ``prepare`` refuses goes to ``dead_letters`` and the stream goes on.
 
-    A batch's files are in a folder of its id, so that a batch that is run again replaces itself.
+    Only what ``prepare`` itself raises counts as bad input. What fails while rows are computed or written (a lost
+    executor, a full disk) ends the query, and the batch is taken again from the checkpoint. A batch's files are in a folder
+    of its id, so that a batch that is run again replaces itself.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         try:
-            prepare(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+            ready = prepare(batch)
         except Exception as error:  # noqa: BLE001  the session outlives a bad input
             batch.withColumn("error", F.lit(str(error)[:500])).write.mode("overwrite").parquet(f"{dead_letters}/batch={number}")
+            return
+        ready.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 

@@ -82,15 +82,6 @@ def test_holes_match_flooding(spark):
     assert {r.k: r.holes for r in surfaces.holes(df, ["k"], "i", "j").collect()} == {k: flood_holes(c) for k, c in grids.items()}
 
 
-def test_distances_match_search(spark):
-    rng = random.Random(4)
-    rows = [(k, i, j, rng.random() < 0.04) for k in range(2) for i in range(14) for j in range(17)] + [(9, 0, 0, False)]
-    got = {(r.k, r.i, r.j): r.distance for r in surfaces.distance_transform(spark.createDataFrame(rows, "k int, i int, j int, on boolean"), ["k"], "i", "j", "on", 4).collect()}
-    for k, i, j, _ in rows:
-        best = min((math.dist((i, j), (y, x)) for q, y, x, on in rows if q == k and on), default=math.inf)
-        assert got[k, i, j] is None if best > 4 else abs(got[k, i, j] - best) < 1e-12
-
-
 def test_geodesics_cross_blocks(spark):
     rng = random.Random(5)
     cells = {(i, j) for i in range(20) for j in range(20) if rng.random() < 0.7} | {(0, 0)}
