@@ -22,6 +22,24 @@ def quantiles(x, *q: float) -> Column:
     return F.percentile(col(x), F.array(*[F.lit(v) for v in q]))
 
 
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, *q: float) -> DataFrame:
+    """keys, q: an array of the quantiles, by linear interpolation. Values are ranged over tasks and numbered; only the neighbours of each rank are fetched, so
+    that no task holds the values of a key."""
+    from .ragged import numbered_within
+
+    d = numbered_within(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v")), keys, ["__v"], "__at")
+    n = d.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg((F.max("__at")).alias("__last"))
+    ask = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(v)) * F.col("__last")).alias("p")) for i, v in enumerate(q)]))
+    ask = n.withColumn("__q", ask).withColumn("__at", F.explode(F.array_distinct(F.array(F.floor("__q.p"), F.ceil("__q.p")))))
+    same = [d[k].eqNullSafe(ask[f"__k{i}"]) for i, k in enumerate(keys)]
+    met = ask.join(d.withColumnRenamed("__at", "__place"), [F.col("__at") == F.col("__place"), *same])
+    # Of two neighbours each counts the more, the nearer it is.
+    share = F.when(F.floor("__q.p") == F.ceil("__q.p"), F.lit(1.0)).otherwise(1 - F.abs(F.col("__q.p") - F.col("__at")))
+    one = met.groupBy(*keys, F.col("__q.i").alias("__i")).agg(F.sum(share * F.col("__v")).alias("__v"))
+    out = one.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__i", "__v"))).alias("q"))
+    return out.select(*keys, F.transform("q", lambda x: x["__v"]).alias("q"))
+
+
 def mode(df: DataFrame, key: str | list[str], value: str) -> DataFrame:
     """key, value, n: the most frequent value, the least of equals. Two partial aggregates, no sort of a group."""
     keys = [key] if isinstance(key, str) else key
@@ -82,7 +100,7 @@ def bin_means(df: DataFrame, bins: dict[str, Column], value: str) -> DataFrame:
 def tertiles(df: DataFrame, key: str | None, value: str) -> DataFrame:
     """``df`` with low and high (the exact thirds of the values) and bin: 0 up to low, 1 up to high, else 2."""
     keys = [key] if key else []
-    q = df.groupBy(*keys).agg(quantiles(value, 1 / 3, 2 / 3).alias("q")).select(*keys, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    q = exact_quantiles(df, keys, value, 1 / 3, 2 / 3).select(*keys, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
     j = df.join(q, keys) if keys else df.join(F.broadcast(q))  # without keys q is one row
     return j.withColumn("bin", F.when(F.col(value) <= F.col("low"), 0).when(F.col(value) <= F.col("high"), 1).otherwise(2))
 

@@ -206,42 +206,62 @@ def gated_walks(records: DataFrame, seeds: DataFrame, steps: int, least_travel:
     """start, walk: up to ``steps`` steps, each onto a track from which the walk could still return to its start.
 
     ``records`` (src, dst, position on src): one for each ordered pair. A candidate passes if a cycle of at most
-    ``most_tracks`` tracks (3 or 4) closes through it: start ... current, candidate, and on to the start over tracks not met
-    yet, leaving the candidate ``least_travel`` or more from where it was entered. Of the candidates that pass, the first
-    by ``order`` (a column of src and dst), then dst, is taken; a walk without one ends.
+    ``most_tracks`` tracks closes through it: start ... current, candidate, and on to the start over tracks not met yet,
+    leaving the candidate ``least_travel`` or more from where it was entered. Of the candidates that pass, the first by
+    ``order`` (a column of src and dst), then dst, is taken; a walk without one ends.
     """
-    if most_tracks not in (3, 4):
-        raise ValueError("cycles of three or four tracks can be told")
+    tables = Tables(records.sparkSession, "walks")
     w = seeds.select(F.col("node").alias("start"), F.array("node").alias("walk"))
-    out = F.col("x")
     for step in range(1, steps + 1):
         if step + 1 > most_tracks:
             break
         current = w.where(F.size("walk") == step).withColumn("src", F.element_at("walk", -1))
-        c = current.join(records.select("src", "dst"), "src").where(~F.array_contains(F.col("walk"), F.col("dst"))).withColumnRenamed("dst", "c")
+        c = current.join(records.select("src", F.col("dst").alias("c")), "src").where(~F.array_contains(F.col("walk"), F.col("c")))
         entry = records.select(F.col("src").alias("c"), F.col("dst").alias("src"), F.col("position").alias("entry"))
-        exits = records.select(F.col("src").alias("c"), F.col("dst").alias("x"), F.col("position").alias("leave"))
-        e = c.join(entry, ["c", "src"]).join(exits, "c").where((out != F.col("src")) & (F.abs(F.col("leave") - F.col("entry")) >= least_travel))
-        fresh = ~F.array_contains(F.col("walk"), out)
-        back = records.select(F.col("src").alias("x"), F.col("dst").alias("start"))
-        found = [e.where(out == F.col("start")).select("start", "src", "c")]
-        spare = most_tracks - step - 1
-        if spare >= 1:
-            found.append(e.where(fresh).join(back, ["x", "start"], "left_semi").select("start", "src", "c"))
-        if spare >= 2:
-            via = records.select(F.col("src").alias("x"), F.col("dst").alias("y"))
-            home = records.select(F.col("src").alias("y"), F.col("dst").alias("start"))
-            f = e.where(fresh).join(via, "x").where((F.col("y") != F.col("c")) & ~F.array_contains(F.col("walk"), F.col("y")))
-            found.append(f.join(home, ["y", "start"], "left_semi").select("start", "src", "c"))
-        ok = found[0]
-        for f in found[1:]:
-            ok = ok.unionByName(f)
+        candidates = tables.put(c.join(entry, ["c", "src"]), f"candidates-{step}")
+        ok = returning(records, candidates, least_travel, most_tracks - step, tables, f"{step}")
         ok = ok.withColumnRenamed("c", "dst").groupBy("start").agg(F.min(F.struct(order.alias("o"), "dst")).alias("n"))
         w = w.join(ok, "start", "left").select("start", F.when((F.size("walk") == step) & F.col("n").isNotNull(), F.concat("walk", F.array("n.dst"))).otherwise(F.col("walk")).alias("walk"))
-        w = cut_lineage(w)
+        w = tables.put(w, f"walks-{step}")
     return w
 
 
+def returning(records: DataFrame, candidates: DataFrame, least_travel: float, hops: int, tables: Tables, name: str) -> DataFrame:
+    """start, src, c of the ``candidates`` (start, walk, src, c, entry) from which a simple path of at most ``hops`` hops leads to the start.
+
+    A path keeps off the walk, and leaves c ``least_travel`` or more from the entry. It is looked for from both ends: paths of half
+    the hops on from the candidates, and back from the starts, meet in a track that both end in. So a search of n hops makes
+    paths of n / 2; a candidate that has its path is not searched further.
+    """
+    out, way = records.select(F.col("src").alias("end"), F.col("dst").alias("next"), "position"), records.select(F.col("dst").alias("end"), F.col("src").alias("next"))
+    keys = ["start", "src", "c"]
+    on = candidates.select(*keys, "walk", "entry", F.col("c").alias("end"), F.array("c").alias("path"))
+    back = candidates.select("start", "walk").distinct().select("start", "walk", F.col("start").alias("end"), F.array().cast(dict(candidates.dtypes)["walk"]).alias("far"))
+    found = None
+    for hop in range(1, hops + 1):
+        if hop % 2:
+            # One hop on; the first one leaves the candidate far enough from where it was entered.
+            far = F.abs(F.col("position") - F.col("entry")) >= least_travel if hop == 1 else F.lit(True)
+            fresh = ~F.array_contains(F.col("path"), F.col("next")) & (~F.array_contains(F.col("walk"), F.col("next")) | (F.col("next") == F.col("start")))
+            on = on.join(out, "end").where(far & fresh).select(*keys, "walk", "entry", F.col("next").alias("end"), F.concat("path", F.array("next")).alias("path"))
+            on = tables.put(on, f"on-{name}-{hop}")
+            if hop > 1:
+                on = on.where("end != start")
+        else:
+            back = back.join(way, "end").where(~F.array_contains(F.col("walk"), F.col("next")) & ~F.array_contains(F.col("far"), F.col("next")))
+            back = tables.put(back.select("start", "walk", F.col("next").alias("end"), F.concat("far", F.array("next")).alias("far")), f"back-{name}-{hop}")
+        if hop == 1:
+            new = on.where("end = start").select(*keys)
+            on = on.where("end != start")
+        else:
+            meet = on.join(back.select("start", "end", "far"), ["start", "end"])
+            new = meet.where(F.size(F.array_intersect("path", "far")) == 1).select(*keys)
+        found = new.distinct() if found is None else found.unionByName(new.distinct())
+        found = tables.put(found.distinct(), f"found-{name}-{hop}")
+        on = on.join(found, keys, "left_anti")
+    return found
+
+
 def layout_slots(tree: DataFrame) -> DataFrame:
     """A slot within each depth, ordered by the parent, then the node."""
     return tree.withColumn("slot", F.row_number().over(Window.partitionBy("depth").orderBy("parent", "node")) - 1)

@@ -136,9 +136,10 @@ def most_overlapped(intervals: DataFrame, key: str | None, lo: str, hi: str) ->
     keys = [key] if key else []
     ends = intervals.select(*keys, F.col(lo).alias("at"), F.lit(1).alias("d")).unionByName(intervals.select(*keys, F.col(hi).alias("at"), F.lit(-1).alias("d")))
     ends = ends.groupBy(*keys, "at").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    # What begins in a key ends in it, so one running sum over all keys is that of each: no task needs a whole key.
+    from .sampling import prefix_sums
     best = F.min_by(F.struct("at", "n"), F.struct(-F.col("n"), F.col("at"))).alias("r")
-    return ends.withColumn("n", F.sum("d").over(w)).groupBy(*keys).agg(best).select(*keys, "r.at", "r.n")
+    return prefix_sums(ends, [*keys, "at"], "d", "n").groupBy(*keys).agg(best).select(*keys, "r.at", "r.n")
 
 
 def merged_intervals(intervals: DataFrame, key: str, lo: str, hi: str) -> DataFrame:

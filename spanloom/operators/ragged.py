@@ -35,6 +35,16 @@ def numbered(df: DataFrame, order: list, name: str = "id") -> DataFrame:
     return d.join(before, "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
 
 
+def numbered_within(df: DataFrame, keys: list[str], order: list, name: str = "id") -> DataFrame:
+    """Numbers the rows of each key from 0 in ``order``, without a task that gets all rows of a key: rows of all keys are numbered together, and what lies before a key is taken off."""
+    d = numbered(df, [*keys, *order], name)
+    if not keys:
+        return d
+    first = d.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.min(name).alias("__first"))
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    return d.join(first, same).withColumn(name, F.col(name) - F.col("__first")).drop("__first", *[f"__k{i}" for i in range(len(keys))])
+
+
 def step_lengths(df: DataFrame, key, order, coords: list[str], name: str = "step") -> DataFrame:
     """Distance from the point before, 0 for the first."""
     w = over(key, order)

@@ -53,27 +53,91 @@ def _cycle(edges: list[tuple], dropped: set[int], last: int) -> list[int]:
     return out
 
 
-def fewest(edges: list[tuple], most: int) -> set[int] | None:
-    """Numbers of the fewest edges (a, b, delta) without which all cycles close; None if over ``most`` are needed.
+def _blocks(edges: list[tuple]) -> list[list[int]]:
+    """The numbers of the edges of each biconnected part; edges that lie on no cycle are left out."""
+    near: dict = {}
+    for n, (a, b, _) in enumerate(edges):
+        near.setdefault(a, []).append((b, n))
+        near.setdefault(b, []).append((a, n))
+    order: dict = {}
+    low: dict = {}
+    out: list[list[int]] = []
+    for root in near:
+        if root in order:
+            continue
+        order[root] = low[root] = len(order)
+        held: list[int] = []
+        path = [(root, -1, iter(near[root]))]
+        while path:
+            u, by, ways = path[-1]
+            for v, n in ways:
+                if n == by:
+                    continue
+                if v == u:
+                    out.append([n])
+                elif v not in order:
+                    order[v] = low[v] = len(order)
+                    held.append(n)
+                    path.append((v, n, iter(near[v])))
+                    break
+                elif order[v] < order[u]:
+                    held.append(n)
+                    low[u] = min(low[u], order[v])
+            else:
+                path.pop()
+                if path:
+                    up = path[-1][0]
+                    low[up] = min(low[up], low[u])
+                    if low[u] >= order[up]:
+                        at = held.index(by)
+                        if len(held) - at > 1:
+                            out.append(sorted(set(held[at:])))
+                        del held[at:]
+    return [sorted(b) for b in out if len(b) > 1 or edges[b[0]][0] == edges[b[0]][1]]
+
+
+def _disjoint(edges: list[tuple], dropped: set[int], most: int) -> list[list[int]]:
+    """Cycles that do not close and share no edge, up to ``most`` + 1: each costs a change of its own."""
+    out, gone = [], set(dropped)
+    while len(out) <= most and (cycle := _conflict(edges, gone)) is not None:
+        out.append(cycle)
+        gone.update(cycle)
+    return out
 
-    Of a cycle that does not close one edge at least must go: each is tried, with one, two, ... edges to spend in all.
-    """
 
-    def search(dropped: set[int], left: int) -> set[int] | None:
-        cycle = _conflict(edges, dropped)
-        if cycle is None:
+def _fewest_of_block(edges: list[tuple]) -> set[int]:
+    def search(dropped: set[int], kept: set[int], left: int) -> set[int] | None:
+        cycles = _disjoint(edges, dropped, left)
+        if not cycles:
             return dropped
-        for n in cycle if left else ():
-            found = search(dropped | {n}, left - 1)
-            if found is not None:
-                return found
+        if len(cycles) > left:
+            return None
+        # Of the shortest cycle one edge must go; one that was tried in vain stays in what is tried after it.
+        tried = set(kept)
+        for n in sorted(min(cycles, key=len)):
+            if n not in tried:
+                found = search(dropped | {n}, tried, left - 1)
+                if found is not None:
+                    return found
+                tried.add(n)
         return None
 
-    for spend in range(most + 1):
-        found = search(set(), spend)
-        if found is not None:
-            return found
-    return None
+    spend = len(_disjoint(edges, set(), len(edges)))
+    while (found := search(set(), set(), spend)) is None:
+        spend += 1
+    return found
+
+
+def fewest(edges: list[tuple]) -> set[int]:
+    """Numbers of the fewest edges (a, b, delta) without which all cycles close.
+
+    A cycle lies in one biconnected part, so each part is solved alone. Cycles that do not close and share no edge bound the
+    changes from below: the search begins at that number, and leaves a branch where what is left to spend is less.
+    """
+    out: set[int] = set()
+    for block in _blocks(edges):
+        out.update(block[n] for n in _fewest_of_block([edges[n] for n in block]))
+    return out
 
 
 def _potentials(edges: list[tuple], dropped: set[int]) -> dict:
@@ -96,20 +160,18 @@ def _potentials(edges: list[tuple], dropped: set[int]) -> dict:
     return at
 
 
-def repaired(edges: DataFrame, key: str, src: str, dst: str, delta: str, most: int = 6) -> DataFrame:
+def repaired(edges: DataFrame, key: str, src: str, dst: str, delta: str) -> DataFrame:
     """``edges`` (key, src, dst, delta) with repaired (null: as it would be if the edge were not there, where nothing else joins its
-    ends) and changed: the fewest of each key's edges change, those of the first such set by (src, dst, delta).
+    ends) and changed: the fewest of each key's edges change; which of several such sets depends on nothing but the edges.
 
-    A key's edges are one group; one that needs more than ``most`` changes keeps all, with changed null: its cycles are left open.
+    A key's edges are one group. A self-loop closes only with a delta of 0.
     """
     kinds = dict(edges.dtypes)
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([src, dst, delta], kind="stable").reset_index(drop=True)
         e = list(zip(rows[src].tolist(), rows[dst].tolist(), (int(d) for d in rows[delta]), strict=True))
-        out = fewest(e, most)
-        if out is None:
-            return rows.assign(repaired=rows[delta], changed=None)
+        out = fewest(e)
         at = _potentials(e, out)
         new = [(at[b][1] - at[a][1] if at[a][0] == at[b][0] else None) if n in out else d for n, (a, b, d) in enumerate(e)]
         return rows.assign(repaired=pd.Series(new, dtype=object), changed=[n in out for n in range(len(e))])

@@ -219,4 +219,4 @@ def fewest_repairs(t):
     s = t("events").join(kinds, "event_type").select("user_id", F.col("n").alias("a"), F.lead("n").over(w).alias("b")).where("a != b")
     e = s.select("user_id", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
     e = e.withColumn("delta", F.col("dst") - F.col("src") + ((F.col("user_id") + F.col("src") * 3 + F.col("dst") * 5) % 4 == 0).cast("long"))
-    return repairs.repaired(e, "user_id", "src", "dst", "delta", 10).groupBy("user_id").agg(F.sum(F.col("changed").cast("long")).alias("changed"))
+    return repairs.repaired(e, "user_id", "src", "dst", "delta").groupBy("user_id").agg(F.sum(F.col("changed").cast("long")).alias("changed"))

@@ -78,7 +78,7 @@ def resume_done_set(t):
 
 
 @query(
-    "T05 T04 T07 T08",
+    "T05 T04",
     """WITH k AS (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 'committed' WHEN 'click' THEN 'incorporated' ELSE 'seen' END AS kind FROM events),
 s AS (SELECT user_id, max((kind = 'committed')::INT) AS c, max((kind = 'incorporated')::INT) AS i, max(event_id) AS last FROM k GROUP BY 1)
 SELECT user_id, CASE WHEN i = 1 THEN 'incorporated' ELSE 'pending' END AS state, c = 1 AND i = 1 AS settled, last FROM s""",

@@ -60,7 +60,8 @@ def nearest_scale(t):
 @query("W29 F01", "SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY (c_acctbal % 6.25 + 6.25) % 6.25, c_custkey) AS place FROM customer")
 def phase_order(t):
     phase = F.pmod(F.col("c_acctbal"), F.lit(6.25))
-    return t("customer").select("c_custkey", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(phase, "c_custkey")).cast("long").alias("place"))
+    c = ragged.numbered_within(t("customer").select("c_nationkey", "c_custkey", phase.alias("phase")), ["c_nationkey"], ["phase", "c_custkey"], "place")
+    return c.select("c_custkey", (F.col("place") + 1).cast("long").alias("place"))
 
 
 @query("A19 F16", "SELECT c_custkey, CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS INTEGER) AS suffix, regexp_replace(c_name, '[^A-Za-z0-9]+', '_', 'g') AS safe FROM customer")

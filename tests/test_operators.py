@@ -5,6 +5,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,3 +236,52 @@ def test_surfaces_and_reports(spark, tmp_path):
     files.write_report(spark.range(3).withColumn("t", F.lit("<b>")), str(tmp_path / "report"), "A & B")
     page = spark.read.text(str(tmp_path / "report")).first().value
     assert "<th>id</th>" in page and "&lt;b&gt;" in page and "A &amp; B" in page
+
+
+def test_numbers_quantiles_and_sweeps_without_a_task_for_a_key(spark):
+    """Against plain sorts; the plans deal no rows to a single task."""
+    rng = random.Random(12)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(40), rng.choice([None, rng.uniform(0, 9), 4.0])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "k string, o bigint, v double").repartition(3)
+    got = ragged.numbered_within(df, ["k"], ["o"], "n").collect()
+    for k in ("a", "b", None):
+        own = sorted((r.n, r.o) for r in got if r.k == k)
+        assert [n for n, _ in own] == list(range(len(own))) and [o for _, o in own] == sorted(o for q, o, _ in rows if q == k)
+    have = {r.k: r.q for r in aggs.exact_quantiles(df, ["k"], "v", 0.0, 1 / 3, 0.5, 1.0).collect()}
+    for k in ("a", "b", None):
+        v = np.array([x for q, _, x in rows if q == k and x is not None])
+        assert np.allclose(have[k], np.quantile(v, [0, 1 / 3, 0.5, 1]))
+    assert np.allclose(aggs.exact_quantiles(df, [], "v", 0.9).first().q, np.quantile([x for *_, x in rows if x is not None], 0.9))
+    assert aggs.exact_quantiles(df.limit(0), ["k"], "v", 0.5).count() == 0
+    spans = spark.createDataFrame([("a", 1, 5), ("a", 2, 3), ("a", 3, 9), ("b", 0, 1), ("b", 7, 9), ("b", 8, 12)], "k string, lo int, hi int")
+    assert sorted(map(tuple, joins.most_overlapped(spans, "k", "lo", "hi").collect())) == [("a", 2, 2), ("b", 8, 2)]
+    assert tuple(joins.most_overlapped(spans, None, "lo", "hi").first()) == (2, 2)
+    assert [r.o for r in sampling.systematic(df.select("o").distinct(), "o", 7).orderBy("o").collect()] == sorted({o for _, o, _ in rows})[::7]
+
+
+def test_a_node_that_the_graph_lacks_is_an_error(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 5)], "a bigint, b bigint")
+    known = spark.createDataFrame([(1,), (2,), (5,)], "n bigint")
+    assert sorted(map(tuple, joins.restricted(edges, known.where("n > 1"), "n", known).collect())) == [(0, 1)]
+    with pytest.raises(ValueError, match="not in the graph: 9"):
+        joins.restricted(edges, spark.createDataFrame([(1,), (9,)], "n bigint"), "n", known)
+
+
+def test_a_batch_that_fails_while_it_is_written_ends_the_stream(spark, tmp_path):
+    """It is no bad input: the next run takes it again, and nothing is lost."""
+    spark.createDataFrame([(1, "4"), (2, "x")], "k int, v string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema("k int, v string").parquet(str(tmp_path / "in"))
+    start = lambda prepare: log.append_batches(stream(), str(tmp_path / "out"), str(tmp_path / "mark"), prepare, str(tmp_path / "dead")).trigger(availableNow=True).start()
+    late = lambda batch: batch.withColumn("n", F.when(F.col("v") == "x", F.raise_error(F.lit("a lost executor"))).otherwise(F.lit(1)))
+    with pytest.raises(Exception, match="a lost executor"):
+        start(late).awaitTermination()
+    assert not (tmp_path / "dead").exists()
+    start(lambda batch: batch).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_windings_come_by_their_circumference(spark):
+    n = 20_000
+    d = spark.range(n).select(expr.winding_by_circumference((F.col("id") + 0.5) / n, 2, 6).alias("k")).groupBy("k").count().collect()
+    weight = {k: (k + 0.5) / sum(j + 0.5 for j in range(2, 7)) for k in range(2, 7)}
+    assert {r.k for r in d} == set(weight) and all(abs(r["count"] / n - weight[r.k]) < 1e-3 for r in d)

@@ -5,6 +5,8 @@ import math
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from spanloom.operators import blocks, graph, raster, sampling, surfaces
 
@@ -222,3 +224,33 @@ def test_spiral_is_found_among_strays(spark):
     f = fits.fit_spiral(df, [18.0, 26.0], 2.0).first()
     assert abs(f.cy - 15) < 0.3 and abs(f.cx - 33) < 0.3 and abs(f.dr - 21.5) < 0.05 and abs(f.phase - 2.5) < 0.05 and f.sense == 1  # strays pull a little
     assert fits.fit_spiral(df.limit(0), [18.0], 2.0).count() == 0
+
+
+@pytest.mark.parametrize(("most", "steps"), [(3, 2), (4, 3), (5, 3), (6, 2), (7, 4)])
+def test_returns_of_any_length_are_found_from_both_ends(spark, most, steps):
+    """Against a plain search of all simple paths."""
+    rng = random.Random(most)
+    place, near = {}, {}
+    for a in range(14):
+        for b in rng.sample(range(14), 3):
+            if a != b and (a, b) not in place:
+                place[a, b], place[b, a] = rng.randrange(60), rng.randrange(60)
+                near.setdefault(a, set()).add(b)
+                near.setdefault(b, set()).add(a)
+
+    def returns(node, goal, met, hops, far):
+        return any(far(x) and (x == goal or hops > 1 and x not in met and returns(x, goal, met | {x}, hops - 1, lambda _: True)) for x in near[node])
+
+    want = {}
+    for s in near:
+        walk = [s]
+        while len(walk) <= steps and len(walk) + 1 <= most:
+            fits = [c for c in near[walk[-1]] - set(walk) if returns(c, s, {*walk, c}, most - len(walk), lambda x, c=c: abs(place[c, x] - place[c, walk[-1]]) >= 12)]
+            if not fits:
+                break
+            walk.append(min(fits, key=lambda c: ((walk[-1] * 31 + c * 17) % 7, c)))
+        want[s] = walk
+    g = spark.createDataFrame([(a, b, float(p)) for (a, b), p in place.items()], "src bigint, dst bigint, position double")
+    got = graph.gated_walks(g, g.select(F.col("src").alias("node")).distinct(), steps, 12.0, (F.col("src") * 31 + F.col("dst") * 17) % 7, most)
+    assert {r.start: r.walk for r in got.collect()} == want
+    assert max(map(len, want.values())) > 2 or most == 3
