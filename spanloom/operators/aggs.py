@@ -27,14 +27,14 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, *q: float) -> Da
     that no task holds the values of a key."""
     from .ragged import numbered_within
 
-    d = numbered_within(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v")), keys, ["__v"], "__at")
-    n = d.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg((F.max("__at")).alias("__last"))
+    d = numbered_within(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v")), keys, ["__v"], "__rank")
+    n = d.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg((F.max("__rank")).alias("__last"))
     ask = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(v)) * F.col("__last")).alias("p")) for i, v in enumerate(q)]))
-    ask = n.withColumn("__q", ask).withColumn("__at", F.explode(F.array_distinct(F.array(F.floor("__q.p"), F.ceil("__q.p")))))
+    ask = n.withColumn("__q", ask).withColumn("__rank", F.explode(F.array_distinct(F.array(F.floor("__q.p"), F.ceil("__q.p")))))
     same = [d[k].eqNullSafe(ask[f"__k{i}"]) for i, k in enumerate(keys)]
-    met = ask.join(d.withColumnRenamed("__at", "__place"), [F.col("__at") == F.col("__place"), *same])
+    met = ask.join(d.withColumnRenamed("__rank", "__place"), [F.col("__rank") == F.col("__place"), *same])
     # Of two neighbours each counts the more, the nearer it is.
-    share = F.when(F.floor("__q.p") == F.ceil("__q.p"), F.lit(1.0)).otherwise(1 - F.abs(F.col("__q.p") - F.col("__at")))
+    share = F.when(F.floor("__q.p") == F.ceil("__q.p"), F.lit(1.0)).otherwise(1 - F.abs(F.col("__q.p") - F.col("__rank")))
     one = met.groupBy(*keys, F.col("__q.i").alias("__i")).agg(F.sum(share * F.col("__v")).alias("__v"))
     out = one.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__i", "__v"))).alias("q"))
     return out.select(*keys, F.transform("q", lambda x: x["__v"]).alias("q"))

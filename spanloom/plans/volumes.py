@@ -79,17 +79,17 @@ def shell_table(t):
 
 @query("K17", None)
 def grown_grids(t):
-    """Suppliers and parts are tracks of two families, along each other's ids; where they meet, the dearest quantity lifts the sheet."""
+    """Suppliers and parts are tracks of two families, along each other's ids (suppliers lie four apart); where they meet, the largest quantity lifts the sheet."""
     line = t("lineitem").groupBy("l_suppkey", "l_partkey").agg(F.max("l_quantity").alias("q"))
     supplier, part = -F.col("l_suppkey"), F.col("l_partkey")
-    places = [F.col("l_suppkey").cast("double").alias("z"), F.col("l_partkey").cast("double").alias("y"), (F.col("q") / 25).alias("x")]
-    edges = line.select(supplier.alias("a"), part.alias("b"), (part + F.col("q") / 100).alias("pos_a"), (F.col("l_suppkey") + F.col("q") / 100).alias("pos_b"), *places)
+    places = [(4.0 * F.col("l_suppkey")).alias("z"), F.col("l_partkey").cast("double").alias("y"), (F.col("q") / 25).alias("x")]
+    edges = line.select(supplier.alias("a"), part.alias("b"), (part + F.col("q") / 100).alias("pos_a"), (4 * F.col("l_suppkey") + F.col("q") / 100).alias("pos_b"), *places)
     # The length of a track of one family: the largest id of the other, and a margin.
     ends = line.agg(F.max("l_suppkey").alias("s"), F.max("l_partkey").alias("p")).first()
     tracks = edges.select(F.col("a").alias("track")).distinct().select("track", F.lit("supplier").alias("family"), F.lit(float(ends["p"] or 0) + 2).alias("length"))
-    tracks = tracks.unionByName(edges.select(F.col("b").alias("track")).distinct().select("track", F.lit("part").alias("family"), F.lit(float(ends["s"] or 0) + 2).alias("length")))
+    tracks = tracks.unionByName(edges.select(F.col("b").alias("track")).distinct().select("track", F.lit("part").alias("family"), F.lit(4.0 * (ends["s"] or 0) + 2).alias("length")))
     seeds = edges.select(F.col("a").alias("anchor")).distinct().select((-F.col("anchor")).alias("grid"), "anchor")
-    g = growth.grown_grids(edges, tracks, seeds, 8.0, 12.0)
+    g = growth.grown_grids(edges, tracks, seeds, 16.0, 19.0)
     names = lambda c: F.concat_ws(",", F.col(c).cast("array<string>"))
     return g.select("grid", F.size("rows").cast("long").alias("n_rows"), F.size("cols").cast("long").alias("n_cols"), names("rows").alias("rows"), names("cols").alias("cols"))
 

@@ -255,7 +255,8 @@ def test_numbers_quantiles_and_sweeps_without_a_task_for_a_key(spark):
     assert aggs.exact_quantiles(df.limit(0), ["k"], "v", 0.5).count() == 0
     spans = spark.createDataFrame([("a", 1, 5), ("a", 2, 3), ("a", 3, 9), ("b", 0, 1), ("b", 7, 9), ("b", 8, 12)], "k string, lo int, hi int")
     assert sorted(map(tuple, joins.most_overlapped(spans, "k", "lo", "hi").collect())) == [("a", 2, 2), ("b", 8, 2)]
-    assert tuple(joins.most_overlapped(spans, None, "lo", "hi").first()) == (2, 2)
+    # From 2 on, (1, 5) and (2, 3); from 3 on, (1, 5) and (3, 9); from 8 on, three: (3, 9), (7, 9) and (8, 12).
+    assert tuple(joins.most_overlapped(spans, None, "lo", "hi").first()) == (8, 3)
     assert [r.o for r in sampling.systematic(df.select("o").distinct(), "o", 7).orderBy("o").collect()] == sorted({o for _, o, _ in rows})[::7]
 
 
