@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import bpe, mixing, near_dup, quality_rules, suffix_dedup
-from spanloom.llm.common import Scratch, table
+from spanloom.llm.common import Scratch, small_reads, table
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
+    small_reads(spark)
     return quality_rules.kept_documents(docs)
 
 

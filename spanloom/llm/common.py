@@ -37,6 +37,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+def small_reads(spark: SparkSession) -> None:
+    """Lets Parquet readers take a column in parts of 1 MB, where nobody has said otherwise: as a whole it is held outside of the JVM's heap, by each task."""
+    for name, value in (("parquet.read.allocation.size", str(1 << 20)), ("parquet.hadoop.vectored.io.enabled", "false")):
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
+
+
 class Scratch:
     """Intermediate tables written as Parquet to the shared folder, so that a lost executor costs no recomputation.
 
@@ -44,6 +51,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        small_reads(spark)
         self.spark, self.root = spark, f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
