@@ -22,6 +22,12 @@ def theta(y, x) -> Column:
     return F.pmod(F.atan2(col(y), F.when(F.abs(x) < 1e-10, 1e-10).otherwise(x)), F.lit(TWO_PI))
 
 
+def angle_of(y, x) -> Column:
+    """atan2 that heeds the sign of an x of 0, as other engines' and numpy's do: Spark's takes -0.0 for 0.0, the opposite way."""
+    y, x = col(y).cast("double"), col(x).cast("double")
+    return F.when((y == 0) & (x == 0) & (x.cast("string") == "-0.0"), F.lit(math.pi)).otherwise(F.atan2(y, x))
+
+
 def wrap(angle) -> Column:
     return F.pmod(col(angle), F.lit(TWO_PI))
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import shifted_radius, wrap
+from ..functions.expr import angle_of, shifted_radius, wrap
 from .raster import neighbours
 
 #: Colours of a map's values from none to the display's largest. Fixed values.
@@ -21,7 +21,7 @@ def projected(samples: DataFrame, windings: DataFrame, pixels: DataFrame, z0: fl
     preview; shown: on the surface, too. Negative residuals count 0.
     """
     ok = samples.where(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('infinity')" for c in ("z", "y", "x", "residual")))
-    theta = wrap(F.atan2("y", "x"))
+    theta = wrap(angle_of("y", "x"))
     shifted = shifted_radius(F.sqrt(F.col("y") * F.col("y") + F.col("x") * F.col("x")), theta, per_turn)
     s = ok.select("name", F.greatest("residual", F.lit(0.0)).alias("residual"), theta.alias("theta"), F.rint(shifted / per_turn).cast("long").alias("winding"), F.rint((F.col("z") - z0) / spacing).cast("long").alias("row"))
     s = s.join(windings, "winding", "left")

@@ -194,7 +194,7 @@ q AS (SELECT *, inside AND (row + col) % 9 > 0 AS shown FROM p), m AS (SELECT na
 
 def _loss(t):
     e = t("events")
-    at = F.col("event_id") * 0.7
+    at = (F.col("event_id") * F.lit("0.7").cast("decimal(2,1)")).cast("double")  # exact before it is rounded, as in the SQL
     s = e.select(F.col("event_type").alias("name"), (F.col("event_id") % 300).cast("double").alias("z"), (F.col("value") * F.cos(at)).alias("y"), (F.col("value") * F.sin(at)).alias("x"), (F.col("user_id") % 11 - 2).cast("double").alias("residual"))
     spark = e.sparkSession
     weights = spark.createDataFrame([("view", 2.0), ("click", 0.0), ("error", -1.0), ("signup", 1.0)], "name string, weight double")
