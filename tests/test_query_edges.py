@@ -19,6 +19,12 @@ def _same(spark, folder, name, **tables):
     return got
 
 
+def test_phases_round_as_sums_do(spark, tmp_path):
+    # 6.25 added to a phase rounds it: 0.02 and 6.27 % 6.25 then are equal or not as sums are, not as remainders.
+    rows = [(k, 1, round(-9.99 + 0.01 * ((k * 7919) % 5000), 2)) for k in range(5000)]
+    assert len(_same(spark, tmp_path, "phase_order", customer=(rows, "c_custkey bigint, c_nationkey int, c_acctbal double"))) == len(rows)
+
+
 def test_samples_at_the_centre_keep_their_side(spark, tmp_path):
     # A value of 0 lies at (0, 0), its x of -0.0 where the cosine is negative: the angle is half a turn.
     rows = [(e, "signup", 0.0, 3 + e) for e in range(20, 60)]
