@@ -1,13 +1,15 @@
-"""Waves over grids: blocks of cells are solved whole, each with one cell around it, until no block's labels change.
+"""Waves and stretches over grids: blocks of cells are solved whole, each with one cell around it, until no edge's labels change.
 
-A round runs all blocks apart, so that a wave crosses a block in one round, not in one for each cell. Groups are bounded by
+A round runs blocks apart, so that a wave crosses a block in one round, not in one for each cell. Groups are bounded by
 the block, whatever the surface's size. Labels only ever improve, so the order of rounds plays no part in the result.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,44 +19,123 @@ from pyspark.sql import functions as F
 from ..functions.expr import wrap
 from . import graph
 
-BLOCK = 64
+#: Cells of a block, and its longest side where the grid is wide both ways.
+AREA, SIDE = 1 << 18, 512
 
 
-def settled(cells: DataFrame, i: str, j: str, label: list[str], solve: Callable[[dict, dict], dict], block: int = BLOCK) -> DataFrame:
+def _sides(cells: DataFrame, i: str, j: str, block: int | None) -> tuple[int, int]:
+    """The sides of a block: ``block`` both ways, or else as long as AREA lets them be where the grid is narrow one way."""
+    if block:
+        return block, block
+    r = cells.agg(*[(F.max(c) - F.min(c) + 1).alias(n) for c, n in ((i, "i"), (j, "j"))]).first()
+    narrow = max(1, min(SIDE, r["i"] or 1, r["j"] or 1))
+    return (AREA // narrow, narrow) if (r["j"] or 1) <= (r["i"] or 1) else (narrow, AREA // narrow)
+
+
+def settled(cells: DataFrame, i: str, j: str, label: list[str], solve: Callable[[dict, dict], dict], block: int | None = None) -> DataFrame:
     """``cells`` (i, j, label columns, others) with the labels that ``solve`` settles on; cells without one have null labels.
 
     ``solve``: (rows of a block by place, rows around it by place) -> label tuples by place; rows are tuples in the order
     of the columns. What it gives must not depend on the block's old labels but where those are seeds.
+    A round solves the blocks beside whose edges labels have changed, and keeps edges only; the last pass solves all of them.
     """
     names, kinds = cells.columns, dict(cells.dtypes)
     at = [names.index(i), names.index(j)]
     where = [names.index(c) for c in label]
-    schema = ", ".join(f"{c} {kinds[c]}" for c in names)
-
-    def kernel(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        own, around, full = {}, {}, {}
-        for row in rows[names].astype(object).where(rows[names].notna(), None).itertuples(index=False, name=None):
-            place = (int(row[at[0]]), int(row[at[1]]))
-            inside = (place[0] // block, place[1] // block) == (int(key[0]), int(key[1]))
-            (own if inside else around)[place] = row
-            if inside:
-                full[place] = list(row)
-        found = solve(own, around)
-        for place, row in full.items():
-            for c, v in zip(where, found.get(place, [None] * len(where)), strict=True):
-                row[c] = v
-        return pd.DataFrame(list(full.values()), columns=names)
-
-    part = lambda c: F.floor(c / block)
-    shift = [F.struct(part(F.col(i) + a).alias("a"), part(F.col(j) + b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]
-    now = graph.cut_lineage(cells)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*names])
+    keyed = f"{schema}, __a bigint, __b bigint"
+    cells = graph.cut_lineage(cells)
+    sides = _sides(cells, i, j, block)
+
+    def kernel(edges_only: bool):
+        def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            own, around, full = {}, {}, []
+            corner = (int(key[0]), int(key[1]))
+            for row in rows[names].astype(object).where(rows[names].notna(), None).itertuples(index=False, name=None):
+                place = (int(row[at[0]]), int(row[at[1]]))
+                inside = (place[0] // sides[0], place[1] // sides[1]) == corner
+                (own if inside else around)[place] = row
+            found = solve(own, around)
+            for place, row in own.items():
+                if edges_only and not any(p % n in (0, n - 1) for p, n in zip(place, sides, strict=True)):
+                    continue
+                out = list(row)
+                for c, v in zip(where, found.get(place, [None] * len(where)), strict=True):
+                    out[c] = v
+                full.append((*out, *corner))
+            return pd.DataFrame(full, columns=[*names, "__a", "__b"])
+
+        return run
+
+    part = lambda c, n: F.floor(c / n).cast("bigint")
+    own = graph.cut_lineage(cells.withColumn("__a", part(F.col(i), sides[0])).withColumn("__b", part(F.col(j), sides[1])))
+    shift = F.array_distinct(F.array(*[F.struct(part(F.col(i) + a, sides[0]).alias("a"), part(F.col(j) + b, sides[1]).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+    others = F.filter(shift, lambda t: (t["a"] != F.col("__a")) | (t["b"] != F.col("__b")))
+    beside = lambda d: d.withColumn("__t", F.explode(others)).select(*names, F.col("__t.a").alias("__a"), F.col("__t.b").alias("__b"))
+    on_edge = (F.pmod(i, F.lit(sides[0])).isin(0, sides[0] - 1)) | (F.pmod(j, F.lit(sides[1])).isin(0, sides[1] - 1))
+    edges, active = graph.cut_lineage(own.where(on_edge)), own.select("__a", "__b").distinct()
     while True:
-        dealt = now.withColumn("__t", F.explode(F.array_distinct(F.array(*shift)))).select("*", F.col("__t.a").alias("__a"), F.col("__t.b").alias("__b")).drop("__t")
-        new = graph.cut_lineage(dealt.groupBy("__a", "__b").applyInPandas(kernel, schema))
-        old = now.select(i, j, F.struct(*label).alias("__old"))
-        if new.join(old, [i, j]).where(~F.struct(*label).eqNullSafe(F.col("__old"))).isEmpty():
-            return new
-        now = new
+        rows = own.unionByName(beside(edges)).join(active, ["__a", "__b"], "left_semi")
+        new = graph.cut_lineage(rows.groupBy("__a", "__b").applyInPandas(kernel(True), keyed))
+        old = edges.select(i, j, F.struct(*label).alias("__old"))
+        changed = new.join(old, [i, j]).where(~F.struct(*label).eqNullSafe(F.col("__old"))).select(*new.columns)
+        next_ = graph.cut_lineage(beside(changed).select("__a", "__b").distinct())
+        edges = graph.cut_lineage(edges.join(active, ["__a", "__b"], "left_anti").unionByName(new))
+        if next_.isEmpty():
+            break
+        active = next_
+    return graph.cut_lineage(own.unionByName(beside(edges)).groupBy("__a", "__b").applyInPandas(kernel(False), keyed)).drop("__a", "__b")
+
+
+def grid_parts(cells: DataFrame, coords: list[str], faces_only: bool) -> DataFrame:
+    """coords, root: the least cell (a struct of coords) of each cell's stretch over faces, or over corners too.
+
+    Stretches inside a block are found by its group; those of neighbouring blocks that touch at the edge are connected by
+    their least cells, which are few.
+    """
+    side = max(2, round((AREA // 4) ** (1 / len(coords))))
+    moves = [m for m in itertools.product((-1, 0, 1), repeat=len(coords)) if m > (0,) * len(coords) and (not faces_only or sum(map(abs, m)) <= 1)]
+    keys = [f"__b{k}" for k in range(len(coords))]
+    c = cells.select(*[F.col(x).cast("bigint").alias(x) for x in coords]).dropna().distinct()
+    c = c.select(*coords, *[F.floor(F.col(x) / side).cast("bigint").alias(k) for x, k in zip(coords, keys, strict=True)])
+
+    def contract(rows: pd.DataFrame) -> pd.DataFrame:
+        p = rows[coords].to_numpy(np.int64)
+        p = p[np.lexsort(p.T[::-1])]
+        low = p.min(0)
+        shape = tuple(p.max(0) - low + 3)
+        # A ring of none around, so that no move leaves the array.
+        at = np.ravel_multi_index(tuple((p - low + 1).T), shape)
+        index = np.full(np.prod(shape), -1)
+        index[at] = np.arange(len(p))
+        label = np.arange(len(p))
+        ends = []
+        for m in moves:
+            to = index[at + np.ravel_multi_index(tuple(np.array(m) + 1), shape) - np.ravel_multi_index((1,) * len(m), shape)]
+            ends.append(np.stack([np.flatnonzero(to >= 0), to[to >= 0]]))
+        a, b = np.concatenate(ends, axis=1)
+        while True:
+            x, y = label[a], label[b]
+            apart = x != y
+            if not apart.any():
+                break
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            while (label[label] != label).any():
+                label = label[label]
+        return pd.DataFrame(np.concatenate([p, p[label], p // side], axis=1), columns=[*coords, *[f"__r{k}" for k in range(len(coords))], *keys])
+
+    schema = ", ".join(f"{x} bigint" for x in [*coords, *[f"__r{k}" for k in range(len(coords))], *keys])
+    found = c.groupBy(*keys).applyInPandas(contract, schema)
+    local = graph.cut_lineage(found.select(*coords, *keys, F.struct(*[F.col(f"__r{k}").alias(x) for k, x in enumerate(coords)]).alias("__root")))
+    edge = reduce(lambda a, b: a | b, [F.pmod(x, F.lit(side)).isin(0, side - 1) for x in coords])
+    outer = local.where(edge)
+    to = F.explode(F.array(*[F.struct(*[(F.col(x) + F.lit(v)).alias(x) for v, x in zip(m, coords, strict=True)]) for m in moves]))
+    step = outer.select(F.col("__root").alias("a"), *keys, to.alias("__to"))
+    crosses = reduce(lambda a, b: a | b, [F.floor(F.col(f"__to.{x}") / side) != F.col(k) for x, k in zip(coords, keys, strict=True)])
+    step = step.where(crosses).select("a", *[F.col(f"__to.{x}").alias(x) for x in coords])
+    parts = graph.components(step.join(outer.select(*coords, F.col("__root").alias("b")), coords).select("a", "b"))
+    return local.join(parts, F.col("__root") == F.col("node"), "left").select(*coords, F.coalesce("root", "__root").alias("root"))
 
 
 def _geodesic(own: dict, around: dict) -> dict:
@@ -78,7 +159,7 @@ def _geodesic(own: dict, around: dict) -> dict:
     return {p: (c,) for p, c in best.items()}
 
 
-def geodesics(cells: DataFrame, i: str, j: str, seed: str, block: int = BLOCK) -> DataFrame:
+def geodesics(cells: DataFrame, i: str, j: str, seed: str, block: int | None = None) -> DataFrame:
     """i, j, cost: for each cell that is reached, the least length of a walk from a cell whose ``seed`` is true, 1 along a
     side and the square root of 2 over a corner."""
     c = cells.select(i, j, F.lit(None).cast("double").alias("cost"), F.col(seed).alias("__seed"))
@@ -107,7 +188,7 @@ def _unwrap(own: dict, around: dict) -> dict:
     return {p: label[:2] for p, label in best.items()}
 
 
-def unwrapped_grid(cells: DataFrame, i: str, j: str, angle: str, block: int = BLOCK) -> DataFrame:
+def unwrapped_grid(cells: DataFrame, i: str, j: str, angle: str, block: int | None = None) -> DataFrame:
     """i, j, turns, main: whole turns to add to each cell's angle so that neighbours agree, told from its component's first cell.
 
     By levels from that cell; in a level the least turns count, then the least neighbour before. ``main``: in the largest
@@ -115,10 +196,7 @@ def unwrapped_grid(cells: DataFrame, i: str, j: str, angle: str, block: int = BL
     """
     place = F.struct(F.col(i).cast("bigint").alias("i"), F.col(j).cast("bigint").alias("j"))
     c = cells.select(place.alias("node"), wrap(angle).alias("a"))
-    to = F.array(*[F.struct((F.col("node.i") + a).alias("i"), (F.col("node.j") + b).alias("j")) for a, b in ((0, 1), (1, 0))])
-    e = c.select(F.col("node").alias("a"), F.explode(to).alias("b")).join(c.select(F.col("node").alias("b")), "b")
-    comp = c.select("node").join(graph.components(e), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    comp = graph.cut_lineage(comp)
+    comp = graph.cut_lineage(grid_parts(c.select("node.*"), ["i", "j"], faces_only=True).select(F.struct("i", "j").alias("node"), "root"))
     none = F.lit(None).cast("bigint")
     seeded = c.join(comp, "node").select(F.col("node.i").alias("i"), F.col("node.j").alias("j"), F.col("a").alias("angle"), (F.col("node") == F.col("root")).alias("seed"), none.alias("depth"), none.alias("turns"))
     done = settled(seeded, "i", "j", ["depth", "turns"], _unwrap, block)

@@ -90,15 +90,11 @@ def pooled(cells: DataFrame, coords: list[str], factor: int, how: Column, extent
 
 def dusted(cells: DataFrame, coords: list[str], least: int, most: int | None = None, faces_only: bool = True) -> DataFrame:
     """Cells of the stretches (over faces, or over corners too) that have ``least`` cells or more, and fewer than ``most``."""
-    from .graph import components
+    from .blocks import grid_parts
 
-    c = cells.select(*coords).distinct()
-    node = F.struct(*coords)
-    near = neighbours(c.withColumn("a", node), coords, 1, faces_only).select("a", node.alias("b")).where("a < b")
-    parts = components(near.join(c.select(node.alias("b")), "b"))
-    own = c.join(parts, node == F.col("node"), "left").select(*coords, F.coalesce("root", node).alias("root"))
+    own = grid_parts(cells, coords, faces_only)
     size = own.groupBy("root").agg(F.count("*").alias("n")).where((F.col("n") >= least) & (F.lit(True) if most is None else F.col("n") < most))
-    return own.join(size, "root").select(*coords)
+    return own.join(size, "root").select(*[F.col(c).cast(kind).alias(c) for c, kind in cells.select(*coords).dtypes])
 
 
 def thinned(cells: DataFrame, keys: list[str], i: str, j: str) -> DataFrame:
