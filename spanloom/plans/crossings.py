@@ -22,6 +22,10 @@ def _events(t):
     return joins.crossing_events(_points(t), "track", "cell", "idx", "fam")
 
 
+def _partners(t, ahead: bool = False):
+    return joins.partners(_points(t), "track", "cell", "idx", "fam", ahead)
+
+
 def _edges(t):
     return _events(t).select("a", "b").distinct()
 
@@ -76,13 +80,10 @@ j AS (SELECT c.*, x.n AS back FROM c LEFT JOIN c x ON c.src = x.dst AND c.dst =
 SELECT count(*) AS records, count(*) FILTER (back IS NULL OR back <> n) AS unmatched, count(DISTINCT src) AS nodes FROM j""",
 )
 def reciprocal_records(t):
-    e = _events(t)
-    r = e.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("a_idx").alias("s"), F.col("b_idx").alias("d"))
-    r = r.unionByName(e.select(F.col("b").alias("src"), F.col("a").alias("dst"), F.col("b_idx").alias("s"), F.col("a_idx").alias("d")))
-    c = r.groupBy("src", "dst", "s", "d").agg(F.count("*").alias("n"))
-    back = c.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("s").alias("d"), F.col("d").alias("s"), F.col("n").alias("back"))
-    j = c.join(back, ["src", "dst", "s", "d"], "left")
-    return j.agg(F.count("*").alias("records"), F.sum((F.col("back").isNull() | (F.col("back") != F.col("n"))).cast("int")).alias("unmatched"), F.countDistinct("src").alias("nodes"))
+    e = joins.later(_partners(t, ahead=True))
+    ways = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("a_idx").alias("s"), F.col("b_idx").alias("d")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), F.col("b_idx").alias("s"), F.col("a_idx").alias("d")))
+    # Both results are one row.
+    return joins.reciprocity(e.select(F.col("a").alias("low"), F.inline(ways)), "low").crossJoin(_partners(t).where(F.size("them") > 0).agg(F.countDistinct("track").alias("nodes")))
 
 
 @query(

@@ -24,6 +24,28 @@ def test_two_lines_cross_once(spark):
     assert [r.n for r in aggs.zero_filled(p, degree, "track", "n").orderBy("track").collect()] == [1, 1, 0]
 
 
+def test_partners_are_the_crossings_of_each_track(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(40), rng.randrange(9), rng.randrange(5), rng.choice("abc")) for _ in range(300)] + [(k, None, 1, "a") for k in range(3)] + [(41, 3, 0, None)]
+    p = spark.createDataFrame(rows, "track bigint, cell bigint, idx int, fam string")
+    for fam in ("fam", None):
+        want = sorted(map(tuple, joins.crossing_events(p, "track", "cell", "idx", fam).select("a", "b", "a_idx", "b_idx").collect()))
+        for chunk in (1024, 4):
+            assert sorted(map(tuple, joins.later(joins.partners(p, "track", "cell", "idx", fam, True, chunk)).collect())) == want
+            m = joins.partners(p, "track", "cell", "idx", fam, False, chunk).collect()
+            assert sorted((r.track, x.track) for r in m for x in r.them) == sorted([(a, b) for a, b, *_ in want] + [(b, a) for a, b, *_ in want])
+
+
+def test_records_without_their_mirror(spark):
+    rows = [(1, 2, 0, 3), (2, 1, 3, 0), (1, 3, 0, 0), (4, 4, 1, 1), (4, 4, 1, 2), (5, 6, 0, 0), (5, 6, 0, 0), (6, 5, 0, 0)]
+    r = joins.reciprocity(spark.createDataFrame(rows, "src bigint, dst bigint, s int, d int")).first()
+    assert tuple(r) == (7, 4)
+    # Dealt by the lesser end, they are not shuffled by pair again.
+    dealt = spark.createDataFrame([(1, 1, 2, 0, 3)], "low bigint, src bigint, dst bigint, s int, d int").repartition("low")
+    plan = joins.reciprocity(dealt, "low")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_packed_cells(spark):
     df = spark.createDataFrame([(1, 2, 3), (0, 0, (1 << 20) - 1)], "z bigint, y bigint, x bigint")
     back = df.select(*expr.unpack_cell(expr.pack_cell("z", "y", "x"))).collect()
