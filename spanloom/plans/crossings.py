@@ -46,7 +46,7 @@ best AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY clearance DESC,
 SELECT a, b, CAST(clusters AS BIGINT) AS clusters, a_idx, b_idx, clearance FROM best WHERE rn = 1""",
 )
 def crossing_best_event(t):
-    return joins.best_crossings(_events(t).drop("cell"), F.abs(F.col("a_idx") - F.col("b_idx"))).select("a", "b", "clusters", "a_idx", "b_idx", "clearance")
+    return joins.best_crossings(joins.later(_partners(t, ahead=True)), F.abs(F.col("a_idx") - F.col("b_idx"))).select("a", "b", "clusters", "a_idx", "b_idx", "clearance")
 
 
 @query(
