@@ -55,7 +55,7 @@ def crossing_best_event(t):
 SELECT o_orderkey, coalesce(n, 0) AS degree FROM orders LEFT JOIN d USING (o_orderkey)""",
 )
 def csr_degree_zero_filled(t):
-    degree = joins.both_ways(_edges(t)).groupBy(F.col("src").alias("o_orderkey")).agg(F.count("*").alias("degree"))
+    degree = joins.neighbour_counts(_partners(t).select(F.col("track").alias("o_orderkey"), F.col("them.track").alias("ids")), "o_orderkey", "degree")
     return aggs.zero_filled(t("orders"), degree, "o_orderkey", "degree")
 
 

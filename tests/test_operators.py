@@ -46,6 +46,15 @@ def test_records_without_their_mirror(spark):
     assert "REPARTITION_BY_COL" in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_neighbours_are_counted_and_listed_once(spark):
+    met = spark.createDataFrame([(1, [2, 3]), (1, [3, 4]), (2, [1]), (3, [])], "k bigint, ids array<bigint>")
+    assert sorted(map(tuple, joins.neighbour_counts(met, "k", "n", F.sum(F.size("ids")).alias("all")).collect())) == [(1, 3, 4), (2, 1, 1)]
+    assert sorted(map(tuple, joins.neighbours(met, "k", "o").collect())) == [(1, 2), (1, 3), (1, 4), (2, 1)]
+    # No pair is hashed with its track on either side of the shuffle.
+    plan = joins.neighbour_counts(met, "k", "n")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_packed_cells(spark):
     df = spark.createDataFrame([(1, 2, 3), (0, 0, (1 << 20) - 1)], "z bigint, y bigint, x bigint")
     back = df.select(*expr.unpack_cell(expr.pack_cell("z", "y", "x"))).collect()
