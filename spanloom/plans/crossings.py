@@ -93,10 +93,9 @@ SELECT src, count(*) AS crossings, count(DISTINCT dst) AS neighbours, count(*) F
 FROM r JOIN orders ON dst = o_orderkey GROUP BY src""",
 )
 def connectivity_summary(t):
-    p = t("orders").select(F.col("o_orderkey").alias("dst"), "o_orderpriority")
-    r = joins.both_ways(_events(t)).join(p, "dst")
-    urgent = F.col("o_orderpriority").rlike("^[12]")
-    return r.groupBy("src").agg(F.count("*").alias("crossings"), F.countDistinct("dst").alias("neighbours"), F.count(F.when(urgent, 1)).alias("urgent"))
+    urgent = F.size(F.filter("them", lambda x: x["fam"].rlike("^[12]")))
+    met = _partners(t).select(F.col("track").alias("src"), urgent.cast("long").alias("urgent"), F.col("them.track").alias("ids"))
+    return joins.neighbour_counts(met, "src", "neighbours", F.sum(F.size("ids")).alias("crossings"), F.sum("urgent").alias("urgent")).select("src", "crossings", "neighbours", "urgent")
 
 
 @query(
