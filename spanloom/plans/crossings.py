@@ -65,11 +65,11 @@ def csr_degree_zero_filled(t):
 SELECT x.id AS a_id, y.id AS b_id FROM e JOIN n x ON e.a = x.o_orderkey JOIN n y ON e.b = y.o_orderkey""",
 )
 def restrict_remap(t):
-    # Points of other orders go before the join of all points with each other.
-    kept = t("orders").where("o_totalprice > 100000")
-    points = _points(t).join(kept.select(F.col("o_orderkey").alias("track")), "track", "left_semi")
-    edges = joins.crossing_events(points, "track", "cell", "idx", "fam").select("a", "b").distinct()
-    return joins.restricted(edges, kept, "o_orderkey", t("orders").select("o_orderkey"))
+    # Points of other orders go before the join of all points with each other, and the rest take their numbers there.
+    kept = joins.numbered_nodes(t("orders").where("o_totalprice > 100000"), "o_orderkey", t("orders").select("o_orderkey"))
+    points = _points(t).join(kept.withColumnRenamed("o_orderkey", "track"), "track").drop("track")
+    met = joins.partners(points, "id", "cell", "idx", "fam", ahead=True)
+    return joins.neighbours(met.select(F.col("track").alias("a_id"), F.col("them.track").alias("ids")), "a_id", "b_id")
 
 
 @query(
