@@ -23,8 +23,12 @@ from __future__ import annotations
 import argparse
 import json
 import logging
+import math
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +41,8 @@ CONFIG = Path(__file__).with_suffix(".json")
 VOXELS = "z bigint, y bigint, x bigint, label bigint, track bigint, tracks bigint, slab bigint"
 LEDGER = "segments bigint, digest bigint, settings string, voxels bigint, slab bigint"
 _AXES = ("z", "y", "x")
+#: Steps along segments that a task holds at a time, beyond those of one track.
+AT_ONCE = 1 << 20
 
 
 def configured(path: str | Path = CONFIG) -> dict:
@@ -76,14 +82,58 @@ def inputs(segments: DataFrame, config: dict) -> DataFrame:
     return each.groupBy("slab").agg(F.count("*").alias("segments"), F.bit_xor(F.xxhash64("track", "pos", *_AXES, *[f"p_{a}" for a in _AXES])).alias("digest"))
 
 
+def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """z, y, x, the least track and how many, of some whole tracks (track, segments) at a time: about ``AT_ONCE`` steps."""
+    for batch in batches:
+        of, flat = batch.column(1).value_lengths().to_numpy(zero_copy_only=False), batch.column(1).flatten()
+        part = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in flat.type.names}
+        steps = part["n"].astype("int64") + 1
+        last = np.cumsum(of)
+        upto = np.concatenate([[0], np.cumsum(steps)])[last]
+        tracks, begin = batch.column(0).to_numpy(zero_copy_only=False), 0
+        while begin < len(tracks):
+            before = upto[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(upto, before + AT_ONCE, side="right")))
+            lo, hi = last[begin] - of[begin], last[end - 1]
+            s = {c: np.repeat(v[lo:hi], steps[lo:hi]) for c, v in part.items()}
+            k = np.arange(len(s["n"])) - np.repeat(np.cumsum(steps[lo:hi]) - steps[lo:hi], steps[lo:hi])
+            ids, rank = np.unique(tracks[begin:end], return_inverse=True)
+            cells = [np.rint(np.where(k == 0, s[f"p_{a}"], s[f"p_{a}"] + (s[a] - s[f"p_{a}"]) * k / np.maximum(s["n"], 1))).astype("int64") for a in _AXES]
+            cells.append(np.repeat(np.repeat(rank, of[begin:end]), steps[lo:hi]))
+            # Once a track and voxel, in the order of voxels, then tracks.
+            each = _distinct(cells)
+            first = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in each[:3]], axis=0)]))
+            count = np.diff(np.concatenate([first, [len(each[0])]]))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*[c[first] for c in each[:3]], ids[each[3][first]], count)], names=[*_AXES, "track", "tracks"])
+            begin = end
+
+
+def _distinct(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """The distinct rows of whole numbers, in order."""
+    low = [int(c.min()) for c in columns]
+    size = [int(c.max()) - lo + 1 for c, lo in zip(columns, low, strict=True)]
+    if math.prod(size) >= 1 << 62:
+        return list(np.unique(np.stack(columns, axis=1), axis=0).T)
+    packed = np.zeros(len(columns[0]), "int64")
+    for c, lo, n in zip(columns, low, size, strict=True):
+        packed = packed * n + (c - lo)
+    packed, out = np.unique(packed), []
+    for lo, n in zip(low[::-1], size[::-1], strict=True):
+        packed, c = np.divmod(packed, n)
+        out.append(c + lo)
+    return out[::-1]
+
+
 def voxels(segments: DataFrame, config: dict) -> DataFrame:
-    """Rows of VOXELS of whole segments."""
-    step = F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n"))).otherwise(F.array(F.lit(0).cast("long"))))
-    at = segments.withColumn("k", step)
-    cell = lambda a: half_even(F.when(F.col("k") == 0, F.col(f"p_{a}")).otherwise(F.col(f"p_{a}") + (F.col(a) - F.col(f"p_{a}")) * F.col("k") / F.col("n"))).cast("long")
-    # Once a track and voxel, then once a voxel: two partial aggregates.
-    each = at.select("track", *[cell(a).alias(a) for a in _AXES]).distinct()
-    out = each.groupBy(*_AXES).agg(F.min("track").alias("track"), F.count("*").alias("tracks"))
+    """Rows of VOXELS of whole segments; one that comes twice counts once.
+
+    A track's segments meet in one row, so that its voxels are told apart in the task that makes them, and what is shuffled
+    are counts of voxels, not the voxels of tracks.
+    """
+    ends = [*[f"p_{a}" for a in _AXES], *_AXES, "n"]
+    tracks = segments.groupBy(F.col("track").cast("long").alias("track")).agg(F.collect_set(F.struct(*ends)).alias("segments"))
+    each = tracks.mapInArrow(_crossed, "z bigint, y bigint, x bigint, track bigint, tracks bigint")
+    out = each.groupBy(*_AXES).agg(F.min("track").alias("track"), F.sum("tracks").alias("tracks"))
     return out.select(*_AXES, (1 + F.col("track") % config["labels"]).alias("label"), "track", "tracks", F.floor(F.col("z") / config["slab"]).cast("long").alias("slab"))
 
 
@@ -122,8 +172,7 @@ def run(spark: SparkSession, lines: str, out: str, config: dict | None = None, s
     LOG.info("%s: %d slabs, %d of them to make", lines, depth, todo)
     if todo == 0:
         return {"slabs": depth, "made": 0, "voxels": 0}
-    keys = ["track", "pos", *_AXES]
-    met = every.withColumn("slab", F.explode(_slabs(config))).join(stale.select("slab"), "slab", "left_semi").drop("slab").dropDuplicates(keys)
+    met = every.withColumn("slab", F.explode(_slabs(config))).join(stale.select("slab"), "slab", "left_semi").drop("slab")
     _overwrite(voxels(met, config).join(stale.select("slab"), "slab", "left_semi"), f"{out}/voxels")
     made = _written(spark, f"{out}/voxels", VOXELS).join(stale.where("segments > 0"), "slab", "left_semi").groupBy("slab").agg(F.count("*").alias("voxels"))
     ledger = stale.join(made, "slab", "left").select("segments", "digest", F.lit(settings).alias("settings"), F.coalesce("voxels", F.lit(0)).cast("long").alias("voxels"), "slab")

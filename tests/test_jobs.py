@@ -8,6 +8,7 @@ from datetime import date, timedelta
 
 import duckdb
 import pandas as pd
+import numpy as np
 import pytest
 
 from jobs import queries, shared_lines, track_volume
@@ -261,3 +262,20 @@ def test_command_lines_run_the_job_and_stop_their_session(monkeypatch, job, opti
     monkeypatch.setattr("sys.argv", ["job", *options])
     job.main()
     assert calls[-1] == "stopped" and calls[0][:2] == tuple(options[1:4:2]) and job.configured() in calls[0]
+
+
+def test_voxels_are_counted_before_they_are_shuffled(spark, monkeypatch):
+    rows = order_lines(6, range(1, 60))
+    p = track_volume.points(spark.createDataFrame(rows, LINES), VOLUME)
+    monkeypatch.setattr(track_volume, "AT_ONCE", 300)
+    got = track_volume.voxels(track_volume.segments(p), VOLUME)
+    assert {(r.z, r.y, r.x): (r.label, r.track, r.tracks) for r in got.collect()} == plain_volume(rows, VOLUME)
+    # No exchange by track and voxel: a track's voxels are many times its segments.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert dealt and not [line for line in dealt if "track" in line and "z#" in line.split("hashpartitioning(")[1].split("]")[0]]
+
+
+def test_distinct_rows_of_any_range():
+    columns = [np.array([1, 1, -(2**62), 1]), np.array([5, 5, 2**61, 4]), np.array([0, 0, 7, 2**60])]
+    assert [c.tolist() for c in track_volume._distinct(columns)] == [[-(2**62), 1, 1], [2**61, 4, 5], [7, 2**60, 0]]
