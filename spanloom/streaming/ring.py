@@ -1,76 +1,24 @@
-"""A keyed event ring: of each key's events in an interval the latest stands for all, with state and timers for each key."""
+"""A keyed event ring: of each key's events in an interval the latest stands for all, with state for each key's open intervals."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-#: What a store of keyed state needs: one that keeps a column family for each state variable and timer.
+#: A store that keeps open intervals on disk, not in the memory of the executors.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class _Coalescing(StatefulProcessor):
-    """State: for each open interval of the key its latest event and how many it stands for. A timer at an interval's end gives it out and drops it."""
-
-    def __init__(self, seconds: int):
-        self.seconds = seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        latest = StructType([StructField("sequence", LongType()), StructField("payload", StringType()), StructField("merged", LongType())])
-        self.open = handle.getMapState("open", StructType([StructField("slot", LongType())]), latest)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        over = timerValues.getCurrentWatermarkInMs()
-        for part in rows:
-            for slot, group in part.groupby("slot"):
-                end = (int(slot) + 1) * self.seconds * 1000
-                if end <= over:
-                    continue  # too late: given out already
-                last = group.loc[group["sequence"].idxmax()]
-                new = (int(last["sequence"]), last["payload"], len(group))
-                if self.open.containsKey((int(slot),)):
-                    sequence, payload, merged = self.open.getValue((int(slot),))
-                    kept = new if new[0] > sequence else (sequence, payload, 0)
-                    new = (kept[0], kept[1], merged + len(group))
-                else:
-                    self.handle.registerTimer(end)
-                self.open.updateValue((int(slot),), new)
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        slot = expiredTimerInfo.getExpiryTimeInMs() // (self.seconds * 1000) - 1
-        if self.open.containsKey((slot,)):
-            sequence, payload, merged = self.open.getValue((slot,))
-            self.open.removeKey((slot,))
-            yield pd.DataFrame({"coalesce_key": [key[0]], "slot": [slot], "merged": [merged], "sequence": [sequence], "payload": [payload]})
-        else:
-            yield pd.DataFrame()
-
-    def close(self) -> None:
-        pass
-
-
 def coalesced_stream(events: DataFrame, key: str, at: str, sequence: str, seconds: int, lateness: str) -> DataFrame:
     """coalesce_key, slot, merged, sequence and the other columns: what ``log.coalesced`` gives, interval by interval as the watermark passes its end.
 
     ``events`` is a stream. Of a key's events in an interval the one of largest ``sequence`` stands for all; merged says for
     how many. An interval is given out once; events that come after that are left out, and so are events with a null time or
-    sequence. A key's state is its open intervals only. Needs the session's store of keyed state to be ``PROVIDER``.
+    sequence. State is a row for each key and open interval, which an aggregate over windows of time updates and drops.
     """
     rest = [c for c in events.columns if c not in (key, sequence)]
-    kinds = dict(events.dtypes)
-    packed = F.to_json(F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in rest]))
-    e = events.withWatermark(at, lateness).where(F.col(at).isNotNull() & F.col(sequence).isNotNull())
-    e = e.select(F.col(key).cast("string").alias("coalesce_key"), F.floor(F.unix_millis(at) / (1000 * seconds)).alias("slot"), F.col(sequence).cast("bigint").alias("sequence"), packed.alias("payload"), at)
-    out = e.groupBy("coalesce_key").transformWithStateInPandas(
-        statefulProcessor=_Coalescing(seconds), outputStructType="coalesce_key string, slot bigint, merged bigint, sequence bigint, payload string", outputMode="Append", timeMode="EventTime"
-    )
-    whole = F.from_json("payload", ", ".join(f"`{c}` string" for c in rest))
-    out = out.withColumn("__r", whole)
-    return out.select(F.col("coalesce_key").cast(kinds[key]).alias(key), "slot", "merged", F.col("sequence").alias(sequence), *[F.col(f"__r.`{c}`").cast(kinds[c]).alias(c) for c in rest])
+    e = events.where(F.col(at).isNotNull() & F.col(sequence).isNotNull()).withColumn("__at", F.col(at)).withWatermark("__at", lateness)
+    last = F.max_by(F.struct(F.col(f"`{sequence}`").alias("__sequence"), *[F.col(f"`{c}`") for c in rest]), F.col(sequence).cast("bigint"))
+    out = e.groupBy(F.window("__at", f"{seconds} seconds").alias("__w"), F.col(key)).agg(F.count("*").alias("merged"), last.alias("__r"))
+    slot = F.floor(F.unix_millis("__w.start") / (1000 * seconds))
+    return out.select(key, slot.alias("slot"), "merged", F.col("__r.__sequence").alias(sequence), *[F.col(f"__r.`{c}`").alias(c) for c in rest])

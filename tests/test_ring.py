@@ -61,3 +61,10 @@ def test_events_too_late_are_left_out(store, tmp_path):
     put(spark, folder, [("a", datetime(2024, 1, 1, 0, 0, 6), 3, 3.0, None), ("a", None, 4, 4.0, None), ("b", datetime(2024, 1, 1, 5), 5, 5.0, None)])
     run(spark, folder, out, mark)
     assert sorted((r.k, r.seq, r.merged) for r in spark.read.parquet(out).collect()) == [("a", 1, 1), ("a", 2, 1)]
+
+
+def test_intervals_take_no_python_call_each(store, tmp_path):
+    spark, folder = store, f"{tmp_path}/in"
+    put(spark, folder, events(3, 0, 5, 0))
+    out = ring.coalesced_stream(spark.readStream.schema(SCHEMA).parquet(folder), "k", "at", "seq", 60, "10 minutes")
+    assert "Python" not in out._jdf.queryExecution().analyzed().toString() and "InPandas" not in out._jdf.queryExecution().analyzed().toString()
