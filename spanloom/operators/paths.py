@@ -6,6 +6,7 @@ import hashlib
 import heapq
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,15 +14,15 @@ from pyspark.sql import functions as F
 from . import graph, raster, surfaces
 
 
-def _tree(edges: dict, start) -> tuple[dict, dict]:
-    """Least costs from ``start``, and the node before each; of equal ways the one over the least nodes."""
+def _tree(near, start) -> tuple[dict, dict]:
+    """Least costs from ``start``, and the node before each; of equal ways the one over the least nodes. ``near``: a node's neighbours and costs."""
     cost, before, heap, done = {start: 0.0}, {start: None}, [(0.0, start)], set()
     while heap:
         c, a = heapq.heappop(heap)
         if a in done:
             continue
         done.add(a)
-        for b, w in edges.get(a, ()):
+        for b, w in near(a):
             d = c + w
             if b not in done and (d < cost.get(b, math.inf) - 1e-12 or abs(d - cost.get(b, math.inf)) <= 1e-12 and a < before[b]):
                 cost[b], before[b] = d, a
@@ -36,9 +37,26 @@ def _back(before: dict, end) -> list:
     return out[::-1]
 
 
+_MOVES = [(a, b, 1.0 if a == 0 or b == 0 else 2**0.5) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
+
+
 def _grid_edges(cells: set) -> dict:
-    moves = [(a, b, 1.0 if a == 0 or b == 0 else 2**0.5) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
-    return {c: [((c[0] + a, c[1] + b), w) for a, b, w in moves if (c[0] + a, c[1] + b) in cells] for c in cells}
+    return {c: [((c[0] + a, c[1] + b), w) for a, b, w in _MOVES if (c[0] + a, c[1] + b) in cells] for c in cells}
+
+
+def _gaps(cells: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """How far each of the cells is from the nearest of the cells ``to``: line by line along the axis with the fewer lines, not pair by pair."""
+    across = int(len(np.unique(to[:, 0])) > len(np.unique(to[:, 1])))
+    lines, place, at = to[:, across], to[:, 1 - across], cells[:, 1 - across]
+    order = np.lexsort((place, lines))
+    lines, place = lines[order], place[order]
+    names, begin = np.unique(lines, return_index=True)
+    best = np.full(len(cells), np.iinfo("int64").max)
+    for name, line in zip(names, np.split(place, begin[1:]), strict=True):
+        k = np.searchsorted(line, at)
+        gap = np.minimum(np.abs(line[np.minimum(k, len(line) - 1)] - at), np.abs(at - line[np.maximum(k - 1, 0)]))
+        best = np.minimum(best, gap**2 + (cells[:, across] - name) ** 2)
+    return np.sqrt(best)
 
 
 def cone_paths(cells: DataFrame, key: str, i: str, j: str, anchors: DataFrame, n: int, seed: str) -> DataFrame:
@@ -55,7 +73,7 @@ def cone_paths(cells: DataFrame, key: str, i: str, j: str, anchors: DataFrame, n
         here = set(zip(rows.loc[~rows["__anchor"], i].astype(int), rows.loc[~rows["__anchor"], j].astype(int), strict=True))
         edges, out = _grid_edges(here), []
         for a in sorted(set(zip(rows.loc[rows["__anchor"], i].astype(int), rows.loc[rows["__anchor"], j].astype(int), strict=True)) & here):
-            cost, before = _tree(edges, a)
+            cost, before = _tree(lambda c: edges.get(c, ()), a)
             far = {c: d for c, d in cost.items() if d > 0}
             cones = [
                 {c for c in far if c[1] - a[1] >= abs(c[0] - a[0])}, {c for c in far if a[1] - c[1] >= abs(c[0] - a[0])},
@@ -104,13 +122,15 @@ def stitched_paths(vertices: DataFrame, surface: str, i: str, j: str, coords: li
         place = {(int(s == b), int(y), int(x)): (z, cy, cx) for s, y, x, z, cy, cx in zip(own["on"], own["i"], own["j"], own["z"], own["y"], own["x"], strict=True)}
         over = [((int(s == b), int(y), int(x)), (int(s != b), int(p), int(q))) for s, y, x, p, q in rows.loc[~rows["to_i"].isna(), ["on", "i", "j", "to_i", "to_j"]].itertuples(index=False)]
         over = [(u, v) for u, v in over if u in place and v in place]
-        edges: dict = {}
-        for k in (0, 1):
-            cells = {c[1:] for c in place if c[0] == k}
-            edges |= {(k, *c): [((k, *q), w) for q, w in to] for c, to in _grid_edges(cells).items()}
+        bridges: dict = {}
         for u, v in over:
-            edges[u].append((v, 1.0))
-            edges[v].append((u, 1.0))
+            bridges.setdefault(u, []).append((v, 1.0))
+            bridges.setdefault(v, []).append((u, 1.0))
+
+        def near(c):
+            k, y, x = c
+            return [(q, w) for q, w in (((k, y + p, x + r), w) for p, r, w in _MOVES) if q in place] + bridges.get(c, [])
+
         shared = {c for step in over for c in step}
 
         def end(k: int, reached=None):
@@ -118,14 +138,14 @@ def stitched_paths(vertices: DataFrame, surface: str, i: str, j: str, coords: li
             common = [c for c in shared if c[0] == k]
             if not outside or not common:
                 return None
-            far = {c: min(math.dist(c[1:], s[1:]) for s in common) for c in outside}
-            deep = [c for c in outside if far[c] >= margin]
-            return min(deep, key=lambda c: (far[c], c)) if deep else outside[0]
+            far = _gaps(np.array([c[1:] for c in outside], "int64"), np.array([c[1:] for c in common], "int64"))
+            deep = np.flatnonzero(far >= margin)
+            return outside[deep[np.argmin(far[deep])]] if len(deep) else outside[0]
 
         start = end(0)
         if start is None:
             return pd.DataFrame(columns=names, dtype=object)
-        cost, before = _tree(edges, start)
+        cost, before = _tree(near, start)
         last = end(1, cost)
         path = _back(before, last) if last is not None else []
         return pd.DataFrame([(a, b, r, (a, b)[c[0]], c[1], c[2], *place[c]) for r, c in enumerate(path)], columns=names, dtype=object)

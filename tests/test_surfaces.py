@@ -171,6 +171,25 @@ def test_stitched_path_of_two_sheets(spark):
     assert all(abs(p.y - q.y) <= 1 and abs(p.x - q.x) <= 1 for p, q in zip(got, got[1:]))
 
 
+def test_gaps_are_those_of_all_pairs_without_all_pairs():
+    import math
+    import random
+    import time
+
+    import numpy as np
+
+    from spanloom.operators import paths
+
+    rng = random.Random(4)
+    for high, wide in ((30, 4), (4, 30), (20, 20)):
+        every = [(i, j) for i in range(high) for j in range(wide)]
+        a, b = rng.sample(every, 40), rng.sample(every, 25)
+        assert paths._gaps(np.array(a), np.array(b)).tolist() == [min(math.dist(x, y) for y in b) for x in a]
+    long = np.array([(i, j) for i in range(60000) for j in range(6)])
+    begin = time.time()
+    assert paths._gaps(long[:150000], long[200000:]).min() > 0 and time.time() - begin < 20
+
+
 def thin(cells):
     """Zhang and Suen's rules, cell by cell."""
     ring = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
