@@ -11,6 +11,9 @@ from ..functions.expr import stable_hash
 from . import graph, joins
 from .blocks import unwrapped_grid  # noqa: F401
 
+#: Points that a walk over all points takes up at a time.
+AT_ONCE = 4096
+
 
 def _even_choice(x: np.ndarray, least: float) -> list[int]:
     """Places of the most values of ascending x that are ``least`` apart, nearest (in squares) to an even spread; ties to the earlier."""
@@ -66,22 +69,29 @@ def evenly_spaced(df: DataFrame, key: str, position: str, ident: str, least: flo
 def spaced_random(points: DataFrame, ident: str, coords: list[str], spacing: float, count: int, seed: str) -> DataFrame:
     """The first ``count`` points, in a seeded order, of those that are ``spacing`` or more from all taken before.
 
-    The greedy walk in rounds: whoever comes first among its undecided neighbours is taken, and its neighbours are out.
-    The result is that of the walk, whatever the partitioning.
+    The greedy walk itself, some of the first points that are still open at a time (``AT_ONCE``): the driver holds these and
+    what is taken, ``count`` at most. Points near to those taken then go, by a join with these alone; a point without a
+    coordinate is near to none.
     """
     p = points.select(ident, *coords).withColumn("h", stable_hash(ident, seed=seed))
-    if spacing > 0:
-        other = p.select(F.col(ident).alias("o"), F.col("h").alias("oh"), *[F.col(c).alias(f"o_{c}") for c in coords])
-        near = joins.near_pairs(p, other, [(c, f"o_{c}") for c in coords], spacing).where((F.col(ident) != F.col("o")) & (F.col("distance") < spacing))
-        near = graph.cut_lineage(near.select(ident, "h", "o", "oh"))
-        open_ = graph.cut_lineage(p)
-        taken = graph.cut_lineage(p.limit(0))
-        while not open_.isEmpty():
-            pairs = near.join(open_.select(ident), ident, "left_semi").join(open_.select(F.col(ident).alias("o")), "o", "left_semi")
-            late = pairs.where((F.col("oh") < F.col("h")) | ((F.col("oh") == F.col("h")) & (F.col("o") < F.col(ident)))).select(ident).distinct()
-            first = graph.cut_lineage(open_.join(late, ident, "left_anti"))
-            out = near.join(first.select(F.col(ident).alias("o")), "o", "left_semi").select(ident).distinct()
-            taken = graph.cut_lineage(taken.unionByName(first))
-            open_ = graph.cut_lineage(open_.join(first.select(ident), ident, "left_anti").join(out, ident, "left_anti"))
-        p = taken
-    return p.orderBy("h", ident).limit(count).select(ident, *coords)
+    if spacing <= 0:
+        return p.orderBy("h", ident).limit(count).select(ident, *coords)
+    open_, taken = graph.cut_lineage(p), []
+    schema = p.select(ident, *coords).schema
+    while len(taken) < count:
+        batch, fresh, places = open_.orderBy("h", ident).limit(AT_ONCE).collect(), [], np.empty((AT_ONCE, len(coords)))
+        for row in batch:
+            at = np.array([np.nan if row[c] is None else row[c] for c in coords], float)
+            far = np.sqrt(((places[: len(fresh)] - at) ** 2).sum(axis=1))
+            if len(taken) + len(fresh) < count and not np.any(far < spacing):
+                places[len(fresh)] = at
+                fresh.append(tuple(row[c] for c in [ident, *coords]))
+        taken += fresh
+        if len(batch) < AT_ONCE or len(taken) >= count:
+            break
+        last = batch[-1]
+        left = open_.where((F.col("h") > last["h"]) | ((F.col("h") == last["h"]) & (F.col(ident) > F.lit(last[ident]))))
+        new = p.sparkSession.createDataFrame(fresh, schema).select(*[F.col(c).alias(f"o_{c}") for c in coords])
+        close = joins.near_pairs(left, new, [(c, f"o_{c}") for c in coords], spacing).where(F.col("distance") < spacing).select(ident).distinct()
+        open_ = graph.cut_lineage(left.join(close, ident, "left_anti"))
+    return p.sparkSession.createDataFrame(taken, schema)

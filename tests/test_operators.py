@@ -330,3 +330,17 @@ def test_first_near_is_that_of_all_pairs(spark):
     most = joins.first_near(a, b, "r", ("x", "y"), 2.0, [-F.col("y"), "distance", "r"])
     best = {k: min(((-y, abs(x - y), r) for r, _, y in right if y is not None and abs(x - y) <= 2), default=None) for k, _, x in left if x is not None}
     assert {q.k: (-q.y, q.distance, q.r) for q in most.collect()} == {k: v for k, v in best.items() if v}
+
+
+def test_spaced_random_takes_up_some_points_at_a_time(spark, monkeypatch):
+    rng = random.Random(13)
+    rows = [(i, rng.choice([None, rng.uniform(0, 9)]) if i % 7 == 0 else rng.uniform(0, 9), rng.uniform(0, 9)) for i in range(150)]
+    df = spark.createDataFrame(rows, "id int, y double, x double").repartition(3)
+    order = [r.id for r in df.orderBy(expr.stable_hash("id", seed="q"), "id").collect()]
+    taken, at = [], {i: (y, x) for i, y, x in rows}
+    for i in order:
+        if at[i][0] is None or all(at[k][0] is None or math.dist(at[i], at[k]) >= 1.5 for k in taken):
+            taken.append(i)
+    monkeypatch.setattr(greedy, "AT_ONCE", 20)
+    for count in (5, 100):
+        assert [r.id for r in greedy.spaced_random(df, "id", ["y", "x"], 1.5, count, "q").collect()] == taken[:count]
