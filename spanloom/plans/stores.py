@@ -56,8 +56,10 @@ def fibre_files(t):
     f = e.groupBy("user_id", "event_type").agg(F.collect_list(F.array(F.lit(1.0), F.lit(2.0), F.col("value"))).alias("control_points"))
     doc = F.struct(F.lit("vc3d_fiber").alias("type"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("name"), "control_points", F.struct(F.col("event_type").alias("automatic_tag")).alias("hv_classification"))
     path = _folder(t)
-    f.select(F.to_json(doc).alias("value"), "user_id", "event_type").repartition("user_id").write.partitionBy("user_id", "event_type").text(path)
-    p = files.fibres(e.sparkSession, f"{path}/*/*/*.txt")
+    # A file is an array of the fibres of 64 users: one for each fibre would be more files than rows of a task.
+    of = f.select(doc.alias("doc"), F.floor(F.col("user_id") / 64).alias("users")).groupBy("users").agg(F.to_json(F.collect_list("doc")).alias("value"))
+    of.repartition("users").write.partitionBy("users").text(path)
+    p = files.fibres(e.sparkSession, f"{path}/*/*.txt")
     return p.groupBy("name", "tag").agg(F.count("*").alias("points"), F.round(F.sum("z"), 4).alias("z"))
 
 

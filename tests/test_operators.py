@@ -344,3 +344,19 @@ def test_spaced_random_takes_up_some_points_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(greedy, "AT_ONCE", 20)
     for count in (5, 100):
         assert [r.id for r in greedy.spaced_random(df, "id", ["y", "x"], 1.5, count, "q").collect()] == taken[:count]
+
+
+def test_fibres_of_many_users_share_a_file(spark, tmp_path, monkeypatch):
+    from datetime import datetime
+
+    from spanloom.plans import stores
+
+    rows = [(e, datetime(2024, 1, 1), e % 90, "view" if e % 3 else "click", float(e)) for e in range(600)]
+    events = spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double")
+    monkeypatch.setattr(stores, "_folder", lambda t: str(tmp_path / "f"))
+    got = {(r.name, r.tag): (r.points, r.z) for r in stores.fibre_files(lambda name: events).collect()}
+    want = {}
+    for e, _, u, kind, v in rows:
+        n, z = want.get((f"u{u}", kind), (0, 0.0))
+        want[f"u{u}", kind] = (n + 1, z + v * 0.25)
+    assert got == want and len(list((tmp_path / "f").rglob("*.txt"))) == 2
