@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,32 +193,64 @@ def spatial_labels(cells: DataFrame, track: str, coords: list[str], labels: int,
     Labels go around by the tracks' own order; a track whose label a neighbour has, that comes before it in a seeded order,
     takes the next one that none of these has. Where all are taken, it takes the one that the fewest of them have (then the
     least): forced.
-    In a round all tracks are labelled whose neighbours before them are: the result is that of the order, however rows lie.
+    Each label waits for those before it nearby, so connected cells are walked in one task, in the order: its tracks stream
+    by, and it keeps, for each cell, how many have which label (of a track with several cells, the track itself). Cells that
+    are not connected are dealt to tasks.
     """
-    from .graph import cut_lineage
+    from .graph import components, cut_lineage
     from .ragged import numbered
     from .raster import neighbours
 
-    one = cells.select(track, *coords).distinct()
-    t = cut_lineage(numbered(one.select(track).distinct(), [track], "rank").withColumn("h", stable_hash(track, seed=seed)))
-    near = neighbours(one, coords, reach) if reach else one
-    pairs = near.join(one.withColumnRenamed(track, "o"), coords).select(track, "o").distinct().where(F.col(track) != F.col("o"))
-    pairs = pairs.join(t.drop("rank"), track).join(t.select(F.col(track).alias("o"), F.col("h").alias("oh")), "o")
-    earlier = cut_lineage(pairs.where((F.col("oh") < F.col("h")) | ((F.col("oh") == F.col("h")) & (F.col("o") < F.col(track)))).select(track, "o"))
-    open_, done = t, cut_lineage(t.limit(0).select(track, F.lit(0).cast("long").alias("label"), F.lit(False).alias("forced")))
-    while not open_.isEmpty():
-        waits = earlier.join(open_.select(F.col(track).alias("o")), "o", "left_semi").select(track).distinct()
-        ready = open_.join(waits, track, "left_anti")
-        used = earlier.join(done.select(F.col(track).alias("o"), "label"), "o").groupBy(track, "label").agg(F.count("*").alias("n"))
-        used = used.groupBy(track).agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("used"))
-        r = ready.join(used, track, "left").withColumn("used", F.coalesce("used", F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<bigint>"))))
-        around = F.transform(F.sequence(F.lit(0), F.lit(labels - 1)), lambda k: 1 + (F.col("rank") + k) % labels)
-        free = F.filter(around, lambda x: ~F.map_contains_key(F.col("used"), x))
-        least = F.array_min(F.transform(F.map_entries("used"), lambda e: F.struct(e["value"].alias("n"), e["key"].alias("k"))))["k"]
-        fresh = cut_lineage(r.select(track, F.when(F.size(free) > 0, F.get(free, F.lit(0))).otherwise(least).cast("long").alias("label"), (F.size(free) == 0).alias("forced")))
-        done = cut_lineage(done.unionByName(fresh))
-        open_ = cut_lineage(open_.join(fresh.select(track), track, "left_anti"))
-    return done
+    t = numbered(cells.select(track).distinct(), [track], "rank").withColumn("h", stable_hash(track, seed=seed))
+    one = cut_lineage(cells.select(track, *coords).distinct().dropna(subset=coords))
+    # A cell goes by its least track. Cells are connected that are near, or that one track has.
+    rep = one.groupBy(*coords).agg(F.min(track).alias("a"))
+    near = neighbours(rep, coords, reach).join(rep.withColumnRenamed("a", "b"), coords).select("a", "b")
+    own = one.join(rep, coords).groupBy(track).agg(F.min("a").alias("a"), F.collect_set("a").alias("b"), F.collect_list(F.struct(*coords)).alias("at"))
+    own = cut_lineage(own)
+    c = components(near.unionByName(own.where(F.size("b") > 1).select("a", F.explode("b").alias("b"))))
+    own = own.join(c.withColumnRenamed("node", "a"), "a", "left").select(track, F.coalesce("root", "a").alias("block"), "at")
+    t = t.join(own, track, "left").select(F.coalesce("block", track).alias("block"), "h", track, "rank", "at")
+    kind = t.select(track).schema.simpleString()[len("struct<") : -1]
+    ordered = t.repartition("block").sortWithinPartitions("block", "h", track)
+    return ordered.mapInArrow(_walked_labels(track, coords, labels, reach), f"{kind}, label bigint, forced boolean")
+
+
+def _walked_labels(track: str, coords: list[str], labels: int, reach: int):
+    """Labels the rows (block, track, rank, at) in their order, a block after the other."""
+    moves = list(itertools.product(range(-reach, reach + 1), repeat=len(coords)))
+
+    def run(batches):
+        block, single, several = None, {}, {}
+        for b in batches:
+            at = b.column("at")
+            places = list(zip(*[at.flatten().field(i).to_pylist() for i in range(len(coords))], strict=True))
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(at), 0).to_numpy(zero_copy_only=False)).tolist()
+            found, forced, start = [], [], 0
+            for its, who, rank, end in zip(b.column("block").to_pylist(), b.column(track).to_pylist(), b.column("rank").to_pylist(), ends, strict=True):
+                mine, start = places[start:end], end
+                if its != block:
+                    block, single, several = its, {}, {}
+                used, others = {}, {}
+                for place in {tuple(map(sum, zip(p, m, strict=True))) for p in mine for m in moves}:
+                    for label, n in single.get(place, {}).items():
+                        used[label] = used.get(label, 0) + n
+                    others.update(several.get(place, {}))
+                for label in others.values():
+                    used[label] = used.get(label, 0) + 1
+                free = next((x for x in (1 + (rank + k) % labels for k in range(labels)) if x not in used), None)
+                label = free or min((n, x) for x, n in used.items())[1]
+                found.append(label)
+                forced.append(free is None)
+                if len(mine) == 1:
+                    there = single.setdefault(mine[0], {})
+                    there[label] = there.get(label, 0) + 1
+                else:
+                    for p in mine:
+                        several.setdefault(p, {})[who] = label
+            yield pa.RecordBatch.from_arrays([b.column(track), pa.array(found, pa.int64()), pa.array(forced, pa.bool_())], names=[track, "label", "forced"])
+
+    return run
 
 
 def strips(cells: DataFrame, keys: list[str], i: str, j: str, anchors: DataFrame, n: int, along: str) -> DataFrame:

@@ -132,6 +132,26 @@ def test_labels_go_around_and_avoid_neighbours(spark):
         assert all(got[a][1] or got[b][1] for a, b in clash) and (labels == 3) == bool(clash)
 
 
+@pytest.mark.parametrize("shape", ["crowd", "long tracks"])
+def test_labels_are_those_of_the_order(spark, shape):
+    """Many tracks in a few cells, each of which waits for the one before; tracks of several cells; and cells apart from the others."""
+    from spanloom.functions.expr import stable_hash
+
+    rng = random.Random(3)
+    size = 1 if shape == "crowd" else 4
+    cells = {t: {(rng.randrange(3) + 10 * (t % 2), rng.randrange(40 // 9 if size == 1 else 40)) for _ in range(rng.randint(1, size))} for t in range(1500 if size == 1 else 300)}
+    df = spark.createDataFrame([(t, *c) for t, cs in cells.items() for c in cs] + [(9000, None, 1)], "t bigint, y bigint, x bigint")
+    cells[9000] = set()
+    order = [r.t for r in df.select("t").distinct().orderBy(stable_hash("t", seed="s"), "t").collect()]
+    rank, want = {t: k for k, t in enumerate(sorted(cells))}, {}
+    for t in order:
+        used = [want[o][0] for o in want if any(abs(a - c) <= 1 and abs(b - d) <= 1 for a, b in cells[t] for c, d in cells[o])]
+        free = [x for x in (1 + (rank[t] + k) % 5 for k in range(5)) if x not in used]
+        want[t] = (free[0], False) if free else (min((used.count(x), x) for x in set(used))[1], True)
+    got = {r.t: (r.label, r.forced) for r in sampling.spatial_labels(df, "t", ["y", "x"], 5, 1, "s").collect()}
+    assert got == want
+
+
 def test_lines_of_known_pitch(spark):
     rng = random.Random(6)
     cells = [(i, j, (1.0 if i % 20 < 6 else 0.05) + rng.random() * 0.05) for i in range(160) for j in range(40)]
