@@ -178,7 +178,7 @@ def _cells(t):
 SELECT level, (z // 16) || '_' || (y // 16) || '_' || (x // 16) AS brick, CAST(sum(v) AS BIGINT) AS total, CAST(4096 AS BIGINT) AS cells, CAST(0 AS BIGINT) AS wrong FROM a WHERE v <> 0 GROUP BY 1, 2""",
 )
 def volume_pyramid(t):
-    c = _cells(t)
+    c = graph.cut_lineage(_cells(t))
     path, spark = _folder(t), c.sparkSession
     images.write_pyramid(c, path, ["z", "y", "x"], "v", 2, 16)
     wrong = images.wrong_bricks(images.bricks(c, ["z", "y", "x"], "v", 16), c, ["z", "y", "x"], "v", 16, 3, "23").agg(F.count("*").alias("wrong"))

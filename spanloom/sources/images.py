@@ -262,9 +262,14 @@ def bricks(cells: DataFrame, coords: list[str], value: str, size: int) -> DataFr
 
     n = size ** len(coords)
     d = chunk_of(cells.where(F.col(value) != 0), coords, size)
-    g = d.groupBy(*[f"c_{c}" for c in coords]).agg(F.map_from_entries(F.collect_list(F.struct(F.col("offset").cast("int"), F.col(value).alias("v")))).alias("m"))
+    g = d.groupBy(*[f"c_{c}" for c in coords]).agg(F.array_sort(F.collect_list(F.struct(F.col("offset").cast("int").alias("at"), F.col(value).alias("v")))).alias("s"))
     zero = F.lit(0).cast(dict(cells.dtypes)[value])
-    return g.select(*[f"c_{c}" for c in coords], F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.element_at("m", k), zero)).alias("data"))
+    # Each cell with the zeros before it, and those after the last one: one pass, whatever the size.
+    before = lambda i: F.coalesce(F.get("s", i - 1)["at"], F.lit(-1))
+    runs = F.flatten(F.transform("s", lambda x, i: F.concat(F.array_repeat(zero, x["at"] - before(i) - 1), F.array(x["v"]))))
+    data = F.concat(runs, F.array_repeat(zero, n - 1 - F.element_at("s", -1)["at"]))
+    twice = F.exists(F.transform("s", lambda x, i: x["at"] == before(i)), lambda x: x)
+    return g.select(*[f"c_{c}" for c in coords], F.when(twice, F.raise_error("a cell is there twice")).otherwise(data).alias("data"))
 
 
 def wrong_bricks(packed: DataFrame, cells: DataFrame, coords: list[str], value: str, size: int, share: int, seed: str) -> DataFrame:

@@ -9,6 +9,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from spanloom.operators import lossmaps
 from spanloom.sources import images
 
@@ -155,6 +157,19 @@ def test_bricks_are_checked(spark):
     assert images.wrong_bricks(packed, moved, ["z", "y"], "v", 4, 1, "s").count() == 1
 
 
+def test_full_bricks_take_one_pass(spark):
+    """600 bricks of 4,096 cells: looking each cell up among all of its brick takes minutes."""
+    import time
+
+    cells = spark.range(600 * 4096).where("id % 7 != 3").select((F.col("id") % 16).alias("x"), F.floor(F.col("id") / 16 % 16).alias("y"), F.floor(F.col("id") / 256).alias("z"), (F.col("id") % 50 + 1).cast("int").alias("v"))
+    began = time.time()
+    got = images.bricks(cells, ["z", "y", "x"], "v", 16).select(F.size("data").alias("n"), F.aggregate("data", F.lit(0), lambda s, x: s + x).alias("total")).groupBy("n").agg(F.count("*").alias("bricks"), F.sum("total").alias("total")).collect()
+    assert [tuple(r) for r in got] == [(4096, 600, cells.agg(F.sum("v")).first()[0])]
+    assert time.time() - began < 40
+    with pytest.raises(Exception, match="twice"):
+        images.bricks(cells.limit(5).unionByName(cells.limit(5)), ["z", "y", "x"], "v", 16).collect()
+
+
 def test_loss_map_of_two_samples(spark):
     """Two samples at one place, residuals 1 and 3, weight 2: one pixel of 4."""
     s = spark.createDataFrame([("patch", 4.0, 0.0, 100.0, 1.0), ("patch", 4.0, 0.0, 100.0, 3.0), ("patch", 4.0, 0.0, 500.0, 1.0), ("patch", 4.0, 0.0, float("nan"), 1.0), ("other", 4.0, 0.0, 100.0, 1.0)], "name string, z double, y double, x double, residual double")
