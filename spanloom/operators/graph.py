@@ -202,6 +202,33 @@ def crossing_walks(records: DataFrame, seeds: DataFrame, hops: int, least: float
     return w.select("start", "walk")
 
 
+def point_walks(points: DataFrame, track: str, cell: str, index: str, family: str, seeds: DataFrame, hops: int, least: float, most: float, order, chunk: int = 1024) -> DataFrame:
+    """start, walk: ``crossing_walks`` over the crossings of points (``joins.crossing_events``), without a row for each crossing.
+
+    ``order`` is a function of the columns src and dst. A walk goes to the cells of its track that fit, finds its first record
+    among each cell's tracks, which lie there as arrays of at most ``chunk``, and comes back with that one alone.
+    """
+    tables = Tables(points.sparkSession, "point-walks")
+    p = points.select(F.col(cell).alias("cell"), F.col(track).alias("src"), F.col(index).alias("i"), F.col(family).alias("f")).where("cell is not null and src is not null")
+    p = tables.put(p.repartition("cell").groupBy("cell", "src").agg(F.min("i").alias("self_local"), F.min_by("f", "i").alias("fam")), "points")
+    part = F.floor((F.row_number().over(Window.partitionBy("cell").orderBy("src")) - 1) / chunk)
+    cells = p.withColumn("part", part).groupBy("cell", "part").agg(F.array_sort(F.collect_list(F.struct("src", "self_local", "fam"))).alias("t"))
+    cells = tables.put(cells.select("cell", F.col("t.src").alias("dsts"), F.col("t.self_local").alias("locals"), F.col("t.fam").alias("fams")), "cells")
+    w = seeds.select(F.col("node").alias("start"), F.array("node").alias("walk"), F.lit(None).cast(dict(p.dtypes)["self_local"]).alias("entry"))
+    for hop in range(hops):
+        step = w.withColumn("src", F.element_at("walk", -1)).join(p, "src")
+        step = step.where(F.col("entry").isNull() | F.abs(F.col("self_local") - F.col("entry")).between(least, most)).drop("entry").join(cells, "cell")
+        # A track is of its own family, so the first hop leaves nothing out. Arrays are in the order of dst: the first least one is the record.
+        fits = lambda x, f: (f != F.col("fam")) & ~F.array_contains(F.col("walk"), x) if hop else f != F.col("fam")  # noqa: B023, E731
+        ranks = F.zip_with("dsts", "fams", lambda x, f: F.when(fits(x, f), order(F.col("src"), x)))  # noqa: B023
+        step = step.select("start", "walk", "self_local", "dsts", "locals", F.inline(F.array(F.struct(ranks.alias("os")))))
+        step = step.select("start", "walk", "self_local", "dsts", "locals", F.array_min("os").alias("o"), (F.array_position("os", F.array_min("os")) - 1).cast("int").alias("k")).where("o is not null")
+        step = step.select("start", F.struct("o", F.get("dsts", F.col("k")).alias("dst"), "self_local", F.get("locals", F.col("k")).alias("partner_local")).alias("n"), "walk")
+        step = step.repartition("start").groupBy("start").agg(F.min(F.struct("n", "walk")).alias("b"))
+        w = tables.put(step.select("start", F.concat("b.walk", F.array("b.n.dst")).alias("walk"), F.col("b.n.partner_local").alias("entry")), f"walks-{hop}")
+    return w.select("start", "walk")
+
+
 def gated_walks(records: DataFrame, seeds: DataFrame, steps: int, least_travel: float, order, most_tracks: int = 4) -> DataFrame:
     """start, walk: up to ``steps`` steps, each onto a track from which the walk could still return to its start.
 

@@ -148,9 +148,6 @@ SELECT n0 AS start, concat_ws('-', n0, n1, m.dst) AS walk FROM w2""",
 def crossing_walks(t):
     from ..operators import graph
 
-    e = _events(t)
-    r = e.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("a_idx").alias("self_local"), F.col("b_idx").alias("partner_local"))
-    r = r.unionByName(e.select(F.col("b").alias("src"), F.col("a").alias("dst"), F.col("b_idx").alias("self_local"), F.col("a_idx").alias("partner_local")))
-    order = (F.col("src") * 31 + F.col("dst") * 17) % 1009
-    w = graph.crossing_walks(r, t("orders").select(F.col("o_orderkey").alias("node")), 2, 1, 3, order)
+    seeds = t("orders").select(F.col("o_orderkey").alias("node"))
+    w = graph.point_walks(_points(t), "track", "cell", "idx", "fam", seeds, 2, 1, 3, lambda src, dst: (src * 31 + dst * 17) % 1009)
     return w.select("start", F.concat_ws("-", F.transform("walk", lambda x: x.cast("string"))).alias("walk"))

@@ -121,6 +121,21 @@ def test_walks(spark):
     assert [w.walk for w in graph.gated_walks(g, spark.createDataFrame([(0,)], "node bigint"), 2, 45.0, F.col("dst")).collect()] == [[0]]
 
 
+def test_walks_over_points_are_those_over_crossings(spark):
+    from spanloom.operators import joins
+
+    rng = random.Random(8)
+    rows = [(t, rng.randrange(25), rng.randrange(12), f"f{t % 4}") for t in range(90) for _ in range(6)] + [(5, None, 1, "f1"), (200, 40, 1, "f0")]
+    points = spark.createDataFrame(rows, "track bigint, cell bigint, idx int, fam string")
+    e = joins.crossing_events(points, "track", "cell", "idx", "fam")
+    r = e.selectExpr("a as src", "b as dst", "a_idx as self_local", "b_idx as partner_local").unionByName(e.selectExpr("b as src", "a as dst", "b_idx as self_local", "a_idx as partner_local"))
+    seeds, order = points.selectExpr("track as node").distinct(), lambda src, dst: (src * 31 + dst * 17) % 101
+    want = {(w.start, tuple(w.walk)) for w in graph.crossing_walks(r, seeds, 3, 1, 3, order(F.col("src"), F.col("dst"))).collect()}
+    for chunk in (1024, 4):
+        assert {(w.start, tuple(w.walk)) for w in graph.point_walks(points, "track", "cell", "idx", "fam", seeds, 3, 1, 3, order, chunk).collect()} == want
+    assert len(want) > 60
+
+
 def test_labels_go_around_and_avoid_neighbours(spark):
     far = spark.createDataFrame([(k, 20 * k // 4) for k in range(256)], "t bigint, z bigint")
     got = {r.t: (r.label, r.forced) for r in sampling.spatial_labels(far, "t", ["z"], 255, 1, "s").collect()}
