@@ -63,14 +63,18 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, hops: int | None, node: st
     return seen
 
 
-def holonomy(edges: DataFrame, tree: DataFrame) -> DataFrame:
-    """Edges (src, dst, delta) between reached nodes that the tree does not use, with how far their cycle fails to close."""
+def holonomy(edges: DataFrame, tree: DataFrame, parents: bool = False) -> DataFrame:
+    """Edges (src, dst, delta) between reached nodes that the tree does not use, with how far their cycle fails to close.
+
+    ``parents``: with sp and dp, the parents of src and dst in the tree.
+    """
     t = tree.select("node", "acc", "parent")
     a = t.select(F.col("node").alias("src"), F.col("acc").alias("sa"), F.col("parent").alias("sp"))
     b = t.select(F.col("node").alias("dst"), F.col("acc").alias("da"), F.col("parent").alias("dp"))
-    j = edges.join(a, "src").join(b, "dst")
+    # The order of src and dst is given: half of the edges meet nothing.
+    j = edges.where("src < dst").join(a, "src").join(b, "dst")
     used = F.coalesce(F.col("dp") == F.col("src"), F.lit(False)) | F.coalesce(F.col("sp") == F.col("dst"), F.lit(False))
-    return j.where(~used & (F.col("src") < F.col("dst"))).select("src", "dst", (F.col("sa") + F.col("delta") - F.col("da")).alias("holonomy"))
+    return j.where(~used).select("src", "dst", (F.col("sa") + F.col("delta") - F.col("da")).alias("holonomy"), *(["sp", "dp"] if parents else []))
 
 
 def _is_stars(edges: DataFrame) -> bool:
@@ -150,19 +154,21 @@ def fundamental_cycles(loops: DataFrame, tree: DataFrame) -> DataFrame:
 def shortest_paths(edges: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
     """node, cost, parent: least total weight from any seed over (src, dst, weight > 0), and the node before (the least of equals).
 
-    Rounds relax the edges of what was improved in the round before, until nothing is, or ``rounds`` times.
+    Rounds relax the edges of what was improved in the round before, until nothing is, or ``rounds`` times. Edges are made
+    once, and a round writes what it improved: Spark knows its size, and while that is small does not deal the edges anew.
     """
-    kind = dict(seeds.dtypes)["node"]
-    best = cut_lineage(seeds.select("node", F.lit(0.0).alias("cost"), F.lit(None).cast(kind).alias("parent")).distinct())
+    kind, tables = dict(seeds.dtypes)["node"], Tables(edges.sparkSession, "shortest")
+    edges = tables.put(edges.select("src", "dst", "weight"), "edges")
+    best = tables.put(seeds.select("node", F.lit(0.0).alias("cost"), F.lit(None).cast(kind).alias("parent")).distinct(), "best")
     front = best
-    for _ in itertools.count() if rounds is None else range(rounds):
+    for round_ in itertools.count() if rounds is None else range(rounds):
         offers = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"), F.col("src").alias("parent"))
         offers = offers.groupBy("node").agg(F.min(F.struct("cost", "parent")).alias("o"))
         old = best.select("node", F.col("cost").alias("had"))
-        front = cut_lineage(offers.join(old, "node", "left").where("had is null or o.cost < had").select("node", "o.cost", "o.parent"))
+        front = tables.put(offers.join(old, "node", "left").where("had is null or o.cost < had").select("node", "o.cost", "o.parent"), f"front-{round_}")
         if front.isEmpty():
             break
-        best = cut_lineage(best.join(front.select("node"), "node", "left_anti").unionByName(front))
+        best = tables.put(best.join(front.select("node"), "node", "left_anti").unionByName(front), f"best-{round_}")
     return best
 
 

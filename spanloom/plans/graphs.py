@@ -48,10 +48,15 @@ tree(node, depth, acc, parent) USING KEY (node) AS (SELECT DISTINCT root, 0, CAS
 _PATHS = """w(node, up, path) AS (SELECT node, parent, [node] FROM tree UNION ALL SELECT w.node, t.parent, list_append(w.path, w.up) FROM w JOIN tree t ON t.node = w.up), p AS (SELECT node, path FROM w WHERE up IS NULL)"""
 
 
-def _tree(t):
-    directed = graph.cut_lineage(_directed(t))
+def _walked(t):
+    """The directed edges, made once, and the tree over them."""
+    directed = graph.Tables(t("lineitem").sparkSession, "walked").put(_directed(t), "edges")
     seeds = graph.components(directed.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))).select(F.col("root").alias("node")).distinct()
-    return graph.breadth_first(directed, seeds, None)
+    return directed, graph.breadth_first(directed, seeds, None)
+
+
+def _tree(t):
+    return _walked(t)[1]
 
 
 @query("K01 K10 A29", f"{_BFS} SELECT node, depth, acc, parent FROM tree")
@@ -71,7 +76,7 @@ def vote_tally(t):
 WHERE g.src < g.dst AND NOT (coalesce(y.parent = g.src, false) OR coalesce(x.parent = g.dst, false))""",
 )
 def cycle_holonomy(t):
-    return graph.holonomy(_directed(t), _tree(t)).withColumn("holonomy", F.col("holonomy").cast("long"))
+    return graph.holonomy(*_walked(t)).withColumn("holonomy", F.col("holonomy").cast("long"))
 
 
 @query(
@@ -93,8 +98,8 @@ j AS (SELECT src, dst, holonomy, p.path AS pp, q.path AS qq, list_filter(p.path,
 SELECT src, dst, holonomy, lca, array_to_string(list_concat(pp[1:list_position(pp, lca)], list_reverse(qq[1:list_position(qq, lca) - 1])), '-') AS cycle FROM j""",
 )
 def fundamental_cycles(t):
-    tree = _tree(t)
-    loops = graph.holonomy(_directed(t), tree).withColumn("holonomy", F.col("holonomy").cast("long")).where("holonomy != 0")
+    directed, tree = _walked(t)
+    loops = graph.holonomy(directed, tree).withColumn("holonomy", F.col("holonomy").cast("long")).where("holonomy != 0")
     c = graph.fundamental_cycles(loops, tree)
     return c.withColumn("cycle", F.concat_ws("-", F.transform("cycle", lambda x: x.cast("string"))))
 
@@ -191,10 +196,8 @@ def gated_walks(t):
 SELECT key, count(*) AS cycles, CAST(max(abs(h)) AS BIGINT) AS worst FROM h GROUP BY 1 ORDER BY worst DESC, cycles DESC, key LIMIT 10""",
 )
 def worst_cycle_groups(t):
-    tree = _tree(t)
-    h = graph.holonomy(_directed(t), tree)
-    p = lambda s, n: tree.select(F.col("node").alias(s), F.coalesce("parent", F.lit(-1)).alias(n))
-    h = h.join(p("src", "p1"), "src").join(p("dst", "p2"), "dst").groupBy(F.least("p1", "p2").alias("key"))
+    h = graph.holonomy(*_walked(t), parents=True)
+    h = h.groupBy(F.least(F.coalesce("sp", F.lit(-1)), F.coalesce("dp", F.lit(-1))).alias("key"))
     return h.agg(F.count("*").alias("cycles"), F.max(F.abs("holonomy")).cast("long").alias("worst")).orderBy(F.desc("worst"), F.desc("cycles"), "key").limit(10)
 
 

@@ -136,6 +136,26 @@ def test_walks_over_points_are_those_over_crossings(spark):
     assert len(want) > 60
 
 
+def test_rounds_make_their_edges_once(spark):
+    """Each row of edges is made once, however many rounds there are; and a loop's edges are not made again."""
+    from spanloom.plans import graphs
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    e = spark.range(40).selectExpr("id as src", "id + 1 as dst", "1.0D as weight")
+    got = graph.shortest_paths(e.mapInArrow(counted, e.schema), spark.createDataFrame([(0,)], "node bigint"), 6)
+    assert sorted((r.node, r.cost) for r in got.collect()) == [(k, float(k)) for k in range(7)] and made.value == 40
+    lines = [(o, n, (o * 7 + n * 3) % 20) for o in range(30) for n in range(1, 4)]
+    read, made.value = spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint"), 0
+    graphs.cycle_holonomy(lambda name: read.mapInArrow(counted, read.schema)).collect()
+    assert made.value == 2 * len(lines)
+
+
 def test_labels_go_around_and_avoid_neighbours(spark):
     far = spark.createDataFrame([(k, 20 * k // 4) for k in range(256)], "t bigint, z bigint")
     got = {r.t: (r.label, r.forced) for r in sampling.spatial_labels(far, "t", ["z"], 255, 1, "s").collect()}
