@@ -119,9 +119,11 @@ def triangles(edges: DataFrame) -> DataFrame:
 
 def four_cycles(edges: DataFrame) -> DataFrame:
     """a, c, cycles: pairs of opposite corners and the 4-cycles through them, from the number of their shared neighbours."""
+    from .joins import dealt_pairs
+
     e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    shared = both.alias("p").join(both.alias("q"), F.col("p.b") == F.col("q.b")).where("p.a < q.a").groupBy(F.col("p.a").alias("a"), F.col("q.a").alias("c")).agg(F.count("*").alias("n"))
+    shared = dealt_pairs(both, "a", "b", "a", "c").groupBy("a", "c").agg(F.count("*").alias("n"))
     return shared.where("n > 1").select("a", "c", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("cycles"))
 
 

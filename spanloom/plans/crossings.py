@@ -117,7 +117,7 @@ SELECT a, c, CAST(n * (n - 1) // 2 AS BIGINT) AS quads FROM w WHERE n > 1""",
 )
 def quad_closures(t):
     e = t("lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
-    w = e.select(F.col("s").alias("a"), "p").join(e.select(F.col("s").alias("c"), "p"), "p").where("a < c").groupBy("a", "c").agg(F.count("*").alias("n"))
+    w = joins.dealt_pairs(e, "s", "p", "a", "c").groupBy("a", "c").agg(F.count("*").alias("n"))
     return w.where("n > 1").select("a", "c", F.expr("n * (n - 1) div 2").alias("quads"))
 
 

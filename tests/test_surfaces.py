@@ -156,6 +156,20 @@ def test_rounds_make_their_edges_once(spark):
     assert made.value == 2 * len(lines)
 
 
+def test_pairs_are_dealt_to_tasks_by_their_number(spark):
+    from spanloom.operators import joins
+
+    rng = random.Random(2)
+    held = {(o, c) for c in range(60) for o in rng.sample(range(200), 20)}
+    one = spark.createDataFrame(sorted(held), "o bigint, c bigint")
+    d = joins.dealt_pairs(one, "o", "c", "a", "b", each=500)
+    assert d.rdd.getNumPartitions() == math.ceil(60 * 190 / 500)
+    assert sorted((r.a, r.b) for r in d.collect()) == sorted((a, b) for a, c in held for b, e in held if c == e and a < b)
+    # Counting them needs no other exchange: a task has its pairs only.
+    assert "partial_count" not in d.groupBy("a", "b").count()._jdf.queryExecution().executedPlan().toString().split("REPARTITION_BY_NUM", 1)[1]
+    assert joins.dealt_pairs(one.limit(0), "o", "c", "a", "b").count() == 0
+
+
 def test_labels_go_around_and_avoid_neighbours(spark):
     far = spark.createDataFrame([(k, 20 * k // 4) for k in range(256)], "t bigint, z bigint")
     got = {r.t: (r.label, r.forced) for r in sampling.spatial_labels(far, "t", ["z"], 255, 1, "s").collect()}
