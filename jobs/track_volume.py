@@ -21,6 +21,7 @@ and ``volume`` leaves its old voxels out. Lines with a null in a column that is
 from __future__ import annotations
 
 import argparse
+import itertools
 import json
 import logging
 import math
@@ -42,7 +43,11 @@ VOXELS = "z bigint, y bigint, x bigint, label bigint, track bigint, tracks bigin
 LEDGER = "segments bigint, digest bigint, settings string, voxels bigint, slab bigint"
 _AXES = ("z", "y", "x")
 #: Steps along segments that a task holds at a time, beyond those of one track.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 22
+#: Steps that are made at a time, beyond those of one segment: few enough for a processor's cache.
+BLOCK = 1 << 14
+#: Voxels with their counts that a task holds, beyond those of ``AT_ONCE`` steps.
+HELD = 1 << 20
 
 
 def configured(path: str | Path = CONFIG) -> dict:
@@ -70,42 +75,123 @@ def segments(points: DataFrame) -> DataFrame:
 
 
 def _slabs(config: dict):
-    """The slabs that a segment touches."""
+    """The first and the last slab that a segment touches."""
     slab = lambda c: F.floor(half_even(c) / config["slab"]).cast("long")
-    lo, hi = slab(F.least("z", "p_z")), slab(F.greatest("z", "p_z"))
-    return F.sequence(lo, hi)
+    return slab(F.least("z", "p_z")), slab(F.greatest("z", "p_z"))
 
 
 def inputs(segments: DataFrame, config: dict) -> DataFrame:
-    """slab, segments, digest: what each slab is made of."""
-    each = segments.withColumn("slab", F.explode(_slabs(config)))
-    return each.groupBy("slab").agg(F.count("*").alias("segments"), F.bit_xor(F.xxhash64("track", "pos", *_AXES, *[f"p_{a}" for a in _AXES])).alias("digest"))
+    """slab, segments, digest: what each slab is made of. Segments that touch the same slabs are counted before they are dealt to them."""
+    lo, hi = _slabs(config)
+    some = segments.groupBy(lo.alias("lo"), hi.alias("hi")).agg(F.count("*").alias("segments"), F.bit_xor(F.xxhash64("track", "pos", *_AXES, *[f"p_{a}" for a in _AXES])).alias("digest"))
+    each = some.select(F.explode(F.sequence("lo", "hi")).alias("slab"), "segments", "digest")
+    return each.groupBy("slab").agg(F.sum("segments").alias("segments"), F.bit_xor("digest").alias("digest"))
 
 
 def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """z, y, x, the least track and how many, of some whole tracks (track, segments) at a time: about ``AT_ONCE`` steps."""
-    for batch in batches:
-        of, flat = batch.column(1).value_lengths().to_numpy(zero_copy_only=False), batch.column(1).flatten()
-        part = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in flat.type.names}
-        steps = part["n"].astype("int64") + 1
-        last = np.cumsum(of)
-        upto = np.concatenate([[0], np.cumsum(steps)])[last]
-        tracks, begin = batch.column(0).to_numpy(zero_copy_only=False), 0
-        while begin < len(tracks):
-            before = upto[begin - 1] if begin else 0
-            end = max(begin + 1, int(np.searchsorted(upto, before + AT_ONCE, side="right")))
-            lo, hi = last[begin] - of[begin], last[end - 1]
-            s = {c: np.repeat(v[lo:hi], steps[lo:hi]) for c, v in part.items()}
-            k = np.arange(len(s["n"])) - np.repeat(np.cumsum(steps[lo:hi]) - steps[lo:hi], steps[lo:hi])
-            ids, rank = np.unique(tracks[begin:end], return_inverse=True)
-            cells = [np.rint(np.where(k == 0, s[f"p_{a}"], s[f"p_{a}"] + (s[a] - s[f"p_{a}"]) * k / np.maximum(s["n"], 1))).astype("int64") for a in _AXES]
-            cells.append(np.repeat(np.repeat(rank, of[begin:end]), steps[lo:hi]))
-            # Once a track and voxel, in the order of voxels, then tracks.
-            each = _distinct(cells)
-            first = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in each[:3]], axis=0)]))
-            count = np.diff(np.concatenate([first, [len(each[0])]]))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*[c[first] for c in each[:3]], ids[each[3][first]], count)], names=[*_AXES, "track", "tracks"])
+    """z, y, x, the least track and how many, of some whole tracks at a time. Segments come track by track."""
+    parts, rows = [], 0
+    for s in _whole_tracks(batches):
+        parts.append(_counted(s))
+        rows += parts[-1].num_rows
+        if rows > HELD:
+            parts = _merged(parts)
+            rows = sum(p.num_rows for p in parts)
+            if rows > HELD // 2:
+                yield from parts
+                parts, rows = [], 0
+    yield from _merged(parts)
+
+
+def _merged(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    """A row for each voxel of some counts of different tracks."""
+    if len(parts) < 2:
+        return parts
+    g = pa.Table.from_batches(parts).group_by(list(_AXES), use_threads=False).aggregate([("track", "min"), ("tracks", "sum")])
+    return g.select([*_AXES, "track_min", "tracks_sum"]).rename_columns([*_AXES, "track", "tracks"]).combine_chunks().to_batches()
+
+
+def _whole_tracks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The segments of some whole tracks at a time, of about ``AT_ONCE`` steps."""
+    held, steps, enough = [], 0, AT_ONCE
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held.append({c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names})
+            steps += int(held[-1]["n"].sum()) + batch.num_rows
+            if steps < enough:
+                continue
+        if not steps:
+            continue
+        s = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+        starts = np.append(np.flatnonzero(s["first"]), len(s["n"]))
+        upto = np.concatenate([[0], np.cumsum(s["n"] + 1)])[starts]
+        # The last track may go on in the next batch.
+        begin, known = 0, len(starts) - (1 if batch is None else 2)
+        while begin < known and (batch is None or upto[known] - upto[begin] >= AT_ONCE):
+            end = min(known, max(begin + 1, int(np.searchsorted(upto, upto[begin] + AT_ONCE, side="right")) - 1))
+            yield {c: v[starts[begin] : starts[end]] for c, v in s.items()}
             begin = end
+        held, steps = [{c: v[starts[begin] :] for c, v in s.items()}], int(upto[-1] - upto[begin])
+        enough = max(AT_ONCE, 2 * steps)
+
+
+def _counted(s: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """z, y, x, the least track and how many, of the segments of whole tracks."""
+    ids, rank = np.unique(s["track"], return_inverse=True)
+    order = np.argsort(s["n"], kind="stable")
+    s = {c: v[order] for c, v in s.items()}
+    s["rank"] = rank[order].astype("float64")
+    # A voxel of each step, once a track, in the order of voxels, then tracks. One number has both, where it is exact; no step
+    # rounds to a voxel beyond one around what is between the ends.
+    bits = len(ids).bit_length()
+    low = [float(np.floor(min(s[a].min(), s[f"p_{a}"].min()))) - 1 for a in _AXES]
+    high = [float(np.ceil(max(s[a].max(), s[f"p_{a}"].max()))) + 1 for a in _AXES]
+    size = [int(hi - lo) + 1 for lo, hi in zip(low, high, strict=True)]
+    reach = [max(n, abs(int(lo)), abs(int(hi))) + 1 for n, lo, hi in zip(size, low, high, strict=True)]
+    if math.prod(reach) << bits < 1 << 50:
+        each = np.empty(int((s["n"] + 1).sum()), "int32" if math.prod(size) << bits < 1 << 31 else "int64")
+        zero, at = ((low[0] * size[1] + low[1]) * size[2] + low[2]) * (1 << bits), 0
+        for rank, (packed, y, x) in _stepped(s):
+            packed *= size[1]
+            packed += y
+            packed *= size[2]
+            packed += x
+            packed *= 1 << bits
+            np.add(packed, rank - zero, out=each[at : at + packed.size].reshape(packed.shape), casting="unsafe")
+            at += packed.size
+        each.sort()
+        each = each[np.concatenate([[True], each[1:] != each[:-1]])]
+        voxel = each >> bits
+        first = np.flatnonzero(np.concatenate([[True], voxel[1:] != voxel[:-1]]))
+        least, packed, out = each[first] & ((1 << bits) - 1), voxel[first].astype("int64"), []
+        for lo, n in zip(low[::-1], size[::-1], strict=True):
+            packed, c = np.divmod(packed, n)
+            out.append(c + int(lo))
+        out, met = out[::-1], len(voxel)
+    else:
+        parts = [[c.ravel().astype("int64") for c in (*cells, np.broadcast_to(rank, cells[0].shape))] for rank, cells in _stepped(s)]
+        each = _distinct([np.concatenate(c) for c in zip(*parts, strict=True)])
+        first = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in each[:3]], axis=0)]))
+        least, out, met = each[3][first], [c[first] for c in each[:3]], len(each[0])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (*out, ids[least], np.diff(np.append(first, met)))], names=[*_AXES, "track", "tracks"])
+
+
+def _stepped(s: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Some segments with one number of steps at a time: their ranks as a column, and their steps' z, y, x in rows, until the next are made."""
+    n, at = s["n"], 0
+    room = np.empty((len(_AXES), max(BLOCK, int(n[-1]) + 1)))
+    while at < len(n):
+        m = int(n[at])
+        end = min(int(np.searchsorted(n, m, side="right")), at + max(1, BLOCK // (m + 1)))
+        k, cells = np.arange(m + 1, dtype="float64"), []
+        for a, flat in zip(_AXES, room, strict=True):
+            p, c = s[f"p_{a}"][at:end, None], flat[: (end - at) * (m + 1)].reshape(end - at, m + 1)
+            np.multiply(s[a][at:end, None] - p, k, out=c)
+            c /= max(m, 1)
+            c += p
+            cells.append(np.rint(c, out=c))
+        yield s["rank"][at:end, None], cells
+        at = end
 
 
 def _distinct(columns: list[np.ndarray]) -> list[np.ndarray]:
@@ -127,12 +213,12 @@ def _distinct(columns: list[np.ndarray]) -> list[np.ndarray]:
 def voxels(segments: DataFrame, config: dict) -> DataFrame:
     """Rows of VOXELS of whole segments; one that comes twice counts once.
 
-    A track's segments meet in one row, so that its voxels are told apart in the task that makes them, and what is shuffled
-    are counts of voxels, not the voxels of tracks.
+    A track's segments lie in one task, in a row, so that its voxels are told apart in the task that makes them, and what is
+    shuffled are counts of voxels, not the voxels of tracks.
     """
-    ends = [*[f"p_{a}" for a in _AXES], *_AXES, "n"]
-    tracks = segments.groupBy(F.col("track").cast("long").alias("track")).agg(F.collect_set(F.struct(*ends)).alias("segments"))
-    each = tracks.mapInArrow(_crossed, "z bigint, y bigint, x bigint, track bigint, tracks bigint")
+    w = over("track", ["pos", *_AXES])
+    tracks = segments.withColumn("track", F.col("track").cast("long")).withColumn("first", F.row_number().over(w) == 1)
+    each = tracks.select("track", "first", *[f"p_{a}" for a in _AXES], *_AXES, "n").mapInArrow(_crossed, "z bigint, y bigint, x bigint, track bigint, tracks bigint")
     out = each.groupBy(*_AXES).agg(F.min("track").alias("track"), F.sum("tracks").alias("tracks"))
     return out.select(*_AXES, (1 + F.col("track") % config["labels"]).alias("label"), "track", "tracks", F.floor(F.col("z") / config["slab"]).cast("long").alias("slab"))
 
@@ -161,18 +247,22 @@ def run(spark: SparkSession, lines: str, out: str, config: dict | None = None, s
     both = now.alias("now").join(old.alias("old"), "slab", "full_outer")
     same = F.col("now.segments").eqNullSafe(F.col("old.segments")) & F.col("now.digest").eqNullSafe(F.col("old.digest")) & (F.col("old.settings") == settings)
     gone = F.col("now.segments").isNull() & (F.col("old.segments") == 0)
-    stale = both.where(~F.coalesce(same | gone, F.lit(False))).select("slab", F.coalesce("now.segments", F.lit(0)).cast("long").alias("segments"), F.coalesce("now.digest", F.lit(0)).cast("long").alias("digest"))
+    stale = ~F.coalesce(same | gone, F.lit(False))
     if slabs:
-        stale = stale.where((F.col("slab") >= slabs[0]) & (F.col("slab") < slabs[1]))
-    # Written, since the ledger that it is made of is written below.
+        stale = stale & (F.col("slab") >= slabs[0]) & (F.col("slab") < slabs[1])
+    # Written, since the ledger that it is made of is written below, and all segments are read for it.
     plan = f"{out}/plan"
-    stale.write.mode("overwrite").parquet(plan)
-    stale = spark.read.schema("slab bigint, segments bigint, digest bigint").parquet(plan)
-    depth, todo = now.count(), stale.count()
+    both.select("slab", F.coalesce("now.segments", F.lit(0)).cast("long").alias("segments"), F.coalesce("now.digest", F.lit(0)).cast("long").alias("digest"), stale.alias("stale")).write.mode("overwrite").parquet(plan)
+    planned = spark.read.schema("slab bigint, segments bigint, digest bigint, stale boolean").parquet(plan)
+    stale = planned.where("stale").drop("stale")
+    depth, todo, kept = planned.agg(F.expr("count_if(segments > 0)"), F.expr("count_if(stale)"), F.expr("count_if(segments > 0 and not stale)")).first()
     LOG.info("%s: %d slabs, %d of them to make", lines, depth, todo)
     if todo == 0:
         return {"slabs": depth, "made": 0, "voxels": 0}
-    met = every.withColumn("slab", F.explode(_slabs(config))).join(stale.select("slab"), "slab", "left_semi").drop("slab")
+    met = every
+    if kept:
+        lo, hi = _slabs(config)
+        met = every.withColumn("slab", F.explode(F.sequence(lo, hi))).join(stale.select("slab"), "slab", "left_semi").drop("slab").dropDuplicates()
     _overwrite(voxels(met, config).join(stale.select("slab"), "slab", "left_semi"), f"{out}/voxels")
     made = _written(spark, f"{out}/voxels", VOXELS).join(stale.where("segments > 0"), "slab", "left_semi").groupBy("slab").agg(F.count("*").alias("voxels"))
     ledger = stale.join(made, "slab", "left").select("segments", "digest", F.lit(settings).alias("settings"), F.coalesce("voxels", F.lit(0)).cast("long").alias("voxels"), "slab")

@@ -279,3 +279,50 @@ def test_voxels_are_counted_before_they_are_shuffled(spark, monkeypatch):
 def test_distinct_rows_of_any_range():
     columns = [np.array([1, 1, -(2**62), 1]), np.array([5, 5, 2**61, 4]), np.array([0, 0, 7, 2**60])]
     assert [c.tolist() for c in track_volume._distinct(columns)] == [[-(2**62), 1, 1], [2**61, 4, 5], [7, 2**60, 0]]
+
+
+def plain_counts(segments):
+    """(z, y, x) -> (least track, tracks) of rows track, p_z, p_y, p_x, z, y, x, n."""
+    cells = {}
+    for track, *ends, n in segments:
+        for k in range(n + 1):
+            cells.setdefault(tuple(round(x + (y - x) * k / n) if k else round(x) for x, y in zip(ends[:3], ends[3:])), set()).add(track)
+    return {v: (min(t), len(t)) for v, t in cells.items()}
+
+
+@pytest.mark.parametrize("far", [0.0, 2.0**46, 2.0**50])
+def test_tracks_go_on_over_batches_and_a_task_has_one_row_for_a_voxel(monkeypatch, far):
+    rng = random.Random(7)
+    for name, value in (("AT_ONCE", 60), ("BLOCK", 16), ("HELD", 1 << 20)):
+        monkeypatch.setattr(track_volume, name, value)
+    rows = []
+    for track in rng.sample(range(-50, 50), 40):
+        points = [(far + rng.randint(-40, 40) / 4, rng.randint(-9, 9) / 2, float(rng.randint(0, 3))) for _ in range(rng.randint(1, 9))]
+        rows += [(track, *a, *b, max(-int(-abs(y - x) // 1) for x, y in zip(a, b))) for a, b in zip([points[0], *points], points)]
+    first = [k == 0 or rows[k][0] != rows[k - 1][0] for k in range(len(rows))]
+    columns = [np.array(c) for c in zip(*rows)]
+    names = ["track", "p_z", "p_y", "p_x", "z", "y", "x", "n", "first"]
+    batches = [track_volume.pa.RecordBatch.from_arrays([track_volume.pa.array(c[k : k + 4]) for c in (*columns, np.array(first))], names=names) for k in range(0, len(rows), 4)]
+    got = [r for b in track_volume._crossed(iter(batches)) for r in zip(*[c.to_pylist() for c in b.columns])]
+    want = plain_counts(rows)
+    assert len(got) == len(want) and {r[:3]: r[3:] for r in got} == want
+    # Handed on early, voxels come more than once, and still add up.
+    monkeypatch.setattr(track_volume, "HELD", 10)
+    summed = {}
+    for b in track_volume._crossed(iter(batches)):
+        for z, y, x, track, n in zip(*[c.to_pylist() for c in b.columns]):
+            least, tracks = summed.get((z, y, x), (track, 0))
+            summed[z, y, x] = (min(least, track), tracks + n)
+    assert summed == want
+
+
+def test_segments_are_counted_before_they_are_dealt_to_slabs(spark):
+    s = track_volume.segments(track_volume.points(spark.createDataFrame(order_lines(8, range(1, 30)), LINES), VOLUME))
+    got = track_volume.inputs(s, VOLUME)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.index("Generate") < plan.rindex("HashAggregate")
+    touched = {}
+    for r in s.collect():
+        for slab in range(round(min(r.z, r.p_z)) // 8, round(max(r.z, r.p_z)) // 8 + 1):
+            touched[slab] = touched.get(slab, 0) + 1
+    assert {r.slab: r.segments for r in got.collect()} == touched
